@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +71,55 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component")).distinct()
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of consecutive rows with equal keys, from batches sorted by keys, and where each group begins.
+
+    Holds at least so many rows at a time and the rows of one group more, so groups must be bounded.
+    """
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def begins(table: pa.Table) -> np.ndarray:
+        change = np.zeros(table.num_rows, bool)
+        change[:1] = True
+        for k in keys:
+            column = table.column(k).combine_chunks()
+            change[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(change)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= least_rows:
+            table = pa.Table.from_batches(held)
+            starts = begins(table)
+            last = int(starts[-1])
+            if last:
+                yield table.slice(0, last), starts[:-1]
+                table = table.slice(last)
+            held, rows = table.combine_chunks().to_batches(), 0
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, begins(table)
+
+
+def dealt_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys side by side in one partition."""
+    return df.repartition(*keys).sortWithinPartitions(*keys)
+
+
+def vectors_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    n = len(column)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def usable_vector(name: str) -> Column:
+    """Neither null nor empty nor zero, and all components finite. Floats of any size count."""
+    odd = F.exists(name, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(~odd & F.exists(name, lambda x: x != 0), F.lit(False))

@@ -1,13 +1,18 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from archlens.llm import bpe, packing, secrets, sharding, toxicity
+from archlens.llm import ann, bpe, caps, html, jaccard, packing, secrets, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_nearest_vectors": ann.op2_nearest_vectors,
     "op3_bpe_round_trip": bpe.op3_bpe_round_trip,
+    "op4_ngram_jaccard_join": jaccard.op4_ngram_jaccard_join,
     "op5_secrets": secrets.op5_secrets,
+    "op6_repeated_strings": suffixes.op6_repeated_strings,
     "op7_shard_documents": sharding.op7_shard_documents,
+    "op8_embedding_near_duplicates": caps.op8_embedding_near_duplicates,
+    "op9_main_text": html.op9_main_text,
     "op10_pack": packing.op10_pack,
 }
 
-ORACLE_SQL = {"op5_secrets": secrets.oracle(), "op7_shard_documents": sharding.oracle()}
+ORACLE_SQL = {"op5_secrets": secrets.oracle(), "op7_shard_documents": sharding.oracle(), "op8_embedding_near_duplicates": caps.oracle()}
