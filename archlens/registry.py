@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from archlens.plans.oracles import ORACLE_SQL
+from archlens.plans.queries import QUERIES
 
-
-def FLAGSHIP(spark, sf_dir):
-    raise NotImplementedError
+FLAGSHIP = QUERIES["count_by_law"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
