@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
-LENGTH, HOT, PIECE = 400, 2_000, 1 << 20
+LENGTH, HOT, PIECE = 400, 2_000, 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -314,7 +314,7 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
     """rows(hash, key, start, single, data) -> marks of those that stand once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, ["hash"], 4096):
+        for table, _ in whole_groups(batches, ["hash"], 1536):
             parts = table.column("data").to_pylist()
             found, at = repeated_windows(parts, length), 0
             keys, lows, highs = [], [], []
