@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 from archlens.llm.common import read_table, text_or_empty
 
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
-WINDOW, STEP, GRAM = 48, 32, 6
-#: A run of n-grams is toxic if each has at least this G-squared (1 degree of freedom), in favour of toxic texts.
-SIGNIFICANT = 25.0
+WINDOW, STEP, GRAM, LONG_GRAM = 48, 32, 6, 24
+#: A run of n-grams is toxic if each has at least this G-squared (1 degree of freedom), stands in at least this share of toxic texts, and so many times as often in them as in ordinary ones.
+SIGNIFICANT, SUPPORT, RATIO = 25.0, 0.02, 3.0
 ORDINARY_BYTES, TOXIC_BYTES = 12_000, 8_000
 LEVELS = (1, 2, 3, 4, 5, 6, 8)
 THRESHOLD = 0.7
@@ -137,7 +138,7 @@ def make_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         for t in texts:
             counter.update(_grams(t))
     n, m = len(toxic), len(ordinary)
-    marks = {g for g, a in in_toxic.items() if a >= 3 and a * m > 2 * in_ordinary[g] * n and _g_squared(a, n, in_ordinary[g], m) >= SIGNIFICANT}
+    marks = {g for g, a in in_toxic.items() if a >= max(3, SUPPORT * n) and a * m > RATIO * in_ordinary[g] * n and _g_squared(a, n, in_ordinary[g], m) >= SIGNIFICANT}
     runs = Counter()
     for t in toxic:
         found, i = set(), 0
@@ -149,7 +150,8 @@ def make_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
                 found.update(_whole_words(t, i, j + GRAM - 1))
             i = j + 1
         runs.update(found)
-    frequent = [r for r, k in sorted(runs.items(), key=lambda x: (x[1], x[0])) if k >= 2]
+    usual = Counter(b" " + w + b" " for t in ordinary for w in set(t.split()))  # a mark may lie in a usual word
+    frequent = [r for r, k in sorted(runs.items(), key=lambda x: (x[1], x[0])) if k >= 2 and k * m > RATIO * usual[r] * n]
     windows = [w for t in ordinary for i in range(0, len(t), WINDOW) if marks.isdisjoint(_grams(w := t[i : i + WINDOW]))]
     try:
         base = zstd.train_dictionary(ORDINARY_BYTES + 4096, windows, k=64, d=6).as_bytes()[-ORDINARY_BYTES:]
@@ -171,10 +173,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
+def _unlike(texts: list[bytes]) -> list[bytes]:
+    """One of each group of copies and near copies, told by the smallest hashes of their long n-grams: else a copied text's words would count as often as it does."""
+    seen, out = set(), []
+    for t in texts:
+        hashes = {zlib.crc32(t[i : i + LONG_GRAM]) for i in range(len(t) - LONG_GRAM + 1)}
+        keys = {(k, min((h * odd) & 0xFFFFFFFF for h in hashes)) for k, odd in enumerate((1, 0x9E3779B1))} if hashes else {t}
+        if seen.isdisjoint(keys):
+            out.append(t)
+        seen |= keys
+    return out
+
+
+def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model:
+    """odds: toxic to ordinary among all labelled texts, where the sample has other ones."""
     if min(len(toxic), len(ordinary)) < 4:
         return Model(b"-" * 8, b"-" * 8)
-    classes = [[normal(t) for t in texts] for texts in (ordinary, toxic)]
+    classes = [_unlike([normal(t) for t in texts]) for texts in (ordinary, toxic)]
+    if min(map(len, classes)) < 4:
+        return Model(b"-" * 8, b"-" * 8)
     x, y = [], []
     for fold in (0, 1):
         other = make_dictionaries(classes[1][1 - fold :: 2], classes[0][1 - fold :: 2])
@@ -185,6 +202,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     model = make_dictionaries(classes[1], classes[0])
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-9
     model.weights = _logistic((x - model.mean) / model.scale, y)
+    if odds:
+        model.weights[0] += math.log(odds) - math.log(y.sum() / (len(y) - y.sum()))
     return model
 
 
@@ -197,7 +216,9 @@ def fit_on_sample(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
         docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
         .join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text").limit(2 * SAMPLE).collect()
     )
-    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+    counts = dict(marked.groupBy("toxic").count().collect())
+    odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
+    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], odds)
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
