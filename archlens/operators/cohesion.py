@@ -17,7 +17,7 @@ KEY = ["path", "scope"]
 
 
 def lcom4(methods: DataFrame) -> DataFrame:
-    """Components of a scope's methods, linked by a field that both use or by a call. Methods of one field are linked in a star, not in pairs."""
+    """Components of a scope's methods, linked by a field that both use or by a call. Methods of one field are linked in a star, not in pairs; methods of one name are one."""
     m = methods.select(F.struct(*KEY).alias("g"), F.col("name").alias("node"), "field_access", "internal_calls")
     used = m.select("g", "node", F.explode("field_access").alias("field"))
     centre = used.groupBy("g", "field").agg(F.min("node").alias("b"))

@@ -1,7 +1,7 @@
 """Iterative graph operators on edges(src, dst[, weight]).
 
 Each round is one join and one aggregation keyed by node; lineage is cut by checkpoint() in the shared folder, so that
-rounds don't pile up and a lost executor costs a task. Only counts reach the driver.
+rounds don't pile up and a lost executor costs a task. Only counts and sums reach the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DAMPING, ITERATIONS, CUT_EVERY = 0.85, 20, 5
+DAMPING, ITERATIONS = 0.85, 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -40,12 +40,11 @@ def pagerank(edges: DataFrame, anchor: str | None = None) -> DataFrame:
     n = nodes.count()
     restart = F.lit(1.0 / n) if anchor is None else F.when(F.col("path") == anchor, 1.0).otherwise(1.0 / n)
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for k in range(1, ITERATIONS + 1):
+    for _ in range(ITERATIONS):
         incoming = shares.join(ranks, shares.src == ranks.path).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("incoming"))
         new = nodes.join(incoming, nodes.path == incoming.dst, "left").select("path", ((1 - DAMPING) * restart + DAMPING * F.coalesce("incoming", F.lit(0.0))).alias("raw"))
-        # One number, not a window: the sum of a round is an aggregate that is broadcast back.
-        new = new if k % CUT_EVERY and k < ITERATIONS else checkpointed(new)
-        ranks = new.crossJoin(F.broadcast(new.agg(F.sum("raw").alias("total")))).select("path", (F.col("raw") / F.col("total")).alias("rank"))
+        new = checkpointed(new)  # used twice, so it would be computed twice for every round after it
+        ranks = new.select("path", (F.col("raw") / new.agg(F.sum("raw")).first()[0]).alias("rank"))
     return ranks
 
 
@@ -102,7 +101,7 @@ def hubs(edges: DataFrame, least: int) -> DataFrame:
 
 def components(pairs: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     """Smallest node of each node's component, by pointer jumping. pairs(group, a, b), nodes(group, node); nodes of different groups never link."""
-    low = checkpointed(nodes.select(group, "node", F.col("node").alias("low")))
+    low = checkpointed(nodes.select(group, "node", F.col("node").alias("low")).distinct())
     both = checkpointed(pairs.select(group, "a", "b").unionByName(pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     while True:
         of_b = low.select(group, F.col("node").alias("b"), F.col("low").alias("near"))

@@ -1,12 +1,14 @@
 """Rules over files(path, content), as expressions on lines. No parser: rules that need a syntax tree aren't here (see the README).
 
-A rule yields violations(path, row, law, message, confidence). Lines of one file stay in one task; state that runs along a
-file's lines is a window over them.
+All rules on lines read one table of lines with what they need to know of their surroundings: file-level flags, computed
+before the lines are exploded, and windows along a file's lines, so one shuffle by path serves them all. A rule is a
+condition, and the scan tests all conditions in one pass; a single rule's plan keeps only the columns that it reads.
+A rule yields violations(path, row, law, message, confidence).
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +26,6 @@ def lines_of(files: DataFrame) -> DataFrame:
     return files.select("*", F.posexplode(F.split("content", "\n")).alias("_at", "line")).withColumn("row", F.col("_at") + 1).drop("_at", "content")
 
 
-def _found(rows: DataFrame, law: str, message: Column | str, confidence: str = "High") -> DataFrame:
-    message = F.lit(message) if isinstance(message, str) else message
-    return rows.select("path", F.col("row").cast("int").alias("row"), F.lit(law).alias("law"), message.alias("message"), F.lit(confidence).alias("confidence"))
-
-
 def governed(files: DataFrame) -> DataFrame:
     return files.where(file_kind(F.col("path")) == "SourceCode")
 
@@ -37,111 +34,97 @@ def is_test_file(path: Column) -> Column:
     return F.lower(path).rlike(r"(^|/)tests?/|_test\.|\.test\.|\.spec\.")
 
 
-def atomicity(files: DataFrame, rules: RuleConfig = RuleConfig(), tokens: Column | None = None) -> DataFrame:
-    """Files with more tokens than their limit; systems code has a wider one. tokens: a column of counts, else the estimate."""
-    tokens = approx_tokens(F.col("content")) if tokens is None else tokens
-    limit = F.when(systems_score(F.col("content")) >= SYSTEMS_SCORE, SYSTEMS_LIMITS["max_file_tokens"]).otherwise(rules.max_file_tokens)
-    ignored = any_of([F.contains(F.col("path"), F.lit(p)) for p in rules.ignore_tokens_on])
-    counted = governed(files).select("path", tokens.alias("n"), limit.alias("limit"), F.lit(1).alias("row"), ignored.alias("ignored"))
-    message = F.concat(F.lit("File has "), F.col("n").cast("string"), F.lit(" tokens (limit "), F.col("limit").cast("string"), F.lit(")"))
-    return _found(counted.where("n > limit AND NOT ignored"), "LAW OF ATOMICITY", message)
-
-
-def naming(files: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
-    """Function names of too many words."""
-    name = F.regexp_extract("line", r"\b(?:fn|def|function)\s+([A-Za-z_][A-Za-z0-9_]*)", 1)
-    named = lines_of(governed(files)).select("path", "row", name.alias("name")).where("name <> ''")
-    named = named.where(~any_of([F.contains(file_name(F.col("path")), F.lit(t)) for t in rules.ignore_naming_on])) if rules.ignore_naming_on else named
-    words = split_identifier(F.col("name"))
-    message = F.concat(F.lit("Function '"), F.col("name"), F.lit("' has "), F.size(words).cast("string"), F.lit(" words; try '"), F.array_join(F.slice(words, 1, 3), "_"), F.lit("'"))
-    return _found(named.where(F.size(words) > rules.max_function_words), "LAW OF COMPLEXITY", message)
-
-
-def length_bounds(files: DataFrame) -> DataFrame:
-    """L02: comparisons that let an index reach a length."""
-    rows = lines_of(governed(files)).withColumn("lang", language(F.col("path")))
-    return _found(rows.where(length_boundary(F.col("lang"), F.col("line"))), "L02", F.concat(F.lit("Inclusive bound: "), F.trim("line")))
-
-
-def looped_lookups(files: DataFrame) -> DataFrame:
-    """P06: files with a loop and a linear lookup; told once, at the first lookup."""
-    lang, text = language(F.col("path")), F.col("content")
-    wide = governed(files).where(~is_test_file(F.col("path")) & has_concept(lang, "loop", text) & has_concept(lang, "lookup", text))
-    rows = lines_of(wide).withColumn("lang", language(F.col("path"))).where(has_concept(F.col("lang"), "lookup", F.col("line")))
-    return _found(rows.groupBy("path").agg(F.min("row").alias("row")), "P06", "Linear lookup in a loop", "Medium")
-
-
-def front_accesses(files: DataFrame) -> DataFrame:
-    """L03: first or last element unwrapped in a file without any check for emptiness."""
-    lang = language(F.col("path"))
-    rows = lines_of(governed(files).where(~has_concept(lang, "collection_guard", F.col("content")))).withColumn("lang", language(F.col("path")))
-    return _found(rows.where(has_concept(F.col("lang"), "front_access", F.col("line"))), "L03", "Element taken without a check for emptiness")
-
-
-def formatted_sql(files: DataFrame) -> DataFrame:
-    """X01."""
-    rows = lines_of(governed(files)).where(F.contains("line", F.lit("format!(")) & F.upper("line").rlike(r"SELECT |INSERT INTO|UPDATE |DELETE FROM") & F.col("line").rlike(r"\{\}|\{:"))
-    return _found(rows, "X01", "SQL built by formatting")
-
-
-def hardcoded_secrets(files: DataFrame) -> DataFrame:
-    """X03: a literal of at least five bytes, with its quotes, bound to a name that sounds secret."""
-    name, literal = F.regexp_extract("line", r"\b(?:let|const|static)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1), F.regexp_extract("line", r'=\s*("(?:[^"\\]|\\.)*")', 1)
-    rows = lines_of(governed(files)).withColumns({"name": name, "literal": literal})
-    return _found(rows.where(F.col("name").rlike(SECRET_NAME) & (F.octet_length("literal") >= 5) & ~F.col("literal").rlike(PLACEHOLDERS)), "X03", F.concat(F.lit("Hardcoded secret in '"), F.col("name"), F.lit("'")))
-
-
-def locks_across_await(files: DataFrame) -> DataFrame:
-    """C03: an await while a guard taken on an earlier line is still held. A guard is held from its let until a closing brace or a drop."""
+def in_context(files: DataFrame) -> DataFrame:
+    """Lines of governed files: path, lang, row, line, the three lines before, whether a lock guard is held and of which kind, whether lookups stand in the file's loops and where the first is, and the file's flags."""
+    path, text = F.col("path"), F.col("content")
+    lang = language(path)
+    flags = governed(files).select(
+        "path", "content", lang.alias("lang"), has_concept(lang, "collection_guard", text).alias("guarded"),
+        (~is_test_file(path) & has_concept(lang, "loop", text) & has_concept(lang, "lookup", text)).alias("looped"),
+        (F.contains(text, F.lit(".await")) & F.contains(text, F.lit("async fn"))).alias("awaits"),
+    )
     line = F.col("line")
     takes = line.rlike(r"\blet\b.*\.(lock|read|write)\(\)")
     frees = F.trim(line).rlike(r"^\}") | F.contains(line, F.lit("drop("))
-    rows = lines_of(governed(files).where(F.contains("content", F.lit(".await")) & F.contains("content", F.lit("async fn"))))
-    rows = rows.withColumn("event", F.when(takes, 1).when(frees, 0)).withColumn("kind", F.when(takes, F.when(has_concept(F.lit("rust"), "async_locking", line), "async").otherwise("sync")))
-    before = Window.partitionBy("path").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"held": F.last("event", ignorenulls=True).over(before), "held_kind": F.last("kind", ignorenulls=True).over(before)})
-    hit = rows.where((F.col("held") == 1) & F.contains(line, F.lit(".await")) & ~takes)
-    sync = F.col("held_kind") == "sync"
-    return hit.select("path", F.col("row").cast("int").alias("row"), F.lit("C03").alias("law"), F.lit("Lock guard held across an await").alias("message"), F.when(sync, "High").otherwise("Medium").alias("confidence"))
-
-
-def undocumented_locks(files: DataFrame) -> DataFrame:
-    """C04: a field of a lock's type without a comment on the line before. Rows from 0, as the report counts them here."""
-    rows = lines_of(governed(files)).withColumn("before", F.lag("line").over(Window.partitionBy("path").orderBy("row")))
-    field = F.col("line").rlike(r"^\s*(?:pub(?:\([a-z]+\))?\s+)?[a-z_][a-z0-9_]*\s*:\s*[A-Za-z0-9_:<]*(?:Mutex|RwLock)<") & ~F.coalesce(F.trim("before").rlike("^//"), F.lit(False))
-    return _found(rows.where(field).withColumn("row", F.col("row") - 1), "C04", "Lock without a comment on what it protects", "Medium")
-
-
-def unsafe_blocks(files: DataFrame) -> DataFrame:
-    """Unsafe blocks without a SAFETY: comment within the three lines above, of which all between must be comments."""
+    rows = lines_of(flags).withColumns({"takes": takes, "event": F.when(takes, 1).when(frees, 0)})
+    rows = rows.withColumn("kind", F.when(takes, F.when(has_concept(F.lit("rust"), "async_locking", line), "async").otherwise("sync")))
     order = Window.partitionBy("path").orderBy("row")
-    rows = lines_of(governed(files))
-    rows = rows.withColumns({f"b{k}": F.trim(F.lag("line", k).over(order)) for k in (1, 2, 3)})
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    around = {f"b{k}": F.trim(F.lag("line", k).over(order)) for k in (1, 2, 3)}
+    lookup = F.when(F.col("looped") & has_concept(F.col("lang"), "lookup", line), F.col("row"))
+    held = {"held": F.last("event", ignorenulls=True).over(before), "held_kind": F.last("kind", ignorenulls=True).over(before)}
+    return rows.withColumns(around | held | {"first_lookup": F.min(lookup).over(Window.partitionBy("path"))})
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A condition on a line in its context; shift is added to the row (some rules count from 0)."""
+
+    law: str
+    condition: Column
+    message: Column
+    confidence: Column
+    shift: int = 0
+
+    @property
+    def finding(self) -> Column:
+        parts = (F.col("row") + self.shift).cast("int").alias("row"), F.lit(self.law).alias("law"), self.message.alias("message"), self.confidence.alias("confidence")
+        return F.when(self.condition, F.struct(*parts))
+
+
+def _rules(config: RuleConfig = RuleConfig()) -> dict[str, Rule]:
+    c, line, lang = F.col, F.col("line"), F.col("lang")
+    high, medium = F.lit("High"), F.lit("Medium")
+    name_of = lambda pattern: F.regexp_extract(line, pattern, 1)
+    function = name_of(r"\b(?:fn|def|function)\s+([A-Za-z_][A-Za-z0-9_]*)")
+    words = split_identifier(function)
+    allowed = any_of([F.contains(file_name(c("path")), F.lit(t)) for t in config.ignore_naming_on])
+    bound, literal = name_of(r"\b(?:let|const|static)\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)"), name_of(r'=\s*("(?:[^"\\]|\\.)*")')
     comment = lambda k: F.coalesce(F.startswith(f"b{k}", F.lit("//")), F.lit(False))
     says = lambda k: F.coalesce(F.contains(f"b{k}", F.lit("SAFETY:")), F.lit(False))
-    told = (comment(1) & says(1)) | (comment(1) & comment(2) & says(2)) | (comment(1) & comment(2) & comment(3) & says(3))
-    return _found(rows.where(F.col("line").rlike(r"\bunsafe\s*\{") & ~told), "LAW OF PARANOIA", "Unsafe block without a SAFETY comment")
-
+    told = comment(1) & (says(1) | (comment(2) & (says(2) | (comment(3) & says(3)))))
+    lock_field = line.rlike(r"^\s*(?:pub(?:\([a-z]+\))?\s+)?[a-z_][a-z0-9_]*\s*:\s*[A-Za-z0-9_:<]*(?:Mutex|RwLock)<")
+    public = name_of(r"\bpub\s+static\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)")
+    predicate, returns = name_of(r"\bfn\s+((?:is|has|can|should)_[A-Za-z0-9_]*)"), name_of(r"->\s*([^{;]+?)\s*(?:\{|;|$)")
+    sql = F.contains(line, F.lit("format!(")) & F.upper(line).rlike(r"SELECT |INSERT INTO|UPDATE |DELETE FROM") & line.rlike(r"\{\}|\{:")
+    long_name = F.concat(F.lit("Function '"), function, F.lit("' has "), F.size(words).cast("string"), F.lit(" words; try '"), F.array_join(F.slice(words, 1, 3), "_"), F.lit("'"))
+    return {
+        "naming": Rule("LAW OF COMPLEXITY", (function != "") & ~allowed & (F.size(words) > config.max_function_words), long_name, high),
+        "length_bounds": Rule("L02", length_boundary(lang, line), F.concat(F.lit("Inclusive bound: "), F.trim(line)), high),
+        "looped_lookups": Rule("P06", c("row") == c("first_lookup"), F.lit("Linear lookup in a loop"), medium),
+        "front_accesses": Rule("L03", ~c("guarded") & has_concept(lang, "front_access", line), F.lit("Element taken without a check for emptiness"), high),
+        "formatted_sql": Rule("X01", sql, F.lit("SQL built by formatting"), high),
+        "hardcoded_secrets": Rule("X03", bound.rlike(SECRET_NAME) & (F.octet_length(literal) >= 5) & ~literal.rlike(PLACEHOLDERS), F.concat(F.lit("Hardcoded secret in '"), bound, F.lit("'")), high),
+        "locks_across_await": Rule("C03", c("awaits") & (c("held") == 1) & F.contains(line, F.lit(".await")) & ~c("takes"), F.lit("Lock guard held across an await"), F.when(c("held_kind") == "sync", "High").otherwise("Medium")),
+        "undocumented_locks": Rule("C04", lock_field & ~comment(1), F.lit("Lock without a comment on what it protects"), medium, -1),
+        "unsafe_blocks": Rule("LAW OF PARANOIA", line.rlike(r"\bunsafe\s*\{") & ~told, F.lit("Unsafe block without a SAFETY comment"), high),
+        "mutable_statics": Rule("S01", line.rlike(r"\bstatic\s+mut\s"), F.lit("Mutable static"), medium, -1),
+        "public_statics": Rule("S02", (public != "") & ~public.rlike("^[A-Z_]+$"), F.concat(F.lit("Public static '"), public, F.lit("'")), medium, -1),
+        "predicates": Rule("M04", (predicate != "") & ~returns.isin("", "bool"), F.concat(F.lit("'"), predicate, F.lit("' returns "), returns), high),
+    }
+
+
+def check(files: DataFrame, *names: str, config: RuleConfig = RuleConfig()) -> DataFrame:
+    """Violations of the named rules; of all without names."""
+    rules = _rules(config)
+    findings = [rules[n].finding for n in names or rules]
+    rows = in_context(files)
+    if len(findings) == 1:
+        found = rows.select("path", findings[0].alias("v")).where("v IS NOT NULL")
+    else:
+        found = rows.select("path", F.explode(F.filter(F.array(*findings), lambda v: v.isNotNull())).alias("v"))
+    return found.select("path", "v.*")
 
-def global_state(files: DataFrame) -> DataFrame:
-    """S01 static mut, S02 public statics whose names aren't all capitals. Rows from 0."""
-    rows = lines_of(governed(files)).withColumn("row", F.col("row") - 1)
-    mutable = _found(rows.where(F.col("line").rlike(r"\bstatic\s+mut\s")), "S01", "Mutable static", "Medium")
-    name = F.regexp_extract("line", r"\bpub\s+static\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)", 1)
-    public = rows.withColumn("name", name).where((F.col("name") != "") & ~F.col("name").rlike("^[A-Z_]+$"))
-    return mutable.unionByName(_found(public, "S02", F.concat(F.lit("Public static '"), F.col("name"), F.lit("'")), "Medium"))
 
-
-def predicates(files: DataFrame) -> DataFrame:
-    """M04: names that promise a boolean and return something else."""
-    name = F.regexp_extract("line", r"\bfn\s+((?:is|has|can|should)_[A-Za-z0-9_]*)", 1)
-    returns = F.regexp_extract("line", r"->\s*([^{;]+?)\s*(?:\{|;|$)", 1)
-    rows = lines_of(governed(files)).withColumns({"name": name, "returns": returns}).where("name <> '' AND returns <> '' AND returns <> 'bool'")
-    return _found(rows, "M04", F.concat(F.lit("'"), F.col("name"), F.lit("' returns "), F.col("returns")))
-
-
-FAMILIES = (atomicity, naming, length_bounds, looped_lookups, front_accesses, formatted_sql, hardcoded_secrets, locks_across_await, undocumented_locks, unsafe_blocks, global_state, predicates)
+def atomicity(files: DataFrame, rules: RuleConfig = RuleConfig(), tokens: Column | None = None) -> DataFrame:
+    """Files with more tokens than their limit; systems code has a wider one. tokens: a column of counts, else the estimate."""
+    tokens = approx_tokens(F.col("content")) if tokens is None else tokens
+    limit = F.when(systems_score(F.col("content")) >= SYSTEMS_SCORE, SYSTEMS_LIMITS["max_file_tokens"]).otherwise(rules.max_file_tokens)
+    ignored = any_of([F.contains(F.col("path"), F.lit(p)) for p in rules.ignore_tokens_on])
+    counted = governed(files).select("path", tokens.alias("n"), limit.alias("limit"), ignored.alias("ignored")).where("n > limit AND NOT ignored")
+    message = F.concat(F.lit("File has "), F.col("n").cast("string"), F.lit(" tokens (limit "), F.col("limit").cast("string"), F.lit(")"))
+    return counted.select("path", F.lit(1).alias("row"), F.lit("LAW OF ATOMICITY").alias("law"), message.alias("message"), F.lit("High").alias("confidence"))
 
 
-def scan(files: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, [family(files) for family in FAMILIES])
+def scan(files: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+    return atomicity(files, config).unionByName(check(files, config=config))

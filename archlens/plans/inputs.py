@@ -16,12 +16,12 @@ _NAME = "replace(p_name, ' ', '_')"
 _ID = "CAST(p_partkey AS STRING)"
 _CODE = [
     (".rs", ["'use crate::config::{Rules, loader};'", f"'use super::' || {_NAME} || ';'", "'mod ' || lower(p_type) || ';'", f"'pub fn get_' || {_NAME} || '(i: usize) -> u32 {{'", "'    if i <= items.len() {{ items[0] }}'", "'    first.first().unwrap()'", "'}}'"]),
-    (".py", ["'from .' || lower(p_type) || ' import helper'", "'import os'", "'for x in items:'", "'    if x in other:'", "'        total = total + 1'", "'while idx <= len(items) and True:'", "'    pass'"]),
-    (".ts", [f"'import a from \"./' || {_NAME} || '_' || CAST(p_partkey - 1 AS STRING) || '\"'", "'const b = require(\"node:fs\")'", "'for (const x of xs) {{'", "'  if (ys.includes(x)) {{ n += 1 }}'", "'  if (i <= xs.length && true) {{ }}'", "'}}'"]),
+    (".py", ["'from .' || lower(p_type) || ' import helper'", "'import os'", "'def compute_the_total_of_all_the_items_in_one_big_list(x):'", "'for x in items:'", "'    if x in other:'", "'        total = total + 1'", "'while idx <= len(items) and True:'", "'    pass'"]),
+    (".ts", [f"'import a from \"./' || {_NAME} || '_' || CAST(p_partkey AS STRING) || '\"'", "'const b = require(\"node:fs\")'", "'for (const x of xs) {{'", "'  if (ys.includes(x)) {{ n += 1 }}'", "'  if (i <= xs.length && true) {{ }}'", "'}}'"]),
     (".rs", [f"'let api_key = \"sk-' || {_ID} || '\";'", f"'let q = format!(\"SELECT * FROM t WHERE id = {{}}\", ' || {_NAME} || ');'", "'// SAFETY: checked'", "'unsafe {{ read(p) }}'", "'let n = 1;'", "'unsafe {{ transmute(p) }}'", f"'pub static counter_{_ID} : u32 = 0;'".replace(_ID, f"' || {_ID} || '")]),
     (".rs", ["'async fn run() {{'", "'    let g = state.lock().unwrap();'", "'    fetch(1).await;'", "'    drop(g);'", "'    fetch(2).await;'", "'}}'", "'    cache: Mutex<Vec<u8>>,'", "'    // guards the map'", "'    map: RwLock<Map>,'", "'static mut N: u32 = 0;'", "'fn is_ready(x: u8) -> u32 {{'"]),
     (".go", ["'package main'", "'import ('", "'  \"net/http\"'", "'  \"os/exec\"'", "')'", "'func main() {{ for i := range xs {{ }} }}'"]),
-    (".min.js", ["'const x = 1;'"]),
+    (".js", ["'const y = xs.shift();'"]),
     (".toml", ["'[rules]'", "'max = ' || " + _ID]),
 ]
 

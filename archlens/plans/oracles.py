@@ -117,7 +117,7 @@ SCOPES, FIELDS, METHODS = source("sc", I.SCOPES), source("fi", I.FIELDS), source
 COMPONENTS = f"""{METHODS}, links AS (SELECT DISTINCT a.path, a.scope, a.name AS x, b.name AS y FROM me a JOIN me b ON a.path = b.path AND a.scope = b.scope AND a.name <> b.name
   AND (list_has_any(a.field_access, b.field_access) OR list_contains(a.internal_calls, b.name) OR list_contains(b.internal_calls, a.name))),
 reach(path, scope, x, y) AS (SELECT path, scope, name, name FROM me UNION SELECT r.path, r.scope, r.x, k.y FROM reach r JOIN links k ON r.path = k.path AND r.scope = k.scope AND r.y = k.x),
-lc AS (SELECT path, scope, count(DISTINCT low) AS lcom4, count(*) AS n_methods FROM (SELECT me.path, me.scope, me.name, low FROM me JOIN (SELECT path, scope, x, min(y) AS low FROM reach GROUP BY ALL) z ON me.path = z.path AND me.scope = z.scope AND me.name = z.x) GROUP BY path, scope)"""
+lc AS (SELECT path, scope, count(DISTINCT low) AS lcom4, count(*) AS n_methods FROM (SELECT path, scope, x, min(y) AS low FROM reach GROUP BY ALL) GROUP BY path, scope)"""
 CALLS = "cb AS (SELECT path, scope, count(DISTINCT call) AS cbo FROM (SELECT path, scope, unnest(external_calls) AS call FROM me) GROUP BY path, scope), sf AS (SELECT path, scope, max(len(list_distinct(external_calls))) AS sfout FROM me GROUP BY path, scope)"
 HIDING = "ah AS (SELECT sc.path, sc.scope, coalesce(n, 0) AS n_fields, coalesce(p, 0) AS n_private, CASE WHEN coalesce(n, 0) = 0 THEN 100.0 ELSE p / n * 100 END AS ahf FROM sc LEFT JOIN (SELECT path, scope, count(*) AS n, count(*) FILTER (NOT is_public) AS p FROM fi GROUP BY path, scope) c ON sc.path = c.path AND sc.scope = c.scope)"
 _IMPORT = {

@@ -93,16 +93,17 @@ def concepts(spark, sf):
     return _files(spark, sf).select("path", *[X.has_concept(lang, n, text).alias(n) for n in names])
 
 
-def _rule(name, family):
+def _rule(name, *rules_of):
     def run(spark, sf):
-        return family(_files(spark, sf))
+        return rules.check(_files(spark, sf), *rules_of)
 
-    run.__name__ = name
+    run.__name__ = f"rule_{name}"
     return query(run)
 
 
-for _family in (rules.naming, rules.length_bounds, rules.looped_lookups, rules.front_accesses, rules.formatted_sql, rules.hardcoded_secrets, rules.locks_across_await, rules.undocumented_locks, rules.unsafe_blocks, rules.global_state, rules.predicates):
-    _rule(f"rule_{_family.__name__}", _family)
+for _name in ("naming", "length_bounds", "looped_lookups", "front_accesses", "formatted_sql", "hardcoded_secrets", "locks_across_await", "undocumented_locks", "unsafe_blocks", "predicates"):
+    _rule(_name, _name)
+_rule("global_state", "mutable_statics", "public_statics")
 
 
 @query
@@ -145,12 +146,12 @@ def numbered_violations(spark, sf):
 @query
 def violation_snippets(spark, sf):
     files = _files(spark, sf)
-    return report.snippets(rules.looped_lookups(files), rules.lines_of(files)).select("path", "row", "before", "line", "after")
+    return report.snippets(rules.check(files, "looped_lookups"), rules.lines_of(files)).select("path", "row", "before", "line", "after")
 
 
 @query
 def one_line_findings(spark, sf):
-    return report.one_line(rules.hardcoded_secrets(_files(spark, sf)))
+    return report.one_line(rules.check(_files(spark, sf), "hardcoded_secrets"))
 
 
 @query
