@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.common import checkpointed, dealt_by, read_table, usable_vector, vectors_of, whole_groups
+from archlens.llm.common import checkpointed, dealt_by, read_table, usable_vector, vector_type, vectors_of, whole_groups
 
 NEIGHBOURS, EVERY = 10, 100
 SAMPLE, MOST_LISTS, LIST = 20_000, 2_048, 128
@@ -141,7 +141,7 @@ def _posted(classes: DataFrame, c: Centroids, choose, tag: int) -> DataFrame:
                 lists = pa.array(np.concatenate(found).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([lists, pa.array(np.full(len(lists), tag, np.int32)), *(part.column(n).take(at) for n in ("rep", "vector"))], ["list", "query", "rep", "vector"])
 
-    return classes.select("rep", "vector").mapInArrow(run, "list int, query int, rep long, vector array<double>")
+    return classes.select("rep", "vector").mapInArrow(run, f"list int, query int, rep long, vector {vector_type(classes, 'vector')}")
 
 
 def _search(rows: DataFrame, keep: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["list", "block"], 4096):
             tags, reps = table.column("query").to_numpy(), table.column("rep").to_numpy()
-            x = vectors_of(table.column("vector"))
+            x = vectors_of(table.column("vector")).astype(np.float64)
             for s, e in zip(starts, np.r_[starts[1:], len(tags)]):
                 q, v = s + np.flatnonzero(tags[s:e] == 1), s + np.flatnonzero(tags[s:e] == 0)
                 if not len(q) or not len(v):
@@ -171,7 +171,7 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
 
 def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> DataFrame:
     """vectors(vec_id, embedding) -> query_id, rank, vec_id, score for ids that every divides."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector_type(vectors, "embedding")).alias("vector"))
     rows = rows.where(usable_vector("vector") & F.col("vec_id").isNotNull()).withColumn("size", F.size("vector"))
     usual = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     if usual is None:

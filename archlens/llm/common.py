@@ -119,6 +119,11 @@ def vectors_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+def vector_type(df: DataFrame, name: str) -> str:
+    """Floats stay floats where they are shuffled: half the bytes, and their doubles are exact."""
+    return "array<float>" if df.schema[name].dataType.simpleString() == "array<float>" else "array<double>"
+
+
 def usable_vector(name: str) -> Column:
     """Neither null nor empty nor zero, and all components finite. Floats of any size count."""
     odd = F.exists(name, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
