@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from archlens.llm.common import read_table, text_or_empty
 
 #: Characters of text in a leaf of the tree; bytes of a piece in a leaf of its own tree; pieces kept encoded.
-TEXT_LEAF, PIECE_LEAF, CACHE = 4096, 64, 400_000
+TEXT_LEAF, PIECE_LEAF, CACHE = 4096, 64, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -31,7 +31,7 @@ from archlens.llm.common import checkpointed, connected_components, dealt_by, re
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 10, 0.999
 #: Documents of a block of a cluster; columns of a block's incidence matrix at a time; distinct words remembered.
-BLOCK, COLUMNS, CACHE = 256, 16_384, 500_000
+BLOCK, COLUMNS, CACHE = 256, 8_192, 100_000
 SEED = 97
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
-LENGTH, HOT, PIECE = 400, 2_000, 1 << 19
+LENGTH, HOT, PIECE = 400, 800, 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -183,17 +183,17 @@ def _induced(t: np.ndarray, small: np.ndarray, lms: np.ndarray, values: int) ->
             spread(wave, False, larger, c)
         if firsts[c] < firsts[c + 1]:
             spread(sorted_lms[firsts[c] : firsts[c + 1]], False, larger, c)
-    smaller[int(t[-1])].append(np.array([len(t) - 1]))
+    smaller[int(t[-1])].append(np.array([len(t) - 1], np.int32))
     out = []
     for c in range(values - 1, -1, -1):
         k = 0
         while k < len(smaller[c]):
             wave, k = (smaller[c][k], k + 1) if len(smaller[c]) == k + 1 else (np.concatenate(smaller[c][k:]), len(smaller[c]))
             spread(wave, True, smaller, c)
-        high = np.concatenate(larger[c]) if larger[c] else np.zeros(0, np.int64)
+        high = np.concatenate(larger[c]) if larger[c] else np.zeros(0, np.int32)
         if len(high):
             spread(high[::-1], True, smaller, c)
-        out.append(np.concatenate(smaller[c]) if smaller[c] else np.zeros(0, np.int64))
+        out.append(np.concatenate(smaller[c]) if smaller[c] else np.zeros(0, np.int32))
         out.append(high[::-1])
     return np.concatenate(out)[::-1]
 
@@ -215,18 +215,18 @@ def _order_of_names(names: np.ndarray) -> np.ndarray:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Of a string of small positive integers, without the empty suffix."""
-    t = np.r_[text, 0].astype(np.int64)
+    t = np.r_[text, 0].astype(np.int32)
     if len(t) <= 2:
-        return np.zeros(len(t) - 1, np.int64)
+        return np.zeros(len(t) - 1, np.int32)
     small = _classified(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     values = int(t.max()) + 1
     rough = _induced(t, small, lms, values)
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
     ordered = rough[is_lms[rough]]
-    number = np.cumsum(is_lms) - 1
-    ends = np.r_[lms[1:], len(t) - 1]
+    number = np.cumsum(is_lms, dtype=np.int32) - 1
+    ends = np.r_[lms[1:], len(t) - 1].astype(np.int32)
     lengths = ends - lms
     a, b = ordered[:-1], ordered[1:]
     sizes = lengths[number[a]]
@@ -249,7 +249,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
     """For each place of the text, the length its suffix shares with the one before it in the array (0 for the first)."""
     n = len(text)
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[array[1:]] = array[:-1]
     padded = np.r_[text.astype(np.uint64), np.zeros(16, np.uint64)]
     words = np.zeros(n + 8, np.uint64)
@@ -277,7 +277,7 @@ def common_prefixes(text: np.ndarray, array: np.ndarray) -> np.ndarray:
 
 def repeated_windows(parts: list[bytes], length: int) -> np.ndarray:
     """Which places of the parts, laid end to end with one byte between, start a string of that length that starts elsewhere too (it may reach beyond its part)."""
-    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8).astype(np.int64) + 1  # no byte of UTF-8 is 0xff
+    text = np.frombuffer(b"\xff".join(parts) + b"\xff", np.uint8).astype(np.int32) + 1  # no byte of UTF-8 is 0xff
     array = suffix_array(text)
     long = common_prefixes(text, array)[array] >= length
     out = np.zeros(len(text), bool)
@@ -297,7 +297,7 @@ def _cut_out(rows: DataFrame) -> DataFrame:
     """rows(key, text, parts array<struct<start,length,hash,single>>) -> the parts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             out: list[list] = [[], [], [], [], []]
             for key, text, parts in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("parts")):
                 data = text.as_py().encode()
@@ -314,7 +314,7 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
     """rows(hash, key, start, single, data) -> marks of those that stand once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_groups(batches, ["hash"], 1536):
+        for table, _ in whole_groups(batches, ["hash"], 768):
             parts = table.column("data").to_pylist()
             found, at = repeated_windows(parts, length), 0
             keys, lows, highs = [], [], []
@@ -394,7 +394,7 @@ def _apply(docs: DataFrame, length: int, tell, schema: str, names: list[str]) ->
     texts = docs.select(text_or_empty().alias("text")).select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= length).dropDuplicates(["key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             rows = [tell(t.as_py().encode(), merged(s.as_py())) for t, s in zip(batch.column("text"), batch.column("spans"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c) for c in zip(*rows))] if rows else [batch.column("key"), *[pa.array([])] * len(names)], ["key", *names])
 
