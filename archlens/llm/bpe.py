@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from archlens.llm.common import read_table, text_or_empty
+from archlens.llm.common import bounded_batches, read_table, text_or_empty
 
 #: Characters of text in a leaf of the tree; bytes of a piece in a leaf of its own tree; pieces kept encoded.
 TEXT_LEAF, PIECE_LEAF, CACHE = 4096, 64, 200_000
@@ -191,7 +191,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return df.select("doc_id", text_or_empty().alias("text")).transform(bounded_batches).mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def round_trip_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -212,7 +212,7 @@ def round_trip_digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
     kind = df.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return df.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return df.select("doc_id", text_or_empty().alias("text")).transform(bounded_batches).mapInArrow(run, schema)
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import read_table
+from archlens.llm.common import bounded_batches, read_table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -255,7 +255,7 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFra
             texts = pa.array([main_text(h.as_py()) for h in batch.column(html)], pa.string())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], texts], [*others, text])
 
-    return pages.select(*others, F.col(html).cast("string").alias(html)).mapInArrow(run, schema)
+    return pages.select(*others, F.col(html).cast("string").alias(html)).transform(bounded_batches).mapInArrow(run, schema)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import checkpointed, connected_components, dealt_by, read_table, text_key, text_or_empty, whole_groups
+from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 10, 0.999
@@ -110,7 +110,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], ["doc_id", "key", "prefixes"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key binary, prefixes array<long>")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, key binary, prefixes array<long>")
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:

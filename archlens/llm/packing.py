@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlens.llm.bpe import load_ranks
-from archlens.llm.common import checkpointed, read_table, text_or_empty
+from archlens.llm.common import bounded_batches, checkpointed, read_table, text_or_empty
 
 CAPACITY, END_ID = 1024, 2
 #: Groups in which pieces of one length are numbered side by side; capacity x SALTS offsets are broadcast at most.
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", text_or_empty().alias("text")).transform(bounded_batches).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
+from archlens.llm.common import bounded_batches, checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
 LENGTH, HOT, PIECE = 400, 800, 1 << 19
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -136,7 +136,7 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
         if parts:
             yield made()
 
-    return docs.mapInArrow(run, SEGMENT)
+    return bounded_batches(docs).mapInArrow(run, SEGMENT)
 
 
 # The suffix array

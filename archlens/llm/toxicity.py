@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import read_table, text_or_empty
+from archlens.llm.common import bounded_batches, read_table, text_or_empty
 
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 WINDOW, STEP, GRAM, LONG_GRAM = 48, 32, 6, 24
@@ -231,7 +231,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
             yield pa.RecordBatch.from_arrays([*[c for n, c in zip(batch.schema.names, batch.columns) if n != "score"], pa.array(scores, pa.float64())], [*[n for n in batch.schema.names if n != "score"], "score"])
 
     order = [c for c in docs.columns if c != "score"]
-    return docs.select(order).mapInArrow(run, schema if "score" not in docs.columns else docs.select(order).withColumn("score", F.lit(0.0)).schema)
+    return docs.select(order).transform(bounded_batches).mapInArrow(run, schema if "score" not in docs.columns else docs.select(order).withColumn("score", F.lit(0.0)).schema)
 
 
 def held_out(doc_id: Column) -> Column:
