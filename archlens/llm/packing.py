@@ -8,7 +8,7 @@ The plan (ranges of equal sequences, at most a few for each length) is broadcast
 in salted groups and take their places by that number.
 
 Defined results: null text is empty, and an empty document is its end id alone; repeated rows and null ids are pieces of
-their own; an empty table packs into nothing; texts of any length are tokenised whole.
+their own; an empty table packs into nothing; texts of any length are tokenised whole; <|endoftext|> in a text is its added token.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from archlens.llm.bpe import load_ranks
 from archlens.llm.common import bounded_batches, checkpointed, read_table, text_or_empty
 
 CAPACITY, END_ID = 1024, 2
+#: The vocabulary's added token, which is one id wherever a text holds it.
+ADDED_TOKENS = {"<|endoftext|>": 50256}
 #: Groups in which pieces of one length are numbered side by side; capacity x SALTS offsets are broadcast at most.
 SALTS = 128
 _encoders: dict[tuple[str, str], object] = {}
@@ -36,10 +38,15 @@ def _encoder(path: str, pattern: str):
     if (path, pattern) not in _encoders:
         import tiktoken
 
-        _encoders[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        _encoders[path, pattern] = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens=ADDED_TOKENS)
     return _encoders[path, pattern]
 
 
+def encode(path: str, pattern: str, text: str) -> list[int]:
+    """Ids of a text, added tokens included; the text between them is encoded by itself."""
+    return _encoder(path, pattern).encode(text, allowed_special="all", disallowed_special=())
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of each piece of n ids; only the first may be shorter than the capacity."""
     first = n % capacity or capacity
@@ -50,11 +57,10 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
     """docs(doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(path, pattern).encode_ordinary
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                ids = np.array([*encode(text.as_py()), end_id], "<u4")
+                ids = np.array([*encode(path, pattern, text.as_py()), end_id], "<u4")
                 for k, (s, n) in enumerate(cut(len(ids), capacity)):
                     rows.append(row)
                     piece.append(k)

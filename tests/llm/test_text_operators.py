@@ -57,6 +57,18 @@ def test_packing_tokens_equal_the_other_library(spark):
     assert [encode(t) for t in texts] == [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_packing_tokens_hold_the_added_token(documents, spark):
+    from tokenizers import Tokenizer
+
+    contract, paths = Tokenizer.from_file(P.path("byte_bpe_50k.json")), (P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"x{end}{end}\n\n", f"  {end}  \n y", f"<|endoftext |>{end[:-1]}", f"'s{end}'s", end * 3000, f"日本{end}é"] + TEXTS
+    assert [packing.encode(*paths, t) for t in texts] == [e.ids for e in contract.encode_batch(texts, add_special_tokens=False)]
+    assert packing.encode(*paths, texts[0]) == [64, 220, 50256, 275]
+    row = packing.op10_pack(spark, documents([(1, texts[0])])).first()
+    assert (row.start, row.length, row.ids_crc32) == (0, 5, zlib.crc32(np.array([64, 220, 50256, 275, 2], "<u4").tobytes()))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_keeps_every_piece_and_the_capacity(histogram):
