@@ -2,10 +2,11 @@
 
 Directions come from a structured random product code: a random rotation, then two blocks, each with its own random
 unit codewords; a filter is a pair of codewords. A vector belongs to all filters whose inner product with it exceeds
-the cap's threshold; a vector's own cap is widened or narrowed so that it holds LEAST_FILTERS to MOST_FILTERS of the
-nearest (near vectors have nearly the same nearest ones, so this loses no pairs that a fixed cap would find for others).
-The sums are list-decoded block by block, never over all pairs of codewords. Vectors that share a filter are compared by exact cosine in double precision. The number of filters grows
-with the number of vectors, so that a filter holds about BUCKET of them.
+the cap's threshold, which is taken from the code's own sums so that a vector has a given number of filters on average;
+a vector's own cap is widened where it would hold less than half of that. That number and the codewords grow with the
+number of vectors until, of sampled pairs at the very cosine, a share of RECALL meets in some filter; pairs nearer than
+that meet more often. The sums are list-decoded block by block, never over all pairs of codewords. Vectors that share a
+filter are compared by exact cosine in double precision. A filter holds about BUCKET vectors, whatever their number.
 
 Equal vectors are one class, compared once. A filter with many vectors is dealt out in blocks, and every pair of its
 blocks is compared in a task of its own. A link is told by the first filter that its vectors share, so once.
@@ -20,7 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,42 +31,95 @@ from pyspark.sql import functions as F
 from archlens.llm.common import checkpointed, connected_components, dealt_by, read_table, usable_vector, vector_type, vectors_of, whole_groups
 
 COSINE = 0.95
-#: Filters of a vector as expected, at least and at most; vectors of a filter as expected; the largest block of a filter.
-FILTERS, LEAST_FILTERS, MOST_FILTERS, BUCKET, BLOCK = 24, 12, 64, 8, 500
+#: Vectors of a filter as expected; the largest block of a filter; filters of a vector as expected, at first, at most taken, and how they grow.
+BUCKET, BLOCK, FILTERS, MOST_FILTERS, GROWTH = 64, 500, 24, 64, 1.5
+#: Least share of sampled pairs at the cosine that meet in a filter, and how many are sampled: of 2,000 pairs this shows over 0.99.
+RECALL, PAIRS = 0.995, 2000
 SEED = 20_240
 
 
+class Cap(NamedTuple):
+    """For the vectors of one dimension: codewords of each block, the threshold, least filters of a vector."""
+
+    words: int
+    threshold: float
+    least: int
+
+
 @lru_cache(maxsize=4)
 def _code(dimension: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation and both blocks' codewords, of length 1 / sqrt(2) each."""
+    """Rotation and both blocks' codewords, of length 1 / sqrt(2) each; a block of one dimension has two at most."""
     rng = np.random.default_rng([SEED, dimension, words])
     rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
     half = max(1, dimension // 2)
     blocks = [rng.standard_normal((words, size)) for size in (half, max(1, dimension - half))]
     first, second = (b / np.linalg.norm(b, axis=1, keepdims=True) / math.sqrt(2) for b in blocks)
-    return rotation, first, second
-
+    return rotation, *(np.unique(np.sign(b), axis=0) / math.sqrt(2) if b.shape[1] == 1 else b for b in (first, second))
 
-def codewords(vectors: int) -> int:
-    """Of each block, for so many vectors."""
-    return max(4, math.ceil(math.sqrt(FILTERS * vectors / BUCKET)))
 
-
-def list_decode(x: np.ndarray, words: int) -> list[np.ndarray]:
-    """For each unit vector the sorted numbers of its filters."""
-    d = x.shape[1]
-    rotation, first, second = _code(d, words)
+def _sums(x: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products with either block's codewords."""
+    rotation, first, second = _code(x.shape[1], words)
     y = x @ rotation
     half = first.shape[1]
-    a = y[:, :half] @ first.T
-    b = (y[:, half:] if d > 1 else np.zeros((len(y), 1))) @ second.T
-    least = NormalDist().inv_cdf(1 - min(0.5, FILTERS / words**2)) / math.sqrt(d)
+    return y[:, :half] @ first.T, (y[:, half:] if x.shape[1] > 1 else np.zeros((len(y), 1))) @ second.T
+
+
+def _threshold(x: np.ndarray, words: int, filters: int) -> float:
+    """What the sums of so many filters a vector exceed, on average over x."""
+    a, b = _sums(x, words)
+    b.sort(1)
+    low, high = -1.0, 1.0
+    for _ in range(24):
+        middle = (low + high) / 2
+        count = sum(b.shape[1] * a.shape[1] - int(np.searchsorted(v, middle - u).sum()) for u, v in zip(a, b)) / len(x)
+        low, high = (middle, high) if count > filters else (low, middle)
+    return high
+
+
+def pairs_at(cosine: float, dimension: int, count: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Random unit vectors, and for each one at that cosine to it."""
+    rng = np.random.default_rng([seed, dimension])
+    x, z = rng.standard_normal((2, count, dimension))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
+    near = cosine * x + math.sqrt(1 - cosine * cosine) * z
+    return x, near / np.linalg.norm(near, axis=1, keepdims=True)
+
+
+def recall(cap: Cap, x: np.ndarray, y: np.ndarray) -> float:
+    """Share of the pairs that meet in a filter."""
+    met = 0
+    for k in range(0, len(x), 256):
+        met += sum(len(np.intersect1d(p, q, True)) > 0 for p, q in zip(list_decode(x[k : k + 256], cap), list_decode(y[k : k + 256], cap)))
+    return met / len(x)
+
+
+@lru_cache(maxsize=64)
+def cap_for(dimension: int, vectors: int, cosine: float) -> Cap:
+    """The first cap that meets the recall: filters of a vector are added, and codewords with them, until it holds."""
+    if vectors <= BUCKET:
+        return Cap(1, -2.0, 1)  # all meet in every filter
+    x, y = pairs_at(cosine, dimension, PAIRS)
+    filters = FILTERS
+    while True:
+        words = max(4, math.ceil(math.sqrt(filters * vectors / BUCKET)))
+        cap = Cap(words, _threshold(x[:128], words, filters), filters // 2)
+        if recall(cap, x, y) >= RECALL:
+            return cap
+        filters = math.ceil(filters * GROWTH)
+
+
+def list_decode(x: np.ndarray, cap: Cap) -> list[np.ndarray]:
+    """For each unit vector the sorted numbers of its filters."""
+    a, b = _sums(x, cap.words)
+    second = b.shape[1]
     order_a, order_b = np.argsort(-a, 1, "stable"), np.argsort(-b, 1, "stable")
     a, b = np.take_along_axis(a, order_a, 1), np.take_along_axis(b, order_b, 1)
-    few = min(LEAST_FILTERS, words)
-    corner = (a[:, :few, None] + b[:, None, :few]).reshape(len(x), -1)  # the nearest few filters lie among these
-    nth = min(LEAST_FILTERS, corner.shape[1])
-    least = np.minimum(least, -np.partition(-corner, nth - 1, 1)[:, nth - 1])
+    corner = (a[:, : cap.least, None] + b[:, None, : cap.least]).reshape(len(x), -1)  # the nearest few filters lie among these
+    nth = min(cap.least, corner.shape[1])
+    least = np.minimum(cap.threshold, -np.partition(-corner, nth - 1, 1)[:, nth - 1]) - 1e-12
     out = []
     for i in range(len(x)):
         reach = np.searchsorted(-b[i], a[i] - least[i], "right")  # codewords of the second block that go with each of the first
@@ -76,11 +130,11 @@ def list_decode(x: np.ndarray, words: int) -> list[np.ndarray]:
         if len(first_at) > MOST_FILTERS:
             best = np.argpartition(-(a[i, first_at] + b[i, second_at]), MOST_FILTERS - 1)[:MOST_FILTERS]
             first_at, second_at = first_at[best], second_at[best]
-        out.append(np.sort(order_a[i, first_at] * words + order_b[i, second_at]))
+        out.append(np.sort(order_a[i, first_at] * second + order_b[i, second_at]))
     return out
 
 
-def filter_rows(classes: DataFrame, words: int, names_only: bool = False) -> DataFrame:
+def filter_rows(classes: DataFrame, caps: dict[int, Cap], names_only: bool = False) -> DataFrame:
     """classes(rep, vector) -> a row for each filter: filter, rep, filters, vector; or filter alone, for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +145,7 @@ def filter_rows(classes: DataFrame, words: int, names_only: bool = False) -> Dat
                 for size in np.unique(sizes):
                     of = part.take(pa.array(np.flatnonzero(sizes == size)))
                     x = vectors_of(of.column("vector")).astype(np.float64)
-                    found = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), words)
+                    found = list_decode(x / np.linalg.norm(x, axis=1, keepdims=True), caps[int(size)])
                     if names_only:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["filter"])
                         continue
@@ -160,8 +214,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector_type(vectors, "embedding")).alias("vector"))
     usable = rows.where(usable_vector("vector") & F.col("vec_id").isNotNull())
     classes = checkpointed(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    words = codewords(classes.count())
-    found = checkpointed(links(in_blocks(filter_rows(classes, words), filter_rows(classes, words, names_only=True)), cosine))
+    sizes = classes.groupBy(F.size("vector").alias("size")).count().collect()  # a row for each dimension
+    caps = {r["size"]: cap_for(r["size"], r["count"], cosine) for r in sizes}
+    found = checkpointed(links(in_blocks(filter_rows(classes, caps), filter_rows(classes, caps, names_only=True)), cosine))
     both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     sizes = classes.select(F.col("rep").alias("dst"), "size")
     linked = both.join(sizes, "dst").groupBy("src").agg(F.sum("size").alias("linked"))

@@ -102,6 +102,13 @@ def test_op8(spark, tmp_path, monkeypatch, block):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == {i: (degree[i], low[i], low[i] == i) for i, _, _ in rows}
 
 
+@pytest.mark.parametrize("dimension, vectors", [(16, 1_000_000), (64, 1_000_000), (64, 51_282), (16, 70), (3, 5000), (2, 5000), (1, 100)])
+def test_op8_recall_holds_as_vectors_grow(dimension, vectors):
+    cap = caps.cap_for(dimension, vectors, 0.95)
+    x, y = caps.pairs_at(0.95, dimension, 1500, seed=77)  # not the pairs that chose the cap
+    assert caps.recall(cap, x, y) >= 0.99
+
+
 def test_op8_empty_and_repeated(spark, tmp_path):
     assert caps.op8_embedding_near_duplicates(spark, table(spark, tmp_path, [])).count() == 0
     got = caps.op8_embedding_near_duplicates(spark, table(spark, tmp_path, [(7, [1.0, 0.0], "a"), (7, [1.0, 0.0], "b"), (8, [2.0, 0.0], "c"), (9, [1.0], "d")])).collect()
