@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from archlens.llm.common import checkpointed, connected_components, dealt_by, read_table, usable_vector, vector_type, vectors_of, whole_groups
 
 COSINE = 0.95
-#: Vectors of a filter as expected; the largest block of a filter; filters of a vector as expected, at first, at most taken, and how they grow.
-BUCKET, BLOCK, FILTERS, MOST_FILTERS, GROWTH = 64, 500, 24, 64, 1.5
+#: Vectors of a filter as expected; the largest block of a filter; filters of a vector as expected, at first, and how they grow; numbers of filters in a batch, and filters compared at once.
+BUCKET, BLOCK, FILTERS, GROWTH, NUMBERS, AT_ONCE = 64, 500, 24, 1.5, 500_000, 8192
 #: Least share of sampled pairs at the cosine that meet in a filter, and how many are sampled: of 2,000 pairs this shows over 0.99.
 RECALL, PAIRS = 0.995, 2000
 SEED = 20_240
@@ -127,15 +128,12 @@ def list_decode(x: np.ndarray, cap: Cap) -> list[np.ndarray]:
         reach = reach[:rows]
         first_at = np.repeat(np.arange(rows), reach)
         second_at = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-        if len(first_at) > MOST_FILTERS:
-            best = np.argpartition(-(a[i, first_at] + b[i, second_at]), MOST_FILTERS - 1)[:MOST_FILTERS]
-            first_at, second_at = first_at[best], second_at[best]
         out.append(np.sort(order_a[i, first_at] * second + order_b[i, second_at]))
     return out
 
 
 def filter_rows(classes: DataFrame, caps: dict[int, Cap], names_only: bool = False) -> DataFrame:
-    """classes(rep, vector) -> a row for each filter: filter, rep, filters, vector; or filter alone, for counting."""
+    """classes(rep, vector) -> a row for each filter: filter, rep, filters (those below it), vector; or filter alone, for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,13 +147,14 @@ def filter_rows(classes: DataFrame, caps: dict[int, Cap], names_only: bool = Fal
                     if names_only:
                         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["filter"])
                         continue
-                    counts = np.array([len(f) for f in found])
-                    rows = of.take(pa.array(np.repeat(np.arange(len(found)), counts)))
-                    lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), np.concatenate(found).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(found).astype(np.int64)), rows.column("rep"), lists.take(pa.array(np.repeat(np.arange(len(found)), counts))), rows.column("vector")],
-                        ["filter", "rep", "filters", "vector"],
-                    )
+                    ends = np.cumsum([len(f) ** 2 // 2 for f in found]) // NUMBERS
+                    for low, high in pairwise(np.r_[0, np.flatnonzero(np.diff(ends)) + 1, len(found)].tolist()):
+                        names = found[low:high]
+                        rows = of.take(pa.array(np.repeat(np.arange(low, high), [len(f) for f in names])))
+                        below = np.concatenate([f[np.tril_indices(len(f), -1)[1]] for f in names])
+                        offsets = np.r_[0, np.cumsum(np.concatenate([np.arange(len(f)) for f in names]))]
+                        lists = pa.ListArray.from_arrays(offsets.astype(np.int32), below.astype(np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int64)), rows.column("rep"), lists, rows.column("vector")], ["filter", "rep", "filters", "vector"])
 
     return classes.select("rep", "vector").mapInArrow(run, "filter long" if names_only else f"filter long, rep long, filters array<long>, vector {vector_type(classes, 'vector')}")
 
@@ -173,26 +172,30 @@ def in_blocks(rows: DataFrame, names: DataFrame) -> DataFrame:
 def links(rows: DataFrame, cosine: float) -> DataFrame:
     """a, b for pairs of classes that share a filter and reach the cosine."""
 
-    def within(f: int, i: int, j: int, side: np.ndarray, reps: np.ndarray, filters: pa.ListArray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def within(i: int, j: int, side: np.ndarray, reps: np.ndarray, filters: pa.ListArray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         norms = np.sqrt((x * x).sum(1))
         near = (x @ x.T) / norms[:, None] / norms[None, :] >= cosine
         near &= (side[:, None] < side[None, :]) if i < j else np.triu(np.ones_like(near), 1)
         a, b = np.nonzero(near)
         if len(a):
             involved, of = np.unique(np.r_[a, b], return_inverse=True)
-            before = [(v := filters[at[k]].values.to_numpy())[v < f] for k in involved]
+            before = [filters[at[k]].values.to_numpy() for k in involved]
             names, name = np.unique(np.concatenate(before), return_inverse=True)
             if len(names):
-                holds = np.zeros((len(involved), len(names)), np.float32)
-                holds[np.repeat(np.arange(len(involved)), [len(x) for x in before]), name] = 1
-                first = (holds @ holds.T)[of[: len(a)], of[len(a) :]] == 0
+                of_row, shared = np.repeat(np.arange(len(involved)), [len(x) for x in before]), np.zeros((len(involved), len(involved)), np.float32)
+                for k in range(0, len(names), AT_ONCE):
+                    now = (name >= k) & (name < k + AT_ONCE)
+                    holds = np.zeros((len(involved), min(AT_ONCE, len(names) - k)), np.float32)
+                    holds[of_row[now], name[now] - k] = 1
+                    shared += holds @ holds.T
+                first = shared[of[: len(a)], of[len(a) :]] == 0
                 a, b = a[first], b[first]
         return reps[a], reps[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["filter", "i", "j"], 4096):
             ends = np.r_[starts[1:], table.num_rows]
-            f, i, j, side, reps = (table.column(c).to_numpy() for c in ("filter", "i", "j", "side", "rep"))
+            i, j, side, reps = (table.column(c).to_numpy() for c in ("i", "j", "side", "rep"))
             filters, vectors = table.column("filters").combine_chunks(), table.column("vector").combine_chunks()
             found = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
@@ -201,7 +204,7 @@ def links(rows: DataFrame, cosine: float) -> DataFrame:
                     at = s + np.flatnonzero(sizes == size)
                     if len(at) > 1:
                         x = vectors_of(vectors.take(pa.array(at))).astype(np.float64)
-                        found.append(within(f[s], i[s], j[s], side[at], reps[at], filters, at, x))
+                        found.append(within(i[s], j[s], side[at], reps[at], filters, at, x))
             if found:
                 a, b = (np.concatenate(x) for x in zip(*found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])

@@ -109,6 +109,15 @@ def test_op8_recall_holds_as_vectors_grow(dimension, vectors):
     assert caps.recall(cap, x, y) >= 0.99
 
 
+def test_op8_takes_all_filters_beyond_the_threshold():
+    cap, (x, _) = caps.cap_for(64, 51_282, 0.95), caps.pairs_at(0.95, 64, 300)
+    a, b = caps._sums(x, cap.words)
+    beyond = [np.flatnonzero((u[:, None] + v[None]).ravel() >= cap.threshold) for u, v in zip(a, b)]
+    found = caps.list_decode(x, cap)
+    assert max(map(len, beyond)) > 64 and all(len(f) >= cap.least and set(t) <= set(f) for t, f in zip(beyond, found))
+    assert all(len(f) == len(t) for t, f in zip(beyond, found) if len(t) >= cap.least)
+
+
 def test_op8_empty_and_repeated(spark, tmp_path):
     assert caps.op8_embedding_near_duplicates(spark, table(spark, tmp_path, [])).count() == 0
     got = caps.op8_embedding_near_duplicates(spark, table(spark, tmp_path, [(7, [1.0, 0.0], "a"), (7, [1.0, 0.0], "b"), (8, [2.0, 0.0], "c"), (9, [1.0], "d")])).collect()
