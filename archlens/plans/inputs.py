@@ -52,20 +52,22 @@ _CUSTOMER = "'src/customer/n' || CAST(c_nationkey AS STRING) || '/c' || CAST(c_c
 EDGES = f"""
 SELECT {_CUSTOMER} AS src, 'src/orders/' || o_orderstatus || '/o' || CAST(o_orderkey AS STRING) || '.rs' AS dst FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey
 UNION ALL SELECT 'src/orders/' || o_orderstatus || '/o' || CAST(o_orderkey AS STRING) || '.rs', 'src/part/p' || CAST(l_partkey AS STRING) || '.rs' FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
-UNION ALL SELECT DISTINCT 'src/part/p' || CAST(l_partkey AS STRING) || '.rs', 'src/supplier/deep/s' || CAST(l_suppkey AS STRING) || '.rs' FROM {{lineitem}} WHERE l_quantity > 45
+UNION ALL SELECT DISTINCT 'src/part/p' || CAST(l_partkey AS STRING) || '.rs', 'src/supplier/deep/s' || CAST(l_suppkey AS STRING) || '.rs' FROM {{lineitem}}
 UNION ALL SELECT 'src/supplier/deep/s' || CAST(s_suppkey AS STRING) || '.rs', 'src/nation/n' || CAST(s_nationkey AS STRING) || '.rs' FROM {{supplier}}
 UNION ALL SELECT 'src/nation/n' || CAST(n_nationkey AS STRING) || '.rs', 'src/region/r' || CAST(n_regionkey AS STRING) || '/mod.rs' FROM {{nation}}"""
 
-#: edges(src, dst, weight) between nations: whose suppliers serve whose customers; has cycles and dead ends.
+#: edges(src, dst, weight): a customer needs the suppliers (n) of its lines, a supplier the customers whose lines came back, and its nation, and that its region; has cycles and dead ends.
 TRADE = """
-SELECT 'n' || CAST(s_nationkey AS STRING) AS src, 'n' || CAST(c_nationkey AS STRING) AS dst, count(*) AS weight
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
-WHERE s_nationkey <> c_nationkey AND (s_nationkey + 2 * c_nationkey) % 5 = 0 AND s_nationkey % 7 <> 3
-GROUP BY s_nationkey, c_nationkey"""
-
-#: defs(path, name) and refs(path, name): a supplier defines the parts that it ships in bulk, an order refers to parts.
-DEFS = "SELECT DISTINCT 'src/supplier/s' || CAST(l_suppkey AS STRING) || '.rs' AS path, 'part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem} WHERE l_quantity > 40"
-REFS = "SELECT 'src/nation/n' || CAST(s_nationkey AS STRING) || '.rs' AS path, 'crate::parts::part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity < 10"
+SELECT src, dst, count(*) AS weight FROM (
+SELECT 'c' || CAST(o_custkey AS STRING) AS src, 'n' || CAST(l_suppkey AS STRING) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+UNION ALL SELECT 'n' || CAST(l_suppkey AS STRING), 'c' || CAST(o_custkey AS STRING) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'
+UNION ALL SELECT 'n' || CAST(s_suppkey AS STRING), 'nation' || CAST(s_nationkey AS STRING) FROM {supplier}
+UNION ALL SELECT 'nation' || CAST(n_nationkey AS STRING), 'region' || CAST(n_regionkey AS STRING) FROM {nation}) AS t
+GROUP BY src, dst"""
+
+#: defs(path, name) and refs(path, name): a supplier defines the parts that it ships, its nation refers to them.
+DEFS = "SELECT DISTINCT 'src/supplier/s' || CAST(l_suppkey AS STRING) || '.rs' AS path, 'part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem}"
+REFS = "SELECT 'src/nation/n' || CAST(s_nationkey AS STRING) || '.rs' AS path, 'crate::parts::part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"
 
 #: Types: an order is one, its lines are methods, parts and suppliers what they use and call.
 SCOPES = """SELECT 'src/c' || CAST(o_custkey AS STRING) || '.rs' AS path, 'Order' || CAST(o_orderkey AS STRING) AS scope, CAST(o_orderkey % 500 AS INT) AS row, o_orderstatus = 'P' AS is_enum,

@@ -174,6 +174,21 @@ def cell(x):
     return float(f"{x:.8g}") if isinstance(x, float) else float(x) if isinstance(x, int) and not isinstance(x, bool) else str(x)
 
 
+def test_graph_inputs_hold_all_rows(spark):
+    from archlens.plans import inputs
+
+    con = duckdb.connect()
+    one = lambda text: con.execute(text.replace("lineitem", f"'{SMALL}/lineitem.parquet'").replace("orders", f"'{SMALL}/orders.parquet'")).fetchone()[0]
+    trade, n = inputs.derived(spark, SMALL, inputs.TRADE), one("SELECT count(*) FROM lineitem")
+    assert trade.where("src LIKE 'c%'").agg(F.sum("weight")).first()[0] == n
+    assert trade.where("src LIKE 'c%'").select("src").distinct().count() == one("SELECT count(DISTINCT o_custkey) FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+    pairs = one("SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
+    assert inputs.derived(spark, SMALL, inputs.EDGES).where("src LIKE 'src/part/%'").count() == inputs.derived(spark, SMALL, inputs.DEFS).count() == pairs
+    assert inputs.derived(spark, SMALL, inputs.REFS).count() == n
+    core = graph.cyclic_core(trade)
+    assert 0 < core.count() < trade.count() and core.where("dst LIKE 'nation%'").isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
