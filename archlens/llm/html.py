@@ -24,13 +24,18 @@ from pyspark.sql import functions as F
 
 from archlens.llm.common import bounded_batches, read_table
 
+_ATTRIBUTES = r"""((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)"""
+_RAW = r"<(script|style|title|textarea|iframe)(?=[\s/>])[^>]*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|title|noscript|template|textarea|select|button|svg|math|iframe|object|canvas|audio|video)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>"""
+    rf"|{_RAW}"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_ATTRIBUTES}>"
     r"|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
+#: Elements that are skipped as a whole where their end tag is found; without one, only the tag is.
+_SKIPPED = frozenset("noscript template select button svg math object canvas audio video".split())
+_SKIPS = re.compile(rf"<!--.*?(?:-->|\Z)|{_RAW}|<(/?)({'|'.join(sorted(_SKIPPED))})(?=[\s/>]){_ATTRIBUTES}>", re.S | re.I)
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html head legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -39,38 +44,63 @@ _VOID = frozenset(["hr"])
 _BOILERPLATE = frozenset(["nav", "footer", "aside", "form", "menu", "dialog", "search", "head"])
 _CONTENT = frozenset(["article", "main"])
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-_NAMED = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-_AGAINST = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline-share|captcha|comments?|cookies?|consent|copyright|disqus|dock|footer|header|hidden|legal|login|masthead|menu\w*|modal|"
-    r"nav\w*|newsletter|notice|notification|overlay|pagination|pager|popup|promo\w*|recommend\w*|related|repl(?:y|ies)|rss|search|share|sharing|sidebar\w*|signup|skip|social|"
-    r"sponsor\w*|subscribe|subscription|tags?|toolbar|tooltip|widget|alert|complementary|contentinfo|navigation)(?:$|[\s_-])", re.I,
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAMED = frozenset(["class", "id", "role", "hidden", "style", "aria-hidden"])
+_WORDS = (
+    r"(?:ads?|advert\w*+|banner|breadcrumbs?|byline-share|captcha|comments?|cookies?|consent|copyright|disqus|dock|footer|header|hidden|legal|login|masthead|menu\w*+|modal|"
+    r"nav\w*+|newsletter|notice|notification|overlay|pagination|pager|popup|promo\w*+|recommend\w*+|related|repl(?:y|ies)|rss|search|share|sharing|sidebar\w*+|signup|skip|social|"
+    r"sponsor\w*+|subscribe|subscription|tags?|toolbar|tooltip|widget|alert|complementary|contentinfo|navigation)"
 )
+#: A whole token of a class, id or role: words of boilerplate, and others that only tell place or shape.
+_SHAPES = r"(?:site|global|top|bottom|left|right|bar|box|list|links?|buttons?|area|block|section|wrap|wrapper|container|inner|outer|form|items?|posts?|stories|articles|\d+)"
+_AGAINST = re.compile(rf"(?:^|\s)(?:{_SHAPES}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_SHAPES}))*(?:$|\s)", re.I)
 _FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post(?:-?body|-?text)?|story|text|prose)(?:$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SENTENCE = re.compile(r"[.!?…。！？]")
 
+#: Zones: content, unknown, boilerplate by a class, id or role alone, boilerplate.
+CONTENT, UNKNOWN, MARKED, AGAINST = 1, 0, -1, -2
 #: Log-odds by the block's nearest telling ancestor, and for what it holds.
-ZONE, HEADING, SENTENCE, LINKS, BASE, PER_100 = {1: 6.0, -1: -9.0, 0: 0.0}, 0.8, 0.7, -3.5, -1.0, 0.9
+ZONE, HEADING, SENTENCE, LINKS, BASE, PER_100 = {CONTENT: 6.0, UNKNOWN: 0.0, MARKED: -9.0, AGAINST: -9.0}, 0.8, 0.7, -3.5, -1.0, 0.9
 ADJACENT, SIBLINGS = 1.2, 0.5
 
 
 def _zone(tag: str, attributes: str, above: int) -> int:
-    """1 content, -1 boilerplate, 0 unknown; nothing within boilerplate is content."""
-    if above < 0 or tag in _BOILERPLATE:
-        return -1
+    """Nothing within boilerplate is content, but an article or main within what is only marked so is."""
+    if above == AGAINST or tag in _BOILERPLATE:
+        return AGAINST
+    zone = above
     if attributes and attributes != "/":
-        for name, value in _NAMED.findall(attributes):
+        for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
+            if name not in _NAMED:
+                continue
             if name == "hidden" or (name == "style" and _UNSEEN.search(value)) or (name == "aria-hidden" and value == "true"):
-                return -1
-            if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+                return AGAINST
+            if name in ("class", "id", "role") and zone != MARKED and tag not in ("body", "html", "article", "main"):
                 if _AGAINST.search(value):
-                    return -1
-                if _FOR.search(value):
-                    above = 1
-    if tag == "header" and above == 0:
-        return -1
-    return 1 if tag in _CONTENT else above
+                    zone = MARKED
+                elif _FOR.search(value):
+                    zone = CONTENT
+    if tag == "header" and zone == UNKNOWN:
+        return AGAINST
+    return CONTENT if tag in _CONTENT else zone
+
+
+def _ends(page: str) -> dict[int, int]:
+    """Where the elements of _SKIPPED end, by where their content starts; those without an end tag are left out."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _SKIPS.finditer(page):
+        if m[3] is None:
+            continue
+        starts = opened.setdefault(m[3].lower(), [])
+        if not m[2]:
+            if not m[4].endswith("/"):
+                starts.append(m.end())
+        elif starts:
+            ends[starts.pop()] = m.end()
+    return ends
 
 
 class Block:
@@ -102,7 +132,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
     def pop(k: int) -> None:
         del stack[k:], zones[k:]
 
-    for m in _TOKEN.finditer(page):
+    ends: dict[int, int] | None = None
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
@@ -112,6 +143,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _SKIPPED:
+            if not m[2]:
+                ends = _ends(page) if ends is None else ends
+                at = ends.get(at, at)
+            continue
         if tag not in _BLOCKS:
             if tag == "a":
                 in_link = not m[2]

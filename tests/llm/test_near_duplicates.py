@@ -230,6 +230,33 @@ def test_main_text():
     assert html.main_text(long).count("\n") == 4999
 
 
+ARTICLE = "<article><p>A first sentence, with a comma.</p>{}<p>Rest of it, also a sentence.</p></article>"
+REST = "A first sentence, with a comma.\nRest of it, also a sentence."
+
+
+@pytest.mark.parametrize("inside", [
+    "<video-player src=x></video-player>", "<svg-icon name=y>", "<button-link>", "<svg viewBox='0 0 1 1'/>", "<button>", "<svg><path d='M0'/></svg>", "<video src=z>No player.</video>",
+    "<template><p>Not shown, ever.</p></template>", "<button><svg><g></svg></button>", "<!-- <svg> -->", "<script>'<button>'</script>", "<svg><svg></svg><text>No.</text></svg>",
+])
+def test_skipped_elements_take_no_more_than_themselves(inside):
+    shown = html.main_text(ARTICLE.format(inside))
+    assert shown == REST
+    assert html.main_text(ARTICLE.format(inside) + "<footer><button>Go.</button></footer>") == REST
+
+
+@pytest.mark.parametrize("attributes", ["class='overflow-hidden'", "class='content with-sidebar'", "class='layout no-sidebar'", "class='entry-header'", "class=sidebar", "data-id=menu title='class=ad hidden'"])
+def test_marked_ancestors_keep_their_article(attributes):
+    assert html.main_text(f"<div {attributes}>{ARTICLE.format('')}</div>") == REST
+    assert html.main_text(f"<div class='sidebar-left'><p>Some words.</p></div><div class='cookie-banner'><p>We use some.</p></div><div {attributes}>{ARTICLE.format('')}</div>") == REST
+    assert html.main_text(f"<nav>{ARTICLE.format('')}</nav>") == html.main_text(f"<div hidden>{ARTICLE.format('')}</div>") == ""
+
+
+def test_classes_count_as_whole_tokens():
+    page = "<div class='{}'><p>A sentence, with some commas, that goes on for a while. And one more, as long as that one was.</p></div>"
+    assert all(html.main_text(page.format(c)) for c in ("overflow-hidden", "content with-sidebar", "layout no-sidebar"))
+    assert not any(html.main_text(page.format(c)) for c in ("sidebar", "site-footer", "cookie-banner", "x share-buttons"))
+
+
 def test_minimum_cut_is_minimal():
     rng = random.Random(4)
     for _ in range(60):
