@@ -1,9 +1,9 @@
-"""Join of documents on the Jaccard similarity of their word n-grams, by a MinHash LSH forest.
+"""Join of documents on the Jaccard similarity of their word n-grams, by MinHash and fixed banding.
 
-A document's set holds the hashes of its runs of five words. A tree of the forest sorts all documents by a signature of
-MinHash values, so that documents under one trie node share a prefix of it. Prefixes are shortened from DEPTH values on
-until the expected share of pairs at the threshold that meet in some tree reaches RECALL. The nodes at that depth link
-documents to clusters, and within a cluster every pair is verified exactly on the sets.
+A document's set holds the hashes of its runs of five words. Each of TREES bands is a run of MinHash values, hashed to one
+key; its length is computed once, before any data is read: the longest, of DEPTH at most, with which the expected share
+of pairs at the threshold that meet in some band reaches RECALL. Equal keys link documents to clusters, and within a
+cluster every pair is verified exactly on the sets.
 
 Equal texts are one class, compared once and never expanded to pairs. A cluster is dealt out in blocks; each pair of its
 blocks is a task's work, which returns counts and a spanning forest of the links, not the links. Rows therefore grow with
