@@ -123,9 +123,10 @@ def clusters_of(c: Centroids, x: np.ndarray) -> list[np.ndarray]:
 
 
 def lists_of(c: Centroids, x: np.ndarray) -> list[np.ndarray]:
-    """A query's lists by the ratio of distances."""
-    beam = len(c.points)
-    ids, far = c.nearest(x, beam if beam <= 4 * LEAST_LISTS else max(4 * LEAST_LISTS, beam // 3))
+    """A query's lists by the ratio of distances, told from all centroids (MOST_LISTS at most), so that none within it is missed."""
+    far = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (c.points**2).sum(1) - 2 * x @ c.points.T, 0))
+    ids = np.argsort(far, 1, "stable")
+    far = np.take_along_axis(far, ids, 1)
     return [own[: max(LEAST_LISTS, np.searchsorted(d, RATIO * d[0], "right"))] for own, d in zip(ids, far)]
 
 
@@ -145,10 +146,10 @@ def _posted(classes: DataFrame, c: Centroids, choose, tag: int) -> DataFrame:
 
 
 def _search(rows: DataFrame, keep: int) -> DataFrame:
-    """rows(list, block, query, rep, vector) -> a block's best of each query: query, rep, score."""
+    """rows(list, block, part, query, rep, vector) -> a block's best of each query: query, rep, score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["list", "block"], 4096):
+        for table, starts in whole_groups(batches, ["list", "block", "part"], 4096):
             tags, reps = table.column("query").to_numpy(), table.column("rep").to_numpy()
             x = vectors_of(table.column("vector")).astype(np.float64)
             for s, e in zip(starts, np.r_[starts[1:], len(tags)]):
@@ -166,7 +167,7 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
                         ["query", "rep", "score"],
                     )
 
-    return dealt_by(rows, "list", "block").mapInArrow(run, "query long, rep long, score double")
+    return dealt_by(rows, "list", "block", "part").mapInArrow(run, "query long, rep long, score double")
 
 
 def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> DataFrame:
@@ -190,7 +191,11 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> D
     blocks = checkpointed(posted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))  # MOST_LISTS rows at most
     held = posted.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
     queries = _posted(asking.join(members, "vector").select("rep", "vector"), c, lists_of, 1)
+    queries = checkpointed(queries)
+    parts = checkpointed(queries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))  # MOST_LISTS rows at most
     asked = queries.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
+    held = held.join(F.broadcast(parts), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = _search(held.unionByName(asked), keep).dropDuplicates(["query", "rep"])
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("score", "rep"))).where(F.col("n") <= keep).drop("n")
     ids = best.join(members.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))

@@ -156,6 +156,28 @@ def test_op2_recall(spark, monkeypatch):
     assert np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
 
 
+@pytest.mark.parametrize("ratio, most", [(1.14, 25), (1.5, 133)])
+def test_op2_takes_all_lists_within_the_ratio(monkeypatch, ratio, most):
+    monkeypatch.setattr(ann, "RATIO", ratio)
+    rng = np.random.default_rng(6)
+    c = ann.fit(rng.standard_normal((3000, 128)), 400)
+    x = rng.standard_normal((40, 128))
+    far = np.sqrt(((x[:, None] - c.points[None]) ** 2).sum(2))
+    within = [np.flatnonzero(d <= ratio * d.min()) for d in far]
+    assert max(map(len, within)) > most
+    assert all(set(w) <= set(f) for w, f in zip(within, ann.lists_of(c, x)))
+
+
+def test_op2_in_blocks_of_vectors_and_queries(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(ann, "BLOCK", 3)
+    want = plain_neighbours([(r.vec_id, r.embedding, "") for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()])
+    got = defaultdict(set)
+    for r in ann.op2_nearest_vectors(spark, folder).collect():
+        got[r.query_id].add(r.vec_id)
+    assert got.keys() == want.keys() and np.mean([len(got[q] & {i for i, _ in w}) / len(w) for q, w in want.items()]) >= 0.9
+
+
 def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(5)
     c = ann.fit(rng.standard_normal((3000, 8)), 200)
