@@ -17,7 +17,7 @@ from archlens.llm import jaccard, packing, secrets, suffixes, toxicity
 from archlens.llm.common import read_table, shared_dir, text_key, text_or_empty
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Bytes of a passage that may not stand twice: about 45 words, so that passages of over 50 words are found whole.
+#: Bytes of a passage that may not stand twice: about 45 words of prose in one-byte letters; README names what this misses.
 PASSAGE = 250
 
 
