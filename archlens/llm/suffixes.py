@@ -1,17 +1,20 @@
 """Exact removal of long repeated strings by suffix arrays.
 
 A byte goes if a string of LENGTH bytes that covers it also starts at another place of any document. Equal windows of
-that length share the smallest hash of their shorter strings (gram_of), so consecutive windows with one such hash form a
+that length share the smallest hash of their shorter strings (grams_of), so consecutive windows with one such hash form a
 segment, and only a segment whose hash stands in another one, or in itself again, can hold a window that repeats:
 
 1. Hashes and contents of segments are counted. A segment whose hash stands once needs nothing more; all windows of a
    content that stands twice repeat.
 2. The other contents under a common hash are dealt out by it to shards. A shard's segments are concatenated and its
    suffix array is built by induced sorting: suffixes are classified, leftmost-smaller (LMS) substrings are sorted and
-   named, the string of names is sorted by renaming pairs of names until all differ, and the array is induced from it
-   bucket by bucket. Common prefixes are computed in text order: only where the preceding bytes differ are they compared.
-3. A hash with more than HOT contents (a passage that very many documents share) isn't put in one shard: its windows are
-   hashed, with 128 bits, and counted one by one.
+   named, the string of names is sorted by renaming pairs of names until all differ (README says why not recursively),
+   and the array is induced from it bucket by bucket. Common prefixes are computed in text order: only where the
+   preceding bytes differ are they compared.
+3. A hash with more than HOT contents (a passage that very many documents share) would make too large a shard: its
+   contents are cut into segments anew, by the smallest hash of longer strings, which few of them share, and so on with
+   strings ever closer to a window's length. At one byte less there are few different contents under a hash, since a
+   segment is at most a few windows long or cut into equal pieces (PIECES), so every shard stays small.
 
 Equal texts are one text with one set of marks. Python sees at most PIECE bytes of texts, or a shard's groups, at a time.
 
@@ -24,25 +27,35 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.llm.common import bounded_batches, checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
 LENGTH, HOT, PIECE = 400, 800, 1 << 19
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Windows of a segment at most, in lengths of a window; longer ones are cut, so that long runs of few letters become equal pieces.
+PIECES = 4
+#: Texts whose copies a task remembers at a time.
+TOLD = 100_000
+_NULL = "_text_is_null"
+_BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-SEGMENT = "key binary, start int, length int, hash long, content long, again boolean"
+SEGMENT = "key binary, at int, start int, length int, hash long, content long, again boolean, wanted boolean"
 
 
-def gram_of(length: int) -> int:
-    """Bytes of the strings whose smallest hash deals windows out: longer ones make more segments, shorter ones meet more often by chance."""
-    return max(1, length * 2 // 5)
+def grams_of(length: int) -> list[int]:
+    """Bytes of the strings whose smallest hash deals windows out, step by step: longer ones make more segments, shorter ones meet more often by chance."""
+    grams, rest = [], length - max(1, length * 2 // 5)
+    while rest > 1:
+        grams.append(length - rest)
+        rest //= 4
+    return [*grams, max(1, length - 1)]
 
 
 # Hashes
@@ -80,12 +93,12 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def segments_of(data: bytes, sizes: list[int], length: int) -> tuple[np.ndarray, ...]:
+def segments_of(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For texts laid end to end: text, start within data, length, hash and content of each segment, and whether its hash stands in it more than once."""
-    flat, gram = np.frombuffer(data, np.uint8), gram_of(length)
+    flat = np.frombuffer(data, np.uint8)
     if len(flat) < length:
         return (np.zeros(0, np.int64),) * 6
-    grams, w = _rolling(flat, gram, _BASES[0]), length - gram + 1
+    grams, w = _rolling(flat, gram, _BASE), length - gram + 1
     low = _sliding_min(grams, w)
     text = np.repeat(np.arange(len(sizes)), sizes)
     valid = text[: len(low)] == text[length - 1 :]
@@ -94,7 +107,11 @@ def segments_of(data: bytes, sizes: list[int], length: int) -> tuple[np.ndarray,
     starts = np.flatnonzero(new & valid)
     if not len(starts):
         return (np.zeros(0, np.int64),) * 6
-    ends = np.flatnonzero(valid & np.r_[new[1:] | ~valid[1:], True]) + length
+    windows = np.flatnonzero(valid & np.r_[new[1:] | ~valid[1:], True]) + 1 - starts
+    parts = -(-windows // (PIECES * length))
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(starts, parts) + number * PIECES * length
+    ends = starts + np.minimum(PIECES * length, np.repeat(windows, parts) - number * PIECES * length) + length - 1
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
     around = np.full(len(low) + 2 * (w - 1), np.iinfo(np.uint64).max, np.uint64)
@@ -106,37 +123,40 @@ def segments_of(data: bytes, sizes: list[int], length: int) -> tuple[np.ndarray,
     return text[starts], starts, ends - starts, low[starts].view(np.int64), content.view(np.int64), again
 
 
-def segments(docs: DataFrame, length: int) -> DataFrame:
-    """docs(key, text) -> a row for each segment. A task tells a text's segments twice at most: more copies say no more."""
+def segments(source: DataFrame, length: int, gram: int) -> DataFrame:
+    """source(key, at, wanted, data) -> a row for each segment; start counts from the text's start, of which at is the data's place. A task tells copies twice as a rule: more say no more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: dict[bytes, int] = {}
-        keys, starts, parts, size = [], [], [], 0
+        told: dict[tuple[bytes, int], int] = {}
+        rows, parts, size = [], [], 0
 
         def made() -> pa.RecordBatch:
-            text, start, n, hashes, content, again = segments_of(b"".join(parts), [len(p) for p in parts], length)
+            text, start, n, hashes, content, again = segments_of(b"".join(parts), [len(p) for p in parts], length, gram)
             first = np.cumsum([0, *map(len, parts)])[:-1]
-            at = (start - first[text] + np.array(starts)[text]).astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()).take(pa.array(text)), pa.array(at), pa.array(n.astype(np.int32)), pa.array(hashes), pa.array(content), pa.array(again.astype(bool))], ["key", "start", "length", "hash", "content", "again"])
+            keys, at, starts, wanted = (pa.array(c, k).take(pa.array(text)) for c, k in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int32(), pa.bool_())))
+            start = (start - first[text] + starts.to_numpy()).astype(np.int32)
+            columns = [keys, at, pa.array(start), pa.array(n.astype(np.int32)), pa.array(hashes), pa.array(content), pa.array(again.astype(bool)), wanted]
+            return pa.RecordBatch.from_arrays(columns, ["key", "at", "start", "length", "hash", "content", "again", "wanted"])
 
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
-                data = text.as_py().encode()
-                told[key] = told.get(key, 0) + 1
-                if len(data) < length or told[key] > 2:
+            for key, at, wanted, cell in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "wanted")), batch.column("data")):
+                data = cell.as_buffer()
+                if len(told) > TOLD:
+                    told.clear()
+                told[key, at] = told.get((key, at), 0) + 1
+                if len(data) < length or told[key, at] > 2:
                     continue
                 for s in range(0, len(data) - length + 1, PIECE):  # each window in one piece
-                    keys.append(key)
-                    starts.append(s)
+                    rows.append((key, at, at + s, wanted))
                     parts.append(data[s : s + PIECE + length - 1])
                     size += len(parts[-1])
                     if size >= PIECE:
                         yield made()
-                        keys, starts, parts, size = [], [], [], 0
+                        rows, parts, size = [], [], 0
         if parts:
             yield made()
 
-    return bounded_batches(docs).mapInArrow(run, SEGMENT)
+    return bounded_batches(source.select("key", "at", "wanted", "data")).mapInArrow(run, SEGMENT)
 
 
 # The suffix array
@@ -294,20 +314,21 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_out(rows: DataFrame) -> DataFrame:
-    """rows(key, text, parts array<struct<start,length,hash,single>>) -> the parts' bytes."""
+    """rows(key, at, data, parts array<struct<start,length,hash,single>>) -> the parts' bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
             out: list[list] = [[], [], [], [], []]
-            for key, text, parts in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("parts")):
-                data = text.as_py().encode()
+            for key, at, cell, parts in zip(batch.column("key").to_pylist(), batch.column("at").to_pylist(), batch.column("data"), batch.column("parts")):
+                data = cell.as_buffer()
                 for p in parts.as_py():
-                    for column, v in zip(out, (p["hash"], key, p["start"], p["single"], data[p["start"] : p["start"] + p["length"]])):
+                    low = p["start"] - at
+                    for column, v in zip(out, (p["hash"], key, p["start"], p["single"], data[low : low + p["length"]].to_pybytes())):
                         column.append(v)
             kinds = [pa.int64(), pa.binary(), pa.int32(), pa.bool_(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["hash", "key", "start", "single", "data"])
 
-    return rows.select("key", "text", "parts").mapInArrow(run, "hash long, key binary, start int, single boolean, data binary")
+    return rows.select("key", "at", "data", "parts").mapInArrow(run, "hash long, key binary, start int, single boolean, data binary")
 
 
 def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
@@ -331,46 +352,36 @@ def _by_suffix_array(rows: DataFrame, length: int) -> DataFrame:
     return dealt_by(rows, "hash").mapInArrow(run, "key binary, low int, high int")
 
 
-def _by_window(rows: DataFrame, length: int) -> DataFrame:
-    """The same marks for the contents of hot hashes, by counting the windows themselves."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, start, single, data in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "single", "data"))):
-                flat = np.frombuffer(data, np.uint8)
-                one, two = (_rolling(flat, length, b).view(np.int64) for b in _BASES)
-                n = len(one)
-                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array([key] * n, pa.binary()), pa.array(np.arange(start, start + n, dtype=np.int32)), pa.array(np.full(n, single))], ["one", "two", "key", "low", "single"])
-
-    windows = checkpointed(rows.select("key", "start", "single", "data").mapInArrow(run, "one long, two long, key binary, low int, single boolean"))
-    often = windows.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.where("single").join(often, ["one", "two"], "left_semi").select("key", "low", (F.col("low") + length).alias("high"))
-
-
 def marks(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(text) -> key of a text, spans array<struct<low,high>> of bytes in strings that repeat (they may overlap)."""
-    keyed = docs.select(text_or_empty().alias("text")).select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= length)
-    found = segments(keyed, length)
-    common = found.groupBy("hash").agg(F.count("*").alias("n"), ((F.min("content") < F.max("content")) | F.max("again")).alias("mixed"), F.max("again").alias("any"))
-    common = common.where("n > 1 OR any").drop("n", "any")
-    met = checkpointed(found.join(common, "hash"))
+    keyed = docs.select(text_or_empty().alias("text")).where(F.octet_length("text") >= length).select(text_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("data"))
+    source = keyed.select("key", F.lit(0).alias("at"), F.lit(True).alias("wanted"), "data")
     whole = lambda rows: rows.select("key", F.col("start").alias("low"), (F.col("start") + F.col("length")).alias("high"))
-    first = F.min(F.struct("key", "start", "length")).alias("first")
-    contents = met.where("mixed").groupBy("hash", "content").agg(F.count("*").alias("n"), first)
-    contents = checkpointed(contents.select("hash", "content", (F.col("n") == 1).alias("single"), "first.*"))
-    of_hash = contents.groupBy("hash").agg(F.count("*").alias("contents"), F.max("single").alias("open")).where("open")
-    compared = contents.join(of_hash, "hash").select("key", F.struct("start", "length", "hash", "single").alias("part"), (F.col("contents") > HOT).alias("hot"))
-    parts = compared.groupBy("key", "hot").agg(F.collect_list("part").alias("parts"))
-    texts = keyed.dropDuplicates(["key"])
-    cut = checkpointed(_cut_out(texts.join(parts.where("NOT hot"), "key")))
-    hot = _cut_out(texts.join(parts.where("hot"), "key"))
-    told = (
-        whole(met.where("NOT mixed"))
-        .unionByName(whole(met.where("mixed").join(contents.where("NOT single").select("hash", "content"), ["hash", "content"], "left_semi")))
-        .unionByName(_by_suffix_array(cut, length))
-        .unionByName(_by_window(hot, length))
-    )
-    return told.distinct().groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    told, grams = [], grams_of(length)
+    for step, gram in enumerate(grams):
+        found = segments(source, length, gram)
+        common = found.groupBy("hash").agg(F.count("*").alias("n"), ((F.min("content") < F.max("content")) | F.max("again")).alias("mixed"), F.max("again").alias("any"))
+        met = checkpointed(found.join(common.where("n > 1 OR any").drop("n", "any"), "hash"))
+        first = F.min(F.struct("key", "at", "start", "length", "wanted")).alias("first")
+        contents = met.where("mixed").groupBy("hash", "content").agg(F.count("*").alias("n"), first)
+        contents = checkpointed(contents.select("hash", "content", "n", "first.*"))
+        told.append(whole(met.where("wanted AND NOT mixed")))
+        told.append(whole(met.where("wanted AND mixed").join(contents.where("n > 1").select("hash", "content"), ["hash", "content"], "left_semi")))
+        single = (F.col("n") == 1) & F.col("wanted")
+        of_hash = contents.groupBy("hash").agg(F.count("*").alias("contents"), F.max(single).alias("open")).where("open")
+        hot = F.col("contents") > HOT if step + 1 < len(grams) else F.lit(False)
+        compared = checkpointed(contents.join(of_hash, "hash").select("key", "at", F.struct("start", "length", "hash", single.alias("single")).alias("part"), hot.alias("hot")))
+        texts = source.dropDuplicates(["key"]) if step == 0 else source
+        parts = compared.groupBy("key", "at").agg(F.collect_list(F.struct("part", "hot")).alias("parts"))
+        cut = texts.drop("wanted").join(parts.withColumn("parts", F.transform("parts", lambda x: x["part"])), ["key", "at"])
+        if compared.where("hot").isEmpty():
+            told.append(_by_suffix_array(_cut_out(cut), length))
+            break
+        hashes = checkpointed(of_hash.where(hot).select("hash"))
+        cut = checkpointed(_cut_out(cut))
+        told.append(_by_suffix_array(cut.join(hashes, "hash", "left_anti"), length))
+        source = cut.join(hashes, "hash", "left_semi").select("key", F.col("start").alias("at"), F.col("single").alias("wanted"), "data")
+    return reduce(DataFrame.unionByName, told).distinct().groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -389,43 +400,43 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(at[::2], at[1::2]))
 
 
-def _apply(docs: DataFrame, length: int, tell, schema: str, names: list[str]) -> DataFrame:
-    """A row for each distinct text with marks: key, and what tell(data, runs) says of it."""
-    texts = docs.select(text_or_empty().alias("text")).select(text_key(F.col("text")).alias("key"), "text").where(F.octet_length("text") >= length).dropDuplicates(["key"])
+def _apply(docs: DataFrame, length: int, tell, told: str) -> DataFrame:
+    """row struct (docs' other columns) and told, which is tell(data, runs) of the text: one join by the text's key, the only move of whole rows."""
+    others = [F.col(c) for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*others).alias("row"), text_or_empty().alias("data")).select("row", text_key(F.col("data")).alias("key"), F.col("data").cast("binary").alias("data"))
+    joined = rows.join(marks(docs, length), "key", "left").select("row", "data", "spans")
+    schema = joined.select("row", F.lit(None).cast(told).alias("told")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 512) for b in batches for k in range(0, b.num_rows, 512)):
-            rows = [tell(t.as_py().encode(), merged(s.as_py())) for t, s in zip(batch.column("text"), batch.column("spans"))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c) for c in zip(*rows))] if rows else [batch.column("key"), *[pa.array([])] * len(names)], ["key", *names])
+        for batch in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+            found = [tell(t.as_py(), merged(s.as_py() or [])) for t, s in zip(batch.column("data"), batch.column("spans"))]
+            columns = [pa.array(c) for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(columns, schema["told"].dataType.names)], ["row", "told"])
 
-    return texts.join(marks(docs, length), "key").select("key", "text", "spans").mapInArrow(run, schema)
+    return bounded_batches(joined).mapInArrow(run, schema)
 
 
-def _key() -> Column:
-    return text_key(text_or_empty())
+def _text_without(data: bytes, runs: list[tuple[int, int]]) -> str:
+    """A character cut in two goes as a whole."""
+    return without(data, [_to_characters(data, r) for r in runs]).decode("utf-8", "ignore")
 
 
 def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """docs(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the remaining text."""
 
     def tell(data: bytes, runs: list[tuple[int, int]]) -> tuple:
-        return sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest()
+        return len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(data, runs)).hexdigest(), _text_without(data, runs)
 
-    found = _apply(docs, length, tell, "key binary, n_removed long, n_spans long, kept string", ["n_removed", "n_spans", "kept"])
-    rows = docs.select("doc_id", _key().alias("key"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.sha2(text_or_empty(), 256).alias("own"))
-    joined = rows.join(found, "key", "left")
-    return joined.select("doc_id", "n_bytes", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")], F.coalesce("kept", "own").alias("kept_sha256"))
+    told = _apply(docs.select("doc_id", "text"), length, tell, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,text:string>")
+    return told.select("row.doc_id", "told.*")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with text less its repeated strings; a character cut in two goes as a whole."""
-
-    def tell(data: bytes, runs: list[tuple[int, int]]) -> tuple:
-        return (without(data, [_to_characters(data, r) for r in runs]).decode("utf-8", "ignore"),)
-
-    found = _apply(docs, length, tell, "key binary, kept string", ["kept"]).select(F.col("key").alias("_key"), F.col("kept").alias("_kept"))
-    joined = docs.withColumn("_key", _key()).join(found, "_key", "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    """docs with text less its repeated strings; null texts stay null."""
+    marked = docs.withColumn("text", F.col("text").cast("string"))
+    told = _apply(marked.withColumn(_NULL, F.col("text").isNull()), length, lambda data, runs: (_text_without(data, runs),), "struct<text:string>")
+    text = F.when(~F.col(f"row.{_NULL}"), F.col("told.text"))
+    return told.select(*[(text if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _to_characters(data: bytes, run: tuple[int, int]) -> tuple[int, int]:
