@@ -9,7 +9,8 @@ that meet more often. The sums are list-decoded block by block, never over all p
 filter are compared by exact cosine in double precision. A filter holds about BUCKET vectors, whatever their number.
 
 Equal vectors are one class, compared once. A filter with many vectors is dealt out in blocks, and every pair of its
-blocks is compared in a task of its own. A link is told by the first filter that its vectors share, so once.
+blocks is compared in a task of its own, which returns each class's number of links and a spanning forest, not the
+links. A link counts in the first filter that its vectors share, so once.
 
 Defined results: null, zero and empty vectors and those with null or non-finite components link with nothing and are
 kept; repeated rows are vectors of their own, equal to one another; vectors of different lengths don't link; an empty
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import checkpointed, connected_components, dealt_by, read_table, usable_vector, vector_type, vectors_of, whole_groups
+from archlens.llm.common import checkpointed, connected_components, dealt_by, lowest, read_table, usable_vector, vector_type, vectors_of, whole_groups
 
 COSINE = 0.95
 #: Vectors of a filter as expected; the largest block of a filter; filters of a vector as expected, at first, and how they grow; numbers of filters in a batch, and filters compared at once.
@@ -133,7 +134,7 @@ def list_decode(x: np.ndarray, cap: Cap) -> list[np.ndarray]:
 
 
 def filter_rows(classes: DataFrame, caps: dict[int, Cap], names_only: bool = False) -> DataFrame:
-    """classes(rep, vector) -> a row for each filter: filter, rep, filters (those below it), vector; or filter alone, for counting."""
+    """classes(rep, size, vector) -> a row for each filter: filter, rep, size, filters (those below it), vector; or filter alone, for counting."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,9 +155,9 @@ def filter_rows(classes: DataFrame, caps: dict[int, Cap], names_only: bool = Fal
                         below = np.concatenate([f[np.tril_indices(len(f), -1)[1]] for f in names])
                         offsets = np.r_[0, np.cumsum(np.concatenate([np.arange(len(f)) for f in names]))]
                         lists = pa.ListArray.from_arrays(offsets.astype(np.int32), below.astype(np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int64)), rows.column("rep"), lists, rows.column("vector")], ["filter", "rep", "filters", "vector"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).astype(np.int64)), rows.column("rep"), rows.column("size"), lists, rows.column("vector")], ["filter", "rep", "size", "filters", "vector"])
 
-    return classes.select("rep", "vector").mapInArrow(run, "filter long" if names_only else f"filter long, rep long, filters array<long>, vector {vector_type(classes, 'vector')}")
+    return classes.select("rep", "size", "vector").mapInArrow(run, "filter long" if names_only else f"filter long, rep long, size long, filters array<long>, vector {vector_type(classes, 'vector')}")
 
 
 def in_blocks(rows: DataFrame, names: DataFrame) -> DataFrame:
@@ -166,50 +167,62 @@ def in_blocks(rows: DataFrame, names: DataFrame) -> DataFrame:
     own = rows.join(big, "filter", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = own.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return meets.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "rep", "filters", "vector")
+    return meets.select("filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "rep", "size", "filters", "vector")
+
+
+def _near(x: np.ndarray, cosine: float, across: np.ndarray | None) -> np.ndarray:
+    """Symmetric matrix: which rows link; across: the sides, where only rows of different ones may."""
+    norms = np.sqrt((x * x).sum(1))
+    near = (x @ x.T) / norms[:, None] / norms[None, :] >= cosine
+    near |= near.T
+    np.fill_diagonal(near, False)
+    return near if across is None else near & (across[:, None] != across[None, :])
+
+
+def _share_before(before: list[np.ndarray]) -> np.ndarray:
+    """Symmetric matrix: whose lists of numbers meet."""
+    n = len(before)
+    names, name = np.unique(np.concatenate(before), return_inverse=True)
+    of_row, shared = np.repeat(np.arange(n), [len(f) for f in before]), np.zeros((n, n), np.float32)
+    order = np.argsort(name, kind="stable")
+    name, of_row = name[order], of_row[order]
+    for k in range(0, len(names), AT_ONCE):
+        low, high = np.searchsorted(name, (k, k + AT_ONCE))
+        holds = np.zeros((n, min(AT_ONCE, len(names) - k)), np.float32)
+        holds[of_row[low:high], name[low:high] - k] = 1
+        shared += holds @ holds.T
+    return shared > 0
 
 
 def links(rows: DataFrame, cosine: float) -> DataFrame:
-    """a, b for pairs of classes that share a filter and reach the cosine."""
-
-    def within(i: int, j: int, side: np.ndarray, reps: np.ndarray, filters: pa.ListArray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        norms = np.sqrt((x * x).sum(1))
-        near = (x @ x.T) / norms[:, None] / norms[None, :] >= cosine
-        near &= (side[:, None] < side[None, :]) if i < j else np.triu(np.ones_like(near), 1)
-        a, b = np.nonzero(near)
-        if len(a):
-            involved, of = np.unique(np.r_[a, b], return_inverse=True)
-            before = [filters[at[k]].values.to_numpy() for k in involved]
-            names, name = np.unique(np.concatenate(before), return_inverse=True)
-            if len(names):
-                of_row, shared = np.repeat(np.arange(len(involved)), [len(x) for x in before]), np.zeros((len(involved), len(involved)), np.float32)
-                for k in range(0, len(names), AT_ONCE):
-                    now = (name >= k) & (name < k + AT_ONCE)
-                    holds = np.zeros((len(involved), min(AT_ONCE, len(names) - k)), np.float32)
-                    holds[of_row[now], name[now] - k] = 1
-                    shared += holds @ holds.T
-                first = shared[of[: len(a)], of[len(a) :]] == 0
-                a, b = a[first], b[first]
-        return reps[a], reps[b]
+    """rows in blocks -> rep, linked, low: how many vectors a class is told to be linked with here, and the smallest class that its links here reach. Each link counts in the first filter that its classes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in whole_groups(batches, ["filter", "i", "j"], 4096):
             ends = np.r_[starts[1:], table.num_rows]
-            i, j, side, reps = (table.column(c).to_numpy() for c in ("i", "j", "side", "rep"))
+            i, j, side, reps, counts = (table.column(c).to_numpy() for c in ("i", "j", "side", "rep", "size"))
             filters, vectors = table.column("filters").combine_chunks(), table.column("vector").combine_chunks()
             found = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
                 sizes = vectors[s:e].value_lengths().to_numpy()
                 for size in np.unique(sizes):
                     at = s + np.flatnonzero(sizes == size)
-                    if len(at) > 1:
-                        x = vectors_of(vectors.take(pa.array(at))).astype(np.float64)
-                        found.append(within(i[s], j[s], side[at], reps[at], filters, at, x))
+                    if len(at) < 2:
+                        continue
+                    near = _near(vectors_of(vectors.take(pa.array(at))).astype(np.float64), cosine, side[at] if i[s] < j[s] else None)
+                    some = np.flatnonzero(near.any(1))
+                    if not len(some):
+                        continue
+                    at, near = at[some], near[np.ix_(some, some)]
+                    near &= ~_share_before([filters[k].values.to_numpy() for k in at])
+                    linked = near.astype(np.float64) @ counts[at]
+                    told = np.flatnonzero(linked)
+                    if len(told):
+                        found.append((reps[at][told], linked[told].astype(np.int64), lowest(near, reps[at])[told]))
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["rep", "linked", "low"])
 
-    return dealt_by(rows, "filter", "i", "j").mapInArrow(run, "src long, dst long")
+    return dealt_by(rows, "filter", "i", "j").mapInArrow(run, "rep long, linked long, low long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -217,15 +230,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(vector_type(vectors, "embedding")).alias("vector"))
     usable = rows.where(usable_vector("vector") & F.col("vec_id").isNotNull())
     classes = checkpointed(usable.groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size")))
-    sizes = classes.groupBy(F.size("vector").alias("size")).count().collect()  # a row for each dimension
-    caps = {r["size"]: cap_for(r["size"], r["count"], cosine) for r in sizes}
+    dimensions = classes.groupBy(F.size("vector").alias("dimension")).count().collect()  # a row for each dimension
+    caps = {r["dimension"]: cap_for(r["dimension"], r["count"], cosine) for r in dimensions}
     found = checkpointed(links(in_blocks(filter_rows(classes, caps), filter_rows(classes, caps, names_only=True)), cosine))
-    both = found.unionByName(found.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    sizes = classes.select(F.col("rep").alias("dst"), "size")
-    linked = both.join(sizes, "dst").groupBy("src").agg(F.sum("size").alias("linked"))
-    components = connected_components(found)
+    linked = found.groupBy("rep").agg(F.sum("linked").alias("linked"))
+    components = connected_components(found.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
     told = (
-        classes.join(linked, F.col("rep") == F.col("src"), "left").join(components, F.col("rep") == F.col("node"), "left")
+        classes.join(linked, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
         .select("vector", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     seen = rows.withColumn("vector", F.when(usable_vector("vector") & F.col("vec_id").isNotNull(), F.col("vector")))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, read_table, text_key, text_or_empty, whole_groups
+from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, lowest, read_table, text_key, text_or_empty, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
 TREES, DEPTH, RECALL = 24, 10, 0.999
@@ -146,18 +146,6 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
 
 
-def _forest(near: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each document to the smallest of its component in the matrix."""
-    low = reps.copy()
-    while True:
-        new = np.minimum(low, np.where(near, low[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max))
-        if (new == low).all():
-            break
-        low = new
-    moved = low < reps
-    return reps[moved], low[moved]
-
-
 def verified(rows: DataFrame, similarity: float) -> DataFrame:
     """rows(cluster, i, j, side, rep, size, grams) -> rep, links to other classes' documents in this block, low (the smallest of its component there)."""
 
@@ -174,8 +162,7 @@ def verified(rows: DataFrame, similarity: float) -> DataFrame:
                 np.fill_diagonal(near, False)
                 if near.any():
                     linked = near.astype(np.float64) @ sizes[s:e]
-                    low = dict(zip(*_forest(near, reps[s:e])))
-                    out += [(r, int(x), low.get(r, r)) for r, x in zip(reps[s:e], linked) if x]
+                    out += [(r, int(x), m) for r, x, m in zip(reps[s:e], linked, lowest(near, reps[s:e])) if x]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], ["rep", "links", "low"])
 
