@@ -1,18 +1,22 @@
-"""Join of documents on the Jaccard similarity of their word n-grams, by MinHash and fixed banding.
+"""Join of documents on the Jaccard similarity of their word n-grams, by a MinHash LSH forest.
 
-A document's set holds the hashes of its runs of five words. Each of TREES bands is a run of MinHash values, hashed to one
-key; its length is computed once, before any data is read: the longest, of DEPTH at most, with which the expected share
-of pairs at the threshold that meet in some band reaches RECALL. Equal keys link documents to clusters, and within a
-cluster every pair is verified exactly on the sets.
+A document's set holds the hashes of its runs of five words. Each of TREES trees has a signature of DEPTH MinHash values,
+and sorting all documents by it lays the tree out as a sorted prefix trie: a node is a run of documents of equal first
+values. A document starts with its whole signature in every tree and shortens its matched prefixes step by step until
+the expected share of pairs at the threshold that meet it in some tree reaches RECALL. It shortens all trees alike where
+few share the next node; a node of more than DENSE documents (a passage that many share) keeps its longer prefix, and
+other trees shorten further to make up for it. What is there to be found doesn't steer this, only crowds do, so the
+recall holds. A pair meets in a tree if it shares the prefix that either of the two has come to.
 
-Equal texts are one class, compared once and never expanded to pairs. A cluster is dealt out in blocks; each pair of its
-blocks is a task's work, which returns counts and a spanning forest of the links, not the links. Rows therefore grow with
-documents, however large a group of near copies is, and no group is held in one task.
+Documents that meet are verified exactly on the sets. Documents are laid out in blocks, near ones side by side; only
+blocks that meet in some node are compared, each pair of blocks in a task of its own and with the documents that meet
+there, and it returns counts and a spanning forest of the links, not the links. Rows therefore grow with documents,
+however large a group of near copies is, and no group is held in one task. Equal texts are one class, compared once.
 
 Defined results: words are runs of word characters in lower case; a text of one to four words has one n-gram of them all;
 equal texts link, texts without words link with nothing else; null text is empty; rows without doc_id take no part and
-keep to themselves; repeated rows are documents of their own, equal to one another; an empty table gives an empty result;
-other columns don't matter; texts of any length are read whole.
+keep to themselves; repeated rows are documents of their own, equal to one another, and so are different texts of one
+doc_id; an empty table gives an empty result; other columns don't matter; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -29,14 +33,17 @@ from pyspark.sql import functions as F
 from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, lowest, read_table, text_key, text_or_empty, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
-TREES, DEPTH, RECALL = 24, 10, 0.999
-#: Documents of a block of a cluster; columns of a block's incidence matrix at a time; distinct words remembered.
-BLOCK, COLUMNS, CACHE = 256, 8_192, 100_000
+#: Values of a tree's signature, 16 bits each; the first SHORTEST make its head, the others its tail.
+TREES, DEPTH, SHORTEST, RECALL = 24, 8, 4, 0.999
+#: A node of more documents is a crowd; rows of a trie that are looked at together, for counting its nodes.
+DENSE, AT_ONCE = 64, 20_000
+#: Documents of a block; columns of a block's incidence matrix at a time, and from how many documents on a column is dense; distinct words remembered.
+BLOCK, COLUMNS, FULL, CACHE = 256, 8_192, 16, 100_000
 SEED = 97
 
 
 def prefix_length(similarity: float = SIMILARITY, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix with which pairs at the similarity meet in some tree as often as wanted."""
+    """The longest prefix with which pairs at the similarity meet in some tree as often as wanted, if all trees have it."""
     return next((d for d in range(depth, 1, -1) if 1 - (1 - similarity**d) ** trees >= recall), 1)
 
 
@@ -73,29 +80,28 @@ def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def prefixes(sets: list[np.ndarray], trees: int, depth: int) -> np.ndarray:
-    """One 64-bit key for each set (row) and tree: the hash of the tree's first values of the signature. Sets aren't empty."""
+def signatures(sets: list[np.ndarray], trees: int) -> tuple[np.ndarray, np.ndarray]:
+    """Heads and tails (64 bits each) of each set (row) and tree. Sets aren't empty."""
     rng = np.random.default_rng([SEED, trees])
     xor = rng.integers(0, 2**32, (trees, DEPTH), np.uint32)
     odd = rng.integers(0, 2**31, (trees, DEPTH), np.uint32) * np.uint32(2) + np.uint32(1)
     x = np.concatenate(sets)
     low = (x ^ (x >> np.uint64(32))).astype(np.uint32)
     starts = np.cumsum([0, *map(len, sets)])[:-1]
-    out = np.zeros((len(sets), trees), np.uint64)
+    out = np.zeros((2, len(sets), trees), np.uint64)
     for t in range(trees):
-        key = np.full(len(sets), t, np.uint64)
-        for k in range(depth):
+        for k in range(DEPTH):
             v = (low ^ xor[t, k]) * odd[t, k]
             v ^= v >> np.uint32(15)
             v *= np.uint32(0x2C1B3C6D)
-            key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(v, starts))
-        out[:, t] = key
-    return out.view(np.int64)
+            value = _mixed(np.minimum.reduceat(v, starts).astype(np.uint64)) & np.uint64(0xFFFF)
+            part = out[k // SHORTEST, :, t]
+            part[:] = (part << np.uint64(16)) | value
+    return out[0].view(np.int64), out[1].view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, key of the text, prefixes array<long> (empty without words)."""
-    depth = prefix_length()
+    """docs(doc_id, text) -> doc_id, key of the text, heads and tails array<long>, one of each tree (empty without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,25 +111,129 @@ def signed(docs: DataFrame) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 counts = np.zeros(len(sets), np.int32)
                 counts[full] = TREES
-                keys = prefixes([sets[i] for i in full], TREES, depth).ravel() if full else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), keys)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), lists], ["doc_id", "key", "prefixes"])
+                both = signatures([sets[i] for i in full], TREES) if full else (np.zeros(0, np.int64),) * 2
+                lists = [pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), v.ravel()) for v in both]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), *lists], ["doc_id", "key", "heads", "tails"])
 
     rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return bounded_batches(rows).mapInArrow(run, "doc_id long, key binary, prefixes array<long>")
+    return bounded_batches(rows).mapInArrow(run, "doc_id long, key binary, heads array<long>, tails array<long>")
+
+
+LEVELS = range(SHORTEST, DEPTH + 1)
+TRIE_ROW = "node long, tree int, head long, tail long, " + ", ".join(f"n{d} int" for d in LEVELS)
+
+
+def tries(classes: DataFrame) -> DataFrame:
+    """classes(node, heads, tails) -> a row for each tree in which a class shares its head: node, tree, head, tail, and how many share its first 4, ..., 8 values.
+
+    The rows of all trees are sorted and counted in runs. Runs are counted in what is looked at together, so numbers
+    above that or across its edges are low; they steer what crowds cost, not what is found, and a row at an edge stays.
+    """
+
+    def counted(table: pa.Table) -> pa.RecordBatch | None:
+        tree, head, tail = (table.column(c).to_numpy() for c in ("tree", "head", "tail"))
+        n, tail = len(tree), tail.view(np.uint64)
+        new, counts = np.r_[True, (tree[1:] != tree[:-1]) | (head[1:] != head[:-1])], []
+        for d in LEVELS:
+            shift = np.uint64(16 * (DEPTH - d))
+            prefix = tail >> shift if d > SHORTEST else np.zeros(n, np.uint64)
+            starts = np.flatnonzero(new | np.r_[True, prefix[1:] != prefix[:-1]])
+            sizes = np.diff(np.r_[starts, n])
+            counts.append(np.repeat(sizes, sizes).astype(np.int32))
+        shared = counts[0] > 1
+        shared[[0, -1]] = True
+        at = pa.array(np.flatnonzero(shared))
+        columns = [table.column(c).combine_chunks().take(at) for c in ("node", "tree", "head", "tail")]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(c[shared]) for c in counts)], ["node", "tree", "head", "tail", *(f"n{d}" for d in LEVELS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= AT_ONCE:
+                yield counted(pa.Table.from_batches(held))
+                held, rows = [], 0
+        if held:
+            yield counted(pa.Table.from_batches(held))
+
+    one = F.posexplode(F.arrays_zip("heads", "tails")).alias("tree", "v")
+    rows = classes.select("node", one).select("node", "tree", F.col("v.heads").alias("head"), F.col("v.tails").alias("tail"))
+    order = ["tree", "head", "tail", "node"]
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, TRIE_ROW)
+
+
+def shortened(counts: np.ndarray, similarity: float, recall: float = RECALL) -> np.ndarray:
+    """Depth of each document's (row's) prefix in each tree; counts[row, tree, level] tell how many share its first values."""
+    n, trees = counts.shape[:2]
+    depth, gain = np.full((n, trees), DEPTH), np.log1p(-(similarity ** np.arange(DEPTH + 1)))
+    row, tree = np.arange(n)[:, None], np.arange(trees)[None]
+    while True:
+        short = gain[depth].sum(1) > np.log1p(-recall)
+        able = (depth > SHORTEST) & short[:, None]
+        if not able.any():
+            return depth
+        crowd = counts[row, tree, np.maximum(depth - 1 - SHORTEST, 0)]
+        free = able & (crowd <= DENSE)
+        deepest = np.where(free, depth, 0).max(1)
+        depth[free & (depth == deepest[:, None])] -= 1
+        stuck = able.any(1) & ~free.any(1)  # the smallest crowd gives way
+        if stuck.any():
+            at = np.flatnonzero(stuck)
+            depth[at, np.where(able, crowd, np.iinfo(np.int64).max)[at].argmin(1)] -= 1
+
+
+def met(tried: DataFrame, similarity: float) -> DataFrame:
+    """A row for each class that shares a head: node, low (of the names below that it has come to, the smallest), names of trie nodes, and whether it has come to each; it may be met in the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                rows, n = part.column("rows"), part.num_rows
+                owner = np.repeat(np.arange(n), rows.value_lengths().to_numpy())
+                flat = rows.flatten()
+                tree, head, tail = (flat.field(c).to_numpy() for c in ("tree", "head", "tail"))
+                counts = np.ones((n, TREES, len(LEVELS)), np.int64)
+                for level, d in enumerate(LEVELS):
+                    counts[owner, tree, level] = flat.field(f"n{d}").to_numpy()
+                depth = shortened(counts, similarity)[owner, tree]
+                times = depth - SHORTEST + 1
+                at = np.repeat(np.arange(len(owner)), times)
+                d = SHORTEST + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                prefix = np.where(d > SHORTEST, tail[at].view(np.uint64) >> (16 * (DEPTH - np.maximum(d, SHORTEST + 1))).astype(np.uint64), np.uint64(0))
+                names = _mixed(_mixed(head[at].view(np.uint64) + (tree[at] * 16 + d).astype(np.uint64)) + prefix).view(np.int64)
+                asks = d == depth[at]
+                sizes = np.bincount(owner[at], minlength=n)
+                starts = np.r_[0, np.cumsum(sizes)]
+                low = np.minimum.reduceat(np.where(asks, names, np.iinfo(np.int64).max), starts[:-1])
+                lists = [pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(v)) for v in (names, asks)]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(low), *lists], ["node", "low", "names", "asks"])
+
+    by_node = tried.groupBy("node").agg(F.collect_list(F.struct(*[c for c in tried.columns if c != "node"])).alias("rows"))
+    return by_node.mapInArrow(run, "node long, low long, names array<long>, asks array<boolean>")
+
+
+def blocks_that_meet(placed: DataFrame) -> DataFrame:
+    """placed(node, block, names, asks) -> node, i, j, side: a row for each pair of blocks (i <= j) of which one is the class's own and the other has a class that meets it."""
+    named = placed.select("node", "block", F.explode(F.arrays_zip("names", "asks")).alias("v")).select("node", "block", F.col("v.names").alias("name"), F.col("v.asks").alias("asks"))
+    shared = named.groupBy("name").agg(F.max("asks").alias("asked"), F.count("*").alias("n"), F.collect_set("block").alias("blocks")).where("asked AND n > 1")
+    pairs = named.select("node", "block", "name").join(shared.select("name", "blocks"), "name").select("node", "block", F.explode("blocks").alias("other")).distinct()
+    return pairs.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
-    """rows(cluster, rep, size, text) with grams binary, in place of the text."""
+    """rows(node, size, text) with grams binary, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 grams = pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("cluster", "rep", "size")), grams], ["cluster", "rep", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), grams], ["node", "size", "grams"])
 
-    return rows.select("cluster", "rep", "size", "text").mapInArrow(run, "cluster long, rep long, size long, grams binary")
+    return rows.select("node", "size", "text").mapInArrow(run, "node long, size long, grams binary")
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -137,21 +247,29 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     row, column = row[keep], number[at[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    common = np.zeros((n, n), np.float32)
-    for low in range(0, int(shared.sum()), COLUMNS):
-        a, b = np.searchsorted(column, (low, low + COLUMNS))
-        holds = np.zeros((n, COLUMNS), np.float32)
-        holds[row[a:b], column[a:b] - low] = 1
+    common, of = np.zeros((n, n), np.float32), np.bincount(column, minlength=1)
+    full = of[column] > FULL
+    dense, at, now = row[full], (np.cumsum(of > FULL) - 1)[column[full]], int((of > FULL).sum())
+    for low in range(0, now, COLUMNS):
+        a, b = np.searchsorted(at, (low, low + COLUMNS))
+        holds = np.zeros((n, min(COLUMNS, now - low)), np.float32)
+        holds[dense[a:b], at[a:b] - low] = 1
         common += holds @ holds.T
+    row, column = row[~full], column[~full]
+    for k in range(1, FULL):  # pairs of the few documents of a column
+        same = column[k:] == column[:-k]
+        common += np.bincount(row[:-k][same] * n + row[k:][same], minlength=n * n).reshape(n, n)
+        common += np.bincount(row[k:][same] * n + row[:-k][same], minlength=n * n).reshape(n, n)
+    np.fill_diagonal(common, sizes)
     return common >= similarity * (sizes[:, None] + sizes[None, :] - common) - 1e-6
 
 
 def verified(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows(cluster, i, j, side, rep, size, grams) -> rep, links to other classes' documents in this block, low (the smallest of its component there)."""
+    """rows(i, j, side, node, size, grams) -> node, links to documents of other classes in these blocks, low (the smallest of its component there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["cluster", "i", "j"], 512):
-            i, j, side, reps, sizes = (table.column(c).to_numpy() for c in ("i", "j", "side", "rep", "size"))
+        for table, starts in whole_groups(batches, ["i", "j"], 512):
+            i, j, side, nodes, sizes = (table.column(c).to_numpy() for c in ("i", "j", "side", "node", "size"))
             grams, out = table.column("grams"), []
             for s, e in zip(starts, np.r_[starts[1:], table.num_rows]):
                 if e - s < 2:
@@ -162,20 +280,11 @@ def verified(rows: DataFrame, similarity: float) -> DataFrame:
                 np.fill_diagonal(near, False)
                 if near.any():
                     linked = near.astype(np.float64) @ sizes[s:e]
-                    out += [(r, int(x), m) for r, x, m in zip(reps[s:e], linked, lowest(near, reps[s:e])) if x]
+                    out += [(r, int(x), m) for r, x, m in zip(nodes[s:e], linked, lowest(near, nodes[s:e])) if x]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], ["rep", "links", "low"])
-
-    return dealt_by(rows, "cluster", "i", "j").mapInArrow(run, "rep long, links long, low long")
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], ["node", "links", "low"])
 
-def in_blocks(rows: DataFrame) -> DataFrame:
-    """Each row once for every pair of blocks of its cluster that has its own."""
-    sizes = rows.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    own = rows.join(sizes, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = own.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    meets = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return meets.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("side"), "rep", "size", "grams")
+    return dealt_by(rows, "i", "j").mapInArrow(run, "node long, links long, low long")
 
 
 def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,22 +292,21 @@ def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = checkpointed(signed(docs))
     known = keyed.where(F.col("doc_id").isNotNull())
-    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("prefixes").alias("prefixes"))
-    classes = checkpointed(classes)
-    nodes = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
-    lowest = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = nodes.join(lowest, ["tree", "prefix"]).where(F.col("rep") != F.col("low")).select(F.col("rep").alias("src"), F.col("low").alias("dst")).distinct()
-    clusters = connected_components(edges)
-    wanted = clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    reps = classes.select(F.col("rep").alias("doc_id"), "size").join(wanted, "doc_id")
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(reps, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "rep")
-    told = checkpointed(verified(in_blocks(checkpointed(_with_sets(texts))), similarity))
-    linked = told.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(told.select(F.col("rep").alias("src"), F.col("low").alias("dst")))
-    of_class = (
-        classes.select("key", "rep", "size").join(linked, "rep", "left").join(components, F.col("rep") == F.col("node"), "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("rep").alias("copy_id"), F.coalesce("component", "rep").alias("class_id"))
-    )
+    classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("heads", "tails")])
+    classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
+    order = met(tries(classes), similarity).repartitionByRange("low", "node").sortWithinPartitions("low", "node")
+    placed = checkpointed(order.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")))
+    meets = checkpointed(blocks_that_meet(placed.drop("low")))
+    wanted = classes.join(meets.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "key", "node", "size")
+    keyed_texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("key", text_key(F.col("text")))
+    texts = keyed_texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["node"])
+    told = checkpointed(verified(meets.join(_with_sets(texts), "node"), similarity))
+    linked = told.groupBy("node").agg(F.sum("links").alias("links"))
+    components = connected_components(told.select(F.col("node").alias("src"), F.col("low").alias("dst"))).withColumnRenamed("component", "group")
+    grouped = classes.select("node", "key", "rep", "size").join(linked, "node", "left").join(components, "node", "left")
+    grouped = grouped.withColumn("group", F.coalesce("group", "node"))
+    smallest = grouped.groupBy("group").agg(F.min("rep").alias("class_id"))
+    of_class = grouped.join(smallest, "group").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "class_id")
     known = known.select("doc_id", "key").join(of_class, "key").drop("key").withColumn("kept", F.col("doc_id") == F.col("class_id"))
     nothing = keyed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return known.unionByName(nothing)
