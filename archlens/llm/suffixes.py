@@ -14,7 +14,7 @@ segment, and only a segment whose hash stands in another one, or in itself again
 3. A hash with more than HOT contents (a passage that very many documents share) would make too large a shard: its
    contents are cut into segments anew, by the smallest hash of longer strings, which few of them share, and so on with
    strings ever closer to a window's length. At one byte less there are few different contents under a hash, since a
-   segment is at most a few windows long or cut into equal pieces (PIECES), so every shard stays small.
+   segment is a few windows long or a run of few letters, which is cut into pieces that runs share, so shards stay small.
 
 Equal texts are one text with one set of marks. Python sees at most PIECE bytes of texts, or a shard's groups, at a time.
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from archlens.llm.common import bounded_batches, checkpointed, dealt_by, read_table, text_key, text_or_empty, whole_groups
 
 LENGTH, HOT, PIECE = 400, 800, 1 << 19
-#: Windows of a segment at most, in lengths of a window; longer ones are cut, so that long runs of few letters become equal pieces.
-PIECES = 4
+#: Windows of a piece of a run at most: the power of two at a window's length, doubled so often.
+PIECES = 1
 #: Texts whose copies a task remembers at a time.
 TOLD = 100_000
 _NULL = "_text_is_null"
@@ -93,6 +93,19 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
+def _pieces(windows: int, length: int) -> list[int]:
+    """A segment of more windows than have its string in common repeats it: such runs are cut into powers of two, small ones at both ends, so that runs of other lengths share pieces."""
+    sizes, size, rest = [], 1, windows
+    while 2 * (windows - rest + size) <= windows:
+        sizes.append(size)
+        rest, size = rest - size, min(2 * size, 1 << PIECES + length.bit_length() - 1)
+    while rest:
+        size = min(size, 1 << rest.bit_length() - 1)
+        sizes.append(size)
+        rest -= size
+    return sizes
+
+
 def segments_of(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[np.ndarray, ...]:
     """For texts laid end to end: text, start within data, length, hash and content of each segment, and whether its hash stands in it more than once."""
     flat = np.frombuffer(data, np.uint8)
@@ -108,10 +121,11 @@ def segments_of(data: bytes, sizes: list[int], length: int, gram: int) -> tuple[
     if not len(starts):
         return (np.zeros(0, np.int64),) * 6
     windows = np.flatnonzero(valid & np.r_[new[1:] | ~valid[1:], True]) + 1 - starts
-    parts = -(-windows // (PIECES * length))
-    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-    starts = np.repeat(starts, parts) + number * PIECES * length
-    ends = starts + np.minimum(PIECES * length, np.repeat(windows, parts) - number * PIECES * length) + length - 1
+    if (windows > w).any():
+        cuts = [_pieces(n, length) if n > w else [n] for n in windows.tolist()]
+        windows = np.array([n for c in cuts for n in c])
+        starts = np.concatenate([s + np.cumsum([0, *c[:-1]]) for s, c in zip(starts.tolist(), cuts)])
+    ends = starts + windows + length - 1
     view, digest = memoryview(data), xxhash.xxh3_64_intdigest
     content = np.fromiter((digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
     around = np.full(len(low) + 2 * (w - 1), np.iinfo(np.uint64).max, np.uint64)
