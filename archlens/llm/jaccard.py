@@ -8,10 +8,10 @@ few share the next node; a node of more than DENSE documents (a passage that man
 other trees shorten further to make up for it. What is there to be found doesn't steer this, only crowds do, so the
 recall holds. A pair meets in a tree if it shares the prefix that either of the two has come to.
 
-Documents that meet are verified exactly on the sets. Documents are laid out in blocks, near ones side by side; only
-blocks that meet in some node are compared, each pair of blocks in a task of its own and with the documents that meet
-there, and it returns counts and a spanning forest of the links, not the links. Rows therefore grow with documents,
-however large a group of near copies is, and no group is held in one task. Equal texts are one class, compared once.
+Documents that meet are verified exactly on the sets. They are laid out in blocks, those of a cluster (all that chains
+of meetings reach) side by side; only blocks that have a trie node in common are compared, each pair of blocks on its
+own, and a comparison returns counts and a spanning forest of the links, not the links. Rows therefore grow with
+documents, however large a group of near copies is, and no group is held in one task. Equal texts are one class.
 
 Defined results: words are runs of word characters in lower case; a text of one to four words has one n-gram of them all;
 equal texts link, texts without words link with nothing else; null text is empty; rows without doc_id take no part and
@@ -215,25 +215,48 @@ def met(tried: DataFrame, similarity: float) -> DataFrame:
     return by_node.mapInArrow(run, "node long, low long, names array<long>, asks array<boolean>")
 
 
+def _named(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, F.explode(F.arrays_zip("names", "asks")).alias("v")).select(*columns, F.col("v.names").alias("name"), F.col("v.asks").alias("asks"))
+
+
+def clustered(meeting: DataFrame) -> DataFrame:
+    """met's rows of classes that meet another, with cluster (all that chains of meetings reach) and block: BLOCK neighbours in the order of clusters and low names."""
+    named = _named(meeting, "node")
+    shared = named.groupBy("name").agg(F.max("asks").alias("asked"), F.min("node").alias("first"), F.max("node").alias("last")).where("asked AND first < last")
+    edges = named.join(shared.select("name", "first"), "name").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst")).distinct()
+    clusters = connected_components(edges).withColumnRenamed("component", "cluster")
+    order = meeting.join(clusters, "node").repartitionByRange("cluster", "low", "node").sortWithinPartitions("cluster", "low", "node")
+    return checkpointed(order.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")))
+
+
 def blocks_that_meet(placed: DataFrame) -> DataFrame:
-    """placed(node, block, names, asks) -> node, i, j, side: a row for each pair of blocks (i <= j) of which one is the class's own and the other has a class that meets it."""
-    named = placed.select("node", "block", F.explode(F.arrays_zip("names", "asks")).alias("v")).select("node", "block", F.col("v.names").alias("name"), F.col("v.asks").alias("asks"))
-    shared = named.groupBy("name").agg(F.max("asks").alias("asked"), F.count("*").alias("n"), F.collect_set("block").alias("blocks")).where("asked AND n > 1")
-    pairs = named.select("node", "block", "name").join(shared.select("name", "blocks"), "name").select("node", "block", F.explode("blocks").alias("other")).distinct()
-    return pairs.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).alias("side"))
+    """placed(cluster, block, names, asks) -> cluster, i, j: blocks (i <= j) that have a trie node of the cluster in common. A row of a node has no more blocks than a cluster does."""
+    shared = _named(placed, "cluster", "block").groupBy("cluster", "name").agg(F.max("asks").alias("asked"), F.collect_set("block").alias("blocks")).where("asked")
+    sets = shared.select("cluster", F.sort_array("blocks").alias("blocks")).distinct()
+    firsts = sets.select("cluster", "blocks", F.posexplode("blocks").alias("at", "i"))
+    return firsts.select("cluster", "i", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("j")).distinct()
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
-    """rows(node, size, text) with grams binary, in place of the text."""
+    """rows(node, cluster, block, size, text) with grams binary, in place of the text."""
+    names = ["node", "cluster", "block", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 grams = pa.array([s.tobytes() for s in shingle_sets(part.column("text").to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("size"), grams], ["node", "size", "grams"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), grams], [*names, "grams"])
+
+    return rows.select(*names, "text").mapInArrow(run, "node long, cluster long, block long, size long, grams binary")
+
 
-    return rows.select("node", "size", "text").mapInArrow(run, "node long, size long, grams binary")
+def in_pairs(rows: DataFrame, meet: DataFrame) -> DataFrame:
+    """Each row once for every pair of blocks that has its own and meets in its cluster."""
+    both = meet.select("cluster", F.col("i").alias("block"), "i", "j").unionByName(meet.where("i < j").select("cluster", F.col("j").alias("block"), "i", "j"))
+    pairs = both.groupBy("cluster", "block").agg(F.collect_list(F.struct("i", "j")).alias("pairs"))  # as many as a cluster has blocks
+    joined = rows.join(pairs, ["cluster", "block"])
+    return joined.select("cluster", "block", "node", "size", "grams", F.explode("pairs").alias("p")).select("cluster", "p.i", "p.j", (F.col("block") > F.col("p.i")).alias("side"), "node", "size", "grams")
 
 
 def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -265,10 +288,10 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def verified(rows: DataFrame, similarity: float) -> DataFrame:
-    """rows(i, j, side, node, size, grams) -> node, links to documents of other classes in these blocks, low (the smallest of its component there)."""
+    """rows(cluster, i, j, side, node, size, grams) -> node, links to documents of other classes in these blocks, low (the smallest of its component there)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in whole_groups(batches, ["i", "j"], 512):
+        for table, starts in whole_groups(batches, ["cluster", "i", "j"], 512):
             i, j, side, nodes, sizes = (table.column(c).to_numpy() for c in ("i", "j", "side", "node", "size"))
             grams, out = table.column("grams"), []
             for s, e in zip(starts, np.r_[starts[1:], table.num_rows]):
@@ -284,7 +307,7 @@ def verified(rows: DataFrame, similarity: float) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in zip(*out)], ["node", "links", "low"])
 
-    return dealt_by(rows, "i", "j").mapInArrow(run, "node long, links long, low long")
+    return dealt_by(rows, "cluster", "i", "j").mapInArrow(run, "node long, links long, low long")
 
 
 def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -294,13 +317,12 @@ def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     known = keyed.where(F.col("doc_id").isNotNull())
     classes = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), *[F.first(c).alias(c) for c in ("heads", "tails")])
     classes = checkpointed(classes.withColumn("node", F.monotonically_increasing_id()))
-    order = met(tries(classes), similarity).repartitionByRange("low", "node").sortWithinPartitions("low", "node")
-    placed = checkpointed(order.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")))
-    meets = checkpointed(blocks_that_meet(placed.drop("low")))
-    wanted = classes.join(meets.select("node").distinct(), "node").select(F.col("rep").alias("doc_id"), "key", "node", "size")
+    placed = clustered(checkpointed(met(tries(classes), similarity)))
+    meet = blocks_that_meet(placed)
+    wanted = classes.join(placed.select("node", "cluster", "block"), "node").select(F.col("rep").alias("doc_id"), "key", "node", "cluster", "block", "size")
     keyed_texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("key", text_key(F.col("text")))
     texts = keyed_texts.join(wanted, ["doc_id", "key"]).dropDuplicates(["node"])
-    told = checkpointed(verified(meets.join(_with_sets(texts), "node"), similarity))
+    told = checkpointed(verified(in_pairs(_with_sets(texts), meet), similarity))
     linked = told.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(told.select(F.col("node").alias("src"), F.col("low").alias("dst"))).withColumnRenamed("component", "group")
     grouped = classes.select("node", "key", "rep", "size").join(linked, "node", "left").join(components, "node", "left")
