@@ -1,14 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled text, one of ordinary and one of toxic text. Both start from content
-trained on ordinary windows, so that they differ by what marks toxic text: the runs of byte n-grams whose document
-frequencies differ significantly between the classes, which the ordinary windows chosen don't hold. Every window of a text is compressed with both; the difference of
-the lengths in bytes tells which class it is closer to. A text's windows at or above each of several differences are
-counted, and a logistic model of those counts and the number of windows, fitted on texts that its dictionaries haven't
-seen (two folds), calibrates them to a probability.
+Two zstandard dictionaries are trained on labelled text, one on windows of toxic and one on windows of ordinary text.
+Most of a toxic text is like any other, so the contrast decides which windows train: toxic ones are where byte n-grams
+stand whose document frequencies differ significantly between the classes, less windows that both classes share;
+ordinary ones hold none of these n-grams. The ordinary content is part of both, so that they differ by what marks toxic text. Every window of a text is compressed with both;
+the difference of the lengths in bytes tells which class it is closer to. A text's windows at or above each of several
+differences are counted, and a logistic model of those counts and the number of windows, fitted on texts that its
+dictionaries haven't seen (two folds), calibrates them to a probability.
 
 Only fitting uses labels, and only a bounded sample of labelled texts reaches the driver: SAMPLE texts of each class at
-most, those of the lowest hash, each no longer than SAMPLE_CHARS. Scoring reads every whole text, in tasks.
+most, those of the lowest hash among those no longer than SAMPLE_CHARS; n-grams are counted in a table of fixed size, and
+WINDOWS ordinary windows at most train. Scoring reads every whole text, in tasks.
 
 Defined results: null text is empty; an empty text is scored like any other, as one empty window; equal texts have equal
 scores; without labelled texts of both classes every score is 0; other columns never matter.
@@ -18,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +36,10 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 WINDOW, STEP, GRAM, LONG_GRAM = 48, 32, 6, 24
 #: A run of n-grams is toxic if each has at least this G-squared (1 degree of freedom), stands in at least this share of toxic texts, and so many times as often in them as in ordinary ones.
 SIGNIFICANT, SUPPORT, RATIO = 25.0, 0.02, 3.0
-ORDINARY_BYTES, TOXIC_BYTES = 12_000, 8_000
+#: Sizes of the dictionaries' content, and of the segments that training picks for each; few bytes keep the toxic one to what recurs.
+ORDINARY_BYTES, ORDINARY_SEGMENT, TOXIC_BYTES, TOXIC_SEGMENT = 12_000, 64, 4_000, 40
+#: Bytes on either side of a marked run that its window has at most, ordinary windows that train at most, and the power of two of counters for n-grams.
+AROUND, WINDOWS, COUNTERS = 24, 200_000, 22
 LEVELS = (1, 2, 3, 4, 5, 6, 8)
 THRESHOLD = 0.7
 
@@ -82,7 +86,7 @@ class Model:
         diff, counts = self.differences(texts)
         first = np.cumsum(counts) - counts
         hits = np.stack([np.add.reduceat((diff >= k).astype(np.int64), first) for k in LEVELS], 1)
-        return np.column_stack([np.log1p(hits), np.log(counts), np.clip(np.maximum.reduceat(diff, first), 0, 12)])
+        return np.column_stack([np.log1p(hits), hits / np.sqrt(counts)[:, None], np.log(counts), np.clip(np.maximum.reduceat(diff, first), 0, 12)])
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not texts or self.weights is None:
@@ -109,55 +113,83 @@ def _sizes(compressor: zstd.ZstdCompressor, data: bytes, segments: bytes, n: int
     return np.fromiter((len(out[i]) for i in range(n)), np.int64, n)
 
 
-def _grams(text: bytes) -> set[bytes]:
-    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+def _hashes(text: bytes, size: int) -> np.ndarray:
+    """64-bit hashes of all n-grams."""
+    data = np.frombuffer(text, np.uint8).astype(np.uint64)
+    h = np.zeros(max(0, len(data) - size + 1), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x100000001B3) + data[k : k + len(h)]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def _g_squared(a: int, n: int, b: int, m: int) -> float:
+def _counters(text: bytes) -> np.ndarray:
+    return (_hashes(text, GRAM) >> np.uint64(64 - COUNTERS)).astype(np.int64)
+
+
+def _frequencies(texts: list[bytes]) -> np.ndarray:
+    counts = np.zeros(1 << COUNTERS, np.int32)
+    for t in texts:
+        counts[np.unique(_counters(t))] += 1
+    return counts
+
+
+def _g_squared(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
     """Of a in n texts of one class against b in m of the other."""
-    p = (a + b) / (n + m)
-    return 2 * sum(x * math.log(x / e) for k, of in ((a, n), (b, m)) for x, e in ((k, of * p), (of - k, of * (1 - p))) if x)
+    p, out = (a + b) / (n + m), np.zeros(len(a))
+    for k, of in ((a, n), (b, m)):
+        for x, e in ((k, of * p), (of - k, of * (1 - p))):
+            out += np.where(x > 0, 2 * x * np.log(np.maximum(x, 1) / np.maximum(e, 1e-300)), 0)
+    return out
 
 
-def _whole_words(text: bytes, start: int, stop: int, least: int = GRAM - 2, most: int = 24) -> Iterator[bytes]:
-    """The words that the run has some bytes of, each with what is left of it, up to some bytes, and a space on either side."""
-    for low, high in [m.span() for m in re.finditer(rb"\S+", text[start:stop])]:
-        low, high = start + low, start + high
-        if high - low >= least:
-            first, last = low, high
-            while low > 0 and first - low < most and not text[low - 1 : low].isspace():
-                low -= 1
-            while high < len(text) and high - last < most and not text[high : high + 1].isspace():
-                high += 1
-            yield b" " + text[low:high] + b" "
+def _marks(toxic: list[bytes], ordinary: list[bytes]) -> np.ndarray:
+    """Which counters' n-grams mark toxic texts."""
+    a, b, n, m = _frequencies(toxic), _frequencies(ordinary), len(toxic), len(ordinary)
+    able = np.flatnonzero((a >= max(3, SUPPORT * n)) & (a.astype(np.int64) * m > RATIO * b * n))
+    marks = np.zeros(1 << COUNTERS, bool)
+    marks[able[_g_squared(a[able].astype(float), n, b[able].astype(float), m) >= SIGNIFICANT]] = True
+    return marks
+
+
+def _marked_windows(text: bytes, marks: np.ndarray) -> list[bytes]:
+    """Where runs of marked n-grams stand: each word that the run has some bytes of, with AROUND bytes beyond the run at most, and a space on either side."""
+    edge, out = np.diff(np.r_[0, marks[_counters(text)].astype(np.int8), 0]), []
+    for i, j in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + GRAM - 1).tolist()):
+        for low, high in [(i + m.start(), i + m.end()) for m in re.finditer(rb"\S+", text[i:j])]:
+            if high - low >= GRAM - 2:
+                before, after = text[max(0, low - AROUND) : low].split(), text[high : high + AROUND].split()
+                head = before[-1] if before and not text[low - 1 : low].isspace() else b""
+                tail = after[0] if after and not text[high : high + 1].isspace() else b""
+                out.append(b" " + head + text[low:high] + tail + b" ")
+    return out
 
 
-def make_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    in_toxic, in_ordinary = Counter(), Counter()
-    for counter, texts in ((in_toxic, toxic), (in_ordinary, ordinary)):
-        for t in texts:
-            counter.update(_grams(t))
-    n, m = len(toxic), len(ordinary)
-    marks = {g for g, a in in_toxic.items() if a >= max(3, SUPPORT * n) and a * m > RATIO * in_ordinary[g] * n and _g_squared(a, n, in_ordinary[g], m) >= SIGNIFICANT}
-    runs = Counter()
-    for t in toxic:
-        found, i = set(), 0
-        while i <= len(t) - GRAM:
-            j = i
-            while j <= len(t) - GRAM and t[j : j + GRAM] in marks:
-                j += 1
-            if j > i:
-                found.update(_whole_words(t, i, j + GRAM - 1))
-            i = j + 1
-        runs.update(found)
-    usual = Counter(b" " + w + b" " for t in ordinary for w in set(t.split()))  # a mark may lie in a usual word
-    frequent = [r for r, k in sorted(runs.items(), key=lambda x: (x[1], x[0])) if k >= 2 and k * m > RATIO * usual[r] * n]
-    windows = [w for t in ordinary for i in range(0, len(t), WINDOW) if marks.isdisjoint(_grams(w := t[i : i + WINDOW]))]
+def _telling_windows(toxic: list[bytes], ordinary: list[bytes], marks: np.ndarray) -> list[bytes]:
+    """Marked windows less those that both classes share."""
+    windows = [_marked_windows(t, marks) for t in toxic]
+    of_toxic = Counter(w for own in windows for w in set(own))
+    of_ordinary = Counter(w for t in ordinary for x in set(t.split()) if (w := b" " + x + b" ") in of_toxic)
+    able = {w for w, k in of_toxic.items() if k >= 2 and k * len(ordinary) > RATIO * of_ordinary[w] * len(toxic)}
+    return [w for own in windows for w in own if w in able]
+
+
+def _trained(windows: list[bytes], size: int, segment: int) -> bytes:
     try:
-        base = zstd.train_dictionary(ORDINARY_BYTES + 4096, windows, k=64, d=6).as_bytes()[-ORDINARY_BYTES:]
+        return zstd.train_dictionary(size + 4096, windows, k=segment, d=GRAM).as_bytes()[-size:]
     except zstd.ZstdError:  # too few windows to choose from
-        base = b"".join(windows)[-ORDINARY_BYTES:]
-    return Model(base or b"-" * 8, b"".join(frequent)[-TOXIC_BYTES:] + base or b"-" * 8)  # what both hold lies equally far back in both
+        return b"".join(windows)[-size:]
+
+
+def make_dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> Model:
+    marks = _marks(toxic, ordinary)
+    starts = [(t, i) for t in ordinary for i in range(0, len(t), WINDOW)]
+    plain = [w for t, i in starts[:: -(-len(starts) // WINDOWS) or 1] if len(w := t[i : i + WINDOW]) > GRAM and not marks[_counters(w)].any()]
+    base = _trained(plain, ORDINARY_BYTES, ORDINARY_SEGMENT)
+    telling = _telling_windows(toxic, ordinary, marks)
+    marked = _trained([a + b for a, b in zip(telling, telling[1:] + telling[:1])], TOXIC_BYTES, TOXIC_SEGMENT)  # pairs, so that segments hold whole windows
+    return Model(base or b"-" * 8, marked + base or b"-" * 8)  # what both hold lies equally far back in both
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -177,8 +209,8 @@ def _unlike(texts: list[bytes]) -> list[bytes]:
     """One of each group of copies and near copies, told by the smallest hashes of their long n-grams: else a copied text's words would count as often as it does."""
     seen, out = set(), []
     for t in texts:
-        hashes = {zlib.crc32(t[i : i + LONG_GRAM]) for i in range(len(t) - LONG_GRAM + 1)}
-        keys = {(k, min((h * odd) & 0xFFFFFFFF for h in hashes)) for k, odd in enumerate((1, 0x9E3779B1))} if hashes else {t}
+        hashes = _hashes(t, LONG_GRAM)
+        keys = {(k, int((hashes * np.uint64(odd)).min())) for k, odd in enumerate((1, 0x9E3779B97F4A7C15))} if len(hashes) else {t}
         if seen.isdisjoint(keys):
             out.append(t)
         seen |= keys
@@ -210,11 +242,13 @@ def fit(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Mod
 def fit_on_sample(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     """docs(doc_id, text), labels(doc_id, toxic); usable: of which doc_id the labels may be learned."""
     marked = labels.where(usable & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = marked.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    ids = ids.unionByName(marked.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
+    short = docs.where(F.length(text_or_empty()) <= SAMPLE_CHARS).select("doc_id")
+    able = marked.join(short, "doc_id", "left_semi")
+    ids = able.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = ids.unionByName(able.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))
     rows = (
         docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("toxic", "text").limit(2 * SAMPLE).collect()
+        .join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("toxic", "text").limit(2 * SAMPLE).collect()
     )
     counts = dict(marked.groupBy("toxic").count().collect())
     odds = counts[1] / counts[0] if counts.get(0) and counts.get(1) else None
