@@ -1,11 +1,14 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page's blocks (runs of text between block-level tags) are nodes. A linear classifier over markup, wording of class and
-id attributes, links and punctuation gives each block a log-odds of being content; it becomes the capacity from the
-source (content) or to the sink (boilerplate). Consecutive blocks, and consecutive blocks under one parent, are joined
-by edges whose capacity falls with the distance between them in the document tree. The minimum cut is the labelling of
-least total cost. A block whose own capacity is at least that of all its edges keeps its side in some minimum cut, so
-only the others enter the maximum flow.
+A page's blocks (runs of text between block-level tags) are nodes. A linear classifier over length, punctuation, share of
+linked text, headings, repetition, the elements that a block stands in and the wording of their class and id attributes
+gives each block a log-odds of being content; it becomes the capacity from the source (content) or to the sink
+(boilerplate). No feature of a block but an element that is boilerplate by its definition decides alone: weights are of
+the size of a few sentences' worth of evidence, and edges are as strong, so a block with little evidence of its own
+follows its surroundings. Consecutive blocks, and consecutive blocks of one element under one parent, are joined by edges
+whose capacity falls with the distance between them in the document tree. The minimum cut is the labelling of least total
+cost. A block whose own capacity is at least that of all its edges keeps its side in some minimum cut; it is settled at
+once, its edges are added to its neighbours' capacities, and so on, and what then remains enters the maximum flow.
 
 Defined results: null or empty html has an empty text; markup may be cut off, unclosed or misnested; equal pages have
 equal texts; pages of any length are read whole, in time nearly linear in their blocks; other columns don't matter.
@@ -60,9 +63,13 @@ _SENTENCE = re.compile(r"[.!?…。！？]")
 
 #: Zones: content, unknown, boilerplate by a class, id or role alone, boilerplate.
 CONTENT, UNKNOWN, MARKED, AGAINST = 1, 0, -1, -2
-#: Log-odds by the block's nearest telling ancestor, and for what it holds.
-ZONE, HEADING, SENTENCE, LINKS, BASE, PER_100 = {CONTENT: 6.0, UNKNOWN: 0.0, MARKED: -9.0, AGAINST: -9.0}, 0.8, 0.7, -3.5, -1.0, 0.9
-ADJACENT, SIBLINGS = 1.2, 0.5
+#: Log-odds by the block's nearest telling ancestor, and for what it holds: a heading, an end of a sentence, commas (three at most), characters (300 at most), linked text, and text that stood before.
+ZONE, HEADING, SENTENCE, COMMA, LINKS, BASE, PER_100, REPEATED = {CONTENT: 1.8, UNKNOWN: 0.0, MARKED: -2.5, AGAINST: -7.0}, 0.8, 0.7, 0.2, -3.5, -1.4, 0.9, -0.7
+#: Capacities of edges at no distance between consecutive blocks, and between consecutive ones of one element and parent.
+ADJACENT, SIBLINGS = 4.0, 2.0
+#: Elements that part a page: leaving or entering one counts as so many steps more.
+_LANDMARKS = _BOILERPLATE | _CONTENT | frozenset(["header", "section"])
+BOUNDARY = 3
 
 
 def _zone(tag: str, attributes: str, above: int) -> int:
@@ -104,18 +111,20 @@ def _ends(page: str) -> dict[int, int]:
 
 
 class Block:
-    __slots__ = ("text", "odds", "node")
+    __slots__ = ("text", "odds", "node", "tag")
 
-    def __init__(self, text: str, odds: float, node: int):
-        self.text, self.odds, self.node = text, odds, node
+    def __init__(self, text: str, odds: float, node: int, tag: str):
+        self.text, self.odds, self.node, self.tag = text, odds, node, tag
 
 
-def blocks_of(page: str) -> tuple[list[Block], list[int]]:
-    """Blocks in page order, and each tree node's parent."""
+def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
+    """Blocks in page order, each tree node's parent, and the steps between both."""
     out: list[Block] = []
-    parents, stack, zones = [-1], [("", 0)], [0]
+    parents, steps, stack, zones = [-1], [0], [("", 0)], [0]
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
+    opened: dict[str, int] = {}
+    told: set[str] = set()
 
     def flush() -> None:
         nonlocal linked
@@ -124,12 +133,15 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if text:
             tag, node = stack[-1]
             odds = BASE + ZONE[zones[-1]] + PER_100 * min(len(text), 300) / 100 + LINKS * min(1.0, linked / len(raw))
-            odds += HEADING * (tag[0:1] == "h" and tag[1:].isdigit()) + SENTENCE * bool(_SENTENCE.search(text))
-            out.append(Block(text, odds, node))
+            odds += HEADING * (tag[0:1] == "h" and tag[1:].isdigit()) + SENTENCE * bool(_SENTENCE.search(text)) + COMMA * min(text.count(","), 3) + REPEATED * (text in told)
+            told.add(text)
+            out.append(Block(text, odds, node, tag))
         parts.clear()
         linked = 0
 
     def pop(k: int) -> None:
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
         del stack[k:], zones[k:]
 
     ends: dict[int, int] | None = None
@@ -157,10 +169,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
         if parts:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if opened.get(tag):
+                pop(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         for k in range(len(stack) - 1, 0, -1):
             open_tag = stack[k][0]
@@ -170,31 +180,35 @@ def blocks_of(page: str) -> tuple[list[Block], list[int]]:
                 break
         if tag not in _VOID:
             parents.append(stack[-1][1])
+            steps.append(1 + BOUNDARY * (tag in _LANDMARKS))
             zones.append(_zone(tag, m[4], zones[-1]))
             stack.append((tag, len(parents) - 1))
+            opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     if parts:
         flush()
-    return out, parents
+    return out, parents, steps
 
 
-def _distance(parents: list[int], a: int, b: int) -> int:
+def _distance(parents: list[int], steps: list[int], a: int, b: int) -> int:
     """Steps between two nodes of the tree; a parent's number is below its children's."""
     n = 0
     while a != b:
-        a, b = (parents[a], b) if a > b else (a, parents[b])
-        n += 1
+        if a < b:
+            a, b = b, a
+        n += steps[a]
+        a = parents[a]
     return n
 
 
-def edges_of(blocks: list[Block], parents: list[int]) -> dict[tuple[int, int], float]:
+def edges_of(blocks: list[Block], parents: list[int], steps: list[int]) -> dict[tuple[int, int], float]:
     edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
+    last: dict[tuple[int, str], int] = {}
     for i, b in enumerate(blocks):
         if i:
-            edges[i - 1, i] = ADJACENT / (1 + _distance(parents, blocks[i - 1].node, b.node))
-        above = parents[b.node]
+            edges[i - 1, i] = ADJACENT / (1 + _distance(parents, steps, blocks[i - 1].node, b.node))
+        above = parents[b.node], b.tag
         if (j := last.get(above)) is not None:
             edges[j, i] = edges.get((j, i), 0.0) + SIBLINGS
         last[above] = i
@@ -274,10 +288,10 @@ def _flow(free: list[int], odds: list[float], near: list[list[tuple[int, float]]
 
 
 def main_text(page: str | None) -> str:
-    blocks, parents = blocks_of(page or "")
+    blocks, parents, steps = blocks_of(page or "")
     if not blocks:
         return ""
-    content = minimum_cut([b.odds for b in blocks], edges_of(blocks, parents))
+    content = minimum_cut([b.odds for b in blocks], edges_of(blocks, parents, steps))
     return "\n".join(b.text for b, keep in zip(blocks, content) if keep)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -289,6 +290,36 @@ def test_minimum_cut_is_minimal():
         assert cost(html.minimum_cut(odds, edges)) == pytest.approx(min(cost(s) for s in itertools.product([True, False], repeat=n)))
 
 
+def by_all_labellings(page):
+    """The text of a labelling of least cost, tried one by one; of equal costs the one with least content."""
+    blocks, *tree = html.blocks_of(page)
+    edges, odds = html.edges_of(blocks, *tree), [b.odds for b in blocks]
+    cost = lambda side: sum(max(0, o) if not s else max(0, -o) for o, s in zip(odds, side)) + sum(c for (a, b), c in edges.items() if side[a] != side[b])
+    best = min(itertools.product([False, True], repeat=len(blocks)), key=lambda s: (round(cost(s), 9), sum(s)))
+    return "\n".join(b.text for b, keep in zip(blocks, best) if keep), best, [o > 0 for o in odds]
+
+
+def test_op9_against_all_labellings(spark, tmp_path):
+    rng, changed, pages = random.Random(12), 0, []
+    inside = ["<p>Yes.</p>", "<p>A longer sentence, with a comma, and some more words to fill it. And one more.</p>", "<ul><li><a href=x>More</a><li>Two, three.</ul>", "<h2>Part</h2>", "<div class=share>Share this</div>",
+              "<p><a href=y>See also this one</a></p>", "<table><tr><td>1<td>2</table>", "<aside>Note.</aside>", "<div class=content><p>Short text</p></div>"]
+    for _ in range(60):
+        pages.append("".join(rng.choice(inside) for _ in range(rng.randint(1, 7))) + rng.choice(["", "<footer>F.</footer>", "<div id=comments><p>I like it.</p></div>"]))
+    wanted = [by_all_labellings(p) for p in pages]
+    changed = sum(b != o for _, best, own in wanted for b, o in zip(best, own))
+    assert changed > 10  # the cut says something else than the classifier alone
+    spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.text for r in html.op9_main_text(spark, str(tmp_path)).collect()}
+    assert got == {i: w[0] for i, w in enumerate(wanted)}
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000 + "</p>" * 200_000, "<div " * 200_000, "<p>x" * 100_000, "<svg>" * 200_000 + "</svg>" * 200_000, "<ul><li>x" * 50_000])
+def test_hostile_pages_take_seconds(page):
+    began = time.time()
+    html.main_text(page)
+    assert time.time() - began < 15
+
+
 def test_op9_rows(spark, tmp_path):
     rows = [(1, "u", PAGE, "x"), (None, None, None, "y"), (2, "u", "", "z")]
     spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
