@@ -29,8 +29,8 @@ from archlens.llm.common import bounded_batches, checkpointed, read_table, text_
 CAPACITY, END_ID = 1024, 2
 #: The vocabulary's added token, which is one id wherever a text holds it.
 ADDED_TOKENS = {"<|endoftext|>": 50256}
-#: Groups in which pieces of one length are numbered side by side; capacity x SALTS offsets are broadcast at most.
-SALTS = 128
+#: Pieces of one length are numbered side by side in groups of a share 1 / SHARES of all pieces; capacity + SHARES offsets are broadcast at most, whatever the table's size.
+SHARES = 4096
 _encoders: dict[tuple[str, str], object] = {}
 
 
@@ -142,21 +142,20 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces(doc_id, piece, length, ...) with sequence_id and offset."""
     spark = pieces.sparkSession
-    pieces = checkpointed(pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = pieces.groupBy("length", "_salt").agg(F.count("*").alias("n"))
+    pieces = checkpointed(pieces.withColumn("_id", F.monotonically_increasing_id()))
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    total = sum(histogram.values())
+    salts = spark.createDataFrame([(n, -(-c * SHARES // total)) for n, c in histogram.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts"))).drop("_salts")
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = checkpointed(counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), "n"))
-    histogram = {r["length"]: r["n"] for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
+    bases = checkpointed(counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
     schema = "length long, _from long, _to long, _sequence long, _offset long"
     ranges = spark.createDataFrame(places(plan(histogram, capacity)), schema)
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-    numbered = (
-        pieces.withColumn("_k", F.row_number().over(own) - 1)
-        .join(F.broadcast(bases.drop("n")), ["length", "_salt"])
-        .withColumn("_k", F.col("_k") + F.col("_base"))
-    )
+    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_id")
+    numbered = salted.withColumn("_k", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_k", F.col("_k") + F.col("_base"))
     found = numbered.join(F.broadcast(ranges), "length").where("_k >= _from AND _k < _to")
-    return found.withColumns({"sequence_id": F.expr("_sequence + _k - _from"), "offset": F.col("_offset")}).drop("_salt", "_base", "_k", "_from", "_to", "_sequence", "_offset")
+    return found.withColumns({"sequence_id": F.expr("_sequence + _k - _from"), "offset": F.col("_offset")}).drop("_id", "_salt", "_base", "_k", "_from", "_to", "_sequence", "_offset")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """BPE, packing, secrets and sharding against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -156,3 +157,42 @@ def test_placement(spark):
     assert moved < 0.06 * sharding.TABLE_SIZE
     with pytest.raises(ValueError):
         sharding.fill_table(("a",), 12)
+
+
+def packed_one_by_one(lengths, capacity):
+    """Gaps of the sequences: pieces above a third are matched largest with largest that fits, the others go to the smallest gap."""
+    large, small = (sorted((n for n in lengths if (3 * n > capacity) == big), reverse=True) for big in (True, False))
+    gaps = []
+    while large:
+        a = large.pop(0)
+        k = next((k for k, b in enumerate(large) if a + b <= capacity), None)
+        gaps.append(capacity - a - (large.pop(k) if k is not None else 0))
+    for n in small:
+        fits = [g for g in gaps if g >= n]
+        gap = min(fits) if fits else capacity
+        if fits:
+            gaps.remove(gap)
+        gaps.append(gap - n)
+    return sorted(gaps)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_packs_as_one_by_one(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 30, 64])
+    lengths = [min(capacity, max(1, int(rng.choice([rng.random(), rng.random() ** 3]) * capacity) + 1)) for _ in range(rng.randrange(1, 150))]
+    planned = packing.plan(Counter(lengths), capacity)
+    assert Counter(n for of, count in planned for n in of for _ in range(count)) == Counter(lengths)
+    assert sorted(capacity - sum(of) for of, count in planned for _ in range(count)) == packed_one_by_one(lengths, capacity)
+
+
+def test_pack_numbers_rows_that_look_alike(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARES", 4)
+    rows = [(None, 0, 0, 5, 1)] * 50 + [(7, 0, 0, 1024, 2)] * 9 + [(8, 0, 0, 600, 3), (9, 0, 0, 424, 4)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")).collect()
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert len(got) == len(rows) and len(places) == 11
+    for own in places.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(own), [*sorted(own)[1:], (sum(n for _, n in own), 0)])) and sum(n for _, n in own) <= 1024
