@@ -39,6 +39,8 @@ TREES, DEPTH, SHORTEST, RECALL = 24, 8, 4, 0.999
 DENSE, AT_ONCE = 64, 20_000
 #: Documents of a block; columns of a block's incidence matrix at a time, and from how many documents on a column is dense; distinct words remembered.
 BLOCK, COLUMNS, FULL, CACHE = 256, 8_192, 16, 100_000
+#: Blocks of a trie node that tell their pairs one by one.
+FEW = 4
 SEED = 97
 
 
@@ -230,11 +232,19 @@ def clustered(meeting: DataFrame) -> DataFrame:
 
 
 def blocks_that_meet(placed: DataFrame) -> DataFrame:
-    """placed(cluster, block, names, asks) -> cluster, i, j: blocks (i <= j) that have a trie node of the cluster in common. A row of a node has no more blocks than a cluster does."""
+    """placed(cluster, block, names, asks) -> cluster, i, j: blocks (i <= j) that have a trie node of the cluster in common.
+
+    Nodes of FEW blocks tell their pairs. A node of more tells each of its blocks the last of them only, and a block meets
+    all of its cluster from itself to the last: perhaps some more than needed, but not the square of each crowd.
+    """
     shared = _named(placed, "cluster", "block").groupBy("cluster", "name").agg(F.max("asks").alias("asked"), F.collect_set("block").alias("blocks")).where("asked")
     sets = shared.select("cluster", F.sort_array("blocks").alias("blocks")).distinct()
-    firsts = sets.select("cluster", "blocks", F.posexplode("blocks").alias("at", "i"))
-    return firsts.select("cluster", "i", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("j")).distinct()
+    firsts = sets.where(F.size("blocks") <= FEW).select("cluster", "blocks", F.posexplode("blocks").alias("at", "i"))
+    few = firsts.select("cluster", "i", F.explode(F.slice("blocks", F.col("at") + 1, F.size("blocks"))).alias("j"))
+    many = sets.where(F.size("blocks") > FEW).select("cluster", F.explode("blocks").alias("i"), F.element_at("blocks", -1).alias("last")).groupBy("cluster", "i").agg(F.max("last").alias("last"))
+    whole = placed.select("cluster", "block").groupBy("cluster").agg(F.collect_set("block").alias("blocks"))
+    far = many.join(whole, "cluster").select("cluster", "i", F.explode(F.filter("blocks", lambda x: x.between(F.col("i"), F.col("last")))).alias("j"))
+    return few.unionByName(far).distinct()
 
 
 def _with_sets(rows: DataFrame) -> DataFrame:
