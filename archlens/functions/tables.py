@@ -1,6 +1,6 @@
 """Word lists, needles and patterns that results depend on. They must stay as they are."""
 
-PRUNED_DIRECTORIES = (".git", ".svn", ".hg", "node_modules", "target", "dist", "build", "out", "gen", ".venv", "venv", ".tox", "__pycache__", "coverage", "vendor", ".neti_apply_backup")
+PRUNED_DIRECTORIES = (".git", ".svn", ".hg", "node_modules", "target", "dist", "build", "out", "gen", ".venv", "venv", ".tox", "__pycache__", "coverage", "vendor", )
 PRUNED_FILES = ("Cargo.lock", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "go.sum", "Gemfile.lock")
 SKIPPED_DIRECTORIES = ("spec", "examples", "fixtures")
 BINARY_FILE = r"(?i)\.(png|jpg|gif|svg|ico|webp|woff2?|ttf|pdf|mp4|zip|gz|tar|exe|dll|so|dylib|class|pyc)$"
@@ -138,3 +138,61 @@ CONFIDENCE_RANK = {"Info": 0, "Medium": 1, "High": 2}
 DATA_DERIVES = ("Serialize", "Deserialize", "Parser", "Args")
 #: Marker file -> project type, by priority.
 PROJECT_MARKERS = (("Cargo.toml", "rust"), ("package.json", "node"), ("pyproject.toml", "python"), ("setup.py", "python"), ("requirements.txt", "python"), ("go.mod", "go"))
+
+#: Substrings of paths that rules on speed leave out.
+PERF_EXEMPT = ("/cli/", "/ui/", "/tui/", "reporting", "messages", "analysis/", "audit/", "pack/", "signatures/")
+PERF_EXEMPT_END = "main.rs"
+
+#: Language -> parts of a path, of a text and of annotations that tell a test; sought in lower case.
+TEST_SIGNS = {
+    "rust": (("/tests/", "_test.rs", "tests/"), ("#[test]", "#[cfg(test)]"), ("test",)),
+    "python": (("/tests/", "/test_", "_test.py"), ("def test_", "pytest", "unittest", "testcase"), ("pytest",)),
+    **dict.fromkeys(_SCRIPT, ((".test.", ".spec.", "/__tests__/"), ("describe(", "it(", "test(", "expect("), ())),
+    "go": (("_test.go", "/tests/"), ("func test", "testing.t", "t.run("), ()),
+    "cpp": (("/tests/", "_test.", "_spec."), ("test(", "test_f(", "expect_", "assert_"), ()),
+    "swift": (("tests/", "tests.swift"), ("xctestcase", "func test", "xctassert"), ()),
+}
+GLOBAL_CONTAINERS = ("Mutex<Vec", "Mutex<HashMap", "RwLock<Vec", "RwLock<HashMap")
+#: File name -> build system; files of the ending cmake are CMake too.
+BUILD_FILES = {
+    "Cargo.toml": "Rust", "package.json": "Node", "requirements.txt": "Python", "pyproject.toml": "Python", "Pipfile": "Python", "go.mod": "Go",
+    "CMakeLists.txt": "CMake", "conanfile.txt": "Conan", "conanfile.py": "Conan",
+}
+
+#: Words of comments that speak of an item, not of a module.
+LICENSE_SIGNS = (
+    "copyright", "spdx-license", "licensed under", "this file is part of", "permission is hereby granted", "redistribution and use", "this program is free software", "all rights reserved",
+)
+DOC_VERBS = (
+    "add allow apply build calculate call check compile compute connect continue convert create decode delete determine disconnect emit encode ensure execute extract fetch fill find flush "
+    "format generate get handle implement indicate initialize insert invoke load look map merge notify open parse perform process produce push put read receive register remove render "
+    "represent request reset resolve return round run save scan send serialize set skip sort specify start stop store strip submit test toggle transform trigger update validate verify visit "
+    "walk write yield"
+).split()
+STATE_PREFIXES = ("whether ", "if ", "when ", "true ", "false ", "set to ", "used to ", "used for ", "called when", "called by", "called after", "called before")
+QUANTITY_PREFIXES = ("maximum ", "minimum ", "default ", "number of ", "count of ", "size of ", "the number", "the count", "the size")
+INTERNAL_TERMS = ("field", "parameter", "argument", "return value", "struct member", "enum variant", "callback", "handler")
+SCRIPT_EXTENSIONS = ("ts", "tsx", "js", "jsx", "json", "d.ts")
+
+#: Law -> why it matters and what to do, in this library's words.
+GUIDANCE = {
+    "P06": ("Each turn of the loop searches a whole collection.", "Build a set or map before the loop."),
+    "L02": ("The bound admits the length itself, one past the last index.", "Compare with a strict bound."),
+    "L03": ("An empty collection has no first or last element.", "Check for emptiness, or take an optional element and handle its absence."),
+    "X01": ("Values formatted into SQL can change its meaning.", "Bind parameters."),
+    "C03": ("A guard that lives across an await blocks other tasks.", "Drop the guard before waiting."),
+    "C04": ("Nobody can tell what the lock protects.", "Say so in a comment above it."),
+    "S01": ("Any code may change a mutable static at any time.", "Pass the state, or use an atomic."),
+    "S02": ("A public static couples modules through shared state.", "Make it private, or a constant."),
+    "S03": ("A global container grows for as long as the program runs.", "Hand the data to those who need it."),
+    "M03": ("Callers expect a getter to leave its object as it is.", "Rename it, or take the object unchanged."),
+    "M04": ("Callers expect a predicate to answer yes or no.", "Return a boolean, or rename it."),
+    "M05": ("Callers expect a calculation to change nothing.", "Split the change from the calculation."),
+    "I01": ("The conversion could be derived.", "Derive it where macros are in use already."),
+    "LAW OF PARANOIA": ("A wrong assumption ends the program or breaks its memory.", "Handle the other case, or state why it can't occur."),
+    "LAW OF ATOMICITY": ("A long file holds more than one concern.", "Split it."),
+}
+
+#: C++: names that start like these are handlers of a framework; words that look like calls but aren't functions.
+CPP_HANDLERS = ("On", "PreCreate", "DoDataExchange", "AssertValid", "Dump", "WindowProc")
+CPP_WORDS = ("if", "for", "while", "switch", "catch", "return", "delete", "new", "sizeof")

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from archlens.functions.tables import INDEX_NAMES, LANGUAGES, NEEDLES, SHORT_THEMES, VERB_PRIORITY, VERB_SENTENCES
+from archlens.functions.tables import INDEX_NAMES, LANGUAGES, NEEDLES, SHORT_THEMES, TEST_SIGNS, VERB_PRIORITY, VERB_SENTENCES
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -89,6 +89,23 @@ def has_concept(lang: Column, concept: str, text: Column) -> Column:
     return out
 
 
+def has_any(text: Column, needles: tuple[str, ...]) -> Column:
+    return text.rlike("|".join(map(quoted, needles))) if needles else F.lit(False)
+
+
+def is_test_context(lang: Column, path: Column, text: Column, annotations: Column | None = None) -> Column:
+    """Whether path, text or annotations (array) tell a test of the language; false for other languages."""
+    marks = F.lower(F.array_join(annotations, " ")) if annotations is not None else F.lit("")
+    out = F.lit(False)
+    for name, (paths, needles, notes) in TEST_SIGNS.items():
+        out = F.when(lang == name, has_any(F.lower(path), paths) | has_any(F.lower(text), needles) | has_any(marks, notes)).otherwise(out)
+    return out
+
+
+def has_inline_tests(text: Column) -> Column:
+    return text.rlike(r"#\s*\[\s*(?:cfg\s*\(\s*test\s*\)|test)\s*\]")
+
+
 def quoted(needle: str) -> str:
     """A pattern that matches just this text."""
     return re.sub(r"([^A-Za-z0-9 ])", r"\\\1", needle)

@@ -6,34 +6,52 @@ methods(path, scope, name, field_access, internal_calls, external_calls array<st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions.tables import DATA_DERIVES
-from archlens.operators.graph import components
 
 KEY = ["path", "scope"]
 
 
+def _lcom4(methods: Column) -> tuple[Column, Column]:
+    """Components and number of an array<struct<name,field_access,internal_calls>> of methods, linked by a field that both use or by a call; methods of one name are one.
+
+    A method is a set of marks: its name, its fields, and the scope's methods that it calls. Sets that overlap are merged one
+    by one, as a type's methods are few; what is left are the components. Nothing leaves the row.
+    """
+    names = F.array_distinct(F.transform(methods, lambda m: m["name"]))
+    own = lambda m: F.filter(F.coalesce(m["internal_calls"], F.array().cast("array<string>")), lambda c: F.array_contains(names, c))
+    marked = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
+    fields = lambda m: F.coalesce(m["field_access"], F.array().cast("array<string>"))
+    sets = F.transform(methods, lambda m: F.concat(F.array(F.concat(F.lit("m "), m["name"])), marked("f ", fields(m)), marked("m ", own(m))))
+    met = lambda groups, s: F.flatten(F.concat(F.array(s), F.filter(groups, lambda g: F.arrays_overlap(g, s))))
+    merged = F.aggregate(sets, F.array().cast("array<array<string>>"), lambda groups, s: F.concat(F.filter(groups, lambda g: ~F.arrays_overlap(g, s)), F.array(F.array_distinct(met(groups, s)))))
+    return F.size(merged).cast("long"), F.size(names).cast("long")
+
+
+def by_scope(methods: DataFrame) -> DataFrame:
+    """All that is asked of a scope's methods, by one shuffle: lcom4, n_methods, cbo, sfout, has_behaviour, uses_fields, complexity."""
+    grouped = methods.groupBy(*KEY).agg(
+        F.collect_list(F.struct("name", "field_access", "internal_calls")).alias("methods"), F.array_distinct(F.flatten(F.collect_list("external_calls"))).alias("calls"),
+        F.max(F.size(F.array_distinct("external_calls"))).alias("sfout"), F.max((F.col("cognitive") > 0) | F.col("is_mutable")).alias("has_behaviour"),
+        F.max(F.size("field_access") > 0).alias("uses_fields"), F.sum("cognitive").alias("complexity"),
+    )
+    components, names = _lcom4(F.col("methods"))
+    return grouped.select(*KEY, components.alias("lcom4"), names.alias("n_methods"), F.size(F.filter("calls", lambda x: x.isNotNull())).cast("long").alias("cbo"), "sfout", "has_behaviour", "uses_fields", "complexity")
+
+
 def lcom4(methods: DataFrame) -> DataFrame:
-    """Components of a scope's methods, linked by a field that both use or by a call. Methods of one field are linked in a star, not in pairs; methods of one name are one."""
-    m = methods.select(F.struct(*KEY).alias("g"), F.col("name").alias("node"), "field_access", "internal_calls")
-    used = m.select("g", "node", F.explode("field_access").alias("field"))
-    centre = used.groupBy("g", "field").agg(F.min("node").alias("b"))
-    by_field = used.join(centre, ["g", "field"]).where("node <> b").select("g", F.col("node").alias("a"), "b")
-    calls = m.select("g", F.col("node").alias("a"), F.explode("internal_calls").alias("b")).where("a <> b")
-    calls = calls.join(m.select("g", F.col("node").alias("b")), ["g", "b"], "left_semi").select("g", "a", "b")
-    found = components(by_field.unionByName(calls), m, "g")
-    return found.groupBy("g").agg(F.countDistinct("low").alias("lcom4"), F.count("*").alias("n_methods")).select("g.*", "lcom4", "n_methods")
+    return by_scope(methods).select(*KEY, "lcom4", "n_methods")
 
 
 def cbo(methods: DataFrame) -> DataFrame:
-    return methods.select(*KEY, F.explode_outer("external_calls").alias("call")).groupBy(*KEY).agg(F.countDistinct("call").alias("cbo"))
+    return by_scope(methods).select(*KEY, "cbo")
 
 
 def sfout(methods: DataFrame) -> DataFrame:
-    return methods.groupBy(*KEY).agg(F.max(F.size(F.array_distinct("external_calls"))).alias("sfout"))
+    return by_scope(methods).select(*KEY, "sfout")
 
 
 def ahf(scopes: DataFrame, fields: DataFrame) -> DataFrame:
@@ -45,12 +63,7 @@ def ahf(scopes: DataFrame, fields: DataFrame) -> DataFrame:
 
 def inspected(scopes: DataFrame, fields: DataFrame, methods: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
     """All metrics of each scope, one row each."""
-    behaviour = methods.groupBy(*KEY).agg(
-        F.max((F.col("cognitive") > 0) | F.col("is_mutable")).alias("has_behaviour"), F.max(F.size("field_access") > 0).alias("uses_fields"), F.sum("cognitive").alias("complexity")
-    )
-    out = scopes.join(ahf(scopes, fields), KEY)
-    for part in (lcom4(methods), cbo(methods), sfout(methods), behaviour):
-        out = out.join(part, KEY, "left")
+    out = scopes.join(ahf(scopes, fields), KEY).join(by_scope(methods), KEY, "left")
     return out.fillna(0, ["lcom4", "n_methods", "cbo", "sfout", "complexity"]).fillna(False, ["has_behaviour", "uses_fields"])
 
 

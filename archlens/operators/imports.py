@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.functions.tables import SCRIPT_EXTENSIONS
 from archlens.functions.text import components, extension, language, parent
 
 
@@ -27,7 +28,7 @@ def script_specifiers(text: Column) -> Column:
 
 
 def includes(text: Column) -> Column:
-    return _all(text, r'(?m)^\s*#include\s+["<]([^">]+)[">]')
+    return _all(text, r'(?m)^\s*#\s*include\s*["<]([^">]+)[">]')
 
 
 def go_imports(text: Column) -> Column:
@@ -69,9 +70,36 @@ def candidates(found: DataFrame) -> DataFrame:
     return found.select("path", "import", F.posexplode(where).alias("priority", "candidate"))
 
 
-def resolved(found: DataFrame, files: DataFrame) -> DataFrame:
-    """src, dst, import: the likeliest candidate that is a known path."""
+def aliased(found: DataFrame, aliases: dict[str, list[str]], base_url: str | None = None) -> DataFrame:
+    """path, import, candidate, priority by the aliases of a tsconfig, in their order, then by its base. A pattern may end in *, whose match takes the place of * in a target."""
+    name, targets = F.col("import"), []
+    for pattern, to in aliases.items():
+        head = pattern.removesuffix("*")
+        hit = F.startswith(name, F.lit(head)) if pattern.endswith("*") else name == pattern
+        rest = F.substring(name, F.lit(len(head) + 1), F.length(name)) if pattern.endswith("*") else F.lit("")
+        for t in to:
+            before, star, after = t.partition("*")
+            targets.append(F.when(hit, F.concat(F.lit(before), rest, F.lit(after)) if star else F.lit(t)))
+    if base_url is not None:
+        targets.append(_joined(F.lit(base_url.strip("/")), name))
+    ends = F.array(*[F.lit(e) for e in ("", *(f".{e}" for e in SCRIPT_EXTENSIONS), *(f"/index.{e}" for e in SCRIPT_EXTENSIONS[:4]))])
+    tried = F.flatten(F.transform(F.filter(F.array(*targets), lambda t: t.isNotNull()), lambda t: F.transform(ends, lambda e: F.concat(F.regexp_replace(t, r"^\./", ""), e))))
+    return found.where(extension(F.col("path")).isin("ts", "tsx", "js", "jsx") & ~name.rlike(r"^\.")).select("path", "import", F.posexplode(tried).alias("priority", "candidate"))
+
+
+def go_edges(found: DataFrame, files: DataFrame, module: str) -> DataFrame:
+    """src, dst, import of Go files: every known file of a directory of the module that is imported; tests only for tests."""
+    of_go = found.where((extension(F.col("path")) == "go") & (F.startswith("import", F.lit(f"{module}/")) | (F.col("import") == module)))
+    wanted = of_go.withColumn("directory", F.regexp_replace(F.substring("import", F.lit(len(module) + 2), F.length("import")), "/$", ""))
+    tests = files.select("path", (F.contains("content", F.lit("_test.go")) | F.col("content").rlike(r"(?m)^\s*package [^\n]*_test")).alias("tests"))
+    known = files.where(extension(F.col("path")) == "go").select(F.col("path").alias("dst"), parent(F.col("path")).alias("directory"))
+    pairs = wanted.join(tests, "path").join(known, "directory").where("tests OR NOT dst LIKE '%\\_test.go'")
+    return pairs.select(F.col("path").alias("src"), "dst", "import")
+
+
+def resolved(found: DataFrame, files: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """src, dst, import: the likeliest candidate that is a known path; tried: candidates other than the usual ones."""
     known = files.select(F.col("path").alias("candidate")).distinct()
-    hit = candidates(found).join(known, "candidate")
+    hit = (candidates(found) if tried is None else tried).join(known, "candidate")
     best = hit.groupBy("path", "import").agg(F.min_by("candidate", "priority").alias("dst"))
     return best.select(F.col("path").alias("src"), "dst", "import")

@@ -6,12 +6,15 @@ node's coupling is joined to edges by its path, and Spark picks the join by the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.config import LocalityConfig
 from archlens.functions.text import any_of, components, file_name, parent
 
+#: Entries of a text report's lists.
+LISTED = 10
+
 
 def coupling(edges: DataFrame) -> DataFrame:
     """path, ca, ce, instability, skew: one pass over both ends of the edges."""
@@ -36,15 +39,18 @@ def identity(ca: Column, ce: Column, config: LocalityConfig = LocalityConfig())
     )
 
 
-def shared_depth(a: Column, b: Column) -> Column:
-    """Leading components that two paths share."""
-    x, y = components(a), components(b)
+def _shared(x: Column, y: Column) -> Column:
+    """Leading components that two paths share, from their components."""
     least = F.least(F.size(x), F.size(y))
     same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
     first_off = F.array_position(same, False)
     return F.when(first_off > 0, first_off - 1).otherwise(least).cast("int")
 
 
+def shared_depth(a: Column, b: Column) -> Column:
+    return _shared(components(a), components(b))
+
+
 def distance(a: Column, b: Column) -> Column:
     return F.size(components(a)) + F.size(components(b)) - 2 * shared_depth(a, b)
 
@@ -55,9 +61,7 @@ def common_ancestor(a: Column, b: Column) -> Column:
 
 def top_module(path: Column) -> Column:
     """The component after the first src; null without one."""
-    parts = components(path)
-    at = F.array_position(parts, "src")
-    return F.when(at > 0, F.get(parts, at.cast("int")))
+    return F.nullif(F.regexp_extract(path, r"(?:^|/)src/+([^/]+)", 1), F.lit(""))
 
 
 def _below(path: Column, directory: Column) -> Column:
@@ -66,13 +70,12 @@ def _below(path: Column, directory: Column) -> Column:
 
 def structural(src: Column, dst: Column) -> Column:
     """Edges that module systems need: from a crate's root, between mod.rs and what is below it, within a module, to a file right below src."""
-    to_root = F.array_position(components(dst), "src")
     return (
         file_name(src).isin("lib.rs", "main.rs")
         | ((file_name(src) == "mod.rs") & _below(dst, parent(src)))
         | ((file_name(dst) == "mod.rs") & _below(src, parent(dst)))
         | F.coalesce(top_module(src) == top_module(dst), F.lit(False))
-        | ((to_root > 0) & (F.size(components(dst)) - to_root == 1))
+        | F.regexp_extract(dst, r"(?:^|/)src/+(.*)$", 1).rlike("^[^/]+/*$")
     )
 
 
@@ -86,7 +89,8 @@ def judged(edges: DataFrame, config: LocalityConfig = LocalityConfig(), nodes: D
     target = nodes.select(F.col("path").alias("dst"), "ca", "ce")
     src, dst = F.col("src"), F.col("dst")
     known = edges.join(target, "dst", "left").fillna(0, ["ca", "ce"])
-    known = known.withColumns({"distance": distance(src, dst), "identity": identity(F.col("ca"), F.col("ce"), config)})
+    known = known.withColumns({"_x": components(src), "_y": components(dst)})  # split once
+    known = known.withColumns({"distance": F.size("_x") + F.size("_y") - 2 * _shared(F.col("_x"), F.col("_y")), "identity": identity(F.col("ca"), F.col("ce"), config)}).drop("_x", "_y")
     reason = (
         F.when(structural(src, dst), "Exempted").when(F.col("distance") <= config.l1_threshold, "L1Cache").when(F.col("distance") <= config.max_distance, "WithinDistance")
         .when(F.col("identity") == "StableHub", "VerticalRouting").when(exempt(dst, config.exempt_patterns), "Exempted")
@@ -141,5 +145,15 @@ def hub_candidates(failed: DataFrame, least: int = 2) -> DataFrame:
 def module_coupling(edges: DataFrame) -> DataFrame:
     """Unordered pairs of different top modules, with their edges."""
     a, b = (F.coalesce(top_module(F.col(c)), F.lit("unknown")) for c in ("src", "dst"))
-    pairs = edges.select(F.least(a, b).alias("module_a"), F.greatest(a, b).alias("module_b")).where("module_a <> module_b")
-    return pairs.groupBy("module_a", "module_b").agg(F.count("*").alias("n_edges"))
+    modules = edges.select(a.alias("a"), b.alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("n"))  # far fewer than edges
+    pairs = modules.select(F.least("a", "b").alias("module_a"), F.greatest("a", "b").alias("module_b"), "n")
+    return pairs.groupBy("module_a", "module_b").agg(F.sum("n").alias("n_edges"))
+
+
+def report_lines(judged_edges: DataFrame, categories: DataFrame) -> DataFrame:
+    """section, at, line of a text report: sums, failed edges by category, and the LISTED modules that fail most. judged_edges and categories (of the failed ones) as above."""
+    sums = summary(judged_edges).select(F.lit(0).alias("section"), F.lit(0).cast("long").alias("at"), F.format_string("Edges: %d, failed: %d, health: %.1f%%", "total_edges", "failed_edges", "health").alias("line"))
+    counted = categories.groupBy("category").agg(F.count("*").alias("n")).select(F.lit(1).alias("section"), F.xxhash64("category").alias("at"), F.format_string("%s: %d", "category", "n").alias("line"))
+    bad = god_modules(categories).orderBy(F.desc("outbound_violations"), "path").limit(LISTED)
+    bad = bad.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy(F.desc("outbound_violations"), "path")).cast("long").alias("at"), F.format_string("%s fails %d times", "path", "outbound_violations").alias("line"))
+    return sums.unionByName(counted).unionByName(bad)

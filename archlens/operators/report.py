@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archlens.functions.tables import CONFIDENCE_RANK
+from archlens.functions.tables import CONFIDENCE_RANK, GUIDANCE
+from archlens.operators.graph import checkpointed
 
 
 def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
@@ -25,12 +26,14 @@ def top_files(violations: DataFrame, k: int = 5) -> DataFrame:
 
 
 def numbered(violations: DataFrame) -> DataFrame:
-    """violations with k and n: the k-th of n of its law. Numbers are made within (law, path) and shifted by the counts before, so that one law with many findings isn't sorted in one task."""
-    own = Window.partitionBy("law", "path").orderBy("row", "message")
-    counts = violations.groupBy("law", "path").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("law").orderBy("path")
-    counts = counts.withColumns({"base": F.coalesce(F.sum("c").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("law"))})
-    return violations.withColumn("r", F.row_number().over(own)).join(counts.drop("c"), ["law", "path"]).withColumn("k", F.col("r") + F.col("base")).drop("r", "base")
+    """violations with k and n: the k-th of n of its law. Sorted ranges are numbered side by side and shifted by the counts of the ranges before (a row for each range and law), so that no law is one task."""
+    keys = ["law", "path", "row", "message"]
+    ranged = checkpointed(violations.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("law", "_part").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("law").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumns({"base": F.coalesce(F.sum("c").over(before), F.lit(0)), "n": F.sum("c").over(Window.partitionBy("law"))})
+    own = F.row_number().over(Window.partitionBy("law", "_part").orderBy("path", "row", "message"))
+    return ranged.withColumn("r", own).join(counts.drop("c"), ["law", "_part"]).withColumn("k", F.col("r") + F.col("base")).drop("r", "base", "_part")
 
 
 def snippets(violations: DataFrame, lines: DataFrame) -> DataFrame:
@@ -45,6 +48,47 @@ def one_line(violations: DataFrame) -> DataFrame:
     return violations.select(F.format_string("%s:%d: %s: [%s] %s", "path", "row", prefix, "law", "message").alias("text"))
 
 
+def guided(violations: DataFrame) -> DataFrame:
+    """violations with why and fix, null for laws without guidance. A lookup of fixed size, so an expression."""
+    known = F.create_map(*[x for law, (why, fix) in GUIDANCE.items() for x in (F.lit(law), F.struct(F.lit(why).alias("why"), F.lit(fix).alias("fix")))])
+    return violations.withColumn("_g", F.element_at(known, F.col("law"))).select(*violations.columns, "_g.why", "_g.fix")
+
+
+def sorted_worst(violations: DataFrame) -> DataFrame:
+    """path, n of all files with findings, most first, then by path."""
+    return violations.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path")
+
+
+def maximal(spans: DataFrame) -> DataFrame:
+    """spans(path, low, high) that lie in no other of their path; of equal ones one."""
+    order = Window.partitionBy("path").orderBy("low", F.desc("high")).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.max("high").over(order)
+    return spans.select("path", "low", "high").distinct().withColumn("before", before).where("before IS NULL OR high > before").drop("before")
+
+
+def survivors(mutants: DataFrame) -> DataFrame:
+    """mutants(path, row, col, original, mutated, kind, survived) -> a JSON document for each survivor."""
+    return mutants.where("survived").select(F.to_json(F.struct("path", "row", "col", "original", "mutated", "kind")).alias("mutant"))
+
+
+def text_report(totals_row: DataFrame, laws: DataFrame, commands: DataFrame) -> DataFrame:
+    """section, at, line: sums of the scan, findings by law, commands(command, passed)."""
+    head = totals_row.select(F.lit(0).alias("section"), F.lit("").alias("at"), F.format_string("Files: %d, tokens: %d, findings: %d, clean files: %d", "n_files", "n_tokens", "n_violations", "n_clean_files").alias("line"))
+    found = laws.select(F.lit(1).alias("section"), F.col("law").alias("at"), F.format_string("[%s] %d", "law", "n").alias("line"))
+    run = commands.groupBy("command").agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("failed"))
+    told = run.select(F.lit(2).alias("section"), F.col("command").alias("at"), F.format_string("%s: %d runs, %d failed", "command", "n", "failed").alias("line"))
+    return head.unionByName(found).unionByName(told)
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Each row as one line of a log of JSON documents."""
+    return events.select(F.to_json(F.struct(*events.columns)).alias("value"))
+
+
+def append_log(events: DataFrame, folder: str) -> None:
+    event_lines(events).write.mode("append").text(folder)
+
+
 def file_reports(files: DataFrame, violations: DataFrame) -> DataFrame:
     """files(path, token_count) as JSON documents with their violations, each file's in order of rows."""
     grouped = violations.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "law", "message", "confidence"))).alias("violations"))

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.config import SYSTEMS_LIMITS, SYSTEMS_SCORE, RuleConfig
-from archlens.functions.text import any_of, approx_tokens, file_name, has_concept, language, length_boundary, split_identifier
-from archlens.sources.corpus import file_kind, systems_score
+from archlens.functions.tables import GLOBAL_CONTAINERS
+from archlens.functions.text import any_of, approx_tokens, file_name, has_any, has_concept, language, length_boundary, split_identifier
+from archlens.sources.corpus import file_kind, perf_exempt, systems_score
 
 SECRET_NAME = r"(?i)(key|secret|token|password|auth)"
 PLACEHOLDERS = r"(?i)(example|placeholder|test|dummy|xxx|your_)"
@@ -40,7 +41,8 @@ def in_context(files: DataFrame) -> DataFrame:
     lang = language(path)
     flags = governed(files).select(
         "path", "content", lang.alias("lang"), has_concept(lang, "collection_guard", text).alias("guarded"),
-        (~is_test_file(path) & has_concept(lang, "loop", text) & has_concept(lang, "lookup", text)).alias("looped"),
+        (~is_test_file(path) & ~perf_exempt(path) & has_concept(lang, "loop", text) & has_concept(lang, "lookup", text)).alias("looped"),
+        F.lower(file_name(path)).rlike("test|spec").alias("tests"), has_any(text, ("chunks_exact(", "array_chunks(")).alias("chunked"),
         (F.contains(text, F.lit(".await")) & F.contains(text, F.lit("async fn"))).alias("awaits"),
     )
     line = F.col("line")
@@ -51,9 +53,15 @@ def in_context(files: DataFrame) -> DataFrame:
     order = Window.partitionBy("path").orderBy("row")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     around = {f"b{k}": F.trim(F.lag("line", k).over(order)) for k in (1, 2, 3)}
+    after = {f"a{k}": F.lead("line", k).over(order) for k in range(1, 6)}
+    lazy = F.when(F.contains(line, F.lit("lazy_static!")), F.lit(1)).when(F.trim(line) == "}", F.lit(0))
+    field = F.regexp_extract(line, r"(self\.[A-Za-z0-9_.]+)\[0\]", 1)
+    first_zero = F.min(F.when(field != "", F.col("row"))).over(Window.partitionBy("path", field))
     lookup = F.when(F.col("looped") & has_concept(F.col("lang"), "lookup", line), F.col("row"))
     held = {"held": F.last("event", ignorenulls=True).over(before), "held_kind": F.last("kind", ignorenulls=True).over(before)}
-    return rows.withColumns(around | held | {"first_lookup": F.min(lookup).over(Window.partitionBy("path"))})
+    held["lazy"] = F.last(lazy, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"first_zero": first_zero, "zero_field": field})
+    return rows.withColumns(around | after | held | {"first_lookup": F.min(lookup).over(Window.partitionBy("path"))})
 
 
 @dataclass(frozen=True)
@@ -85,6 +93,13 @@ def _rules(config: RuleConfig = RuleConfig()) -> dict[str, Rule]:
     told = comment(1) & (says(1) | (comment(2) & (says(2) | (comment(3) & says(3)))))
     lock_field = line.rlike(r"^\s*(?:pub(?:\([a-z]+\))?\s+)?[a-z_][a-z0-9_]*\s*:\s*[A-Za-z0-9_:<]*(?:Mutex|RwLock)<")
     public = name_of(r"\bpub\s+static\s+(?:mut\s+)?([A-Za-z_][A-Za-z0-9_]*)")
+    rust = lang == "rust"
+    getter = name_of(r"\bfn\s+((?:get|is|has)_[A-Za-z0-9_]*)\s*(?:<[^>]*>)?\(\s*&?\s*(?:mut\s+self|'[a-z]+\s+mut\s+self)")
+    calculator = name_of(r"\bfn\s+((?:calculate|compute|count|sum)_[A-Za-z0-9_]*)\s*(?:<[^>]*>)?\(\s*&?\s*(?:mut\s+self|'[a-z]+\s+mut\s+self)")
+    zero = rust & F.contains(line, F.lit("[0]")) & ~c("guarded") & ~c("chunked") & ((c("zero_field") == "") | (c("row") == c("first_zero")))
+    body = F.concat_ws(" ", line, *[F.col(f"a{k}") for k in range(1, 6)])
+    converts = rust & F.trim(line).rlike(r"^impl\s*From[< ]") & ~F.lower(body).rlike("err")
+    contained = rust & (c("lazy") == 1) & has_any(line, GLOBAL_CONTAINERS)
     predicate, returns = name_of(r"\bfn\s+((?:is|has|can|should)_[A-Za-z0-9_]*)"), name_of(r"->\s*([^{;]+?)\s*(?:\{|;|$)")
     sql = F.contains(line, F.lit("format!(")) & F.upper(line).rlike(r"SELECT |INSERT INTO|UPDATE |DELETE FROM") & line.rlike(r"\{\}|\{:")
     long_name = F.concat(F.lit("Function '"), function, F.lit("' has "), F.size(words).cast("string"), F.lit(" words; try '"), F.array_join(F.slice(words, 1, 3), "_"), F.lit("'"))
@@ -100,14 +115,24 @@ def _rules(config: RuleConfig = RuleConfig()) -> dict[str, Rule]:
         "unsafe_blocks": Rule("LAW OF PARANOIA", line.rlike(r"\bunsafe\s*\{") & ~told, F.lit("Unsafe block without a SAFETY comment"), high),
         "mutable_statics": Rule("S01", line.rlike(r"\bstatic\s+mut\s"), F.lit("Mutable static"), medium, -1),
         "public_statics": Rule("S02", (public != "") & ~public.rlike("^[A-Z_]+$"), F.concat(F.lit("Public static '"), public, F.lit("'")), medium, -1),
+        "unwraps": Rule("LAW OF PARANOIA", rust & ~c("tests") & line.rlike(r"\.(?:unwrap\(\)|expect\()"), F.concat(F.lit("Unchecked "), name_of(r"\.(unwrap|expect)\(")), high),
+        "index_zero": Rule("L03", zero, F.lit("Index 0 taken without a check of bounds"), F.when(c("zero_field") != "", "Medium").otherwise("High")),
+        "global_containers": Rule("S03", contained, F.lit("Container in a lazy static"), medium, -1),
+        "mutating_getters": Rule("M03", rust & (getter != ""), F.concat(F.lit("Getter '"), getter, F.lit("' takes its object to change it")), high),
+        "mutating_calculators": Rule("M05", rust & (calculator != ""), F.concat(F.lit("Calculation '"), calculator, F.lit("' takes its object to change it")), high),
+        "manual_conversions": Rule("I01", converts, F.lit("Hand-written From"), F.lit("Info")),
         "predicates": Rule("M04", (predicate != "") & ~returns.isin("", "bool"), F.concat(F.lit("'"), predicate, F.lit("' returns "), returns), high),
     }
 
 
+#: Rules that are only run by name: the tool that this follows documents them, but its scan never reports them.
+BY_NAME = ("unwraps",)
+
+
 def check(files: DataFrame, *names: str, config: RuleConfig = RuleConfig()) -> DataFrame:
-    """Violations of the named rules; of all without names."""
+    """Violations of the named rules; of all but those of BY_NAME without names."""
     rules = _rules(config)
-    findings = [rules[n].finding for n in names or rules]
+    findings = [rules[n].finding for n in names or rules if names or n not in BY_NAME]
     rows = in_context(files)
     if len(findings) == 1:
         found = rows.select("path", findings[0].alias("v")).where("v IS NOT NULL")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,17 +23,54 @@ def _best(rules: list[tuple[int, int, str, Column]]) -> Column:
     return F.array_sort(hits)
 
 
-def badges(fingerprints: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Taxonomy:
+    """Rules in the order that decides between equal scores: own ones of a project come before the built-in ones."""
+
+    roles: tuple = T.ROLES
+    domains: tuple = T.DOMAINS
+    mechanisms: tuple = T.MECHANISMS
+
+
+def taxonomy_of(text: str) -> Taxonomy:
+    """A project's rules, as YAML with lists role, domain and mechanism, before the built-in ones; these alone where it doesn't parse. Domains of bad patterns are left out."""
+    try:
+        import yaml
+
+        parse, broken = yaml.safe_load, yaml.YAMLError
+    except ImportError:  # JSON is YAML too
+        parse, broken = json.loads, json.JSONDecodeError
+    try:
+        own = parse(text) or {}
+        part = lambda name: list(reversed(own.get(name) or []))  # noqa: E731  each goes before those read so far
+        names = lambda rule, key: tuple(rule.get(key) or ())
+        roles = [(r["badge"], names(r, "exports_contain"), names(r, "param_type_contains"), names(r, "annotation_contains")) for r in part("role")]
+        domains = [(r["badge"], r["string_pattern"]) for r in part("domain") if _compiles(r["string_pattern"])]
+        mechanisms = [(r["badge"], r["import_prefix"]) for r in part("mechanism")]
+    except (broken, KeyError, TypeError, AttributeError):
+        return Taxonomy()
+    return Taxonomy((*roles, *T.ROLES), (*domains, *T.DOMAINS), (*mechanisms, *T.MECHANISMS))
+
+
+def _compiles(pattern: str) -> bool:
+    try:
+        re.compile(pattern)
+    except re.error:
+        return False
+    return True
+
+
+def badges(fingerprints: DataFrame, rules: Taxonomy = Taxonomy()) -> DataFrame:
     """path, role, domain, mechanisms (two at most)."""
     roles = []
-    for k, (badge, exports, params, annotations) in enumerate(T.ROLES):
+    for k, (badge, exports, params, annotations) in enumerate(rules.roles):
         test = F.lit(True)
         for e in exports:
             test = test & _has("exports", e)
         test = test & (any_of([_has("param_types", p) for p in params]) if params else F.lit(True)) & (any_of([_has("annotations", a) for a in annotations]) if annotations else F.lit(True))
         roles.append((bool(exports) + 2 * bool(params) + 3 * bool(annotations), k, badge, test))
-    domains = [(3, k, badge, _matches(pattern)) for k, (badge, pattern) in enumerate(T.DOMAINS)]
-    mechanisms = [(1, k, badge, _starts(prefix)) for k, (badge, prefix) in enumerate(T.MECHANISMS)]
+    domains = [(3, k, badge, _matches(pattern)) for k, (badge, pattern) in enumerate(rules.domains)]
+    mechanisms = [(1, k, badge, _starts(prefix)) for k, (badge, prefix) in enumerate(rules.mechanisms)]
     first = lambda rules: F.get(_best(rules), F.lit(0))["badge"]
     return fingerprints.select("path", first(roles).alias("role"), first(domains).alias("domain"), F.transform(F.slice(_best(mechanisms), 1, 2), lambda x: x["badge"]).alias("mechanisms"))
 

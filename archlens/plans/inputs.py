@@ -7,6 +7,7 @@ stands for the table t.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,56 @@ CODE = (
     + " AS path, " + _case([NL.join(lines) for _, lines in _CODE]).replace("{{", "{").replace("}}", "}") + " AS content FROM {part}"
 )
 
+#: Lines of which rules find some, clear others, and meet some in unusual dress; no quotes and backslashes, which the dialects read differently.
+_POOL = [
+    "let a = items.first().unwrap();", "let b = map.get(k).expect(msg);", "// a.unwrap() in a comment", "let c = x.unwrap_or(0);", "let d = rows[0];", "let e = self.parts[0];", "let f = self.parts[0].len;",
+    "let g = v[10];", "let h = y.expected();", "impl From<u8> for Id {", "impl From<ParseError> for Fault {", "impl  From<u16> for Wide {", "impl Into<u8> for Id {", "lazy_static! {", "static ref A: Mutex<Vec<u8>> = make();",
+    "static ref B: RwLock<HashMap<u8, u8>> = make();", "static ref C: Mutex<u8> = make();", "}", "fn get_name(&mut self) -> u8 {", "fn get_size(&self) -> u8 {", "fn is_open(mut self) -> bool {", "fn compute_sum(&mut self) {",
+    "fn count_all(&self) -> u8 {", "fn sum_up<T>(&mut self, t: T) {", "fn target_get_it(&mut self) {", "fn forget_it(&mut self) {", "let n = items.len();", "for x in v.chunks_exact(4) {", "static mut COUNT: u8 = 0;", "pub static NAME: u8 = 0;",
+    "pub static name_of: u8 = 0;", "unsafe { go(p) }", "// SAFETY: p is ours", "fn is_ready(&self) -> u8 {", "fn has_all(&self) -> bool {", "if i <= items.len() {", "while i < items.len() {", "if v.is_empty() { stop(); }", "cache: Mutex<Map>,",
+    "// guards the cache", "let z = cache.lock().unwrap();", "work().await;", "drop(z);",
+]
+_PICK = lambda k: f"split_part({' || chr(10) || '.join(repr(x) for x in _POOL)}, chr(10), CAST((p_partkey * {2 * k + 3} + {k * k * 5}) % {len(_POOL)} + 1 AS INT))"
+#: files(path, content) whose lines differ from file to file; some are tests.
+MIXED = (
+    "SELECT 'src/' || CASE p_partkey % 9 WHEN 4 THEN 'spec_' WHEN 5 THEN 'tests/x' ELSE 'm' END || CAST(p_partkey AS STRING) || CASE p_partkey % 11 WHEN 7 THEN '.py' ELSE '.rs' END AS path, "
+    + NL.join(_PICK(k) for k in range(8)) + " AS content FROM {part}"
+)
+
+#: files(path, content): scripts that import one another, by relative paths and by an alias; some targets don't exist.
+_SCRIPT_PATH = lambda key: f"'src/m' || CAST(({key}) % 40 AS STRING) || '/p' || CAST({key} AS STRING) || '.ts'"
+_Q = "'\"'"
+SCRIPTS = (
+    f"SELECT {_SCRIPT_PATH('p_partkey')} AS path, 'import a from ' || {_Q} || '../m' || CAST((p_partkey + 27) % 40 AS STRING) || '/p' || CAST(p_partkey - 13 AS STRING) || {_Q} || chr(10) || "
+    f"'import b from ' || {_Q} || '@app/m' || CAST((p_partkey + 5) % 40 AS STRING) || '/p' || CAST(p_partkey + 5 AS STRING) || {_Q} || chr(10) || 'import c from ' || {_Q} || 'react' || {_Q} AS content FROM {{part}}"
+)
+#: files(path, content): Go files, eight to a directory, that import the next directory of their module; some are tests.
+GO_FILES = (
+    "SELECT 'pkg' || CAST(p_partkey - p_partkey % 8 AS STRING) || '/f' || CAST(p_partkey AS STRING) || CASE p_partkey % 5 WHEN 3 THEN '_test.go' ELSE '.go' END AS path, "
+    "CASE p_partkey % 5 WHEN 3 THEN 'package pkg_test' ELSE 'package pkg' END || chr(10) || 'import (' || chr(10) || '\"fmt\"' || chr(10) || '\"example.com/mod/pkg' || CAST(p_partkey - p_partkey % 8 + 8 AS STRING) || '\"' || chr(10) || ')' AS content FROM {part}"
+)
+_BUILD = ["Cargo.toml", "package.json", "requirements.txt", "x.cmake", "CMakeLists.txt", "conanfile.py", "cargo.toml", "a.toml", "Pipfile"]
+#: files(path): names of which some belong to build systems.
+BUILDS = "SELECT 'd' || CAST(s_suppkey AS STRING) || '/' || CASE s_suppkey % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_BUILD)) + " END AS path FROM {supplier}"
+
+_SAID = "replace(replace(replace(substr(text, 1, 50), chr(10), ' '), '*', ' '), '\"', ' ')"
+_OPENINGS = ["Parser of ", "Returns the value of ", "Whether ", "A small ", "The number of ", "Applies ", "This is ", "Rules. More of "]
+_DOC = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OPENINGS)) + f" END || {_SAID}"
+#: files(path, content): Rust, Python, script and Go files with a comment on top; said is the comment's text.
+DOCS = (
+    f"SELECT doc_id, {_DOC} AS said, 'src/d' || CAST(doc_id AS STRING) || CASE doc_id % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.rs' WHEN 2 THEN '.py' WHEN 3 THEN '.ts' ELSE '.go' END AS path, CASE doc_id % 5 "
+    f"WHEN 0 THEN '// x' || chr(10) || '//! # ' || {_DOC} || chr(10) || '//! end' || chr(10) || 'fn main() {{}}' WHEN 1 THEN 'use a;' || chr(10) || '/// ' || {_DOC} || chr(10) || 'fn f() {{}}' "
+    f"WHEN 2 THEN '# x' || chr(10) || '\"\"\"' || {_DOC} || '\"\"\"' || chr(10) || 'import os' WHEN 3 THEN '/** ' || {_DOC} || ' */' ELSE '// ' || {_DOC} || chr(10) || 'package main' END AS content FROM {{documents}}"
+)
+#: files(path, content): C++ headers and sources.
+CPP = (
+    "SELECT 'src/c' || CAST(s_suppkey AS STRING) || CASE s_suppkey % 2 WHEN 0 THEN '.h' ELSE '.cpp' END AS path, 'class K' || CAST(s_suppkey AS STRING) || ' {' || chr(10) || 'void inner();' || chr(10) || '};' || chr(10) || "
+    "'int declared_' || CAST(s_nationkey AS STRING) || '(int x);' || chr(10) || 'static int hidden(int x) {' || chr(10) || '}' || chr(10) || 'void made' || CAST(s_nationkey AS STRING) || '() {' || chr(10) || 'if (x) { go(); }' || chr(10) || '}' || chr(10) || "
+    "'void K::method() {' || chr(10) || '}' || chr(10) || 'void OnClick() {' || chr(10) || '}' AS content FROM {supplier}"
+)
+#: spans(path, low, high): a supplier's lines as ranges, some within others.
+SPANS = "SELECT 's' || CAST(l_suppkey AS STRING) AS path, l_partkey % 1000 AS low, l_partkey % 1000 + CAST(l_quantity AS INT) * 3 AS high FROM {lineitem}"
+
 _ENDS = [".rs", ".py", ".bundle.js", ".ts", ".toml", ".json", ".html", ".min.css", ".md", ".png", ".lock", ".sh", "", ".pem"]
 _DIRS = ["src/core", "src/core/tests", "node_modules/a", "docs", "src/ui/view", "target/debug", "vendor", "src"]
 #: files(path, content): documents under made-up names of many kinds.
@@ -99,7 +150,14 @@ def for_duckdb(text: str) -> str:
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
-    for name in set(re.findall(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|conversations)\}", text)):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"archlens_{name}")
-        text = text.replace(f"{{{name}}}", f"archlens_{name}")
-    return spark.sql(text)
+    """The rows of a text; its views are gone when this returns."""
+    own, views = uuid.uuid4().hex, []
+    try:
+        for name in set(re.findall(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|pages|conversations)\}", text)):
+            views.append(f"v{own}_{name}")
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(views[-1])
+            text = text.replace(f"{{{name}}}", views[-1])
+        return spark.sql(text)
+    finally:
+        for view in views:
+            spark.catalog.dropTempView(view)

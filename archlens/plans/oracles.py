@@ -39,6 +39,7 @@ def found(body: str, law: str, message: str, confidence: str = "'High'", row: st
     return f"SELECT path, CAST({row} AS INT) AS row, '{law}' AS law, {message} AS message, {confidence} AS confidence FROM {body}"
 
 
+PERF_EXEMPT = "(" + " OR ".join([*(f"contains(path, {quoted(x)})" for x in T.PERF_EXEMPT), f"ends_with(path, {quoted(T.PERF_EXEMPT_END)})"]) + ")"
 SYSTEMS = " + ".join(f"CASE WHEN {' OR '.join(f'contains(content, {quoted(n)})' for n in needles)} THEN {w} ELSE 0 END" for w, needles in T.SYSTEMS_SIGNS)
 WORDS = "list_transform(list_filter(CASE WHEN contains(name, '_') THEN string_split(name, '_') ELSE string_split(regexp_replace(regexp_replace(name, '(\\p{Ll})(\\p{Lu})', '\\1 \\2', 'g'), '(^| )(\\p{Lu}+)(\\p{Lu}\\p{Ll})', '\\1\\2 \\3', 'g'), ' ') END, lambda w: w <> ''), lambda w: lower(w))"
 
@@ -57,6 +58,13 @@ def garbled(t: str) -> str:
 _BARE = lambda x: f"lower(regexp_replace(regexp_replace(regexp_replace(trim({x}), '^\\(+', ''), '\\)+$', ''), ':+$', ''))"
 _INDEX = lambda x: f"({_BARE(x)} <> '' AND NOT regexp_full_match({_BARE(x)}, '[0-9]+') AND (" + " OR ".join(f"contains({_BARE(x)}, '{n}')" for n in T.INDEX_NAMES) + f" OR (regexp_full_match({_BARE(x)}, '[a-z0-9_.\\[\\]]*') AND NOT regexp_matches({_BARE(x)}, 'len|size|empty'))))"
 
+
+
+def _mutating(verbs: str, law: str, kind: str) -> str:
+    pattern = "\\bfn\\s+((?:" + verbs + ")_[A-Za-z0-9_]*)\\s*(?:<[^>]*>)?\\(\\s*&?\\s*(?:mut\\s+self|''[a-z]+\\s+mut\\s+self)"
+    return f"WITH {LINES}, y AS (SELECT *, regexp_extract(line, '{pattern}', 1) AS name FROM l WHERE lang = 'rust') " + found("y WHERE name <> ''", law, f"'{kind} ''' || name || ''' takes its object to change it'")
+
+
 RULES = {
     "rule_naming": f"WITH {LINES}, n AS (SELECT *, {WORDS} AS w FROM (SELECT path, row, regexp_extract(line, '\\b(?:fn|def|function)\\s+([A-Za-z_][A-Za-z0-9_]*)', 1) AS name FROM l) WHERE name <> '') "
     + found("n WHERE len(w) > 10", "LAW OF COMPLEXITY", "'Function ''' || name || ''' has ' || len(w) || ' words; try ''' || list_aggregate(w[1:3], 'string_agg', '_') || ''''"),
@@ -64,7 +72,7 @@ RULES = {
     p AS (SELECT *, trim(substr(t, 1, instr(t, op) - 1)) AS a, trim(substr(t, instr(t, op) + 2)) AS b FROM s WHERE op IS NOT NULL),
     q AS (SELECT *, {has('lang', 'length', 'a')} AS al, {has('lang', 'length', 'b')} AS bl FROM p) """
     + found(f"q WHERE al <> bl AND ((bl AND op = '<=' AND {_INDEX('a')}) OR (al AND op = '>=' AND {_INDEX('b')}))", "L02", "'Inclusive bound: ' || trim(line)"),
-    "rule_looped_lookups": f"WITH {LINES}, w AS (SELECT path FROM g WHERE NOT regexp_matches(lower(path), '(^|/)tests?/|_test\\.|\\.test\\.|\\.spec\\.') AND {has('lang', 'loop', 'content')} AND {has('lang', 'lookup', 'content')}), f AS (SELECT path, min(row) AS row FROM l WHERE path IN (SELECT path FROM w) AND {has('lang', 'lookup', 'line')} GROUP BY path) "
+    "rule_looped_lookups": f"WITH {LINES}, w AS (SELECT path FROM g WHERE NOT regexp_matches(lower(path), '(^|/)tests?/|_test\\.|\\.test\\.|\\.spec\\.') AND NOT {PERF_EXEMPT} AND {has('lang', 'loop', 'content')} AND {has('lang', 'lookup', 'content')}), f AS (SELECT path, min(row) AS row FROM l WHERE path IN (SELECT path FROM w) AND {has('lang', 'lookup', 'line')} GROUP BY path) "
     + found("f", "P06", "'Linear lookup in a loop'", "'Medium'"),
     "rule_front_accesses": f"WITH {LINES}, w AS (SELECT path FROM g WHERE NOT {has('lang', 'collection_guard', 'content')}) " + found(f"l WHERE path IN (SELECT path FROM w) AND {has('lang', 'front_access', 'line')}", "L03", "'Element taken without a check for emptiness'"),
     "rule_formatted_sql": f"WITH {LINES} " + found("l WHERE contains(line, 'format!(') AND regexp_matches(upper(line), 'SELECT |INSERT INTO|UPDATE |DELETE FROM') AND (contains(line, '{}') OR contains(line, '{:'))", "X01", "'SQL built by formatting'"),
@@ -82,6 +90,16 @@ RULES = {
     + found("n WHERE regexp_matches(line, '\\bstatic\\s+mut\\s')", "S01", "'Mutable static'", "'Medium'", "row - 1") + " UNION ALL " + found("n WHERE name <> '' AND NOT regexp_full_match(name, '[A-Z_]+')", "S02", "'Public static ''' || name || ''''", "'Medium'", "row - 1"),
     "rule_predicates": f"WITH {LINES}, n AS (SELECT *, regexp_extract(line, '\\bfn\\s+((?:is|has|can|should)_[A-Za-z0-9_]*)', 1) AS name, regexp_extract(line, '->\\s*([^{{;]+?)\\s*(?:\\{{|;|$)', 1) AS returns FROM l) "
     + found("n WHERE name <> '' AND returns <> '' AND returns <> 'bool'", "M04", "'''' || name || ''' returns ' || returns"),
+    "rule_unwraps": f"WITH {LINES} " + found(f"l WHERE lang = 'rust' AND NOT regexp_matches(lower({NAME}), 'test|spec') AND regexp_matches(line, '\\.(?:unwrap\\(\\)|expect\\()')", "LAW OF PARANOIA", "'Unchecked ' || regexp_extract(line, '\\.(unwrap|expect)\\(', 1)"),
+    "rule_index_zero": f"""WITH {LINES}, w AS (SELECT path FROM g WHERE {has('lang', 'collection_guard', 'content')} OR contains(content, 'chunks_exact(') OR contains(content, 'array_chunks(')), z AS (SELECT *, regexp_extract(line, '(self\\.[A-Za-z0-9_.]+)\\[0\\]', 1) AS f FROM l WHERE lang = 'rust'),
+    y AS (SELECT *, min(row) OVER (PARTITION BY path, f) AS lead_row FROM z) """
+    + found("y WHERE contains(line, '[0]') AND path NOT IN (SELECT path FROM w) AND (f = '' OR row = lead_row)", "L03", "'Index 0 taken without a check of bounds'", "CASE WHEN f <> '' THEN 'Medium' ELSE 'High' END"),
+    "rule_global_containers": f"""WITH {LINES}, y AS (SELECT *, last_value(CASE WHEN contains(line, 'lazy_static!') THEN 1 WHEN trim(line) = '}}' THEN 0 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY row) AS lazy FROM l) """
+    + found("y WHERE lang = 'rust' AND lazy = 1 AND (" + " OR ".join(f"contains(line, '{c}')" for c in T.GLOBAL_CONTAINERS) + ")", "S03", "'Container in a lazy static'", "'Medium'", "row - 1"),
+    "rule_mutating_getters": _mutating("get|is|has", "M03", "Getter"),
+    "rule_mutating_calculators": _mutating("calculate|compute|count|sum", "M05", "Calculation"),
+    "rule_manual_conversions": f"WITH {LINES}, y AS (SELECT *, concat_ws(' ', line, " + ", ".join(f"lead(line, {k}) OVER (PARTITION BY path ORDER BY row)" for k in range(1, 6)) + ") AS body FROM l) "
+    + found("y WHERE lang = 'rust' AND regexp_matches(trim(line), '^impl\\s*From[< ]') AND NOT contains(lower(body), 'err')", "I01", "'Hand-written From'", "'Info'"),
 }
 
 ATOMICITY = f"""WITH code AS ({I.for_duckdb("@")}), g AS (SELECT path, content, {LANG} AS lang FROM code WHERE {KIND} = 'SourceCode'),
@@ -89,7 +107,7 @@ c AS (SELECT path, 1 AS row, {TOKENS} AS n, CASE WHEN {SYSTEMS} >= 3 THEN 10000
 
 
 def _scan() -> str:
-    parts = [f"SELECT * FROM ({sql})" for sql in [*RULES.values(), ATOMICITY.replace("@", I.for_duckdb(I.CODE))]]
+    parts = [f"SELECT * FROM ({sql})" for sql in [*(sql for name, sql in RULES.items() if name != "rule_unwraps"), ATOMICITY.replace("@", I.for_duckdb(I.CODE))]]
     return "v AS (" + " UNION ALL ".join(parts) + ")"
 
 
@@ -131,6 +149,33 @@ IMPORTS = f"{CODE}, im AS (SELECT DISTINCT path, unnest(CASE {LANG} " + " ".join
 HERE = "regexp_replace(path, '/?[^/]*$', '')"
 _TOKEN = "==|!=|<=|>=|&&|\\|\\||\\band\\b|\\bor\\b|\\btrue\\b|\\bfalse\\b|\\bTrue\\b|\\bFalse\\b"
 
+ON_MIXED = ("rule_unwraps", "rule_index_zero", "rule_global_containers", "rule_mutating_getters", "rule_mutating_calculators", "rule_manual_conversions")
+MIXED = {name: sql.replace(CODE, source("code", I.MIXED)) for name, sql in RULES.items()}
+
+
+def _any(text: str, needles) -> str:
+    return "(" + (" OR ".join(f"contains(lower({text}), {quoted(n)})" for n in needles) or "false") + ")"
+
+
+IS_TEST = f"CASE {LANG} " + " ".join(f"WHEN '{lang}' THEN {_any('path', paths)} OR {_any('content', needles)}" for lang, (paths, needles, _) in T.TEST_SIGNS.items()) + " ELSE false END"
+_HEAD = lambda x: f"split_part(trim({x}), '. ', 1)"
+SENTENCE = lambda x: f"CASE WHEN ends_with({_HEAD(x)}, '.') THEN {_HEAD(x)} ELSE {_HEAD(x)} || '.' END"
+
+
+def of_item(x: str) -> str:
+    t = f"regexp_replace(trim({x}), '\\.+$', '')"
+    words = f"list_filter(regexp_split_to_array(lower({t}), '\\s+'), lambda w: w <> '')"
+    first, second = f"coalesce({words}[1], '')", f"coalesce({words}[2], '')"
+    verb = f"({first} IN {listed(T.DOC_VERBS)} OR CASE WHEN ends_with({first}, 'ies') THEN {first}[:-4] || 'y' IN {listed(T.DOC_VERBS)} WHEN ends_with({first}, 's') THEN {first}[:-2] IN {listed(T.DOC_VERBS)} OR (ends_with({first}, 'es') AND {first}[:-3] IN {listed(T.DOC_VERBS)}) ELSE false END)"
+    starts = lambda prefixes: "(" + " OR ".join(f"starts_with(lower({t}), {quoted(q)})" for q in prefixes) + ")"
+    return f"({_any(t, T.LICENSE_SIGNS)} OR {verb} OR ({second} IN ('is', 'are', 'was', 'were') AND {first} NOT IN ('this', 'it', 'there', 'here')) OR {starts(T.STATE_PREFIXES)} OR regexp_matches({t}, '^[aA][nN]? \\p{{Ll}}') OR {starts(T.QUANTITY_PREFIXES)} OR {_any(t, T.INTERNAL_TERMS)} OR regexp_matches({t}, '(?::|-|e\\.g)$') OR len({words}) < 3)"
+
+
+_SCRIPT_FILE = lambda q: f"'src/m' || ({q}) % 40 || '/p' || ({q}) || '.ts'"
+_SCRIPT_EDGE = lambda shift: f"SELECT {_SCRIPT_FILE('p_partkey')} AS src, {_SCRIPT_FILE(f'p_partkey + {shift}')} AS dst FROM part WHERE p_partkey + {shift} IN (SELECT p_partkey FROM part)"
+GUIDANCE = "(VALUES " + ", ".join(f"({quoted(law)}, {quoted(why)}, {quoted(fix)})" for law, (why, fix) in T.GUIDANCE.items()) + ") AS gd(law, why, fix)"
+MARKERS = "(VALUES " + ", ".join(f"({quoted(name)}, {k}, {quoted(kind)})" for k, (name, kind) in enumerate(T.PROJECT_MARKERS)) + ") AS mk(name, k, kind)"
+CATEGORY = "CASE WHEN y[-1] <> 'mod.rs' AND len(y) > 2 THEN 'ENCAPSULATION_BREACH' WHEN ca >= 3 AND identity <> 'StableHub' THEN 'MISSING_HUB' ELSE 'SIDEWAYS_DEP' END"
 ORACLE_SQL = {
     "file_kind": f"WITH {source('p', I.PATHS)} SELECT path, {KIND} AS kind, {EXT} AS ext, {LANG} AS lang FROM p",
     "discovered_files": f"WITH {source('p', I.PATHS)} SELECT path FROM p WHERE NOT list_has_any(string_split(path, '/'), {PRUNED.replace('(', '[').replace(')', ']')}) AND NOT regexp_matches(path, 'core/tests') AND CASE WHEN regexp_matches({NAME}, {quoted(T.BINARY_FILE)}) OR regexp_matches({NAME}, {quoted(T.SECRET_FILE)}) THEN false WHEN regexp_matches({NAME}, {quoted(T.CODE_FILE)}) OR regexp_matches({NAME}, {quoted(T.CODE_NAME)}) THEN true ELSE starts_with(content, '#!') END",
@@ -148,6 +193,31 @@ ORACLE_SQL = {
     "comment_nouns": f"WITH w AS (SELECT source AS path, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents), c AS (SELECT path, word, count(*) AS n FROM w WHERE length(word) > 2 AND word NOT IN {listed(STOP_WORDS)} AND NOT regexp_matches(word, '(ing|ed)$') GROUP BY ALL) SELECT path, word, n, row_number() OVER (PARTITION BY path ORDER BY n DESC, word) AS rank FROM c QUALIFY rank <= 5",
     "concepts": f"WITH {CODE} SELECT path, " + ", ".join(f"{has(LANG, n, 'content')} AS {n}" for n in T.NEEDLES) + " FROM code",
     **RULES,
+    **{name: MIXED[name] for name in ON_MIXED},
+    "mixed_findings": "SELECT law, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM ({MIXED[name]})" for name in (*ON_MIXED, "rule_unsafe_blocks", "rule_global_state", "rule_predicates", "rule_undocumented_locks")) + ") AS v GROUP BY law",
+    "test_contexts": f"WITH {source('p', I.SOURCES)} SELECT path, {IS_TEST} AS is_test, regexp_matches(content, '#\\s*\\[\\s*(?:cfg\\s*\\(\\s*test\\s*\\)|test)\\s*\\]') AS inline_tests, {PERF_EXEMPT} AS perf_exempt FROM p",
+    "build_systems": f"WITH {source('p', I.BUILDS)} SELECT DISTINCT build_system FROM (SELECT CASE WHEN {EXT} = 'cmake' THEN 'CMake' ELSE CASE {NAME} " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in T.BUILD_FILES.items()) + " END END AS build_system FROM p) AS b WHERE build_system IS NOT NULL",
+    "project_types": f"WITH {source('p', I.BUILDS)} SELECT coalesce(arg_min(kind, k), 'unknown') AS project_type FROM p JOIN {MARKERS} ON {NAME} = name",
+    "files_to_mutate": f"WITH {source('p', I.PATHS)} SELECT path FROM p WHERE contains(path, 'core/')",
+    "item_docs": f"WITH {source('p', I.DOCS)} SELECT path, {of_item('said')} AS of_item FROM p",
+    "module_docs": f"WITH {source('p', I.DOCS)} SELECT path, CASE WHEN doc_id % 5 = 0 THEN {SENTENCE("trim(said) || ' end'")} WHEN doc_id % 5 IN (1, 4) THEN CASE WHEN NOT {of_item(SENTENCE('said'))} THEN {SENTENCE('said')} END ELSE {SENTENCE('said')} END AS doc FROM p",
+    "cpp_exports": f"WITH {source('p', I.CPP)}, t AS (SELECT *, ends_with(path, '.h') AS header FROM p) SELECT path, 'K' || regexp_extract(path, 'c(\\d+)\\.', 1) || CASE WHEN header THEN ',' || regexp_extract(content, 'declared_\\d+') ELSE '' END || ',' || regexp_extract(content, 'made\\d+') AS names FROM t",
+    "aliased_imports": _SCRIPT_EDGE(5),
+    "go_imports": f"WITH {source('p', I.GO_FILES)}, d AS (SELECT path, CAST(regexp_extract(path, '^pkg(\\d+)/', 1) AS BIGINT) AS d, ends_with(path, '_test.go') AS t FROM p) SELECT x.path AS src, y.path AS dst FROM d x JOIN d y ON y.d = x.d + 8 WHERE x.t OR NOT y.t",
+    "import_verdicts": "WITH " + JUDGED.replace(EDGES, f"e AS ({_SCRIPT_EDGE(-13)} UNION ALL {_SCRIPT_EDGE(5)})") + " SELECT identity, distance, reason, reason IS NOT NULL AS passed, count(*) AS n FROM j GROUP BY ALL",
+    "layered_categories": f"WITH RECURSIVE {JUDGED}, d2 AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), n2 AS (SELECT src AS path FROM d2 UNION SELECT dst FROM d2), r2(path, layer) AS (SELECT path, 0 FROM n2 WHERE path NOT IN (SELECT src FROM d2) UNION SELECT src, layer + 1 FROM d2 JOIN r2 ON dst = path), m2 AS (SELECT path, max(layer) AS layer FROM r2 GROUP BY path), "
+    f"c2 AS (SELECT {CATEGORY} AS category, a.layer < b.layer AS up FROM j LEFT JOIN m2 a ON a.path = src LEFT JOIN m2 b ON b.path = dst WHERE reason IS NULL) SELECT CASE WHEN category = 'SIDEWAYS_DEP' AND up THEN 'UPWARD_DEP' ELSE category END AS category, count(*) AS n FROM c2 GROUP BY 1",
+    "locality_report": f"WITH {JUDGED}, x AS (SELECT *, {CATEGORY} AS category FROM j WHERE reason IS NULL) SELECT 0 AS section, printf('Edges: %d, failed: %d, health: %.1f%%', count(*), count(*) FILTER (reason IS NULL), (1 - count(*) FILTER (reason IS NULL) / count(*)) * 100) AS line FROM j "
+    "UNION ALL SELECT 1, category || ': ' || count(*) FROM x GROUP BY category UNION ALL SELECT * FROM (SELECT 2, src || ' fails ' || count(*) || ' times' FROM x GROUP BY src HAVING count(*) >= 3 ORDER BY count(*) DESC, src LIMIT 10)",
+    "guided_findings": f"WITH {SCAN} SELECT v.law, why, fix, count(*) AS n FROM v LEFT JOIN {GUIDANCE} ON gd.law = v.law GROUP BY ALL",
+    "sorted_files": f"WITH {SCAN} SELECT path, count(*) AS n FROM v GROUP BY path",
+    "maximal_spans": f"WITH {source('s', I.SPANS)}, b AS (SELECT DISTINCT * FROM s) SELECT path, low, high FROM b QUALIFY coalesce(high > max(high) OVER (PARTITION BY path ORDER BY low, high DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)",
+    "text_report": f"WITH {SCAN}, {CODE} SELECT 0 AS section, printf('Files: %d, tokens: %d, findings: %d, clean files: %d', (SELECT count(*) FROM code), (SELECT CAST(sum({TOKENS}) AS BIGINT) FROM code), count(*), (SELECT count(*) FROM code) - count(DISTINCT path)) AS line FROM v "
+    "UNION ALL SELECT 1, printf('[%s] %d', law, count(*)) FROM v GROUP BY law UNION ALL SELECT 2, printf('%s: %d runs, %d failed', event_type, count(*), count(*) FILTER (NOT value > 50)) FROM events GROUP BY event_type",
+    "file_reports": f"""WITH {CODE}, r AS ({RULES['rule_hardcoded_secrets']}), b AS (SELECT path, string_agg('{{"row":' || row || ',"law":"' || law || '","message":"' || message || '","confidence":"' || confidence || '"}}', ',' ORDER BY row, law, message) AS found FROM r GROUP BY path)
+    SELECT code.path, '{{"path":"' || code.path || '","token_count":' || {TOKENS} || ',"violations":[' || coalesce(found, '') || ']}}' AS report FROM code LEFT JOIN b ON b.path = code.path""",
+    "output_counts": "WITH o AS (SELECT doc_id AS command, string_split(concat_ws(chr(10), text, CASE WHEN doc_id % 3 = 0 THEN 'error: x' || chr(10) || 'warning: y' || chr(10) || 'an error' END), chr(10)) AS ls FROM documents) SELECT command, CAST(len(list_filter(ls, lambda x: contains(x, 'error'))) AS INT) AS n_errors, CAST(len(list_filter(ls, lambda x: contains(x, 'warning'))) AS INT) AS n_warnings FROM o",
+    "event_log": """SELECT '{"event_id":' || event_id || ',"user_id":' || user_id || ',"event_type":"' || event_type || '"}' AS value FROM events""",
     "rule_atomicity": ATOMICITY.replace("@", I.for_duckdb(I.SOURCES)),
     "count_by_law": f"WITH {SCAN} SELECT law, count(*) AS n FROM v GROUP BY law",
     "report_totals": f"WITH {SCAN}, {CODE} SELECT (SELECT count(*) FROM code) AS n_files, (SELECT CAST(sum({TOKENS}) AS BIGINT) FROM code) AS n_tokens, count(*) AS n_violations, count(*) FILTER (confidence = 'Info') AS n_info, count(*) FILTER (confidence = 'Medium') AS n_medium, count(*) FILTER (confidence = 'High') AS n_high, (SELECT count(*) FROM code) - count(DISTINCT path) AS n_clean_files, count(*) = 0 AS passed FROM v",
@@ -167,6 +237,11 @@ ORACLE_SQL = {
     SELECT path, CASE WHEN pe THEN 'Persists' WHEN ha THEN 'Handles HTTP requests for' WHEN m THEN 'Manages' WHEN fe THEN 'Fetches' WHEN re THEN 'Registers' END AS role,
       CASE """ + " ".join(f"WHEN len(list_filter(strings, lambda x: regexp_matches(x, {quoted(p)}))) > 0 THEN {quoted(b)}" for b, p in T.DOMAINS) + " END AS domain, coalesce(list_aggregate(list_filter(["
     + ", ".join(f"CASE WHEN len(list_filter(imports, lambda x: starts_with(x, {quoted(p)}))) > 0 THEN {quoted(b)} END" for b, p in T.MECHANISMS) + "], lambda x: x IS NOT NULL)[1:2], 'string_agg', '|'), '') AS mechanisms FROM b",
+    "project_badges": f"""WITH {source('f', I.FINGERPRINTS)}, b AS (SELECT *, len(list_filter(exports, lambda x: contains(x, 'Install'))) > 0 AND len(list_filter(exports, lambda x: contains(x, 'Uninstall'))) > 0 AS m, len(list_filter(exports, lambda x: contains(x, 'Fetch'))) > 0 AS fe, len(list_filter(exports, lambda x: contains(x, 'Run'))) > 0 AS ru,
+      len(list_filter(param_types, lambda x: contains(x, 'http.ResponseWriter'))) > 0 AS ha, len(list_filter(annotations, lambda x: contains(x, 'gorm') OR contains(x, 'db') OR contains(x, 'serde'))) > 0 AS pe, len(list_filter(exports, lambda x: contains(x, 'Register'))) > 0 AS re FROM f)
+    SELECT CASE WHEN pe THEN 'Persists' WHEN ha THEN 'Handles HTTP requests for' WHEN ru THEN 'Runs' WHEN m THEN 'Manages' WHEN fe THEN 'Fetches' WHEN re THEN 'Registers' END AS role, CASE WHEN len(list_filter(strings, lambda x: contains(x, 'Customer#'))) > 0 THEN 'customers' """
+    + " ".join(f"WHEN len(list_filter(strings, lambda x: regexp_matches(x, {quoted(p)}))) > 0 THEN {quoted(b)}" for b, p in T.DOMAINS) + " END AS domain, coalesce(list_aggregate(list_filter(["
+    + ", ".join(f"CASE WHEN len(list_filter(imports, lambda x: starts_with(x, {quoted(p)}))) > 0 THEN {quoted(b)} END" for b, p in [("files", "std::fs"), *T.MECHANISMS]) + "], lambda x: x IS NOT NULL)[1:2], 'string_agg', '|'), '') AS mechanisms, count(*) AS n FROM b GROUP BY ALL",
     "mutation_summary": "SELECT count(*) AS total, count(*) FILTER (l_returnflag <> 'R') AS killed, count(*) FILTER (l_returnflag = 'R') AS survived, count(*) FILTER (l_returnflag <> 'R') / count(*) * 100 AS score FROM lineitem",
     "coupling": f"WITH {COUPLING} SELECT path, ca, ce, round(ce / (ca + ce), 9) AS instability, round(ln((ca + 1.0) / (ce + 1.0)), 9) AS skew FROM k",
     "path_distance": f"WITH {EDGES}, d AS (SELECT DISTINCT src, dst, string_split(src, '/') AS x, string_split(dst, '/') AS y FROM e), s AS (SELECT *, {SHARED} AS n FROM d) SELECT src, dst, CAST(len(x) + len(y) - 2 * n AS INT) AS distance, coalesce(list_aggregate(x[1:n], 'string_agg', '/'), '') AS ancestor FROM s",

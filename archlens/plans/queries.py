@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archlens.functions import docs
 from archlens.functions import text as X
 from archlens.operators import cohesion, graph, imports, locality, report, rules, taxonomy
 from archlens.plans import inputs as I
@@ -302,3 +303,156 @@ def cohesion_violations(spark, sf):
 @query
 def event_windows(spark, sf):
     return events.windowed_counts(spark.read.parquet(f"{sf}/events.parquet")).withColumn("total", F.round("total", 4))
+
+
+for _name in ("unwraps", "index_zero", "global_containers", "mutating_getters", "mutating_calculators", "manual_conversions"):
+
+    def _mixed(spark, sf, name=_name):
+        return rules.check(_files(spark, sf, I.MIXED), name)
+
+    _mixed.__name__ = f"rule_{_name}"
+    query(_mixed)
+
+
+@query
+def mixed_findings(spark, sf):
+    names = ("unwraps", "index_zero", "global_containers", "mutating_getters", "mutating_calculators", "manual_conversions", "unsafe_blocks", "mutable_statics", "public_statics", "predicates", "undocumented_locks")
+    return report.by_law(rules.check(_files(spark, sf, I.MIXED), *names))
+
+
+@query
+def test_contexts(spark, sf):
+    path, text = F.col("path"), F.col("content")
+    exempt = corpus.perf_exempt(path).alias("perf_exempt")
+    return _files(spark, sf, I.SOURCES).select("path", X.is_test_context(X.language(path), path, text).alias("is_test"), X.has_inline_tests(text).alias("inline_tests"), exempt)
+
+
+@query
+def build_systems(spark, sf):
+    return corpus.build_systems(_files(spark, sf, I.BUILDS))
+
+
+@query
+def project_types(spark, sf):
+    files = _files(spark, sf, I.BUILDS).select(F.substring_index("path", "/", -1).alias("path"))
+    return corpus.project_type(files)
+
+
+@query
+def files_to_mutate(spark, sf):
+    return corpus.to_mutate(_files(spark, sf, I.PATHS), "core\\").select("path")
+
+
+@query
+def module_docs(spark, sf):
+    return _files(spark, sf, I.DOCS).select("path", docs.module_doc(F.col("path"), F.col("content")).alias("doc"))
+
+
+@query
+def item_docs(spark, sf):
+    return _files(spark, sf, I.DOCS).select("path", docs.looks_like_item_doc(F.col("said")).alias("of_item"))
+
+
+@query
+def cpp_exports(spark, sf):
+    return _files(spark, sf, I.CPP).select("path", F.array_join(docs.cpp_exports(F.col("path"), F.col("content")), ",").alias("names"))
+
+
+ALIASES = {"@app/*": ["src/*"], "react": ["vendor/react"]}
+
+
+@query
+def aliased_imports(spark, sf):
+    files = _files(spark, sf, I.SCRIPTS)
+    found = imports.imports(files)
+    return imports.resolved(found, files, imports.aliased(found, ALIASES)).select("src", "dst")
+
+
+@query
+def go_imports(spark, sf):
+    files = _files(spark, sf, I.GO_FILES)
+    return imports.go_edges(imports.imports(files), files, "example.com/mod").select("src", "dst")
+
+
+@query
+def import_verdicts(spark, sf):
+    """From files through imports and edges to verdicts."""
+    files = _files(spark, sf, I.SCRIPTS)
+    found = imports.imports(files)
+    edges = imports.resolved(found, files).unionByName(imports.resolved(found, files, imports.aliased(found, ALIASES))).select("src", "dst")
+    return locality.judged(edges).groupBy("identity", "distance", "reason", "passed").agg(F.count("*").alias("n"))
+
+
+@query
+def layered_categories(spark, sf):
+    edges = _edges(spark, sf)
+    return locality.categorised(locality.judged(edges).where("NOT passed"), graph.layers(edges)).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query
+def locality_report(spark, sf):
+    judged = locality.judged(_edges(spark, sf))
+    return locality.report_lines(judged, locality.categorised(judged.where("NOT passed"))).select("section", "line")
+
+
+@query
+def guided_findings(spark, sf):
+    return report.guided(_violations(spark, sf)).groupBy("law", "why", "fix").agg(F.count("*").alias("n"))
+
+
+@query
+def sorted_files(spark, sf):
+    return report.sorted_worst(_violations(spark, sf))
+
+
+@query
+def maximal_spans(spark, sf):
+    return report.maximal(I.derived(spark, sf, I.SPANS))
+
+
+def _commands(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("command"), (F.col("value") > 50).alias("passed"))
+
+
+@query
+def text_report(spark, sf):
+    files = _files(spark, sf).select("path", X.approx_tokens(F.col("content")).alias("token_count"))
+    found = _violations(spark, sf)
+    return report.text_report(report.totals(files, found), report.by_law(found), _commands(spark, sf)).select("section", "line")
+
+
+@query
+def file_reports(spark, sf):
+    files = _files(spark, sf).select("path", X.approx_tokens(F.col("content")).alias("token_count"))
+    return report.file_reports(files, rules.check(_files(spark, sf), "hardcoded_secrets"))
+
+
+@query
+def output_counts(spark, sf):
+    runs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("command"), F.col("text").alias("stdout"), F.when(F.col("doc_id") % 3 == 0, "error: x\nwarning: y\nan error").alias("stderr"))
+    return report.output_counts(runs)
+
+
+@query
+def event_log(spark, sf):
+    events_table = spark.read.parquet(f"{sf}/events.parquet")
+    return report.event_lines(events_table.select("event_id", "user_id", "event_type"))
+
+
+@query
+def surviving_mutants(spark, sf):
+    points = taxonomy.mutation_points(rules.lines_of(_files(spark, sf)))
+    return report.survivors(points.withColumn("survived", (F.col("row") + F.col("col")) % 3 == 0))
+
+
+TAXONOMY = """
+role: [{badge: Runs, exports_contain: [Run]}]
+domain: [{badge: customers, string_pattern: "Customer#"}, {badge: broken, string_pattern: "("}]
+mechanism: [{badge: files, import_prefix: "std::fs"}]
+"""
+
+
+@query
+def project_badges(spark, sf):
+    found = taxonomy.badges(_files(spark, sf, I.FINGERPRINTS), taxonomy.taxonomy_of(TAXONOMY))
+    return found.groupBy("role", "domain", F.array_join("mechanisms", "|").alias("mechanisms")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archlens.functions import tables as T
-from archlens.functions.text import any_of, components, extension, file_name, parent
+from archlens.functions.text import any_of, components, extension, file_name, has_any, parent
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -64,6 +64,23 @@ def systems_score(content: Column) -> Column:
     return sum(signs[1:], signs[0])
 
 
+def perf_exempt(path: Column) -> Column:
+    return has_any(path, T.PERF_EXEMPT) | F.endswith(path, F.lit(T.PERF_EXEMPT_END))
+
+
+def to_mutate(files: DataFrame, part: str | None) -> DataFrame:
+    """Files whose path holds the part, slashes of either kind; all without one."""
+    return files if part is None else files.where(F.contains(F.regexp_replace("path", r"\\", "/"), F.lit(part.replace("\\", "/"))))
+
+
+def build_systems(files: DataFrame) -> DataFrame:
+    """build_system: those that the files' names tell of, each once."""
+    name = file_name(F.col("path"))
+    known = F.create_map(*[F.lit(x) for item in T.BUILD_FILES.items() for x in item])
+    system = F.when(extension(F.col("path")) == "cmake", "CMake").otherwise(F.element_at(known, name))
+    return files.select(system.alias("build_system")).where("build_system IS NOT NULL").distinct()
+
+
 def by_directory(files: DataFrame) -> DataFrame:
     """Number of files of each directory, and their names in order."""
     return files.groupBy(parent(F.col("path")).alias("directory")).agg(F.count("*").alias("n_files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"))

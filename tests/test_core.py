@@ -1,11 +1,16 @@
 """Goldens of the core operators, and every query against its SQL on the smallest tables."""
 
+import json
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from archlens import config, registry
+from archlens.functions import docs
+from archlens.functions import tables as T
 from archlens.functions import text as X
 from archlens.operators import cohesion, graph, imports, locality, report, rules, taxonomy
 from archlens.sources import corpus
@@ -174,6 +179,58 @@ def cell(x):
     return float(f"{x:.8g}") if isinstance(x, float) else float(x) if isinstance(x, int) and not isinstance(x, bool) else str(x)
 
 
+def test_mutation_points_equal_a_scan_by_hand(spark):
+    token = re.compile(r"==|!=|<=|>=|&&|\|\||(?<![A-Za-z0-9_])(?:and|or|true|false|True|False)(?![A-Za-z0-9_])|(?<=\s)[<>+\-*/](?=\s)")
+    lines = ["if a == b && !c {", "x = y <= 3 or True", "orbit and android", "a -> b - c", "  * p", "true||false", "", "a<b > c", "é == ü"] * 2
+    rows = [("f.rs", k, line) for k, line in enumerate(lines, 1)]
+    want = {(k, m.start() + 1, m[0], T.MUTATIONS[m[0]][0]) for _, k, line in rows for m in token.finditer(line)}
+    got = taxonomy.mutation_points(spark.createDataFrame(rows, "path string, row int, line string")).collect()
+    assert {(r.row, r.col, r.original, r.mutated) for r in got} == want and len(got) == len(want)
+    shown = report.survivors(spark.createDataFrame([("f", 1, 2, "==", "!=", "CMP", True), ("f", 2, 2, "==", "!=", "CMP", False)], "path string, row int, col int, original string, mutated string, kind string, survived boolean"))
+    assert [json.loads(r.mutant) for r in shown.collect()] == [{"path": "f", "row": 1, "col": 2, "original": "==", "mutated": "!=", "kind": "CMP"}]
+
+
+def test_line_rules_in_odd_dress(spark):
+    rows = [("src/a.rs", "let a = v[0];\nself.p[0] = 1;\nself.p[0] = 2;\n"), ("src/b.rs", "if v.is_empty() {}\nlet a = v[0];"), ("src/c.rs", "for x in v.chunks_exact(2) { x[0] }"), ("src/my_test.rs", "x.unwrap()"), ("src/d.py", "x.unwrap()"),
+            ("src/e.rs", "impl From<A> for B {\n fn from(a: A) -> B { B(a) }\n}"), ("src/f.rs", "impl From<A> for B {\n // err\n}"), ("src/g.rs", "fn get_x<'a>(&'a mut self) {}\nfn get_y(&mut self) {}\nfn get_z(&self) {}")]
+    found = lambda *names: sorted((r.path, r.row, r.law) for r in rules.check(files(spark, rows), *names).collect())
+    assert found("index_zero") == [("src/a.rs", 1, "L03"), ("src/a.rs", 2, "L03")]
+    assert found("unwraps") == [] and found("manual_conversions") == [("src/e.rs", 1, "I01")]
+    assert found("mutating_getters") == [("src/g.rs", 1, "M03"), ("src/g.rs", 2, "M03")]
+
+
+def test_contexts_docs_and_builds(spark):
+    rows = [("src/a.rs", "#[cfg(test)]", True), ("tests/a.rs", "", True), ("x/test_a.py", "", True), ("x/a.py", "import pytest", True), ("a.spec.ts", "", True), ("a.go", "func TestX(t *testing.T)", True), ("src/a.rs", "fn x() {}", False), ("a.txt", "test(", False)]
+    got = files(spark, [r[:2] for r in rows]).select(X.is_test_context(X.language(F.col("path")), F.col("path"), F.col("content"), F.array()).alias("t")).collect()
+    assert [r.t for r in got] == [r[2] for r in rows]
+    said = [("Parses things quickly now", True), ("Layout of the parser. More.", False), ("Value is odd here", True), ("This is a module of x", False), ("A parser of things", True), ("Copyright me and you", True), ("Two words", True), ("Applies all of it", True), ("Notes on e.g", True), ("Rules of the callback kind", True)]
+    got = spark.createDataFrame([(t,) for t, _ in said], "t string").select(docs.looks_like_item_doc(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [x for _, x in said]
+    texts = [("a.rs", "// c\n\n//! # Title\n//! Body here. Rest\nfn x() {}", "Title Body here."), ("a.rs", "use b;\n//// no\n/// Layout of all parts\n//// skip\n/// and more\nfn x() {}", "Layout of all parts and more."), ("a.rs", "fn x() {}", None),
+             ("a.py", "#!x\n\n'''One thing.\nTwo'''", "One thing. Two."), ("a.py", "import a\n'''no'''", None), ("a.ts", "// x\n/* y */\n/**\n * Shows it. All\n * @a b\n */", "Shows it."), ("a.go", "// Package x holds parts of it\npackage x", "Package x holds parts of it.")]
+    got = files(spark, [t[:2] for t in texts]).select(docs.module_doc(F.col("path"), F.col("content")).alias("d")).collect()
+    assert [r.d for r in got] == [t[2] for t in texts]
+    assert [r.build_system for r in corpus.build_systems(files(spark, [("a/go.mod", ""), ("b/x.CMAKE", ""), ("Go.mod", "")])).orderBy("build_system").collect()] == ["CMake", "Go"]
+    assert corpus.to_mutate(files(spark, [("src\\a\\b.rs", ""), ("src/c.rs", "")]), "a/").count() == 1 and corpus.to_mutate(files(spark, [("x", "")]), None).count() == 1
+
+
+def test_aliases_go_and_taxonomy(spark, tmp_path):
+    known = [("src/app/x.ts", 'import a from "@lib/y"\nimport b from "~"\nimport c from "deep/z"'), ("src/lib/y/index.tsx", ""), ("home.ts", ""), ("base/deep/z.js", ""), ("lib/w.ts", "")]
+    own = files(spark, known)
+    got = imports.resolved(imports.imports(own), own, imports.aliased(imports.imports(own), {"@lib/*": ["lib/*", "./src/lib/*"], "~": ["home"]}, "base")).collect()
+    assert {(r["import"], r.dst) for r in got} == {("@lib/y", "src/lib/y/index.tsx"), ("~", "home.ts"), ("deep/z", "base/deep/z.js")}
+    go = files(spark, [("a/x.go", 'package a\nimport (\n"m.org/p/b"\n)'), ("b/y.go", "package b"), ("b/y_test.go", "package b"), ("a/x_test.go", 'package a_test\nimport "m.org/p/b"')])
+    assert {(r.src, r.dst) for r in imports.go_edges(imports.imports(go), go, "m.org/p").collect()} == {("a/x.go", "b/y.go"), ("a/x_test.go", "b/y.go"), ("a/x_test.go", "b/y_test.go")}
+    assert taxonomy.taxonomy_of("role: [") == taxonomy.taxonomy_of("") == taxonomy.Taxonomy()
+    mine = taxonomy.taxonomy_of('{"mechanism": [{"badge": "A", "import_prefix": "a"}, {"badge": "B", "import_prefix": "b"}], "domain": [{"badge": "bad", "string_pattern": "("}]}')
+    assert [m[0] for m in mine.mechanisms[:2]] == ["B", "A"] and mine.domains == taxonomy.T.DOMAINS
+    report.append_log(spark.createDataFrame([(1, "x")], "a int, b string"), f"{tmp_path}/log")
+    report.append_log(spark.createDataFrame([(2, None)], "a int, b string"), f"{tmp_path}/log")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/log").collect()) == ['{"a":1,"b":"x"}', '{"a":2}']
+    kept = report.maximal(spark.createDataFrame([("p", 0, 9), ("p", 0, 9), ("p", 2, 5), ("p", 3, 12), ("q", 2, 5)], "path string, low int, high int")).collect()
+    assert sorted(tuple(r) for r in kept) == [("p", 0, 9), ("p", 3, 12), ("q", 2, 5)]
+
+
 def test_graph_inputs_hold_all_rows(spark):
     from archlens.plans import inputs
 
