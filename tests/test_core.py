@@ -207,7 +207,7 @@ def test_contexts_docs_and_builds(spark):
     got = spark.createDataFrame([(t,) for t, _ in said], "t string").select(docs.looks_like_item_doc(F.col("t")).alias("x")).collect()
     assert [r.x for r in got] == [x for _, x in said]
     texts = [("a.rs", "// c\n\n//! # Title\n//! Body here. Rest\nfn x() {}", "Title Body here."), ("a.rs", "use b;\n//// no\n/// Layout of all parts\n//// skip\n/// and more\nfn x() {}", "Layout of all parts and more."), ("a.rs", "fn x() {}", None),
-             ("a.py", "#!x\n\n'''One thing.\nTwo'''", "One thing. Two."), ("a.py", "import a\n'''no'''", None), ("a.ts", "// x\n/* y */\n/**\n * Shows it. All\n * @a b\n */", "Shows it."), ("a.go", "// Package x holds parts of it\npackage x", "Package x holds parts of it.")]
+             ("a.py", "#!x\n\n'''One thing.\nTwo'''", "One thing."), ("a.py", "import a\n'''no'''", None), ("a.ts", "// x\n/* y */\n/**\n * Shows it. All\n * @a b\n */", "Shows it."), ("a.go", "// Package x holds parts of it\npackage x", "Package x holds parts of it.")]
     got = files(spark, [t[:2] for t in texts]).select(docs.module_doc(F.col("path"), F.col("content")).alias("d")).collect()
     assert [r.d for r in got] == [t[2] for t in texts]
     assert [r.build_system for r in corpus.build_systems(files(spark, [("a/go.mod", ""), ("b/x.CMAKE", ""), ("Go.mod", "")])).orderBy("build_system").collect()] == ["CMake", "Go"]
