@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import checkpointed, connected_components, dealt_by, lowest, read_table, usable_vector, vector_type, vectors_of, whole_groups
+from archlens.llm.common import checkpointed, connected_components, dealt_by, lowest, read_table, spread_join, usable_vector, vector_type, vectors_of, whole_groups
 
 COSINE = 0.95
 #: Vectors of a filter as expected; the largest block of a filter; filters of a vector as expected, at first, and how they grow; numbers of filters in a batch, and filters compared at once.
@@ -240,7 +240,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         .select("vector", (F.coalesce("linked", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     )
     seen = rows.withColumn("vector", F.when(usable_vector("vector") & F.col("vec_id").isNotNull(), F.col("vector")))
-    out = seen.join(told, "vector", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    out = spread_join(seen, told, "vector", nullable=True).select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

@@ -17,12 +17,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the session sets it, else a temporary one (single machine)."""
+    """A folder of this application's own that driver and executors share, below spark.checkpoint.dir; what is in it may go when the application has ended. A temporary one only where both are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if found is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return found or jsc.getCheckpointDir().get()
+    return f"{found or jsc.getCheckpointDir().get()}/archlens-{spark.sparkContext.applicationId}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -31,14 +33,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """df, after lowering the session's Arrow batches to so many rows: texts may be long, and a batch is held in the JVM and in Python at once."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+def bounded_batches(df: DataFrame, rows: int = 512, size: int = 32 << 20) -> DataFrame:
+    """df, after lowering the session's Arrow batches to so many rows and bytes (and a row more): texts may be long, and a batch is held in the JVM and in Python at once. Plans read both settings when they run, so they stay."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        if not 0 < int(conf.get(f"spark.sql.execution.arrow.{name}").rstrip("bB")) <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 
+#: A key with more rows than this, and than one part in SHARES of all, is hot.
+HOT, SHARES = 1000, 1000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, nullable: bool = False) -> DataFrame:
+    """rows left joined to facts, which hold a key once; nullable: keys may be null, and such rows meet nothing. Rows of hot keys stay where they are, and the facts of these, SHARES at most, are broadcast, so no key's rows meet in one task."""
+    if nullable:
+        return spread_join(rows.where(F.col(key).isNotNull()), facts, key).unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    hot = counts.where(F.col("_n") > max(HOT, rows.count() // SHARES)).select(key)
+    hot = checkpointed(hot)
+    if hot.isEmpty():
+        return rows.join(facts, key, "left")
+    told = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    few = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi"))
+    return told.where("_hot").drop("_hot").join(few, key, "left").unionByName(told.where("_hot IS NULL").drop("_hot").join(facts, key, "left"))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -61,14 +82,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     pairs, seen = checkpointed(pairs), None
+    most = max(HOT, 2 * pairs.count() // SHARES)
+
+    def with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+        """edges(u, v) with m; nodes of very many edges, SHARES at most, take theirs from a broadcast, so that none is one task's work."""
+        told = edges.join(F.broadcast(lowest.where(F.col("n") > most).select("u", "m")), "u", "left")
+        return told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(lowest.where(F.col("n") <= most).select("u", "m"), "u"))
+
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (
-            both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lowest, "u")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = with_lowest(both.where("v > u"), lowest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = with_lowest(large, lowest)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         pairs = checkpointed(small.where("u <> v").distinct())
         sign = pairs.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(20,0)")) for k in range(2)]).first()

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, lowest, read_table, text_key, text_or_empty, whole_groups
+from archlens.llm.common import bounded_batches, checkpointed, connected_components, dealt_by, lowest, read_table, spread_join, text_key, text_or_empty, whole_groups
 
 WORDS, SIMILARITY = 5, 0.8
 #: Values of a tree's signature, 16 bits each; the first SHORTEST make its head, the others its tail.
@@ -339,7 +339,7 @@ def join_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped = grouped.withColumn("group", F.coalesce("group", "node"))
     smallest = grouped.groupBy("group").agg(F.min("rep").alias("class_id"))
     of_class = grouped.join(smallest, "group").select("key", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.col("rep").alias("copy_id"), "class_id")
-    known = known.select("doc_id", "key").join(of_class, "key").drop("key").withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    known = spread_join(known.select("doc_id", "key"), of_class, "key").drop("key").withColumn("kept", F.col("doc_id") == F.col("class_id"))
     nothing = keyed.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.col("doc_id").alias("class_id"), F.lit(True).alias("kept"))
     return known.unionByName(nothing)
 

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from archlens.llm.common import read_table, shared_dir, text_or_empty
+from archlens.llm.common import read_table, shared_dir, spread_join, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -116,7 +116,7 @@ def findings(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = BASE_R
     wide = own.groupBy("blob").agg(*[F.max(F.when(F.col("rule_version") == r.version, F.col("spans"))).alias(r.kind) for r in rules])
     wide = wide.select(F.col("blob").alias("_blob"), F.array_sort(F.concat(*each)).alias("_spans")).where(F.size("_spans") > 0)
     keyed = docs.withColumn("_blob", blob_of(text_or_empty()))
-    joined = keyed.join(wide, "_blob", "left").drop("_blob")
+    joined = spread_join(keyed, wide, "_blob").drop("_blob")
     empty = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
     return joined.withColumn("spans", F.coalesce("_spans", empty)).drop("_spans")
 

@@ -5,12 +5,14 @@ import itertools
 import random
 import re
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from archlens.llm import ann, caps, html, jaccard, suffixes, toxicity
+from archlens.llm import ann, caps, common, html, jaccard, suffixes, toxicity
 
 
 def components(nodes, links):
@@ -363,6 +365,87 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id: r.text for r in pipeline.redact_secrets(spark, docs, "").collect()}[4].startswith("[ASSIGN] ")
 
 
+def test_spread_join_and_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 3)
+    monkeypatch.setattr(common, "SHARES", 5)
+    rng = random.Random(3)
+    rows = [(rng.choice("aaaabcdefgh"), k) for k in range(200)] + [(None, 1000 + k) for k in range(20)]
+    facts = spark.createDataFrame([(c, ord(c)) for c in "abcxyz"], "key string, n long")
+    got = common.spread_join(spark.createDataFrame(rows, "key string, v long"), facts, "key", nullable=True).collect()
+    assert sorted((r.v, r.n) for r in got if r.n) == sorted((v, ord(c)) for c, v in rows if c and c in "abc") and len(got) == len(rows)
+    pairs = [(0, k) for k in range(1, 60)] + [(100 + k, 101 + k) for k in range(40)] + [(500, rng.randrange(501, 520)) for _ in range(30)] + [(519, 0), (7, 7)]
+    low = components({x for p in pairs for x in p}, pairs)
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == {n: c for n, c in low.items() if n in got} and set(low) - set(got) <= {7}
+
+
+SECRETS = [
+    ("ASSIGN", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I), lambda m: len(m[2]) >= 6),
+    ("ACCESS", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("HEX", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24),
+]
+
+
+def redacted(text):
+    spans = sorted((m.start(), k, m.end(), kind) for k, (kind, pattern, good) in enumerate(SECRETS) for m in pattern.finditer(text) if good(m))
+    out, at = [], 0
+    for start, _, end, kind in spans:
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def without_passages(texts, length):
+    data, count = [t.encode() for t in texts], Counter()
+    for b in data:
+        count.update(b[i : i + length] for i in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b) + 1, np.int64)
+        for i in range(len(b) - length + 1):
+            if count[b[i : i + length]] > 1:
+                gone[i] += 1
+                gone[i + length] -= 1
+        marks = np.cumsum(gone)[:-1] > 0
+        for i in range(1, len(b)):  # a character goes as a whole
+            if b[i] & 0xC0 == 0x80 and marks[i - 1] and not marks[i]:
+                marks[i] = True
+        for i in range(len(b) - 2, -1, -1):
+            if b[i + 1] & 0xC0 == 0x80 and marks[i + 1] and not marks[i]:
+                marks[i] = True
+        out.append(bytes(x for x, m in zip(b, marks) if not m).decode())
+    return out
+
+
+def test_pipeline_against_a_plain_one(spark):
+    import corpus_pipeline as pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in table.collect()]
+    model = toxicity.fit_on_sample(table, spark.read.parquet(f"{folder}/labels.parquet"), ~toxicity.held_out(F.col("doc_id")))
+    scores = model.score([toxicity.normal(t or "") for _, t in rows])
+    kept = [r for r, s in zip(rows, scores) if s < 0.7]
+    ids = [i for i, _ in kept]
+    low = components(ids, [(ids[a], ids[b]) for a, b in plain_jaccard(kept)])
+    kept = [(i, t) for i, t in kept if low[i] == i]
+    texts = [redacted(t) for t in without_passages([t or "" for _, t in kept], pipeline.PASSAGE)]
+    encoded = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)
+    want = {i: [*e.ids, 2] for (i, _), e in zip(kept, encoded)}
+    got, used = defaultdict(list), defaultdict(list)
+    for r in pipeline.run(spark, folder).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        used[r.sequence_id].append((r.offset, r.length))
+    assert got.keys() == want.keys()
+    for i, pieces in got.items():
+        assert sorted(pieces) == [(s, n, zlib.crc32(np.array(want[i][s : s + n], "<u4").tobytes())) for s, n in sorted((s, n) for s, n, _ in pieces)]
+        assert sum(n for _, n, _ in pieces) == len(want[i]) and all(n == 1024 for _, n, _ in sorted(pieces)[1:])
+    for places in used.values():
+        assert sum(n for _, n in places) <= 1024 and [o for o, _ in sorted(places)] == [sum(n for o, n in places if o < at) for at, _ in sorted(places)]
+
+
 def test_pipeline_run(spark):
     import corpus_pipeline as pipeline
 
