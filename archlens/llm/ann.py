@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from archlens.llm.common import checkpointed, dealt_by, read_table, usable_vector, vector_type, vectors_of, whole_groups
 
 NEIGHBOURS, EVERY = 10, 100
-SAMPLE, SAMPLE_NUMBERS, MOST_LISTS, LIST = 200_000, 16_000_000, 16_384, 32
+SAMPLE, SAMPLE_NUMBERS, MOST_LISTS, LIST = 100_000, 8_000_000, 16_384, 32
 #: Sampled vectors of a list: more would make the nearest centroids less telling.
 OF_LIST = 14
 #: Lists fitted at once; rounds; neighbours of a centroid in the graph; where its walks start; centroids expanded at once.
@@ -53,6 +53,8 @@ REFERENCE = 8
 #: Sampled vectors whose true neighbours choose the ratio, and the share of these that lies in the lists read.
 PROBES, TARGET = 128, 0.93
 BLOCK = 4_096
+#: Rows of a matrix of distances while fitting.
+AT_ONCE = 256
 SEED = 11
 
 
@@ -120,16 +122,16 @@ class Centroids:
 def _balanced(sample: np.ndarray, lists: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Centroids and each vector's, by k-means in which large clusters get dearer."""
     points = sample[rng.choice(len(sample), lists, replace=False)].copy()
-    want, penalty = len(sample) / lists, np.zeros(lists)
+    want, penalty = len(sample) / lists, np.zeros(lists, np.float32)
     for _ in range(ROUNDS if lists > 1 else 1):
         own, total = [], 0.0
-        for k in range(0, len(sample), 4096):
-            d = _squares(sample[k : k + 4096], points)
+        for k in range(0, len(sample), AT_ONCE):
+            d = _squares(sample[k : k + AT_ONCE], points)
             own.append((d + penalty).argmin(1))
             total += d.min(1).sum()
         own = np.concatenate(own)
         sizes = np.bincount(own, minlength=lists)
-        penalty += STEP * total / len(sample) * np.clip(sizes / want - 1, -1, 2)
+        penalty += np.float32(STEP * total / len(sample)) * np.clip(sizes / want - 1, -1, 2).astype(np.float32)
         order = np.argsort(own, kind="stable")
         full = np.flatnonzero(sizes)
         points[full] = np.add.reduceat(sample[order], (np.cumsum(sizes) - sizes)[full]) / sizes[full, None]
@@ -148,10 +150,10 @@ def fit(sample: np.ndarray, lists: int) -> Centroids:
         points = np.concatenate([_balanced(p, max(1, min(len(p), round(len(p) * lists / len(sample)))), rng)[0] for p in parts])
     points, lists, near = points.astype(np.float64), len(points), []
     degree = min(DEGREE, max(1, lists - 1))
-    for k in range(0, lists, 1024):
-        d = _squares(points[k : k + 1024], points)
+    for k in range(0, lists, AT_ONCE):
+        d = _squares(points[k : k + AT_ONCE], points)
         d[np.arange(len(d)), np.arange(k, k + len(d))] = np.inf
-        near.append(np.argpartition(d, degree - 1, 1)[:, :degree] if lists > 1 else np.zeros((1, 1), int))
+        near.append(np.argpartition(d, degree - 1, 1)[:, :degree].copy() if lists > 1 else np.zeros((1, 1), int))
     follower = np.roll(np.arange(lists), -1)[:, None]  # a ring keeps the graph in one piece
     return Centroids(points, np.concatenate([np.concatenate(near), follower], 1))
 
@@ -272,9 +274,9 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> D
     wanted = min(SAMPLE, SAMPLE_NUMBERS // max(1, usual["size"]), max(PROBES, OF_LIST * lists))
     sampled = members.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < min(1 << 30, int((1 << 30) * wanted / n) + 1)).select("rep", "vector").toArrow()
     order = np.argsort(sampled.column("rep").to_numpy(), kind="stable")
-    sample = vectors_of(sampled.column("vector"))[order].astype(np.float64)
+    sample = vectors_of(sampled.column("vector"))[order]
     c = fit(sample, lists)
-    probes = sample[np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int)]
+    probes = sample[np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int)].astype(np.float64)
     true = _true_neighbours(members, probes, keep).where("n > 1").select("probe", "vector").toArrow()  # the first is the probe itself; PROBES x k rows
     ratio = ratio_for(c, probes[true.column("probe").to_numpy()], vectors_of(true.column("vector"))) if true.num_rows else RATIO
     posted = checkpointed(_posted(members, c, clusters_of, 0))
