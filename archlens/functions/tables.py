@@ -196,3 +196,21 @@ GUIDANCE = {
 #: C++: names that start like these are handlers of a framework; words that look like calls but aren't functions.
 CPP_HANDLERS = ("On", "PreCreate", "DoDataExchange", "AssertValid", "Dump", "WindowProc")
 CPP_WORDS = ("if", "for", "while", "switch", "catch", "return", "delete", "new", "sizeof")
+
+#: Names and values of the rule on secrets.
+SECRET_NAME = r"(?i)(key|secret|token|password|auth)"
+PLACEHOLDERS = r"(?i)(example|placeholder|test|dummy|xxx|your_)"
+
+#: Messages that results hold, as patterns of printf.
+LOCALITY_SUGGESTIONS = {
+    "ENCAPSULATION_BREACH": "Expose needed API from '%s' instead of importing '%s'",
+    "MISSING_HUB": "Promote '%s' to Hub (fan-in: %d). Add to [rules.locality].hubs",
+    "UPWARD_DEP": "Layer violation. Move '%s' down to a lower layer or extract shared code.",
+    "SIDEWAYS_DEP": "Route through Hub or move '%s' closer",
+}
+TYPE_MESSAGES = {
+    "LCOM4": "Class '%s' has low cohesion (LCOM4: %d)",
+    "AHF": "Class '%s' exposes too much state (AHF: %.1f%%)",
+    "CBO": "Class '%s' is tightly coupled (CBO: %d)",
+    "SFOUT": "Class '%s' has high fan-out (SFOUT: %d)",
+}

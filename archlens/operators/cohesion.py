@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
-from archlens.functions.tables import DATA_DERIVES
+from archlens.functions.tables import DATA_DERIVES, TYPE_MESSAGES
 
 KEY = ["path", "scope"]
 
@@ -69,15 +69,15 @@ def inspected(scopes: DataFrame, fields: DataFrame, methods: DataFrame, rules: R
 
 def violations(metrics: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
     """path, row, law, message, confidence of inspected scopes that break a limit."""
-    c, name = F.col, F.concat(F.lit("Class '"), F.col("scope"), F.lit("' "))
-    text = lambda *parts: F.concat(name, *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    c = F.col
+    say = lambda law, value: F.format_string(TYPE_MESSAGES[law], c("scope"), value)
     data = F.arrays_overlap("derives", F.array(*map(F.lit, DATA_DERIVES)))
     simple = (c("n_fields") <= 3) | (c("complexity") <= 3)
     checks = [
-        ("LCOM4", ~c("is_enum") & c("has_behaviour") & c("uses_fields") & (c("n_methods") >= 4) & (c("lcom4") > rules.max_lcom4), text("has low cohesion (LCOM4: ", c("lcom4"), ")")),
-        ("AHF", ~c("is_enum") & ~data & ~simple & c("has_behaviour") & (c("n_fields") > 0) & (c("ahf") < rules.min_ahf), text("exposes too much state (AHF: ", F.format_string("%.1f", c("ahf")), "%)")),
-        ("CBO", c("cbo") > rules.max_cbo, text("is tightly coupled (CBO: ", c("cbo"), ")")),
-        ("SFOUT", c("sfout") > rules.max_sfout, text("has high fan-out (SFOUT: ", c("sfout"), ")")),
+        ("LCOM4", ~c("is_enum") & c("has_behaviour") & c("uses_fields") & (c("n_methods") >= 4) & (c("lcom4") > rules.max_lcom4), say("LCOM4", c("lcom4"))),
+        ("AHF", ~c("is_enum") & ~data & ~simple & c("has_behaviour") & (c("n_fields") > 0) & (c("ahf") < rules.min_ahf), say("AHF", c("ahf"))),
+        ("CBO", c("cbo") > rules.max_cbo, say("CBO", c("cbo"))),
+        ("SFOUT", c("sfout") > rules.max_sfout, say("SFOUT", c("sfout"))),
     ]
     found = F.array(*[F.when(test, F.struct(F.lit(law).alias("law"), message.alias("message"))) for law, test, message in checks])
     return metrics.select("path", "row", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("v")).select("path", "row", "v.*", F.lit("Medium").alias("confidence"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.config import LocalityConfig
+from archlens.functions.tables import LOCALITY_SUGGESTIONS
 from archlens.functions.text import any_of, components, file_name, parent
 
 #: Entries of a text report's lists.
@@ -117,11 +118,10 @@ def categorised(failed: DataFrame, layers: DataFrame | None = None) -> DataFrame
         .when((F.col("ca") >= 3) & (F.col("identity") != "StableHub"), "MISSING_HUB").when(upward, "UPWARD_DEP").otherwise("SIDEWAYS_DEP")
     )
     failed = failed.withColumn("category", category).drop("_from", "_to")
+    say = lambda name, *values: F.format_string(LOCALITY_SUGGESTIONS[name], *values)
     suggestion = (
-        F.when(F.col("category") == "ENCAPSULATION_BREACH", F.concat(F.lit("Expose needed API from '"), module_root(dst), F.lit("' instead of importing '"), dst, F.lit("'")))
-        .when(F.col("category") == "MISSING_HUB", F.concat(F.lit("Promote '"), dst, F.lit("' to Hub (fan-in: "), F.col("ca").cast("string"), F.lit("). Add to [rules.locality].hubs")))
-        .when(F.col("category") == "UPWARD_DEP", F.concat(F.lit("Layer violation. Move '"), dst, F.lit("' down to a lower layer or extract shared code.")))
-        .otherwise(F.concat(F.lit("Route through Hub or move '"), dst, F.lit("' closer")))
+        F.when(F.col("category") == "ENCAPSULATION_BREACH", say("ENCAPSULATION_BREACH", module_root(dst), dst)).when(F.col("category") == "MISSING_HUB", say("MISSING_HUB", dst, F.col("ca")))
+        .when(F.col("category") == "UPWARD_DEP", say("UPWARD_DEP", dst)).otherwise(say("SIDEWAYS_DEP", dst))
     )
     return failed.withColumn("suggestion", suggestion)
 

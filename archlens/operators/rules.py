@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.config import SYSTEMS_LIMITS, SYSTEMS_SCORE, RuleConfig
-from archlens.functions.tables import GLOBAL_CONTAINERS
+from archlens.functions.tables import GLOBAL_CONTAINERS, PLACEHOLDERS, SECRET_NAME
 from archlens.functions.text import any_of, approx_tokens, file_name, has_any, has_concept, language, length_boundary, split_identifier
 from archlens.sources.corpus import file_kind, perf_exempt, systems_score
 
-SECRET_NAME = r"(?i)(key|secret|token|password|auth)"
-PLACEHOLDERS = r"(?i)(example|placeholder|test|dummy|xxx|your_)"
-
 
 def lines_of(files: DataFrame) -> DataFrame:
     """files with row (from 1) and line, one for each line."""
