@@ -9,8 +9,7 @@ A text's encoding is reduced over a binary tree: halves are encoded recursively
   in the same order alone as within the whole, so if no merge crosses a boundary in the pair, none does in the whole:
   where all pairs of neighbours stay apart the sequence is the encoding, and all but the window's pairs did so before.
 
-Decoding maps ids to bytes and concatenates up the tree; bytes concatenate associatively, so a plain join is the tree's
-result.
+Decoding maps ids to bytes and concatenates both halves up the tree, from runs of IDS_LEAF ids on.
 
 Defined results: null and empty texts have no ids; equal texts have equal ids; texts of any length are encoded whole, in
 memory proportional to the text; other columns of the input don't matter.
@@ -21,7 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
@@ -31,6 +30,8 @@ from archlens.llm.common import bounded_batches, read_table, text_or_empty
 
 #: Characters of text in a leaf of the tree; bytes of a piece in a leaf of its own tree; pieces kept encoded.
 TEXT_LEAF, PIECE_LEAF, CACHE = 4096, 64, 200_000
+#: Ids that are decoded at once.
+IDS_LEAF = 1024
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -147,8 +148,8 @@ class TreeBpe:
         while to < q:
             to += len(right[j])
             j += 1
-        if at != p or to != q:
-            raise AssertionError("a match doesn't end where it must")
+        if at != p or to != q:  # a match that isn't as local as the pattern's others: the whole is split
+            return self._split(text[start:stop])
         del left[i:]
         left += self._split(text[p:q])
         left += right[j:] if j else right
@@ -167,8 +168,12 @@ class TreeBpe:
             add(encoded[piece])
         return ids
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.vocabulary.__getitem__, ids))
+    def decode(self, ids: list[int]) -> bytes:
+        """Bytes of both halves, one after the other, up the tree."""
+        if len(ids) <= IDS_LEAF:
+            return b"".join(map(self.vocabulary.__getitem__, ids))
+        middle = len(ids) // 2
+        return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 _codecs: dict[tuple[str, str], TreeBpe] = {}
