@@ -82,19 +82,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     pairs, seen = checkpointed(pairs), None
-    most = max(HOT, 2 * pairs.count() // SHARES)
-
-    def with_lowest(edges: DataFrame, lowest: DataFrame) -> DataFrame:
-        """edges(u, v) with m; nodes of very many edges, SHARES at most, take theirs from a broadcast, so that none is one task's work."""
-        told = edges.join(F.broadcast(lowest.where(F.col("n") > most).select("u", "m")), "u", "left")
-        return told.where("m IS NOT NULL").unionByName(told.where("m IS NULL").drop("m").join(lowest.where(F.col("n") <= most).select("u", "m"), "u"))
-
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = with_lowest(both.where("v > u"), lowest).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        joined = with_lowest(large, lowest)
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         pairs = checkpointed(small.where("u <> v").distinct())
         sign = pairs.agg(F.count("*"), *[F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(20,0)")) for k in range(2)]).first()
