@@ -139,8 +139,8 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces(doc_id, piece, length, ...) with sequence_id and offset."""
+def numbered(pieces: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
+    """pieces(length, ...) with _k, their number among those of their length, and {length: pieces}, with as many entries as a sequence has tokens at most. Pieces of one length are numbered in salted groups."""
     spark = pieces.sparkSession
     pieces = checkpointed(pieces.withColumn("_id", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -150,12 +150,18 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = checkpointed(counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
+    own = Window.partitionBy("length", "_salt").orderBy(*order, "_id")
+    rows = salted.withColumn("_k", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_k", F.col("_k") + F.col("_base"))
+    return rows.drop("_id", "_salt", "_base"), histogram
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces(doc_id, piece, length, ...) with sequence_id and offset."""
+    rows, histogram = numbered(pieces, "doc_id", "piece")
     schema = "length long, _from long, _to long, _sequence long, _offset long"
-    ranges = spark.createDataFrame(places(plan(histogram, capacity)), schema)
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "_id")
-    numbered = salted.withColumn("_k", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_k", F.col("_k") + F.col("_base"))
-    found = numbered.join(F.broadcast(ranges), "length").where("_k >= _from AND _k < _to")
-    return found.withColumns({"sequence_id": F.expr("_sequence + _k - _from"), "offset": F.col("_offset")}).drop("_id", "_salt", "_base", "_k", "_from", "_to", "_sequence", "_offset")
+    ranges = pieces.sparkSession.createDataFrame(places(plan(histogram, capacity)), schema)
+    found = rows.join(F.broadcast(ranges), "length").where("_k >= _from AND _k < _to")
+    return found.withColumns({"sequence_id": F.expr("_sequence + _k - _from"), "offset": F.col("_offset")}).drop("_k", "_from", "_to", "_sequence", "_offset")
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from archlens.llm import ann, bpe, caps, html, jaccard, merkle, packing, resampling, secrets, sharding, suffixes, toxicity
+from archlens.llm import ann, bpe, caps, html, jaccard, merkle, nnls, packing, resampling, secrets, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_pack": packing.op10_pack,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_window_packing": nnls.op13_window_packing,
 }
 
 ORACLE_SQL = {"op5_secrets": secrets.oracle(), "op7_shard_documents": sharding.oracle(), "op8_embedding_near_duplicates": caps.oracle(), "op11_merkle_manifest": merkle.oracle(), "op12_importance_resampling": resampling.oracle()}
