@@ -214,3 +214,14 @@ TYPE_MESSAGES = {
     "CBO": "Class '%s' is tightly coupled (CBO: %d)",
     "SFOUT": "Class '%s' has high fan-out (SFOUT: %d)",
 }
+#: Law, message and confidence of the rules on blocks.
+BLOCK_LAWS = {
+    "nesting": ("LAW OF COMPLEXITY", "Function '%s' has nesting depth %d (Max: %d)", "High"),
+    "cognitive": ("LAW OF COMPLEXITY", "Function '%s' has cognitive complexity %d (Max: %d)", "High"),
+    "loop_conversions": ("P02", "String conversion inside loop", "High"),
+    "nested_loops": ("P04", "Nested loop (O(n²)) detected", "Medium"),
+    "unflushed_writers": ("R07", "`BufWriter` without `flush()`", "High"),
+}
+#: What a function with a buffered writer may say to be left alone; languages that skeletons are made of.
+FLUSH_SIGNS = (".flush()", "-> BufWriter", "-> impl Write", "Ok(BufWriter")
+SKELETON_LANGUAGES = ("rust", "typescript", "javascript", "swift")

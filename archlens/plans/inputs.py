@@ -53,6 +53,47 @@ MIXED = (
     + NL.join(_PICK(k) for k in range(8)) + " AS content FROM {part}"
 )
 
+#: Functions of several shapes: blocks within blocks, chains of else-if, closures, loops, arms, and braces in strings and comments.
+_RUST = [
+    "pub fn flat_@(x: u8) -> u8 {\n    // no { here\n    x + 1\n}",
+    "fn once_@(a: bool, b: bool) -> u8 {\n    if a && b || a {\n        return 1;\n    }\n    0\n}",
+    "fn chain_@(x: u8) -> u8 {\n    if x > 1 {\n        1\n    } else if x > 2 {\n        2\n    } else if x > 3 {\n        if x > 9 { 3 } else { 4 }\n    } else {\n        for y in 0..x { go(y); }\n        5\n    }\n}",
+    "fn deep_@(xs: &[u8]) {\n    for x in xs {\n        while ready(x) {\n            loop {\n                if *x == 0 { break; }\n                match x { 1 => go(1), 2 => { go(2) } _ => stop() }\n            }\n        }\n    }\n}",
+    "fn names_@(items: &[Item], label: &str) -> Vec<String> {\n    let mut out = vec![];\n    for item in items {\n        out.push(item.name.to_string());\n        out.push(label.to_string());\n    }\n    out\n}",
+    "fn pairs_@(m: &Map, label: &str) {\n    for (k, v) in m {\n        put(k.to_owned());\n        for w in v { put(w.to_string()); put(label.to_owned()); }\n    }\n    put(label.to_string());\n}",
+    "fn quoted_@() -> &'static str {\n    let a = " + '"' + "{ if for while" + '"' + ";\n    /* { { \n } */\n    let c = '{';\n    if a == c { a } else { c }\n}",
+    "impl<'a> Thing<'a> for Other_@ {\n    fn inner_@<F: for<'b> Fn(&'b u8)>(&self, f: F) {\n        self.xs.iter().for_each(|x| {\n            if x > 1 { if x > 2 { f(x); } }\n        });\n    }\n    fn later_@(&self);\n}",
+    "fn outer_@(x: u8) {\n    if x > 0 {\n        fn within_@(y: u8) { while y > 1 { if y > 2 { go(y); } } }\n        within_@(x);\n    }\n}",
+    "fn arms_@(k: Kind, n: u8) -> u8 {\n    match k {\n        Kind::A => 1,\n        Kind::B if n > 1 => 2,\n        Kind::C => match n { 0 => 0, _ => 1 },\n        _ => { if n > 3 && n < 9 { 3 } else { 4 } }\n    }\n}",
+    "fn write_@(f: File) -> Result<()> {\n    let mut w = BufWriter::new(f);\n    let open = || { BufWriter::new(f) };\n    w.write_all(b)?;\n    Ok(())\n}",
+    "fn flush_@(f: File) {\n    let mut w = BufWriter::new(f);\n    fn lost_@(g: File) { let v = BufWriter::new(g); let u = io::BufWriter::new(g); }\n    w.flush();\n}",
+    "fn wait_@(mut n: u64) -> String {\n    let mut s = String::new();\n    while n > 0 { s = n.to_string(); n -= 1; loop { s.to_owned(); break; } }\n    s\n}",
+]
+_SCRIPT = [
+    "function walk_@(xs) {\n  for (let i = 0; i < xs.length; i++) {\n    if (xs[i] && !done) { try { go(`${i} {`); } catch (e) { stop(e); } }\n  }\n}",
+    "export function pick_@(x) {\n  switch (x) { case 1: if (x || y) { return '}'; } default: return 0 }\n}",
+]
+_GO = ["func Run_@(xs []int) int {\n\tfor i := 0; i < 3; i++ {\n\t\tif xs[i] > 0 { for _, x := range xs { go1(x) } } else if i > 2 { return 1 }\n\t}\n\treturn 0\n}", "func (s *Set) Add_@(x int) {\n\tif x > 0 && x < 5 || x == 9 { s.n++ }\n}"]
+
+
+def _code(text: str, number: str) -> str:
+    """A text as an SQL string; @ is the number."""
+    parts = [" || chr(10) || ".join("'" + line.replace("'", "''").replace("\t", "  ") + "'" for line in piece.split("\n")) for piece in text.split("@")]
+    return f" || {number} || ".join(parts)
+
+
+def _picked(pool: list[str], key: str, number: str) -> str:
+    return f"CASE {key} % {len(pool)} " + " ".join(f"WHEN {k} THEN {_code(x, number)}" for k, x in enumerate(pool)) + " END"
+
+
+_PART = "CAST(p_partkey AS STRING)"
+#: files(path, content) with functions of several shapes, each file another choice.
+NESTED = (
+    f"SELECT 'src/b' || {_PART} || CASE p_partkey % 7 WHEN 5 THEN '.ts' WHEN 6 THEN '.go' ELSE '.rs' END AS path, CASE p_partkey % 7 WHEN 5 THEN {_picked(_SCRIPT, 'p_partkey', _PART)} "
+    f"WHEN 6 THEN {_picked(_GO, 'p_partkey', _PART)} || chr(10) || {_picked(_GO, '(p_partkey + 1)', _PART)} ELSE "
+    + NL.join(_picked(_RUST, f"(p_partkey * {a} + {b})", f"{_PART} || '_{k}'") for k, (a, b) in enumerate(((1, 0), (3, 2), (7, 5)))) + " END AS content FROM {part}"
+)
+
 #: files(path, content): scripts that import one another, by relative paths and by an alias; some targets don't exist.
 _SCRIPT_PATH = lambda key: f"'src/m' || CAST(({key}) % 40 AS STRING) || '/p' || CAST({key} AS STRING) || '.ts'"
 _Q = "'\"'"
