@@ -21,7 +21,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,33 +33,61 @@ from archlens.llm.packing import cut, numbered
 CAPACITY, END_ID = 2048, 1
 #: Rounds of descent over all combinations at most, and the change in a round, against the mean count, below which it ends.
 ROUNDS, SETTLED = 40, 0.01
-#: Words whose ids a worker remembers, and the length up to which.
-REMEMBERED, WORD = 200_000, 64
-#: What every white space that the tokenizer drops is no part of; other white space is left to the tokenizer.
-_WORDS = re.compile(r"[^ \t\r\n]+")
+#: Pieces of words whose ids a worker remembers, and the length up to which.
+REMEMBERED, LONG = 500_000, 64
+#: Texts of these characters alone are lowered and cut into pieces at once: for them it is what the tokenizer does. All other words go through it whole.
+_PLAIN = "[^ \\t\\r\\n!-~À-ÖØ-öø-įı-ſ]"
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \\t\\r\\na-z0-9ß-öø-ſ]+")
+#: White space that the tokenizer drops for certain; other white space is left to it.
+_WORDS = re.compile("[^ \\t\\r\\n]+")
 _encoders: dict[str, WordEncoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """What stands for each byte in a byte-level vocabulary: printable ones are themselves, the others follow from 256 on."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)).difference(kept)))}
+
+
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins across it, so that a word's ids don't depend on its neighbours."""
+    """Ids of whole texts by a tokenizer that lowers letters, drops white space and merges within pieces of words alone, so that a piece's ids don't depend on its neighbours and are found once for many texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_PLAIN, *map(re.escape, added)]))
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def __call__(self, text: str) -> list[int]:
-        words = _WORDS.findall(text)
-        new = list(set(words).difference(self.known))
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        ids = list(chain.from_iterable(map(self.known.__getitem__, words)))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for word in new:
-            if len(word) > WORD:
-                self.known.pop(word, None)
+    def _ids(self, piece: str | tuple[str]) -> bytes:
+        if isinstance(piece, tuple):
+            ids = self.tokenizer.encode(piece[0], add_special_tokens=False).ids
+        else:
+            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+        return np.array(ids, self.kind).tobytes()
+
+    def _pieces(self, text: str) -> list[str | tuple[str]]:
+        if not self.odd.search(text):
+            return _PIECES.findall(text.lower())
+        out: list[str | tuple[str]] = []
+        for word in _WORDS.findall(text):
+            out += [(word,)] if self.odd.search(word) else _PIECES.findall(word.lower())
+        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        pieces, known = self._pieces(text), self.known
+        new = set(pieces).difference(known)
+        for piece in new:
+            known[piece] = self._ids(piece)
+        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
+        if len(known) > REMEMBERED:
+            known.clear()
+        for piece in new:
+            if len(piece if isinstance(piece, str) else piece[0]) > LONG:
+                known.pop(piece, None)
         return ids
 
 
@@ -78,7 +105,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         for batch in batches:
             rows, start, length, total, held = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
-                ids = np.array([*encode(text.as_py()), end_id], encode.kind)
+                ids = np.append(encode(text.as_py()), np.array([end_id], encode.kind))
                 for s, n in cut(len(ids), capacity):
                     rows.append(row)
                     start.append(s)
