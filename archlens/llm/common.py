@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, group: int = 16 << 20) -> DataFrame:
+    """The same rows as a table in the shared folder, for rows that carry much: compressed, and written in groups of so many bytes, which a task holds."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", group).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def bounded_batches(df: DataFrame, rows: int = 512, size: int = 32 << 20) -> DataFrame:
     """df, after lowering the session's Arrow batches to so many rows and bytes (and a row more): texts may be long, and a batch is held in the JVM and in Python at once. Plans read both settings when they run, so they stay."""
     conf = df.sparkSession.conf

@@ -13,6 +13,7 @@ their own; an empty table packs into nothing; texts of any length are tokenised
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from archlens.llm.bpe import load_ranks
-from archlens.llm.common import bounded_batches, checkpointed, read_table, text_or_empty
+from archlens.llm.bpe import codec, load_ranks
+from archlens.llm.common import bounded_batches, checkpointed, read_table, text_or_empty, written
 
 CAPACITY, END_ID = 1024, 2
 #: The vocabulary's added token, which is one id wherever a text holds it.
 ADDED_TOKENS = {"<|endoftext|>": 50256}
+#: White space (of the Unicode property) that is encoded by itself; shorter runs are no trouble to the pattern's matcher.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 #: Pieces of one length are numbered side by side in groups of a share 1 / SHARES of all pieces; capacity + SHARES offsets are broadcast at most, whatever the table's size.
 SHARES = 4096
 _encoders: dict[tuple[str, str], object] = {}
@@ -43,8 +46,19 @@ def _encoder(path: str, pattern: str):
 
 
 def encode(path: str, pattern: str, text: str) -> list[int]:
-    """Ids of a text, added tokens included; the text between them is encoded by itself."""
-    return _encoder(path, pattern).encode(text, allowed_special="all", disallowed_special=())
+    """Ids of a text, added tokens included; the text between them is encoded by itself.
+
+    The pattern looks ahead at the end of white space, and its matcher gives up on very long runs. They are cut out: all of a
+    run but its last character is one match, whatever stands before it (the whole run, where the text or an added token ends
+    it), and what follows is matched as if it began there.
+    """
+    encoder, ids, at = _encoder(path, pattern), [], 0
+    for run in _LONG_SPACE.finditer(text):
+        last = run.end() if text.startswith(tuple(ADDED_TOKENS), run.end()) or run.end() == len(text) else run.end() - 1
+        ids += encoder.encode(text[at : run.start()], allowed_special="all", disallowed_special=())
+        ids += codec(path, pattern).encode_piece(text[run.start() : last].encode())
+        at = last
+    return ids + encoder.encode(text[at:], allowed_special="all", disallowed_special=())
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -142,7 +156,7 @@ def places(planned: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
 def numbered(pieces: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]:
     """pieces(length, ...) with _k, their number among those of their length, and {length: pieces}, with as many entries as a sequence has tokens at most. Pieces of one length are numbered in salted groups."""
     spark = pieces.sparkSession
-    pieces = checkpointed(pieces.withColumn("_id", F.monotonically_increasing_id()))
+    pieces = written(pieces.withColumn("_id", F.monotonically_increasing_id()))
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     total = sum(histogram.values())
     salts = spark.createDataFrame([(n, -(-c * SHARES // total)) for n, c in histogram.items()], "length long, _salts long")
