@@ -7,24 +7,38 @@ rounds don't pile up and a lost executor costs a task. Only counts and sums reac
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DAMPING, ITERATIONS = 0.85, 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, written to the folder of spark.checkpoint.dir; a temporary one only where driver and executors are one process."""
-    spark = df.sparkSession
+def _ready(spark: SparkSession) -> None:
+    """Checkpoints go to the folder of spark.checkpoint.dir; to a temporary one only where driver and executors are one process."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, written to the shared folder."""
+    _ready(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder. Unlike a checkpoint's, its estimated size is that of its files: estimates of a checkpoint are those of its plan, which loops that join their own results multiply without bound."""
+    spark = df.sparkSession
+    _ready(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
 

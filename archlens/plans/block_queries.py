@@ -1,10 +1,12 @@
-"""Queries on blocks of code, from files to findings, and their SQL."""
+"""Queries on blocks of code and on cycles, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from archlens.config import RuleConfig
 from archlens.functions import tables as T
-from archlens.operators import blocks
+from archlens.operators import blocks, cycles
 from archlens.plans import inputs as I
 from archlens.plans.oracles import KIND, LANG, listed, quoted, source
 
@@ -44,7 +46,15 @@ def skeletons(spark, sf):
     return blocks.skeletons(_nested(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, skeletons)}
+def dependency_cycles(spark, sf):
+    return cycles.dependency_cycles(I.derived(spark, sf, I.RINGS)).withColumn("witness", F.array_join("witness", " -> "))
+
+
+def strong_components(spark, sf):
+    return cycles.strong_components(I.derived(spark, sf, I.TRADE))
+
+
+QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, skeletons, dependency_cycles, strong_components)}
 
 # The SQL follows the definitions by containment: a block's ancestors are the blocks whose ranges hold it.
 _QUOTED = r'"(?:[^"\\]|\\.)*"'
@@ -88,6 +98,12 @@ def _told(rule: str, body: str, message: str = "") -> str:
     return f"SELECT path, row::INT AS row, '{law}' AS law, {message or quoted(text)} AS message, '{confidence}' AS confidence FROM {body}"
 
 
+def _components(text: str) -> str:
+    """Nodes that reach each other, by all ways."""
+    return f"""{source('bag', text)}, e AS (SELECT DISTINCT src, dst FROM bag), w AS (SELECT src AS a, dst AS b FROM e UNION SELECT w.a, e.dst FROM w JOIN e ON e.src = w.b),
+m AS (SELECT x.a AS path, min(x.b) AS component FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
+
+
 ORACLE_SQL = {
     "function_metrics": f"WITH {BLOCKS} SELECT * FROM me",
     "rule_nesting": f"WITH {BLOCKS} " + _told("nesting", "me WHERE depth > 2", f"printf({quoted(T.BLOCK_LAWS['nesting'][1])}, name, depth, 2)"),
@@ -102,4 +118,10 @@ ORACLE_SQL = {
     "skeletons": f"""WITH {BLOCKS}, ou AS (SELECT * FROM fn a WHERE lang IN {listed(T.SKELETON_LANGUAGES)} AND NOT EXISTS (SELECT 1 FROM fn b WHERE b.path = a.path AND b.i < a.i AND b.e > a.e)),
     pc AS (SELECT path, string_agg(t, '' ORDER BY i) AS skeleton FROM (SELECT tok.path, tok.i, CASE WHEN tok.i = ou.i THEN '{{ ... }}' WHEN ou.i IS NULL THEN t ELSE '' END AS t FROM tok LEFT JOIN ou ON ou.path = tok.path AND tok.i BETWEEN ou.i AND ou.e) GROUP BY path)
     SELECT path, coalesce(skeleton, content) AS skeleton FROM code LEFT JOIN pc USING (path)""",
+    "strong_components": f"WITH RECURSIVE {_components(I.TRADE)} SELECT * FROM m",
+    "dependency_cycles": f"""WITH RECURSIVE {_components(I.RINGS)}, i AS (SELECT a.component, src, dst FROM e JOIN m a ON a.path = src JOIN m b ON b.path = dst WHERE a.component = b.component),
+    p AS (SELECT DISTINCT component, component AS at, [component] AS trail FROM i UNION ALL SELECT p.component, dst, list_append(trail, dst) FROM p JOIN i ON i.component = p.component AND i.src = p.at WHERE NOT list_contains(trail, dst)),
+    c AS (SELECT p.component, list_append(trail, p.component) AS trail FROM p JOIN i ON i.component = p.component AND i.src = p.at AND i.dst = p.component),
+    f AS (SELECT component, array_to_string(trail, ' -> ') AS witness, row_number() OVER (PARTITION BY component ORDER BY len(trail), trail) AS k FROM c)
+    SELECT component, n_nodes, n_edges, n_edges - n_nodes + 1 AS n_cycles, witness FROM f JOIN (SELECT component, count(*) AS n_nodes FROM m GROUP BY component) USING (component) JOIN (SELECT component, count(*) AS n_edges FROM i GROUP BY component) USING (component) WHERE k = 1""",
 }

@@ -157,6 +157,16 @@ UNION ALL SELECT 'n' || CAST(s_suppkey AS STRING), 'nation' || CAST(s_nationkey
 UNION ALL SELECT 'nation' || CAST(n_nationkey AS STRING), 'region' || CAST(n_regionkey AS STRING) FROM {nation}) AS t
 GROUP BY src, dst"""
 
+_RING = "'src/r' || CAST(c_custkey - c_custkey % 6 + {more} AS STRING) || '/n' || CAST({node} AS STRING) || '.rs'"
+_ring = lambda node, more=0: _RING.format(node=node, more=more)
+#: edges(src, dst): rings of six modules, some broken, some with chords, edges to themselves or back edges; eight rings depend on one another in a row.
+RINGS = f"""
+SELECT {_ring('c_custkey % 6')} AS src, {_ring('(c_custkey + 1) % 6')} AS dst FROM {{customer}} WHERE NOT ((c_custkey - c_custkey % 6) % 18 = 0 AND c_custkey % 6 = 5)
+UNION ALL SELECT {_ring(4)}, {_ring(1)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 24 = 6 AND c_custkey % 6 = 4
+UNION ALL SELECT {_ring(2)}, {_ring(2)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 30 = 12 AND c_custkey % 6 = 2
+UNION ALL SELECT {_ring(1)}, {_ring(0)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 42 = 0 AND c_custkey % 6 = 1
+UNION ALL SELECT {_ring(0)}, {_ring(0, 6)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 48 <> 42 AND c_custkey % 6 = 0"""
+
 #: defs(path, name) and refs(path, name): a supplier defines the parts that it ships, its nation refers to them.
 DEFS = "SELECT DISTINCT 'src/supplier/s' || CAST(l_suppkey AS STRING) || '.rs' AS path, 'part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem}"
 REFS = "SELECT 'src/nation/n' || CAST(s_nationkey AS STRING) || '.rs' AS path, 'crate::parts::part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"
