@@ -231,6 +231,17 @@ def _posted(classes: DataFrame, c: Centroids, choose, tag: int) -> DataFrame:
     return classes.select("rep", "vector").mapInArrow(run, f"list int, query int, rep long, vector {vector_type(classes, 'vector')}")
 
 
+def _within_best(queries: np.ndarray, points: np.ndarray, keep: int, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and points and their exact distance, for every point that isn't surely beyond a query's keep nearest: all within the keep-th rough distance and what it may err by, so that ties stay together."""
+    a, b = (queries**2).sum(1), (points**2).sum(1)
+    rough = a[:, None] + b - 2 * queries @ points.T
+    n = min(len(points), keep)
+    edge = np.partition(rough, n - 1, 1)[:, n - 1] + 16 * points.shape[1] * np.finfo(np.float64).eps * (a + b.max())
+    i, j = np.nonzero(~(rough > edge[:, None]))  # sums beyond the doubles stay too
+    parts = [np.sqrt(((queries[i[k : k + chunk]] - points[j[k : k + chunk]]) ** 2).sum(1)) for k in range(0, len(i), chunk)]
+    return i, j, np.concatenate(parts) if parts else np.zeros(0)
+
+
 def _search(rows: DataFrame, keep: int) -> DataFrame:
     """rows(list, block, part, query, rep, vector) -> a block's best of each query: query, rep, score."""
 
@@ -243,15 +254,11 @@ def _search(rows: DataFrame, keep: int) -> DataFrame:
                 if not len(q) or not len(v):
                     continue
                 for part in np.array_split(q, -(-len(q) // 256)):
-                    rough = (x[part] ** 2).sum(1)[:, None] + (x[v] ** 2).sum(1) - 2 * x[part] @ x[v].T
-                    n = min(len(v), keep + 8)  # room for rounding and ties
-                    at = np.argpartition(rough, n - 1, 1)[:, :n] if n < len(v) else np.broadcast_to(np.arange(n), rough.shape)
-                    exact = np.sqrt(((x[part][:, None, :] - x[v[at]]) ** 2).sum(2))
-                    best = np.lexsort((reps[v[at]], exact), axis=1)[:, :keep]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(reps[part], best.shape[1])), pa.array(np.take_along_axis(reps[v[at]], best, 1).ravel()), pa.array(np.take_along_axis(exact, best, 1).ravel())],
-                        ["query", "rep", "score"],
-                    )
+                    i, j, exact = _within_best(x[part], x[v], keep)
+                    order = np.lexsort((reps[v[j]], exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    best = np.arange(len(i)) - np.searchsorted(i, i) < keep
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[part[i[best]]]), pa.array(reps[v[j[best]]]), pa.array(exact[best])], ["query", "rep", "score"])
 
     return dealt_by(rows, "list", "block", "part").mapInArrow(run, "query long, rep long, score double")
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -33,8 +34,8 @@ from archlens.llm.packing import cut, numbered
 CAPACITY, END_ID = 2048, 1
 #: Rounds of descent over all combinations at most, and the change in a round, against the mean count, below which it ends.
 ROUNDS, SETTLED = 40, 0.01
-#: Pieces of words whose ids a worker remembers, and the length up to which.
-REMEMBERED, LONG = 200_000, 64
+#: Pieces of words whose ids a worker remembers, twice over, and the length up to which.
+REMEMBERED, LONG = 250_000, 64
 #: Texts of these characters alone are lowered and cut into pieces at once: for them it is what the tokenizer does. All other words go through it whole.
 _PLAIN = "[^ \\t\\r\\n!-~À-ÖØ-öø-įı-ſ]"
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \\t\\r\\na-z0-9ß-öø-ſ]+")
@@ -56,18 +57,18 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.earlier = Tokenizer.from_file(path), {}, {}
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([_PLAIN, *map(re.escape, added)]))
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
     def _ids(self, piece: str | tuple[str]) -> bytes:
         if isinstance(piece, tuple):
             ids = self.tokenizer.encode(piece[0], add_special_tokens=False).ids
         else:
             ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
-        return np.array(ids, self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _pieces(self, text: str) -> list[str | tuple[str]]:
         if not self.odd.search(text):
@@ -81,13 +82,13 @@ class WordEncoder:
         pieces, known = self._pieces(text), self.known
         new = set(pieces).difference(known)
         for piece in new:
-            known[piece] = self._ids(piece)
+            known[piece] = self.earlier.get(piece) or self._ids(piece)
         ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
-        if len(known) > REMEMBERED:
-            known.clear()
         for piece in new:
             if len(piece if isinstance(piece, str) else piece[0]) > LONG:
-                known.pop(piece, None)
+                del known[piece]
+        if len(known) > REMEMBERED:  # what is used again comes back from there
+            self.earlier, self.known = known, {}
         return ids
 
 
