@@ -55,8 +55,12 @@ _WORDS = (
     r"sponsor\w*+|subscribe|subscription|tags?|toolbar|tooltip|widget|alert|complementary|contentinfo|navigation)"
 )
 #: A whole token of a class, id or role: words of boilerplate, and others that only tell place or shape.
-_SHAPES = r"(?:site|global|top|bottom|left|right|bar|box|list|links?|buttons?|area|block|section|wrap|wrapper|container|inner|outer|form|items?|posts?|stories|articles|\d+)"
+_SHAPES = r"(?:site|global|top|bottom|left|right|bar|box|list|links?|buttons?|area|block|section|wrap|wrapper|container|inner|outer|form|items?|posts?|stories|articles|slots?|units?|zone|\d+)"
 _AGAINST = re.compile(rf"(?:^|\s)(?:{_SHAPES}[_-]+)*{_WORDS}(?:[_-]+(?:{_WORDS}|{_SHAPES}))*(?:$|\s)", re.I)
+#: Words of what readers write, anywhere in a token but after a word that only tells whether there is any.
+_READERS = re.compile(r"(?:^|\s)(?!(?:has|no|with|without|open|closed|enable[sd]?|disable[sd]?|allow)[_-])(?:[^\s_-]+[_-]+)*(?:comment|discuss|disqus|respond|response|repl(?:y|ies)|feedback|reaction|guestbook|talkback|thread)(?!\S*(?:enabled|disabled|open|closed|count)(?:$|\s))", re.I)
+#: A short line that tells who wrote something or when.
+_BYLINE = re.compile(r"\b\d{1,2}[:.]\d{2}\b|\b(?:19|20)\d{2}\b|\b\d+\s*[a-zäöüéñ]+\s+ago\b|\b(?:says|said|wrote|writes|replied|reply|permalink)\b\W*$", re.I)
 _FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|content|entry|main|post(?:-?body|-?text)?|story|text|prose)(?:$|[\s_-])", re.I)
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SENTENCE = re.compile(r"[.!?…。！？]")
@@ -67,6 +71,10 @@ CONTENT, UNKNOWN, MARKED, AGAINST = 1, 0, -1, -2
 ZONE, HEADING, SENTENCE, COMMA, LINKS, BASE, PER_100, REPEATED = {CONTENT: 1.8, UNKNOWN: 0.0, MARKED: -2.5, AGAINST: -7.0}, 0.8, 0.7, 0.2, -3.5, -1.4, 0.9, -0.7
 #: Capacities of edges at no distance between consecutive blocks, and between consecutive ones of one element and parent.
 ADJACENT, SIBLINGS = 4.0, 2.0
+#: Log-odds of a block outside the page's article, or outside main where there is none, by the share of the text that is inside; of one that comes after it all; and of one in several alike elements that each have a byline, behind other text.
+OUTSIDE, AFTER, DATED = -5.0, -1.0, -3.0
+#: Characters of a byline at most, and of a block that such elements must follow at least; steps from a byline to its element.
+BYLINE, LEADING, CLIMB = 80, 100, 4
 #: Elements that part a page: leaving or entering one counts as so many steps more.
 _LANDMARKS = _BOILERPLATE | _CONTENT | frozenset(["header", "section"])
 BOUNDARY = 3
@@ -85,7 +93,7 @@ def _zone(tag: str, attributes: str, above: int) -> int:
             if name == "hidden" or (name == "style" and _UNSEEN.search(value)) or (name == "aria-hidden" and value == "true"):
                 return AGAINST
             if name in ("class", "id", "role") and zone != MARKED and tag not in ("body", "html", "article", "main"):
-                if _AGAINST.search(value):
+                if _AGAINST.search(value) or _READERS.search(value):
                     zone = MARKED
                 elif _FOR.search(value):
                     zone = CONTENT
@@ -111,16 +119,51 @@ def _ends(page: str) -> dict[int, int]:
 
 
 class Block:
-    __slots__ = ("text", "odds", "node", "tag")
-
-    def __init__(self, text: str, odds: float, node: int, tag: str):
-        self.text, self.odds, self.node, self.tag = text, odds, node, tag
+    __slots__ = ("text", "odds", "node", "tag", "zone")
+
+    def __init__(self, text: str, odds: float, node: int, tag: str, zone: int):
+        self.text, self.odds, self.node, self.tag, self.zone = text, odds, node, tag, zone
+
+
+def _weigh_place(blocks: list[Block], parents: list[int], kinds: list[str]) -> None:
+    """What tells by place and not by words: where a block stands to the page's article, and whether it is one of several alike with bylines, as what readers write is."""
+    within = "article" if "article" in kinds else "main"
+    inside = [False] * len(parents)
+    for node in range(1, len(parents)):
+        inside[node] = inside[parents[node]] or kinds[node] == within
+    open_ = [b for b in blocks if b.zone >= UNKNOWN]
+    total = sum(len(b.text) for b in open_)
+    share = sum(len(b.text) for b in open_ if inside[b.node]) / total if total else 0.0
+    last = max((i for i, b in enumerate(blocks) if inside[b.node] and b.zone >= UNKNOWN), default=len(blocks))
+    alike: dict[tuple[int, str], set[int]] = {}
+    begun: dict[tuple[int, str], bool] = {}
+    led = False
+    for i, b in enumerate(blocks):
+        if share and b.zone >= UNKNOWN and not inside[b.node]:
+            b.odds += OUTSIDE * share + AFTER * (i > last)
+        signed = len(b.text) <= BYLINE and _BYLINE.search(b.text)
+        node = b.node
+        for _ in range(CLIMB):
+            if node <= 0:
+                break
+            group = parents[node], kinds[node]
+            if begun.setdefault(group, led) and signed:  # other text came before the first of them
+                alike.setdefault(group, set()).add(node)
+            node = parents[node]
+        led = led or (len(b.text) >= LEADING and b.zone >= UNKNOWN)
+    told = {node for nodes in alike.values() if len(nodes) > 1 for node in nodes if kinds[node].split(" ")[0] not in ("tr", "td", "th", "p")}
+    if told:
+        dated = [False] * len(parents)
+        for node in range(1, len(parents)):
+            dated[node] = dated[parents[node]] or node in told
+        for b in blocks:
+            b.odds += DATED * dated[b.node]
 
 
 def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
     """Blocks in page order, each tree node's parent, and the steps between both."""
     out: list[Block] = []
-    parents, steps, stack, zones = [-1], [0], [("", 0)], [0]
+    parents, steps, kinds, stack, zones = [-1], [0], [""], [("", 0)], [0]
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
     opened: dict[str, int] = {}
@@ -135,7 +178,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
             odds = BASE + ZONE[zones[-1]] + PER_100 * min(len(text), 300) / 100 + LINKS * min(1.0, linked / len(raw))
             odds += HEADING * (tag[0:1] == "h" and tag[1:].isdigit()) + SENTENCE * bool(_SENTENCE.search(text)) + COMMA * min(text.count(","), 3) + REPEATED * (text in told)
             told.add(text)
-            out.append(Block(text, odds, node, tag))
+            out.append(Block(text, odds, node, tag, zones[-1]))
         parts.clear()
         linked = 0
 
@@ -181,13 +224,17 @@ def blocks_of(page: str) -> tuple[list[Block], list[int], list[int]]:
         if tag not in _VOID:
             parents.append(stack[-1][1])
             steps.append(1 + BOUNDARY * (tag in _LANDMARKS))
-            zones.append(_zone(tag, m[4], zones[-1]))
+            zone = _zone(tag, m[4], zones[-1])
+            nested = tag == "article" and opened.get("article") and zone > MARKED  # what readers write of an article, by the elements' definition
+            zones.append(MARKED if nested else zone)
+            kinds.append(tag if tag in _CONTENT else f"{tag} {m[4].strip()}")
             stack.append((tag, len(parents) - 1))
             opened[tag] = opened.get(tag, 0) + 1
     if at < len(page):
         parts.append(page[at:])
     if parts:
         flush()
+    _weigh_place(out, parents, kinds)
     return out, parents, steps
 
 
