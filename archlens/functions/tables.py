@@ -225,3 +225,9 @@ BLOCK_LAWS = {
 #: What a function with a buffered writer may say to be left alone; languages that skeletons are made of.
 FLUSH_SIGNS = (".flush()", "-> BufWriter", "-> impl Write", "Ok(BufWriter")
 SKELETON_LANGUAGES = ("rust", "typescript", "javascript", "swift")
+#: Kinds of definitions by the word that begins them; words that stand before a bracket without being called.
+DEFINITION_KINDS = {
+    "fn": "function", "function": "function", "func": "function", "def": "function", "struct": "struct", "union": "struct", "enum": "enum", "trait": "trait", "impl": "impl", "mod": "module",
+    "const": "constant", "static": "constant", "type": "type", "class": "class", "interface": "interface", "protocol": "interface",
+}
+CALL_LIKE_WORDS = ("if", "while", "for", "match", "return", "in", "fn", "move", "let", "else", "loop", "impl", "where", "as", "mut", "ref")

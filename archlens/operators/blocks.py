@@ -29,8 +29,8 @@ _LITERALS = {
     "other": _QUOTED + r"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`",
 }
 _HEADS = {
-    "rust": r"\bfn\s+[A-Za-z_]\w*|\bfor\b",
-    "other": r"\bfunction\b\s*\*?\s*[A-Za-z_$][\w$]*|\bfunc\s+(?:\([^)\n]*\)\s*)?[A-Za-z_]\w*|\bfor\b(?:[^{};\n]*;[^{};\n]*;)?",
+    "rust": r"\bfn\s+[A-Za-z_]\w*|\bfor\b|\bimpl\b[^{};]*|\b(?:struct|enum|union|trait|mod|type|static)\s+(?:mut\s+)?[A-Za-z_]\w*|\bconst\s+(?!fn\b|unsafe\b|async\b|extern\b)[A-Za-z_]\w*",
+    "other": r"\bfunction\b\s*\*?\s*[A-Za-z_$][\w$]*|\bfunc\s+(?:\([^)\n]*\)\s*)?[A-Za-z_]\w*|\bfor\b(?:[^{};\n]*;[^{};\n]*;)?|\b(?:class|interface|enum|struct|protocol)\s+[A-Za-z_$][\w$]*",
 }
 _WORDS = r"\b(?:if|else|while|loop|match|switch|try|catch|do|impl|struct|enum|union|trait|mod|class|interface)\b"
 _CALLS = r"\.\s*(?:to_string|to_owned)\s*\(|\bBufWriter::new\s*\("
@@ -81,7 +81,7 @@ def in_blocks(found: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_sum": F.sum(c("opens").cast("int") - c("closes").cast("int")).over(upto), "_statement": F.coalesce(F.sum("_border").over(before), F.lit(0))})
     rows = rows.withColumn("depth", c("_sum") + c("closes").cast("int"))
     statement = Window.partitionBy("path", "_statement").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    word = F.when(~border & c("sign").rlike(r"^[a-z]"), F.struct(F.col("sign").alias("text"), F.col("row").alias("row"), F.col("first").alias("first"), F.col("at").alias("at")))
+    word = F.when(~border & c("sign").rlike(r"^(?!const\b|static\b|type\b)[a-z]"), F.struct(F.col("sign").alias("text"), F.col("row").alias("row"), F.col("first").alias("first"), F.col("at").alias("at")))
     rows = rows.withColumns({"head": F.when(c("opens"), F.first(word, ignorenulls=True).over(statement)), "_second": F.when(c("opens"), F.nth_value(word, 2, ignoreNulls=True).over(statement))})
     rows = rows.withColumn("kind", F.when(c("opens"), _kind(c("head.text"), c("_second.text"), c("sign"))))
     # braces of one depth alternate, so an opening one's neighbour ends its block; a run of if, else if and else is a chain
@@ -116,7 +116,7 @@ def functions_of(rows: DataFrame) -> DataFrame:
 
 
 def measured(files: DataFrame) -> DataFrame:
-    """path, lang, name, row, end_row of each function, its depth of nesting and the row of what lies deepest (the function's own, if nothing nests), and its cognitive complexity.
+    """path, low (the place of its body's brace among signs), lang, name, row, end_row of each function, its depth of nesting and the row of what lies deepest (the function's own, if nothing nests), and its cognitive complexity.
 
     An else-if lies one deeper than the if before it. Complexity counts for Rust each control block once, and once more for
     each that it lies in since the function or closure around (not for an else-if), each arm of a match, and everywhere each
@@ -137,7 +137,7 @@ def measured(files: DataFrame) -> DataFrame:
     sums = held.groupBy("path", "low").agg(F.sum("score").alias("cognitive"), deepest.alias("deepest"))
     joined = functions.join(sums, ["path", "low"], "left")
     return joined.select(
-        "path", "lang", "name", "row", "end_row", F.coalesce("deepest.depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("deepest.row", "row").alias("deepest_row"),
+        "path", "low", "lang", "name", "row", "end_row", F.coalesce("deepest.depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("deepest.row", "row").alias("deepest_row"),
         F.coalesce("cognitive", F.lit(0)).cast("int").alias("cognitive"),
     )
 

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions import tables as T
-from archlens.operators import blocks, cycles
+from archlens.operators import blocks, cycles, needles, symbols
 from archlens.plans import inputs as I
-from archlens.plans.oracles import KIND, LANG, listed, quoted, source
+from archlens.plans.oracles import CODE, KIND, LANG, ORACLE_SQL as KNOWN, has, listed, quoted, source
 
 #: A limit that some of the derived files break.
 STRICT = RuleConfig(max_cognitive_complexity=8, max_nesting_depth=2)
@@ -19,7 +19,7 @@ def _nested(spark, sf):
 
 
 def function_metrics(spark, sf):
-    return blocks.measured(_nested(spark, sf))
+    return blocks.measured(_nested(spark, sf)).drop("low")
 
 
 def rule_nesting(spark, sf):
@@ -54,7 +54,45 @@ def strong_components(spark, sf):
     return cycles.strong_components(I.derived(spark, sf, I.TRADE))
 
 
-QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, skeletons, dependency_cycles, strong_components)}
+NEEDLES = tuple(sorted({n for of in T.NEEDLES.values() for found in of.values() for n in found}))
+
+
+def needle_hits(spark, sf):
+    return needles.needle_lines(I.derived(spark, sf, I.CODE), NEEDLES)
+
+
+def concepts_at_once(spark, sf):
+    return needles.concepts(I.derived(spark, sf, I.CODE))
+
+
+def _typed(spark, sf):
+    return I.derived(spark, sf, I.TYPED)
+
+
+def definitions_from_text(spark, sf):
+    return symbols.definitions(_typed(spark, sf))
+
+
+def symbol_graph(spark, sf):
+    return symbols.symbol_graph(_typed(spark, sf))
+
+
+def methods_from_text(spark, sf):
+    joined = {n: F.array_join(F.sort_array(n), ",") for n in ("field_access", "internal_calls", "external_calls")}
+    return symbols.types(_typed(spark, sf))[2].withColumns(joined)
+
+
+def types_from_text(spark, sf):
+    scopes, fields, _ = symbols.types(_typed(spark, sf))
+    counted = fields.groupBy("path", "scope").agg(F.count("*").alias("n_fields"), F.count_if("is_public").alias("n_public"))
+    return scopes.withColumn("derives", F.array_join("derives", ",")).join(counted, ["path", "scope"])
+
+
+def type_findings(spark, sf):
+    return symbols.type_violations(_typed(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings)}
 
 # The SQL follows the definitions by containment: a block's ancestors are the blocks whose ranges hold it.
 _QUOTED = r'"(?:[^"\\]|\\.)*"'
@@ -104,7 +142,42 @@ def _components(text: str) -> str:
 m AS (SELECT x.a AS path, min(x.b) AS component FROM w x JOIN w y ON y.a = x.b AND y.b = x.a GROUP BY x.a)"""
 
 
+# What the files of TYPED hold, told from the keys that they are made of.
+_T, _NAME = "customer", "'T' || c_custkey"
+_AT = "3 + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END"
+_of = lambda test, text: f"CASE WHEN {test} THEN [{text}] ELSE [] END"
+_METHODS = " UNION ALL ".join(
+    f"""SELECT 'src/t' || c_custkey || '.rs' AS path, {_NAME} AS scope, 'm{i}' AS name, list_concat(['f' || ((c_custkey * {i + 1}) % 4)], {_of(f'(c_custkey + {i}) % 5 = 0', f"'m{(i + 1) % 4}'")}) AS field_access,
+    {_of(f'(c_custkey + {i}) % 5 = 0', f"'m{(i + 1) % 4}'")} AS internal_calls, list_concat(['helper_{i}'], {_of(f'c_custkey % 6 = {i}', ', '.join(f"'a{j}'" for j in range(10)))}) AS external_calls, 1 AS cognitive, (c_custkey + {i}) % 4 = 0 AS is_mutable FROM {_T}"""
+    for i in range(4)
+)
+_SCOPES = f"SELECT 'src/t' || c_custkey || '.rs' AS path, {_NAME} AS scope, ({_AT})::INT AS row, false AS is_enum, CASE WHEN c_custkey % 7 = 0 THEN ['Debug', 'Serialize'] ELSE []::VARCHAR[] END AS derives FROM {_T}"
+_FIELDS = " UNION ALL ".join(f"SELECT 'src/t' || c_custkey || '.rs' AS path, {_NAME} AS scope, 'f{i}' AS name, (c_custkey + {i}) % 3 = 0 AS is_public FROM {_T}" for i in range(4))
+_defined = lambda name, kind, row, text: f"SELECT 'src/t' || c_custkey || '.rs' AS path, {name} AS name, '{kind}' AS kind, ({row})::INT AS row, {text} AS signature FROM {_T}"
+_DEFINED = " UNION ALL ".join([
+    _defined("'t' || c_custkey", "module", "2", "'mod t' || c_custkey || ';'"), _defined(_NAME, "struct", _AT, "'pub struct T' || c_custkey || ' {'"), _defined(_NAME, "impl", f"6 + {_AT}", "'impl T' || c_custkey || ' {'"),
+    *[_defined(f"'m{i}'", "function", f"{7 + 3 * i} + {_AT}", f"'fn m{i}(' || CASE WHEN (c_custkey + {i}) % 4 = 0 THEN '&mut self' ELSE '&self' END || ', x: u8) {{'") for i in range(4)],
+    _defined("'LIMIT_' || c_custkey", "constant", f"20 + {_AT}", "'const LIMIT_' || c_custkey || ': u8 = 1;'"),
+])
+_joined = lambda x: f"array_to_string(list_sort({x}), ',') AS {x}"
+
+
+def _from_text(sql: str) -> str:
+    """A query on prepared tables of types, over those that the text holds."""
+    for text, made in ((I.SCOPES, _SCOPES), (I.FIELDS, _FIELDS), (I.METHODS, _METHODS)):
+        assert I.for_duckdb(text) in sql
+        sql = sql.replace(I.for_duckdb(text), made)
+    return sql
+
+
 ORACLE_SQL = {
+    "needle_hits": f"WITH {CODE}, l AS (SELECT path, unnest(range(1, len(ls) + 1))::INT AS row, unnest(ls) AS line FROM (SELECT path, string_split(lower(content), chr(10)) AS ls FROM code)), n AS (SELECT unnest([{', '.join(map(quoted, NEEDLES))}]) AS needle) SELECT path, row, needle FROM l JOIN n ON contains(line, needle)",
+    "concepts_at_once": f"WITH {CODE} SELECT path, " + ", ".join(f"{has(LANG, n, 'content')} AS {n}" for n in T.NEEDLES) + " FROM code",
+    "definitions_from_text": _DEFINED,
+    "symbol_graph": f"WITH d AS (SELECT DISTINCT path, name FROM ({_DEFINED})), r AS (SELECT 'src/t' || c_custkey || '.rs' AS path, unnest(['t' || (c_custkey + 1), 't' || c_custkey]) AS name FROM {_T}) SELECT r.path AS src, d.path AS dst, count(*) AS weight FROM r JOIN d USING (name) WHERE r.path <> d.path GROUP BY ALL",
+    "methods_from_text": f"SELECT path, scope, name, {_joined('field_access')}, {_joined('internal_calls')}, {_joined('external_calls')}, cognitive, is_mutable FROM ({_METHODS})",
+    "types_from_text": f"SELECT path, scope, row, is_enum, array_to_string(derives, ',') AS derives, n_fields, n_public FROM ({_SCOPES}) JOIN (SELECT path, scope, count(*) AS n_fields, count(*) FILTER (is_public) AS n_public FROM ({_FIELDS}) GROUP BY ALL) USING (path, scope)",
+    "type_findings": _from_text(KNOWN["cohesion_violations"]),
     "function_metrics": f"WITH {BLOCKS} SELECT * FROM me",
     "rule_nesting": f"WITH {BLOCKS} " + _told("nesting", "me WHERE depth > 2", f"printf({quoted(T.BLOCK_LAWS['nesting'][1])}, name, depth, 2)"),
     "rule_cognitive": f"WITH {BLOCKS} " + _told("cognitive", "me WHERE cognitive > 8", f"printf({quoted(T.BLOCK_LAWS['cognitive'][1])}, name, cognitive, 8)"),

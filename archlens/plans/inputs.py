@@ -167,6 +167,21 @@ UNION ALL SELECT {_ring(2)}, {_ring(2)} FROM {{customer}} WHERE (c_custkey - c_c
 UNION ALL SELECT {_ring(1)}, {_ring(0)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 42 = 0 AND c_custkey % 6 = 1
 UNION ALL SELECT {_ring(0)}, {_ring(0, 6)} FROM {{customer}} WHERE (c_custkey - c_custkey % 6) % 48 <> 42 AND c_custkey % 6 = 0"""
 
+_KEY = "CAST(c_custkey AS STRING)"
+_many = " || ".join(f"' a{j}(x);'" for j in range(10))
+_method = lambda i: (
+    f"'    fn m{i}(' || CASE WHEN (c_custkey + {i}) % 4 = 0 THEN '&mut self' ELSE '&self' END || ', x: u8) {{' || chr(10) || '        if self.f' || CAST((c_custkey * {i + 1}) % 4 AS STRING) || ' > 0 {{ helper_{i}(x); }}' || "
+    f"CASE WHEN (c_custkey + {i}) % 5 = 0 THEN ' self.m{(i + 1) % 4}();' ELSE '' END || CASE WHEN c_custkey % 6 = {i} THEN {_many} ELSE '' END || chr(10) || '    }}'"
+)
+_field = lambda i: f"CASE WHEN (c_custkey + {i}) % 3 = 0 THEN '    pub ' ELSE '    ' END || 'f{i}: u8,'"
+#: files(path, content): a type each, with fields, and methods that use them, call one another and call out.
+TYPED = (
+    f"SELECT 'src/t' || {_KEY} || '.rs' AS path, 'use crate::t' || CAST(c_custkey + 1 AS STRING) || '::T;' || chr(10) || 'mod t' || {_KEY} || ';' || chr(10) || "
+    f"CASE WHEN c_custkey % 7 = 0 THEN '#[derive(Debug, Serialize)]' || chr(10) ELSE '' END || 'pub struct T' || {_KEY} || ' {{' || chr(10) || "
+    + NL.join(map(_field, range(4))) + f" || chr(10) || '}}' || chr(10) || 'impl T' || {_KEY} || ' {{' || chr(10) || " + NL.join(map(_method, range(4)))
+    + f" || chr(10) || '}}' || chr(10) || 'const LIMIT_' || {_KEY} || ': u8 = 1;' AS content FROM {{customer}}"
+).replace("{{customer}}", "@").replace("{{", "{").replace("}}", "}").replace("@", "{customer}")
+
 #: defs(path, name) and refs(path, name): a supplier defines the parts that it ships, its nation refers to them.
 DEFS = "SELECT DISTINCT 'src/supplier/s' || CAST(l_suppkey AS STRING) || '.rs' AS path, 'part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem}"
 REFS = "SELECT 'src/nation/n' || CAST(s_nationkey AS STRING) || '.rs' AS path, 'crate::parts::part_' || CAST(l_partkey AS STRING) AS name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey"
