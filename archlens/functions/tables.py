@@ -221,7 +221,17 @@ BLOCK_LAWS = {
     "loop_conversions": ("P02", "String conversion inside loop", "High"),
     "nested_loops": ("P04", "Nested loop (O(n²)) detected", "Medium"),
     "unflushed_writers": ("R07", "`BufWriter` without `flush()`", "High"),
+    "duplicate_arms": ("I02", "Duplicate match arm bodies", "High"),
+    "shell_commands": ("X02", "Shell Injection risk: dynamic value used as shell executable", "High"),
+    "command_sources": ("X02", "Untrusted executable provenance: `%s` passed to Command::new", "Medium"),
 }
+#: Names of variables: of shells; of programs that are trusted, also behind an underscore; parts of names of functions that read a configuration.
+SHELLS = ("sh", "bash", "dash", "zsh", "fish", "cmd", "powershell", "pwsh")
+TRUSTED_COMMANDS = (
+    "cmd", "command", "binary", "executable", "exe", "program", "prog", "shell", "interpreter", "compiler", "linker", "tool", "bin_path", "pbcopy", "pbpaste", "xclip", "xsel", "wl_copy", "wl_paste",
+    "clip", "powershell", "osascript", "git", "cargo", "rustc", "tailwind", "npx", "node", "python", "python3",
+)
+CONFIG_FUNCTIONS = ("parse", "load", "read", "from_", "deserialize", "config", "manifest", "build", "setup")
 #: What a function with a buffered writer may say to be left alone; languages that skeletons are made of.
 FLUSH_SIGNS = (".flush()", "-> BufWriter", "-> impl Write", "Ok(BufWriter")
 SKELETON_LANGUAGES = ("rust", "typescript", "javascript", "swift")

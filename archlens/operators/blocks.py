@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
-from archlens.functions.tables import BLOCK_LAWS, FLUSH_SIGNS, SKELETON_LANGUAGES
+from archlens.functions.tables import BLOCK_LAWS, CONFIG_FUNCTIONS, FLUSH_SIGNS, SHELLS, SKELETON_LANGUAGES, TRUSTED_COMMANDS
 from archlens.functions.text import has_any, language
 from archlens.operators.ranges import within
 from archlens.operators.report import maximal
@@ -33,22 +33,24 @@ _HEADS = {
     "other": r"\bfunction\b\s*\*?\s*[A-Za-z_$][\w$]*|\bfunc\s+(?:\([^)\n]*\)\s*)?[A-Za-z_]\w*|\bfor\b(?:[^{};\n]*;[^{};\n]*;)?|\b(?:class|interface|enum|struct|protocol)\s+[A-Za-z_$][\w$]*",
 }
 _WORDS = r"\b(?:if|else|while|loop|match|switch|try|catch|do|impl|struct|enum|union|trait|mod|class|interface)\b"
-_CALLS = r"\.\s*(?:to_string|to_owned)\s*\(|\bBufWriter::new\s*\("
+_CALLS = r"\.\s*(?:to_string|to_owned)\s*\(|\bBufWriter::new\s*\(|\bCommand::new\s*\(\s*[A-Za-z_]\w*\s*\)"
+#: Signs that only rules on lists within brackets ask for.
+BRACKETS = r"[()\[\],]"
 _SIGNS = r"\|[^|{};\n]*\|\s*(?:->[^{};|\n]*)?\{|=>|&&|\|\||[{};]"
 
 NESTING = ("if", "else_if", "for", "while", "loop", "match", "switch", "try")
 LOOPS = ("for", "while", "loop")
 
 
-def _pattern(lang: str) -> str:
-    sign = "|".join((_HEADS[lang], _WORDS, _CALLS, _SIGNS))
+def _pattern(lang: str, more: str) -> str:
+    sign = "|".join((_HEADS[lang], _WORDS, _CALLS, _SIGNS, *([more] if more else [])))
     return rf"(?s)((?:{_COMMENT}|{_LITERALS[lang]}|(?!{sign})(?:[\w$]++|\s++|.))*+)({sign})"
 
 
-def signs(files: DataFrame) -> DataFrame:
-    """files(path, content) -> path, lang, at (from 0), row of the sign, first and last of its characters (from 1, the last one's successor), sign, before (what stands directly before it, of signs that are calls)."""
+def signs(files: DataFrame, more: str = "") -> DataFrame:
+    """files(path, content) -> path, lang, at (from 0), row of the sign, first and last of its characters (from 1, the last one's successor), sign, before (what stands directly before it, of signs that are calls), joins (whether nothing but white space stands before it). more: a pattern of further signs."""
     content, lang = F.col("content"), language(F.col("path"))
-    read = lambda k: F.when(F.col("lang") == "rust", F.regexp_extract_all(content, F.lit(_pattern("rust")), F.lit(k))).otherwise(F.regexp_extract_all(content, F.lit(_pattern("other")), F.lit(k)))
+    read = lambda k: F.when(F.col("lang") == "rust", F.regexp_extract_all(content, F.lit(_pattern("rust", more)), F.lit(k))).otherwise(F.regexp_extract_all(content, F.lit(_pattern("other", more)), F.lit(k)))
     lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     known = governed(files).select("path", "content", lang.alias("lang")).where("lang IS NOT NULL AND lang <> 'python'")
     told = F.transform(
@@ -56,13 +58,14 @@ def signs(files: DataFrame) -> DataFrame:
         lambda x: F.struct(
             x["sign"].alias("sign"), lines(x["gap"]).alias("gap_lines"), lines(x["sign"]).alias("sign_lines"), F.length(x["gap"]).alias("gap_size"), F.length(x["sign"]).alias("sign_size"),
             F.when(x["sign"].rlike(r"^[.A-Z]"), F.regexp_extract(x["gap"], r"([\w.:&*?()\[\]]*)$", 1)).alias("before"),
+            (F.trim(x["gap"]) == "").alias("joins"),
         ),
     )
     each = known.select("path", "lang", F.posexplode(told).alias("at", "s")).select("path", "lang", F.col("at").cast("long"), "s.*")
     upto = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     row = F.sum(F.col("gap_lines") + F.col("sign_lines")).over(upto) - F.col("sign_lines") + 1
     last = F.sum(F.col("gap_size") + F.col("sign_size")).over(upto) + 1
-    return each.select("path", "lang", "at", row.cast("int").alias("row"), (last - F.col("sign_size")).alias("first"), last.alias("last"), "sign", "before")
+    return each.select("path", "lang", "at", row.cast("int").alias("row"), (last - F.col("sign_size")).alias("first"), last.alias("last"), "sign", "before", "joins")
 
 
 def _kind(head: Column, second: Column, sign: Column) -> Column:
@@ -103,8 +106,8 @@ def in_blocks(found: DataFrame) -> DataFrame:
     around = Window.partitionBy("path", "_resets").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("flow_base", F.coalesce(F.last(F.when(resets(c("kind")) == 1, c("flow")), ignorenulls=True).over(around), F.lit(0)))
     inside = Window.partitionBy("path", "_sum").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("in_kind", F.last(F.when(c("opens"), c("kind")), ignorenulls=True).over(inside))
-    return rows.select(*found.columns, "opens", "closes", "depth", "kind", "head", "end_at", "end_row", "end", "nest", "flow", "flow_base", "loops", "in_kind")
+    rows = rows.withColumns({"in_kind": F.last(F.when(c("opens"), c("kind")), ignorenulls=True).over(inside), "in_at": F.last(F.when(c("opens"), c("at")), ignorenulls=True).over(inside)})
+    return rows.select(*found.columns, "opens", "closes", "depth", "kind", "head", "end_at", "end_row", "end", "nest", "flow", "flow_base", "loops", "in_kind", "in_at")
 
 
 def functions_of(rows: DataFrame) -> DataFrame:
@@ -175,6 +178,8 @@ def loop_conversions(files: DataFrame) -> DataFrame:
     return _found(within(calls, named).where(~own), "loop_conversions", F.col("call_row"))
 
 
+#: The name of a variant with a value, in a pattern.
+VARIANT = r"([A-Za-z_][\w:]*)\s*\("
 #: What stands for a function's body in a skeleton.
 SKELETON_BODY = "{ ... }"
 
@@ -199,3 +204,62 @@ def unflushed_writers(files: DataFrame) -> DataFrame:
     text = F.substring(F.col("content"), F.col("f.from").cast("int"), (F.col("f.end") - F.col("f.from")).cast("int"))
     fine = has_any(text, FLUSH_SIGNS)
     return _found(nearest.join(files.select("path", "content"), "path").where(~fine), "unflushed_writers", F.col("made_row"))
+
+
+def duplicate_arms(files: DataFrame) -> DataFrame:
+    """Rust's matches with arms of the same body (I02), a row for each such body. Arms whose patterns all hold a variant of another name aren't told: what they bind may differ in type.
+
+    An arm's body ends at the next comma of the arrow's own depth, of all brackets; at the brace that closes it, if it is a
+    block; or at the match's end.
+    """
+    c, path = F.col, Window.partitionBy("path").orderBy("at")
+    rust = files.where((language(c("path")) == "rust") & F.contains("content", F.lit("match")))
+    count = lambda marks: F.length("sign") - F.length(F.translate("sign", marks, ""))
+    rows = in_blocks(signs(rust, BRACKETS))
+    rows = rows.withColumns({"_net": F.sum(count("([{") - count(")]}")).over(path.rowsBetween(Window.unboundedPreceding, 0)), "_block": (F.lead("sign").over(path) == "{") & F.lead("joins").over(path)})
+    arrows = (c("sign") == "=>") & (c("in_kind") == "match")
+    level = F.when(arrows | (c("sign") == ","), F.array("_net")).when(c("sign") == "}", F.array("_net", c("_net") + 1))  # a brace may end a body of its own depth, and an arm of the match that it ends
+    told = rows.withColumn("_level", F.explode(level))
+    back = Window.partitionBy("path", "_level").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    place = F.struct("first", "last", "sign")
+    ends_list, ends_block = (c("sign") == ",") | ((c("sign") == "}") & (c("_net") < c("_level"))), c("sign").isin(",", "}")
+    told = told.withColumns({"_list": F.last(F.when(ends_list, place), ignorenulls=True).over(back), "_any": F.last(F.when(ends_block, place), ignorenulls=True).over(back)}).where(arrows)
+    end = F.when(c("_block"), c("_any")).otherwise(c("_list"))
+    until = F.when(c("_block") & (end["sign"] == "}"), end["last"]).otherwise(end["first"])
+    arms = told.select("path", c("in_at").alias("low"), "at", "first", "last", until.alias("until")).where("until IS NOT NULL")
+    heads = rows.where("kind = 'match'").select("path", c("at").alias("low"), c("last").alias("begin"), c("head.row").alias("match_row"))
+    arms = arms.join(heads, ["path", "low"]).withColumn("from", F.coalesce(F.lag("until").over(Window.partitionBy("path", "low").orderBy("at")), c("begin")))
+    cut = lambda a, b: F.substring(c("content"), a.cast("int"), (b - a).cast("int"))
+    texts = arms.join(rust.select("path", "content"), "path").select("path", "low", "match_row", F.regexp_replace(cut(c("from"), c("first")), r"^[,\s]+|\s+$", "").alias("pattern"), F.regexp_replace(cut(c("last"), c("until")), r"^\s+|\s+$", "").alias("body"))
+    variants = F.when(F.startswith("pattern", F.lit("(")), F.regexp_extract_all("pattern", F.lit(VARIANT), F.lit(1))).otherwise(F.slice(F.regexp_extract_all("pattern", F.lit(VARIANT), F.lit(1)), 1, 1))
+    same = texts.where("body NOT IN ('', '_')").groupBy("path", "low", "match_row", "body").agg(F.count("*").alias("n"), F.collect_list(variants).alias("variants"))
+    slots = F.size(c("variants")[0])
+    parted = F.forall("variants", lambda v: (F.size(v) == slots) & (F.size(v) > 0)) & F.exists(F.sequence(F.lit(0), F.greatest(slots, F.lit(1)) - 1), lambda k: F.size(F.array_distinct(F.transform("variants", lambda v: F.get(v, k)))) == F.size("variants"))
+    return _found(same.where((c("n") > 1) & ~parted), "duplicate_arms", c("match_row"))
+
+
+def unchecked_commands(files: DataFrame) -> DataFrame:
+    """Rust's commands made from a variable (X02): a shell by its name is high, any other program medium. Trusted names, constants of the file, functions that read a configuration, and matches over literals around it are left alone."""
+    c, rows = F.col, in_blocks(signs(files)).where("lang = 'rust'")
+    made = rows.where(F.startswith("sign", F.lit("Command"))).select("path", "at", c("row").alias("made_row"), F.regexp_extract("sign", r"\(\s*(\w+)", 1).alias("name"))
+    around = rows.where("kind IN ('fn', 'match') AND end_at IS NOT NULL").select("path", "kind", c("at").alias("low"), c("end_at").alias("high"), c("head.first").alias("from"), c("head.text").alias("head"), "end")
+    held = within(made, around).join(files.select("path", "content"), "path")
+    text = F.substring(c("content"), c("from").cast("int"), (c("end") - c("from")).cast("int"))
+    excused = F.when(c("kind") == "fn", has_any(F.regexp_extract("head", r"(\w+)$", 1), CONFIG_FUNCTIONS)).otherwise(F.contains(text, F.lit('"')))
+    safe = held.groupBy("path", "at").agg(F.max(excused).alias("excused"))
+    low = F.lower("name")
+    trusted = low.rlike("(?:^|_)(?:" + "|".join(TRUSTED_COMMANDS) + ")$")
+    judged = made.join(safe, ["path", "at"], "left").where(~F.coalesce("excused", F.lit(False)) & ~trusted).join(files.select("path", "content"), "path")
+    judged = judged.where(~F.contains("content", F.concat(F.lit("const "), "name")) & ~F.contains("content", F.concat(F.lit("static "), "name")))
+    shell = F.lower("name").isin(*SHELLS)
+    return _found(judged.where(shell), "shell_commands", c("made_row")).unionByName(_found(judged.where(~shell), "command_sources", c("made_row"), c("name")))
+
+
+def check(files: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
+    """All findings of the rules on blocks."""
+    functions = measured(files)
+    parts = (cognitive(functions, config), loop_conversions(files), nested_loops(files), unflushed_writers(files), duplicate_arms(files), unchecked_commands(files))
+    out = nesting(functions, config)
+    for part in parts:
+        out = out.unionByName(part)
+    return out

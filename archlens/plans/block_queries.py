@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions import tables as T
-from archlens.operators import blocks, cycles, needles, symbols
+from archlens.operators import blocks, cycles, needles, report, symbols
 from archlens.plans import inputs as I
 from archlens.plans.oracles import CODE, KIND, LANG, ORACLE_SQL as KNOWN, has, listed, quoted, source
 
@@ -42,6 +42,18 @@ def rule_unflushed_writers(spark, sf):
     return blocks.unflushed_writers(_nested(spark, sf))
 
 
+def rule_duplicate_arms(spark, sf):
+    return blocks.duplicate_arms(_nested(spark, sf))
+
+
+def rule_unchecked_commands(spark, sf):
+    return blocks.unchecked_commands(_nested(spark, sf))
+
+
+def block_findings(spark, sf):
+    return report.by_law(blocks.check(_nested(spark, sf)))
+
+
 def skeletons(spark, sf):
     return blocks.skeletons(_nested(spark, sf))
 
@@ -92,11 +104,11 @@ def type_findings(spark, sf):
     return symbols.type_violations(_typed(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings)}
+QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, rule_duplicate_arms, rule_unchecked_commands, block_findings, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings)}
 
 # The SQL follows the definitions by containment: a block's ancestors are the blocks whose ranges hold it.
 _QUOTED = r'"(?:[^"\\]|\\.)*"'
-_ALL = r"|\|[^|{};\n]*\|\s*(?:->[^{};|\n]*)?\{|\.\s*(?:to_string|to_owned)\s*\(|BufWriter::new\s*\(|[\w$]+|=>|&&|\|\||."
+_ALL = r"|\|[^|{};\n]*\|\s*(?:->[^{};|\n]*)?\{|\.\s*(?:to_string|to_owned)\s*\(|BufWriter::new\s*\(|Command::new\s*\(\s*[A-Za-z_]\w*\s*\)|[\w$]+|=>|&&|\|\||."
 _TOKENS = {
     "rust": r'(?s)//[^\n]*|/\*.*?\*/|r"[^"]*"|' + _QUOTED + r"|'(?:[^'\\\n]|\\[^\n])'|fn\s+[A-Za-z_]\w*" + _ALL,
     "other": r"(?s)//[^\n]*|/\*.*?\*/|" + _QUOTED + r"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|function\s+[A-Za-z_$][\w$]*|func\s+(?:\([^)\n]*\)\s*)?[A-Za-z_]\w*|for\b[^{};\n]*;[^{};\n]*;" + _ALL,
@@ -171,6 +183,19 @@ def _from_text(sql: str) -> str:
 
 
 ORACLE_SQL = {
+    "rule_duplicate_arms": f"""WITH {BLOCKS}, nt AS (SELECT path, i, t, first, sum(length(t) - length(translate(t, '([{{', '')) - length(t) + length(translate(t, ')]}}', ''))) OVER (PARTITION BY path ORDER BY i) AS net FROM d WHERE plain),
+    ar AS (SELECT a.path, a.i, a.net, a.first, x.i AS m, x.hrow, x.first + 1 AS begin, (SELECT arg_min(n.t, n.i) FROM nt n WHERE n.path = a.path AND n.i > a.i AND trim(n.t, chr(10) || ' ') <> '') = '{{' AS block FROM nt a JOIN bw x ON x.path = a.path AND x.i < a.i AND x.e > a.i JOIN d ON d.path = a.path AND d.i = a.i AND d.depth = x.depth WHERE a.t = '=>' AND x.kind = 'match'),
+    en AS (SELECT ar.path, ar.i, min(n.i) AS j FROM ar JOIN nt n ON n.path = ar.path AND n.i > ar.i AND ((n.t = ',' AND n.net = ar.net) OR (n.t = '}}' AND n.net = ar.net - 1) OR (n.t = '}}' AND n.net = ar.net AND block)) GROUP BY ar.path, ar.i),
+    am AS (SELECT ar.*, n.first + CASE WHEN n.t = '}}' AND n.net = ar.net THEN 1 ELSE 0 END AS until FROM ar JOIN en ON en.path = ar.path AND en.i = ar.i JOIN nt n ON n.path = en.path AND n.i = en.j),
+    pt AS (SELECT *, coalesce(lag(until) OVER (PARTITION BY path, m ORDER BY i), begin) AS start FROM am),
+    tx AS (SELECT pt.path, m, hrow, regexp_replace(substr(content, start::BIGINT, (pt.first - start)::BIGINT), '^[,\\s]+|\\s+$', '', 'g') AS pat, regexp_replace(substr(content, (pt.first + 2)::BIGINT, (until - pt.first - 2)::BIGINT), '^\\s+|\\s+$', '', 'g') AS body FROM pt JOIN g USING (path)),
+    vr AS (SELECT *, CASE WHEN pat LIKE '(%' THEN regexp_extract_all(pat, '{blocks.VARIANT}', 1) ELSE regexp_extract_all(pat, '{blocks.VARIANT}', 1)[1:1] END AS vs FROM tx WHERE body NOT IN ('', '_')),
+    gr AS (SELECT path, hrow AS row, count(*) AS n, list(vs) AS l FROM vr GROUP BY path, m, hrow, body) """
+    + _told("duplicate_arms", "gr WHERE n > 1 AND NOT (len(list_filter(l, lambda v: len(v) = len(l[1]) AND len(v) > 0)) = n AND len(list_filter(range(1, len(l[1]) + 1), lambda k: len(list_distinct(list_transform(l, lambda v: v[k]))) = n)) > 0)"),
+    "rule_unchecked_commands": f"""WITH {BLOCKS}, mk AS (SELECT path, i, row, regexp_extract(t, '\\(\\s*(\\w+)', 1) AS name FROM d WHERE plain AND t LIKE 'Command::new%'),
+    ex AS (SELECT mk.path, mk.i FROM mk JOIN bw ON bw.path = mk.path AND bw.i < mk.i AND bw.e > mk.i JOIN g ON g.path = mk.path WHERE (kind = 'fn' AND regexp_matches(regexp_extract(head, '(\\w+)$', 1), '{'|'.join(T.CONFIG_FUNCTIONS)}')) OR (kind = 'match' AND contains(substr(content, hfirst::BIGINT, (e_end - hfirst)::BIGINT), '"'))),
+    ok AS (SELECT mk.*, lower(name) IN {listed(T.SHELLS)} AS shell FROM mk JOIN g USING (path) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.path = mk.path AND ex.i = mk.i) AND NOT contains(content, 'const ' || name) AND NOT contains(content, 'static ' || name) AND NOT list_bool_or(list_transform([{', '.join(map(quoted, T.TRUSTED_COMMANDS))}], lambda x: lower(name) = x OR ends_with(lower(name), '_' || x)))) """
+    + _told("shell_commands", "ok WHERE shell") + " UNION ALL " + _told("command_sources", "ok WHERE NOT shell", f"printf({quoted(T.BLOCK_LAWS['command_sources'][1])}, name)"),
     "needle_hits": f"WITH {CODE}, l AS (SELECT path, unnest(range(1, len(ls) + 1))::INT AS row, unnest(ls) AS line FROM (SELECT path, string_split(lower(content), chr(10)) AS ls FROM code)), n AS (SELECT unnest([{', '.join(map(quoted, NEEDLES))}]) AS needle) SELECT path, row, needle FROM l JOIN n ON contains(line, needle)",
     "concepts_at_once": f"WITH {CODE} SELECT path, " + ", ".join(f"{has(LANG, n, 'content')} AS {n}" for n in T.NEEDLES) + " FROM code",
     "definitions_from_text": _DEFINED,
@@ -198,3 +223,9 @@ ORACLE_SQL = {
     f AS (SELECT component, array_to_string(trail, ' -> ') AS witness, row_number() OVER (PARTITION BY component ORDER BY len(trail), trail) AS k FROM c)
     SELECT component, n_nodes, n_edges, n_edges - n_nodes + 1 AS n_cycles, witness FROM f JOIN (SELECT component, count(*) AS n_nodes FROM m GROUP BY component) USING (component) JOIN (SELECT component, count(*) AS n_edges FROM i GROUP BY component) USING (component) WHERE k = 1""",
 }
+ORACLE_SQL["block_findings"] = "SELECT law, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT * FROM ({sql})" for sql in (
+        f"WITH {BLOCKS} " + _told("nesting", f"me WHERE depth > {RuleConfig().max_nesting_depth}"), f"WITH {BLOCKS} " + _told("cognitive", f"me WHERE cognitive > {RuleConfig().max_cognitive_complexity}"),
+        *[ORACLE_SQL[f"rule_{n}"] for n in ("nested_loops", "loop_conversions", "unflushed_writers", "duplicate_arms", "unchecked_commands")],
+    )
+) + ") GROUP BY law"

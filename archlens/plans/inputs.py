@@ -67,6 +67,10 @@ _RUST = [
     "fn arms_@(k: Kind, n: u8) -> u8 {\n    match k {\n        Kind::A => 1,\n        Kind::B if n > 1 => 2,\n        Kind::C => match n { 0 => 0, _ => 1 },\n        _ => { if n > 3 && n < 9 { 3 } else { 4 } }\n    }\n}",
     "fn write_@(f: File) -> Result<()> {\n    let mut w = BufWriter::new(f);\n    let open = || { BufWriter::new(f) };\n    w.write_all(b)?;\n    Ok(())\n}",
     "fn flush_@(f: File) {\n    let mut w = BufWriter::new(f);\n    fn lost_@(g: File) { let v = BufWriter::new(g); let u = io::BufWriter::new(g); }\n    w.flush();\n}",
+    "fn same_@(k: Kind, v: (u8, u8)) -> u8 {\n    match k {\n        Kind::A => go(1, 2),\n        Kind::B => go(1, 2),\n        Kind::C(x) => { stop(x) }\n        Kind::D(y) => { stop(x) }\n        Kind::E { z } if z > 1 => [1, 2][0],\n        Kind::F => match v { (1, _) => 3, (_, 2) => 3, _ => 4 },\n        _ => go(1, 2)\n    }\n}",
+    "fn run_@(tool_path: &str, bash: &str, my_git: &str) {\n    Command::new(tool_path).arg(x);\n    std::process::Command::new(bash);\n    Command::new(my_git);\n    Command::new(" + '"ls"' + ");\n}",
+    "fn load_@(p: &str) { if a { Command::new(p); } }",
+    "fn pick_@(p: &str, zsh: &str) {\n    match p { " + '"a"' + " => Command::new(p), _ => stop() };\n    match n { 1 => Command::new(p), _ => Command::new(zsh) }\n}",
     "fn wait_@(mut n: u64) -> String {\n    let mut s = String::new();\n    while n > 0 { s = n.to_string(); n -= 1; loop { s.to_owned(); break; } }\n    s\n}",
 ]
 _SCRIPT = [
