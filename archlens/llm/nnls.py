@@ -35,7 +35,7 @@ CAPACITY, END_ID = 2048, 1
 #: Rounds of descent over all combinations at most, and the change in a round, against the mean count, below which it ends.
 ROUNDS, SETTLED = 40, 0.01
 #: Pieces of words whose ids a worker remembers, twice over, and the length up to which.
-REMEMBERED, LONG = 250_000, 64
+REMEMBERED, LONG = 150_000, 64
 #: Texts of these characters alone are lowered and cut into pieces at once: for them it is what the tokenizer does. All other words go through it whole.
 _PLAIN = "[^ \\t\\r\\n!-~À-ÖØ-öø-įı-ſ]"
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \\t\\r\\na-z0-9ß-öø-ſ]+")

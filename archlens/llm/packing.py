@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from archlens.llm.bpe import codec, load_ranks
-from archlens.llm.common import bounded_batches, checkpointed, read_table, text_or_empty, written
+from archlens.llm.common import bounded_batches, read_table, text_or_empty, written
 
 CAPACITY, END_ID = 1024, 2
 #: The vocabulary's added token, which is one id wherever a text holds it.
@@ -163,7 +163,7 @@ def numbered(pieces: DataFrame, *order: str) -> tuple[DataFrame, dict[int, int]]
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts"))).drop("_salts")
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = checkpointed(counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")))
+    bases = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_salt").orderBy(*order, "_id")
     rows = salted.withColumn("_k", F.row_number().over(own) - 1).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_k", F.col("_k") + F.col("_base"))
     return rows.drop("_id", "_salt", "_base"), histogram
