@@ -30,11 +30,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder."""
+    _ready(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder. Unlike a checkpoint's, its estimated size is that of its files: estimates of a checkpoint are those of its plan, which loops that join their own results multiply without bound."""
-    spark = df.sparkSession
-    _ready(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -115,18 +119,3 @@ def neighbours(edges: DataFrame, anchor: str) -> DataFrame:
 def hubs(edges: DataFrame, least: int) -> DataFrame:
     """Nodes with so many dependents at least."""
     return edges.groupBy(F.col("dst").alias("path")).agg(F.countDistinct("src").alias("n_dependents")).where(F.col("n_dependents") >= least)
-
-
-def components(pairs: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
-    """Smallest node of each node's component, by pointer jumping. pairs(group, a, b), nodes(group, node); nodes of different groups never link."""
-    low = checkpointed(nodes.select(group, "node", F.col("node").alias("low")).distinct())
-    both = checkpointed(pairs.select(group, "a", "b").unionByName(pairs.select(group, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    while True:
-        of_b = low.select(group, F.col("node").alias("b"), F.col("low").alias("near"))
-        offered = both.join(of_b, [group, "b"]).groupBy(group, "a").agg(F.min("near").alias("near"))
-        new = low.join(offered.withColumnRenamed("a", "node"), [group, "node"], "left").select(group, "node", F.least("low", F.coalesce("near", "low")).alias("low"), F.col("low").alias("old"))
-        jump = new.select(group, F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = checkpointed(new.join(jump, [group, "low"], "left").select(group, "node", F.least("low", F.coalesce("lower", "low")).alias("low"), "old"))
-        if not new.where("low <> old").limit(1).count():
-            return new.drop("old")
-        low = new.drop("old")
