@@ -241,3 +241,6 @@ DEFINITION_KINDS = {
     "const": "constant", "static": "constant", "type": "type", "class": "class", "interface": "interface", "protocol": "interface",
 }
 CALL_LIKE_WORDS = ("if", "while", "for", "match", "return", "in", "fn", "move", "let", "else", "loop", "impl", "where", "as", "mut", "ref")
+#: Strings that tell something however short they are; words of comments that tell nothing.
+TELLING_STRINGS = r"https?://|^(?:HKEY_|HKLM|HKCU)|^~/|^/etc/|^[A-Za-z]:\\|^%APPDATA%|/api/|/v\d+/|/repos/|(?i:\b(?:SELECT|INSERT|UPDATE|DELETE|CREATE TABLE)\b)|(?i:Bearer |Authorization:|client_secret)"
+COMMENT_STOP_WORDS = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "into", "is", "it", "of", "on", "or", "that", "the", "this", "to", "with")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions import tables as T
-from archlens.operators import blocks, cycles, needles, report, rules, symbols
+from archlens.operators import blocks, cycles, fingerprints, needles, report, rules, symbols, taxonomy
 from archlens.operators.graph import shared_folder
 from archlens.plans import inputs as I
 from archlens.plans.oracles import CODE, KIND, LANG, ORACLE_SQL as KNOWN, has, listed, quoted, source
@@ -118,7 +118,17 @@ def rescanned_findings(spark, sf):
     return rescan.findings(spark, folder)
 
 
-QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, rule_duplicate_arms, rule_unchecked_commands, block_findings, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings, rescanned_findings)}
+def badges_from_text(spark, sf):
+    """Fingerprints written out as files, read back, and judged."""
+    made = I.derived(spark, sf, I.FINGERPRINTS)
+    each = lambda name, before, after: F.transform(name, lambda x: F.concat(F.lit(before), x, F.lit(after)))
+    lines = F.concat(each("imports", "use ", ";"), each("annotations", "#[", "]"), each("param_types", "fn go(x: ", ") { }"), each("strings", 'let s = "', '";'), each("exports", "pub fn ", "() { }"))
+    files = made.select(F.concat("path", F.lit(".rs")).alias("path"), F.array_join(lines, "\n").alias("content"))
+    found = taxonomy.badges(fingerprints.fingerprints(files))
+    return found.withColumns({"path": F.regexp_replace("path", r"\.rs$", ""), "mechanisms": F.array_join("mechanisms", "|")})
+
+
+QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, rule_duplicate_arms, rule_unchecked_commands, block_findings, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings, rescanned_findings, badges_from_text)}
 
 # The SQL follows the definitions by containment: a block's ancestors are the blocks whose ranges hold it.
 _QUOTED = r'"(?:[^"\\]|\\.)*"'
@@ -210,6 +220,7 @@ ORACLE_SQL = {
     ex AS (SELECT mk.path, mk.i FROM mk JOIN bw ON bw.path = mk.path AND bw.i < mk.i AND bw.e > mk.i JOIN g ON g.path = mk.path WHERE (kind = 'fn' AND regexp_matches(regexp_extract(head, '(\\w+)$', 1), '{'|'.join(T.CONFIG_FUNCTIONS)}')) OR (kind = 'match' AND contains(substr(content, hfirst::BIGINT, (e_end - hfirst)::BIGINT), '"'))),
     ok AS (SELECT mk.*, lower(name) IN {listed(T.SHELLS)} AS shell FROM mk JOIN g USING (path) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.path = mk.path AND ex.i = mk.i) AND NOT contains(content, 'const ' || name) AND NOT contains(content, 'static ' || name) AND NOT list_bool_or(list_transform([{', '.join(map(quoted, T.TRUSTED_COMMANDS))}], lambda x: lower(name) = x OR ends_with(lower(name), '_' || x)))) """
     + _told("shell_commands", "ok WHERE shell") + " UNION ALL " + _told("command_sources", "ok WHERE NOT shell", f"printf({quoted(T.BLOCK_LAWS['command_sources'][1])}, name)"),
+    "badges_from_text": KNOWN["taxonomy_badges"],
     "rescanned_findings": KNOWN["rule_hardcoded_secrets"].replace(I.for_duckdb(I.CODE), I.for_duckdb(_AGED)),
     "needle_hits": f"WITH {CODE}, l AS (SELECT path, unnest(range(1, len(ls) + 1))::INT AS row, unnest(ls) AS line FROM (SELECT path, string_split(lower(content), chr(10)) AS ls FROM code)), n AS (SELECT unnest([{', '.join(map(quoted, NEEDLES))}]) AS needle) SELECT path, row, needle FROM l JOIN n ON contains(line, needle)",
     "concepts_at_once": f"WITH {CODE} SELECT path, " + ", ".join(f"{has(LANG, n, 'content')} AS {n}" for n in T.NEEDLES) + " FROM code",
