@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAMPING, ITERATIONS = 0.85, 20
@@ -70,6 +70,16 @@ def pagerank(edges: DataFrame, anchor: str | None = None) -> DataFrame:
     return ranks
 
 
+def ranked(ranks: DataFrame) -> DataFrame:
+    """place, path, rank: from the highest rank on, equal ones by path. Sorted ranges are numbered side by side, so no task holds all."""
+    at = ranks.orderBy(F.desc("rank"), "path").withColumn("_at", F.monotonically_increasing_id())
+    at = checkpointed(at.withColumn("_part", F.shiftright("_at", 33)))
+    parts = at.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # a row for each task
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return at.join(F.broadcast(shifts), "_part").select((F.col("_at") + F.col("_shift")).alias("place"), "path", "rank")
+
+
 def layers(edges: DataFrame) -> DataFrame:
     """path, layer: nodes whose dependencies all have lower layers, from 0 on; what depends on a cycle shares the last one. Loops to itself don't count."""
     left = checkpointed(nodes_of(edges))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archlens.functions.tables import SCRIPT_EXTENSIONS
 from archlens.functions.text import components, extension, language, parent
+from archlens.sources.corpus import tsconfig_paths
 
 
 def _all(text: Column, pattern: str, group: int = 1) -> Column:
@@ -87,6 +88,13 @@ def aliased(found: DataFrame, aliases: dict[str, list[str]], base_url: str | Non
     return found.where(extension(F.col("path")).isin("ts", "tsx", "js", "jsx") & ~name.rlike(r"^\.")).select("path", "import", F.posexplode(tried).alias("priority", "candidate"))
 
 
+def configured(found: DataFrame, files: DataFrame) -> DataFrame:
+    """aliased by the tsconfig.json (or jsconfig.json) at the root of files; empty where there is none. One small file is read."""
+    own = files.where(F.col("path").isin("tsconfig.json", "jsconfig.json")).orderBy(F.desc("path")).select("content").first()
+    base, aliases = tsconfig_paths(own["content"] or "") if own else ("", {})
+    return aliased(found, aliases, base or None) if aliases or base else found.select("path", "import", F.lit(0).alias("priority"), F.lit(None).cast("string").alias("candidate")).limit(0)
+
+
 def go_edges(found: DataFrame, files: DataFrame, module: str) -> DataFrame:
     """src, dst, import of Go files: every known file of a directory of the module that is imported; tests only for tests."""
     of_go = found.where((extension(F.col("path")) == "go") & (F.startswith("import", F.lit(f"{module}/")) | (F.col("import") == module)))

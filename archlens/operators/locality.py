@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from archlens.config import LocalityConfig
 from archlens.functions.tables import LOCALITY_SUGGESTIONS
 from archlens.functions.text import any_of, components, file_name, parent
+from archlens.operators.graph import checkpointed
 
 #: Entries of a text report's lists.
 LISTED = 10
@@ -86,7 +87,9 @@ def exempt(path: Column, patterns: tuple[str, ...]) -> Column:
 
 def judged(edges: DataFrame, config: LocalityConfig = LocalityConfig(), nodes: DataFrame | None = None) -> DataFrame:
     """edges with distance, the target's ca, ce and identity, verdict and reason."""
-    nodes = coupling(edges) if nodes is None else nodes
+    if nodes is None:
+        edges = checkpointed(edges)  # both counted and judged
+        nodes = coupling(edges)
     target = nodes.select(F.col("path").alias("dst"), "ca", "ce")
     src, dst = F.col("src"), F.col("dst")
     known = edges.join(target, "dst", "left").fillna(0, ["ca", "ce"])

@@ -54,6 +54,11 @@ def guided(violations: DataFrame) -> DataFrame:
     return violations.withColumn("_g", F.element_at(known, F.col("law"))).select(*violations.columns, "_g.why", "_g.fix")
 
 
+def grouped(violations: DataFrame, lines: DataFrame) -> DataFrame:
+    """The grouped report in one: each finding as the k-th of n of its law, with the lines around it and its law's guidance."""
+    return guided(snippets(numbered(violations), lines))
+
+
 def sorted_worst(violations: DataFrame) -> DataFrame:
     """path, n of all files with findings, most first, then by path."""
     return violations.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path")

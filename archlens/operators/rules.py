@@ -57,8 +57,8 @@ def in_context(files: DataFrame) -> DataFrame:
     lookup = F.when(F.col("looped") & has_concept(F.col("lang"), "lookup", line), F.col("row"))
     held = {"held": F.last("event", ignorenulls=True).over(before), "held_kind": F.last("kind", ignorenulls=True).over(before)}
     held["lazy"] = F.last(lazy, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumns({"first_zero": first_zero, "zero_field": field})
-    return rows.withColumns(around | after | held | {"first_lookup": F.min(lookup).over(Window.partitionBy("path"))})
+    rows = rows.withColumns(around | after | held | {"first_lookup": F.min(lookup).over(Window.partitionBy("path"))})
+    return rows.withColumns({"first_zero": first_zero, "zero_field": field})  # last: lines dealt by path are dealt by path and field too
 
 
 @dataclass(frozen=True)

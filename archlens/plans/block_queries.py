@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions import tables as T
-from archlens.operators import blocks, cycles, fingerprints, needles, report, rules, symbols, taxonomy
+from archlens.operators import blocks, cycles, fingerprints, graph, imports, needles, report, rules, symbols, taxonomy
 from archlens.operators.graph import shared_folder
 from archlens.plans import inputs as I
-from archlens.plans.oracles import CODE, KIND, LANG, ORACLE_SQL as KNOWN, has, listed, quoted, source
+from archlens.plans.oracles import CODE, GUIDANCE, KIND, LANG, ORACLE_SQL as KNOWN, SCAN, has, listed, quoted, source
 from archlens.streaming import rescan
 
 #: A limit that some of the derived files break.
@@ -128,7 +128,27 @@ def badges_from_text(spark, sf):
     return found.withColumns({"path": F.regexp_replace("path", r"\.rs$", ""), "mechanisms": F.array_join("mechanisms", "|")})
 
 
-QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, rule_duplicate_arms, rule_unchecked_commands, block_findings, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings, rescanned_findings, badges_from_text)}
+def ranked_files(spark, sf):
+    ranks = graph.pagerank(I.derived(spark, sf, I.TRADE)).withColumn("rank", F.round("rank", 9))
+    return graph.ranked(ranks)
+
+
+def grouped_report(spark, sf):
+    files = I.derived(spark, sf, I.CODE)
+    return report.grouped(rules.scan(files), rules.lines_of(files)).select("law", "k", "n", "path", "row", "message", "before", "line", "after", "why", "fix")
+
+
+#: What the files of SCRIPTS are configured by.
+TSCONFIG = '{"compilerOptions": {"paths": {"@app/*": ["src/*"], /* a comment */ "react": ["vendor/react"]}}} // end'
+
+
+def configured_imports(spark, sf):
+    files = I.derived(spark, sf, I.SCRIPTS).unionByName(I.derived(spark, sf, f"SELECT 'tsconfig.json' AS path, '{TSCONFIG}' AS content"))
+    found = imports.imports(files)
+    return imports.resolved(found, files, imports.configured(found, files)).select("src", "dst")
+
+
+QUERIES = {f.__name__: f for f in (function_metrics, rule_nesting, rule_cognitive, rule_nested_loops, rule_loop_conversions, rule_unflushed_writers, rule_duplicate_arms, rule_unchecked_commands, block_findings, skeletons, dependency_cycles, strong_components, needle_hits, concepts_at_once, definitions_from_text, symbol_graph, methods_from_text, types_from_text, type_findings, rescanned_findings, badges_from_text, ranked_files, grouped_report, configured_imports)}
 
 # The SQL follows the definitions by containment: a block's ancestors are the blocks whose ranges hold it.
 _QUOTED = r'"(?:[^"\\]|\\.)*"'
@@ -220,6 +240,11 @@ ORACLE_SQL = {
     ex AS (SELECT mk.path, mk.i FROM mk JOIN bw ON bw.path = mk.path AND bw.i < mk.i AND bw.e > mk.i JOIN g ON g.path = mk.path WHERE (kind = 'fn' AND regexp_matches(regexp_extract(head, '(\\w+)$', 1), '{'|'.join(T.CONFIG_FUNCTIONS)}')) OR (kind = 'match' AND contains(substr(content, hfirst::BIGINT, (e_end - hfirst)::BIGINT), '"'))),
     ok AS (SELECT mk.*, lower(name) IN {listed(T.SHELLS)} AS shell FROM mk JOIN g USING (path) WHERE NOT EXISTS (SELECT 1 FROM ex WHERE ex.path = mk.path AND ex.i = mk.i) AND NOT contains(content, 'const ' || name) AND NOT contains(content, 'static ' || name) AND NOT list_bool_or(list_transform([{', '.join(map(quoted, T.TRUSTED_COMMANDS))}], lambda x: lower(name) = x OR ends_with(lower(name), '_' || x)))) """
     + _told("shell_commands", "ok WHERE shell") + " UNION ALL " + _told("command_sources", "ok WHERE NOT shell", f"printf({quoted(T.BLOCK_LAWS['command_sources'][1])}, name)"),
+    "ranked_files": f"SELECT row_number() OVER (ORDER BY rank DESC, path) AS place, path, rank FROM ({KNOWN['pagerank']})",
+    "grouped_report": f"""WITH {SCAN}, {CODE}, al AS (SELECT path, unnest(range(1, len(ls) + 1)) AS row, unnest(ls) AS line FROM (SELECT path, string_split(content, chr(10)) AS ls FROM code)), ad AS (SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM al WINDOW w AS (PARTITION BY path ORDER BY row)),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY law ORDER BY path, row, message) AS k, count(*) OVER (PARTITION BY law) AS n FROM v)
+    SELECT nu.law, k, n, nu.path, nu.row, message, before, line, after, why, fix FROM nu LEFT JOIN ad ON ad.path = nu.path AND ad.row = nu.row LEFT JOIN {GUIDANCE} ON gd.law = nu.law""",
+    "configured_imports": KNOWN["aliased_imports"],
     "badges_from_text": KNOWN["taxonomy_badges"],
     "rescanned_findings": KNOWN["rule_hardcoded_secrets"].replace(I.for_duckdb(I.CODE), I.for_duckdb(_AGED)),
     "needle_hits": f"WITH {CODE}, l AS (SELECT path, unnest(range(1, len(ls) + 1))::INT AS row, unnest(ls) AS line FROM (SELECT path, string_split(lower(content), chr(10)) AS ls FROM code)), n AS (SELECT unnest([{', '.join(map(quoted, NEEDLES))}]) AS needle) SELECT path, row, needle FROM l JOIN n ON contains(line, needle)",

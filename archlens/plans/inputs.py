@@ -114,7 +114,7 @@ _BUILD = ["Cargo.toml", "package.json", "requirements.txt", "x.cmake", "CMakeLis
 #: files(path): names of which some belong to build systems.
 BUILDS = "SELECT 'd' || CAST(s_suppkey AS STRING) || '/' || CASE s_suppkey % 9 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_BUILD)) + " END AS path FROM {supplier}"
 
-_SAID = "replace(replace(replace(substr(text, 1, 50), chr(10), ' '), '*', ' '), '\"', ' ')"
+_SAID = "replace(replace(replace(text, chr(10), ' '), '*', ' '), '\"', ' ')"
 _OPENINGS = ["Parser of ", "Returns the value of ", "Whether ", "A small ", "The number of ", "Applies ", "This is ", "Rules. More of "]
 _DOC = "CASE doc_id % 8 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_OPENINGS)) + f" END || {_SAID}"
 #: files(path, content): Rust, Python, script and Go files with a comment on top; said is the comment's text.
