@@ -164,11 +164,12 @@ LICENSE_SIGNS = (
     "copyright", "spdx-license", "licensed under", "this file is part of", "permission is hereby granted", "redistribution and use", "this program is free software", "all rights reserved",
 )
 DOC_VERBS = (
-    "add allow apply build calculate call check compile compute connect continue convert create decode delete determine disconnect emit encode ensure execute extract fetch fill find flush "
-    "format generate get handle implement indicate initialize insert invoke load look map merge notify open parse perform process produce push put read receive register remove render "
-    "represent request reset resolve return round run save scan send serialize set skip sort specify start stop store strip submit test toggle transform trigger update validate verify visit "
-    "walk write yield"
-).split()
+    "add", "allow", "apply", "build", "calculate", "call", "check", "compile", "compute", "connect", "continue", "convert", "create", "decode", "delete", "determine", "disconnect", "emit",
+    "encode", "ensure", "execute", "extract", "fetch", "fill", "find", "flush", "format", "generate", "get", "handle", "implement", "indicate", "initialize", "insert", "invoke", "load",
+    "look", "map", "merge", "notify", "open", "parse", "perform", "process", "produce", "push", "put", "read", "receive", "register", "remove", "render", "represent", "request", "reset",
+    "resolve", "return", "round", "run", "save", "scan", "send", "serialize", "set", "skip", "sort", "specify", "start", "stop", "store", "strip", "submit", "test", "toggle", "transform",
+    "trigger", "update", "validate", "verify", "visit", "walk", "write", "yield",
+)
 STATE_PREFIXES = ("whether ", "if ", "when ", "true ", "false ", "set to ", "used to ", "used for ", "called when", "called by", "called after", "called before")
 QUANTITY_PREFIXES = ("maximum ", "minimum ", "default ", "number of ", "count of ", "size of ", "the number", "the count", "the size")
 INTERNAL_TERMS = ("field", "parameter", "argument", "return value", "struct member", "enum variant", "callback", "handler")
