@@ -5,8 +5,8 @@ hash, so that their order has nothing to do with the graph's. Nodes of one compo
 the same label, it and the node reach each other, so the component is told. Edges stay only between nodes of equal colours
 whose component isn't told yet; what can't lie on a cycle is trimmed, at first until nothing is left of it. Colours run along edges and
 jump to the colour of the label found, so a colouring takes about the logarithm of the longest way in steps; as colours
-split the graph at many places at once, the number of rounds grows with the logarithm of the number of components that
-lie one behind another, not with their number (250 rings in a chain: 4 rounds).
+split the graph at many places at once, the number of rounds grows far slower than the number of components that lie one
+behind another (8 rings in a chain: 4 rounds, 250 rings: 12).
 """
 
 from __future__ import annotations
