@@ -227,6 +227,28 @@ def test_op6_edges(documents, spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans) for r in got] == [(601, 601, 1)] * 2
 
 
+def test_op6_texts_that_differ_in_their_first_byte(documents, spark):
+    """A text's first byte follows the mark between texts in what the suffix array is made of."""
+    rng = random.Random(0)
+    passage = " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 8))) for _ in range(150))
+    texts = [f"{i}. {passage[i // 3 :]}" for i in range(30)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.op6_repeated_strings(spark, documents(list(enumerate(texts)))).collect()}
+    assert got == dict(enumerate(plain_repeats(texts, 400)))
+
+
+def test_repeated_windows_beside_marks_and_of_any_bytes():
+    for seed in range(400):
+        rng = random.Random(seed)
+        letters = rng.choice([b"ab", b"abc", bytes(range(256)), b"\xfd\xfe\xff\0"])
+        passage = bytes(rng.choices(letters, k=30))
+        parts = [bytes(rng.choices(letters, k=rng.randint(1, 3))) + passage[rng.randint(0, 3) : rng.randint(20, 30)] for _ in range(8)]
+        count = Counter(p[i : i + 9] for p in parts for i in range(len(p) - 8))
+        found, at = suffixes.repeated_windows(parts, 9), 0
+        for p in parts:
+            assert found[at : at + len(p) - 8].tolist() == [count[p[i : i + 9]] > 1 for i in range(len(p) - 8)]
+            at += len(p) + 1
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(1)
     for _ in range(150):
