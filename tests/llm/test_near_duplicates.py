@@ -476,3 +476,27 @@ def test_pipeline_run(spark):
     for r in out.collect():
         used[r.sequence_id] += r.length
     assert used and max(used.values()) <= 1024
+
+
+def _tasks(spark, group, action):
+    """Tasks that ran for the action, with as many for each exchange as there are partitions."""
+    context, conf = spark.sparkContext, "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(conf, "false")
+    context.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(conf)
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(i.numCompletedTasks for i in map(tracker.getStageInfo, stages) if i)
+
+
+def test_rounds_and_marks_take_few_tasks(spark):
+    """On many partitions each small exchange costs files and events of its own, which filled the disk of the pipeline."""
+    edges = spark.range(300).selectExpr("id src", "id div 2 dst")
+    few = _tasks(spark, "rounds", lambda: common.connected_components(edges).count())
+    docs = spark.createDataFrame([(f"{i % 7} " * 300 + f"{i}" * 90,) for i in range(40)], "text string")
+    less = _tasks(spark, "marks", lambda: suffixes.marks(docs).count())
+    assert few <= 160 and less <= 60, (few, less)
