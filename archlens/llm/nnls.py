@@ -34,13 +34,16 @@ from archlens.llm.packing import cut, numbered
 CAPACITY, END_ID = 2048, 1
 #: Rounds of descent over all combinations at most, and the change in a round, against the mean count, below which it ends.
 ROUNDS, SETTLED = 40, 0.01
-#: Pieces of words whose ids a worker remembers, twice over, and the length up to which.
-REMEMBERED, LONG = 150_000, 64
+#: Pieces of words whose ids a worker remembers, twice over, and the length up to which; characters of texts that are encoded at once, and a text more.
+REMEMBERED, LONG, GROUP = 150_000, 64, 1 << 21
 #: Texts of these characters alone are lowered and cut into pieces at once: for them it is what the tokenizer does. All other words go through it whole.
-_PLAIN = "[^ \\t\\r\\n!-~À-ÖØ-öø-įı-ſ]"
+_PLAIN = re.compile("[^ \\t\\r\\n!-~À-ÖØ-öø-įı-ſ]")
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \\t\\r\\na-z0-9ß-öø-ſ]+")
 #: White space that the tokenizer drops for certain; other white space is left to it.
 _WORDS = re.compile("[^ \\t\\r\\n]+")
+#: What a byte of a plain, lowered text is, where all that isn't ASCII is letters: nothing, a letter, a digit or another mark.
+_GAP, _LETTER, _DIGIT, _MARK = range(4)
+_KINDS = np.array([_GAP if b in b"\0 \t\r\n" else _LETTER if b >= 128 or 97 <= b <= 122 else _DIGIT if 48 <= b <= 57 else _MARK for b in range(256)], np.uint8)
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -58,38 +61,87 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known, self.earlier = Tokenizer.from_file(path), {}, {}
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_PLAIN, *map(re.escape, added)]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
 
-    def _ids(self, piece: str | tuple[str]) -> bytes:
-        if isinstance(piece, tuple):
-            ids = self.tokenizer.encode(piece[0], add_special_tokens=False).ids
+    def _ids(self, piece: bytes | str) -> bytes:
+        """A word goes through the whole tokenizer, a piece's bytes only through its merges."""
+        if isinstance(piece, str):
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
         else:
-            ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters))]
+            ids = [t.id for t in self.model.tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _pieces(self, text: str) -> list[str | tuple[str]]:
-        if not self.odd.search(text):
-            return _PIECES.findall(text.lower())
-        out: list[str | tuple[str]] = []
+    def _found(self, pieces: list[bytes | str]) -> list[bytes]:
+        """Ids of different pieces; long ones aren't remembered."""
+        known = self.known
+        found = list(map(known.get, pieces))
+        for k, piece in enumerate(pieces):
+            if found[k] is None:
+                ids = found[k] = self.earlier.get(piece) or self._ids(piece)
+                if len(piece) <= LONG:
+                    known[piece] = ids
+        if len(known) > REMEMBERED:  # what is used again comes back from there
+            self.earlier, self.known = known, {}
+        return found
+
+    def _odd(self, text: str) -> bool:
+        return bool(_PLAIN.search(text)) or any(a in text for a in self.added)
+
+    def _mixed(self, text: str) -> np.ndarray:
+        """Ids of a text with odd words."""
+        pieces: list[bytes | str] = []
         for word in _WORDS.findall(text):
-            out += [(word,)] if self.odd.search(word) else _PIECES.findall(word.lower())
+            pieces += [word] if self._odd(word) else map(str.encode, _PIECES.findall(word.lower()))
+        different = list(set(pieces))
+        ids = dict(zip(different, self._found(different), strict=True))
+        return np.frombuffer(b"".join(map(ids.__getitem__, pieces)), self.kind)
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of plain texts: their pieces are cut side by side, and each different one is looked up once."""
+        data = np.frombuffer(("\0".join(texts).lower() + "\0\0\0\0").encode(), np.uint8)
+        starts, pieces = cut_pieces(data)
+        coded = pieces.dictionary_encode()
+        ids = pa.array(self._found(coded.dictionary.to_pylist()), pa.large_binary()).take(coded.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // np.dtype(self.kind).itemsize
+        flat = np.frombuffer(ids.buffers()[2], self.kind, at[-1]) if at[-1] else np.zeros(0, self.kind)
+        ends = at[np.searchsorted(starts, np.flatnonzero(data == 0)[: len(texts)])]
+        return np.split(flat, ends[:-1])
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        group: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            if self._odd(text):
+                out[k] = self._mixed(text)
+            else:
+                group.append(k)
+                size += len(text)
+            if group and (size >= GROUP or k == len(texts) - 1):
+                for j, ids in zip(group, self._plain([texts[j] for j in group]), strict=True):
+                    out[j] = ids
+                group, size = [], 0
         return out
 
-    def __call__(self, text: str) -> np.ndarray:
-        pieces, known = self._pieces(text), self.known
-        new = set(pieces).difference(known)
-        for piece in new:
-            known[piece] = self.earlier.get(piece) or self._ids(piece)
-        ids = np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.kind)
-        for piece in new:
-            if len(piece if isinstance(piece, str) else piece[0]) > LONG:
-                del known[piece]
-        if len(known) > REMEMBERED:  # what is used again comes back from there
-            self.earlier, self.known = known, {}
-        return ids
+
+def cut_pieces(data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Where the pieces (_PIECES) of plain, lowered texts begin, and the pieces; a zero byte ends each text, three more the last."""
+    kind = _KINDS[data]
+    inside = kind != _GAP
+    begin = inside.copy()
+    begin[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+    at = np.flatnonzero(begin & (data == ord("'")))  # the others are within a run of marks
+    a, b = data[at + 1], data[at + 2]
+    size = np.isin(a, [*b"stmd"]) + 2 * ((a == ord("r")) & (b == ord("e")) | (a == ord("v")) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")))
+    at, size = at[size > 0], size[size > 0]
+    begin[at + 1] = False
+    begin[at + 1 + size] = inside[at + 1 + size]
+    bounds = np.append(np.flatnonzero(begin[inside]), np.count_nonzero(inside))
+    held = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[inside])]
+    return np.flatnonzero(begin), pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, held)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -105,8 +157,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         encode = _encoder(path)
         for batch in batches:
             rows, start, length, total, held = [], [], [], [], []
-            for row, text in enumerate(batch.column("text")):
-                ids = np.append(encode(text.as_py()), np.array([end_id], encode.kind))
+            for row, found in enumerate(encode(batch.column("text").to_pylist())):
+                ids = np.append(found, np.array([end_id], encode.kind))
                 for s, n in cut(len(ids), capacity):
                     rows.append(row)
                     start.append(s)

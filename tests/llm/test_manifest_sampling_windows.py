@@ -196,6 +196,44 @@ def test_op13_edges(spark, tmp_path):
     assert sum(r["length"] for r in got) == 9 and {r["doc_tokens"] for r in got} == {3}
 
 
+PARTS = ["'s", "'re", "'ve", "'m", "'ll", "'", "'r", "'S", "a", "Zz", "é", "Ÿ", "0", "12", " ", "\t", "\r\n", "!", "--", "e", "st", "x", "İ", "\0", "漢", "<|endoftext|>", "<|"]
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_op13_ids_of_texts_side_by_side(odd):
+    rng = random.Random(3)
+    parts = PARTS if odd else PARTS[:22]
+    texts = ["'", "'s", "'s's", "x's't", "", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(4000)), "y" * 200, "'ll"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = nnls.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))(texts)
+    assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+class Counted(dict):
+    """A dictionary that counts what is asked of it."""
+
+    asked = 0
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def __contains__(self, key):
+        self.asked += 1
+        return super().__contains__(key)
+
+
+def test_op13_asks_once_for_each_different_piece_of_many_texts():
+    encoder = nnls.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.known = Counted()
+    encoder(["the same few words, again and again"] * 300)
+    assert encoder.known.asked <= 8
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_plan_places_every_token_once(seed):
     rng = random.Random(seed)
