@@ -211,7 +211,7 @@ LOCALITY_SUGGESTIONS = {
 }
 TYPE_MESSAGES = {
     "LCOM4": "Class '%s' has low cohesion (LCOM4: %d)",
-    "AHF": "Class '%s' exposes too much state (AHF: %.1f%%)",
+    "AHF": "Class '%s' exposes too much state (AHF: %s%%)",
     "CBO": "Class '%s' is tightly coupled (CBO: %d)",
     "SFOUT": "Class '%s' has high fan-out (SFOUT: %d)",
 }

@@ -37,6 +37,11 @@ def language(path: Column) -> Column:
     return F.element_at(F.create_map(*pairs), extension(path))
 
 
+def one_decimal(value: Column) -> Column:
+    """A number with one decimal, as C's %.1f has it: the nearest one by the double's exact value, the even one of two that are equally near (format_string takes the upper one)."""
+    return F.call_function("format_number", value, F.lit("0.0"))
+
+
 def sha256_normalised(text: Column) -> Column:
     return F.sha2(F.regexp_replace(text, "\r\n?", "\n"), 256)
 

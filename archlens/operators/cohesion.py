@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from archlens.config import RuleConfig
 from archlens.functions.tables import DATA_DERIVES, TYPE_MESSAGES
+from archlens.functions.text import one_decimal
 
 KEY = ["path", "scope"]
 
@@ -19,13 +20,14 @@ def _lcom4(methods: Column) -> tuple[Column, Column]:
     """Components and number of an array<struct<name,field_access,internal_calls>> of methods, linked by a field that both use or by a call; methods of one name are one.
 
     A method is a set of marks: its name, its fields, and the scope's methods that it calls. Sets that overlap are merged one
-    by one, as a type's methods are few; what is left are the components. Nothing leaves the row.
+    by one, as a type's methods are few; what is left are the components. Unknown names and fields link nothing. Nothing
+    leaves the row.
     """
     names = F.array_distinct(F.transform(methods, lambda m: m["name"]))
     own = lambda m: F.filter(F.coalesce(m["internal_calls"], F.array().cast("array<string>")), lambda c: F.array_contains(names, c))
     marked = lambda tag, xs: F.transform(xs, lambda x: F.concat(F.lit(tag), x))
-    fields = lambda m: F.coalesce(m["field_access"], F.array().cast("array<string>"))
-    sets = F.transform(methods, lambda m: F.concat(F.array(F.concat(F.lit("m "), m["name"])), marked("f ", fields(m)), marked("m ", own(m))))
+    fields = lambda m: F.filter(F.coalesce(m["field_access"], F.array().cast("array<string>")), lambda x: x.isNotNull())
+    sets = F.transform(F.filter(methods, lambda m: m["name"].isNotNull()), lambda m: F.concat(F.array(F.concat(F.lit("m "), m["name"])), marked("f ", fields(m)), marked("m ", own(m))))
     met = lambda groups, s: F.flatten(F.concat(F.array(s), F.filter(groups, lambda g: F.arrays_overlap(g, s))))
     merged = F.aggregate(sets, F.array().cast("array<array<string>>"), lambda groups, s: F.concat(F.filter(groups, lambda g: ~F.arrays_overlap(g, s)), F.array(F.array_distinct(met(groups, s)))))
     return F.size(merged).cast("long"), F.size(names).cast("long")
@@ -35,7 +37,7 @@ def by_scope(methods: DataFrame) -> DataFrame:
     """All that is asked of a scope's methods, by one shuffle: lcom4, n_methods, cbo, sfout, has_behaviour, uses_fields, complexity."""
     grouped = methods.groupBy(*KEY).agg(
         F.collect_list(F.struct("name", "field_access", "internal_calls")).alias("methods"), F.array_distinct(F.flatten(F.collect_list("external_calls"))).alias("calls"),
-        F.max(F.size(F.array_distinct("external_calls"))).alias("sfout"), F.max((F.col("cognitive") > 0) | F.col("is_mutable")).alias("has_behaviour"),
+        F.max(F.size(F.array_distinct(F.filter("external_calls", lambda x: x.isNotNull())))).alias("sfout"), F.max((F.col("cognitive") > 0) | F.col("is_mutable")).alias("has_behaviour"),
         F.max(F.size("field_access") > 0).alias("uses_fields"), F.sum("cognitive").alias("complexity"),
     )
     components, names = _lcom4(F.col("methods"))
@@ -75,7 +77,7 @@ def violations(metrics: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFram
     simple = (c("n_fields") <= 3) | (c("complexity") <= 3)
     checks = [
         ("LCOM4", ~c("is_enum") & c("has_behaviour") & c("uses_fields") & (c("n_methods") >= 4) & (c("lcom4") > rules.max_lcom4), say("LCOM4", c("lcom4"))),
-        ("AHF", ~c("is_enum") & ~data & ~simple & c("has_behaviour") & (c("n_fields") > 0) & (c("ahf") < rules.min_ahf), say("AHF", c("ahf"))),
+        ("AHF", ~c("is_enum") & ~data & ~simple & c("has_behaviour") & (c("n_fields") > 0) & (c("ahf") < rules.min_ahf), say("AHF", one_decimal(c("ahf")))),
         ("CBO", c("cbo") > rules.max_cbo, say("CBO", c("cbo"))),
         ("SFOUT", c("sfout") > rules.max_sfout, say("SFOUT", c("sfout"))),
     ]

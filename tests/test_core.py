@@ -141,6 +141,17 @@ def test_cohesion(spark):
     assert {r.law for r in cohesion.violations(metrics).collect()} == {"LCOM4", "AHF", "SFOUT"}
 
 
+def test_cohesion_of_ties_and_unknown_names(spark):
+    """Shares halfway between two decimals go to the even one, as in the SQL; unknown fields and names link nothing."""
+    told = spark.range(17).select("id", X.one_decimal(F.col("id") / 16 * 100).alias("said"))
+    assert {r.id: r.said for r in told.collect()} == {k: "%.1f" % (k / 16 * 100) for k in range(17)}
+    spec = [("m1", ["a"]), ("m2", [None, "a"]), ("m3", [None]), (None, ["b"]), ("m5", ["b"])]
+    rows = [("a.rs", "C", n, u, ["m1", None], ["x", None], 1, False) for n, u in spec[:1]] + [("a.rs", "C", n, u, [None], ["x", None], 1, False) for n, u in spec[1:]]
+    methods = spark.createDataFrame(rows, "path string, scope string, name string, field_access array<string>, internal_calls array<string>, external_calls array<string>, cognitive int, is_mutable boolean")
+    got = cohesion.by_scope(methods).first()
+    assert (got.lcom4, got.n_methods, got.cbo, got.sfout) == (3, 5, 1, 1)
+
+
 def test_taxonomy_and_mutations(spark):
     schema = "path string, imports array<string>, annotations array<string>, param_types array<string>, strings array<string>, exports array<string>"
     row = taxonomy.badges(spark.createDataFrame([("a", ["std::fs", "database/sql"], [], [], ["https://api.github.com/x"], ["RegisterPlugin"])], schema)).first()
