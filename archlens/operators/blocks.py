@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from archlens.config import RuleConfig
 from archlens.functions.tables import BLOCK_LAWS, CONFIG_FUNCTIONS, FLUSH_SIGNS, SHELLS, SKELETON_LANGUAGES, TRUSTED_COMMANDS
 from archlens.functions.text import has_any, language
+from archlens.operators.graph import written
+from archlens.operators.joins import dealt, met
 from archlens.operators.ranges import within
 from archlens.operators.report import maximal
 from archlens.operators.rules import governed
@@ -52,7 +54,7 @@ def signs(files: DataFrame, more: str = "") -> DataFrame:
     content, lang = F.col("content"), language(F.col("path"))
     read = lambda k: F.when(F.col("lang") == "rust", F.regexp_extract_all(content, F.lit(_pattern("rust", more)), F.lit(k))).otherwise(F.regexp_extract_all(content, F.lit(_pattern("other", more)), F.lit(k)))
     lines = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
-    known = governed(files).select("path", "content", lang.alias("lang")).where("lang IS NOT NULL AND lang <> 'python'")
+    known = dealt(governed(files).select("path", "content", lang.alias("lang")).where("lang IS NOT NULL AND lang <> 'python'"))
     told = F.transform(
         F.arrays_zip(read(1).alias("gap"), read(2).alias("sign")),
         lambda x: F.struct(
@@ -110,6 +112,12 @@ def in_blocks(found: DataFrame) -> DataFrame:
     return rows.select(*found.columns, "opens", "closes", "depth", "kind", "head", "end_at", "end_row", "end", "nest", "flow", "flow_base", "loops", "in_kind", "in_at")
 
 
+def marked(files: DataFrame) -> DataFrame:
+    """in_blocks' rows of blocks, calls and operators, which are what most rules ask for. They ask several times, so the rows are written once."""
+    rows = in_blocks(signs(files)).drop("last", "joins", "closes", "loops", "in_at")
+    return written(rows.where(F.col("kind").isNotNull() | F.col("before").isNotNull() | F.col("sign").isin("&&", "||", "=>")))
+
+
 def functions_of(rows: DataFrame) -> DataFrame:
     """Functions with bodies of in_blocks' rows: path, lang, name, row, end_row, low and high (places of their braces among signs), first and end of the body's characters, base (the level of nesting around)."""
     name = F.regexp_extract("head.text", r"([\w$]+)$", 1)
@@ -118,14 +126,14 @@ def functions_of(rows: DataFrame) -> DataFrame:
     )
 
 
-def measured(files: DataFrame) -> DataFrame:
+def measured(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """path, low (the place of its body's brace among signs), lang, name, row, end_row of each function, its depth of nesting and the row of what lies deepest (the function's own, if nothing nests), and its cognitive complexity.
 
     An else-if lies one deeper than the if before it. Complexity counts for Rust each control block once, and once more for
     each that it lies in since the function or closure around (not for an else-if), each arm of a match, and everywhere each
-    logical operator. What lies in an inner function counts for the outer one too.
+    logical operator. What lies in an inner function counts for the outer one too. rows: the files' marked ones, if known.
     """
-    c, rows = F.col, in_blocks(signs(files))
+    c, rows = F.col, marked(files) if rows is None else rows
     rust = c("lang") == "rust"
     deeper = c("flow") - c("flow_base") - 1  # blocks around within the function or closure
     score = (
@@ -138,7 +146,7 @@ def measured(files: DataFrame) -> DataFrame:
     held = within(points, functions.select("path", "low", "high", "base"))
     deepest = F.max(F.when(c("nest") > c("base"), F.struct((c("nest") - c("base")).alias("depth"), (-c("at")).alias("at"), c("nest_row").alias("row"))))
     sums = held.groupBy("path", "low").agg(F.sum("score").alias("cognitive"), deepest.alias("deepest"))
-    joined = functions.join(sums, ["path", "low"], "left")
+    joined = met(functions, sums, ["path", "low"], "left")
     return joined.select(
         "path", "low", "lang", "name", "row", "end_row", F.coalesce("deepest.depth", F.lit(0)).cast("int").alias("depth"), F.coalesce("deepest.row", "row").alias("deepest_row"),
         F.coalesce("cognitive", F.lit(0)).cast("int").alias("cognitive"),
@@ -166,14 +174,14 @@ def nested_loops(files: DataFrame) -> DataFrame:
     return _found(rows.where(F.col("kind").isin(*LOOPS) & (F.col("loops") > 1) & (F.col("lang") == "rust")), "nested_loops", F.col("head.row"))
 
 
-def loop_conversions(files: DataFrame) -> DataFrame:
+def loop_conversions(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Rust's conversions to strings within loops (P02), a row for each loop around; what is the loop's variable, or a part of it, may be converted."""
-    rows = in_blocks(signs(files)).where("lang = 'rust'")
+    rows = (marked(files) if rows is None else rows).where("lang = 'rust'")
     calls = rows.where(F.startswith("sign", F.lit("."))).select("path", "at", F.col("row").alias("call_row"), F.trim("before").alias("receiver"))
     loops = rows.where(F.col("kind").isin(*LOOPS) & F.col("end_at").isNotNull())
     starts = loops.select("path", F.col("at").alias("low"), F.col("end_at").alias("high"), F.col("kind"), F.col("head.first").alias("from"), F.col("first").alias("to"))
     text = F.regexp_extract(F.substring(F.col("content"), F.col("from"), F.col("to") - F.col("from")), r"^for\s+(?:mut\s+)?([^,(]*?)\s*(?:[,(]|\bin\b)", 1)
-    named = starts.join(files.select("path", "content"), "path").select("path", "low", "high", F.when(F.col("kind") == "for", text).alias("variable"))
+    named = met(starts, files.select("path", "content"), "path").select("path", "low", "high", F.when(F.col("kind") == "for", text).alias("variable"))
     own = F.coalesce((F.col("receiver") == F.col("variable")) | F.contains("receiver", F.concat("variable", F.lit("."))), F.lit(False))
     return _found(within(calls, named).where(~own), "loop_conversions", F.col("call_row"))
 
@@ -192,18 +200,18 @@ def skeletons(files: DataFrame) -> DataFrame:
     content, cuts = F.col("content"), F.col("cuts")
     kept = F.transform(cuts, lambda x, i: F.concat(content.substr(F.when(i > 0, F.get(cuts, i - 1)["high"]).otherwise(1).cast("int"), (x["low"] - F.when(i > 0, F.get(cuts, i - 1)["high"]).otherwise(1)).cast("int")), F.lit(SKELETON_BODY)))
     rest = content.substr(F.element_at(cuts, -1)["high"].cast("int"), F.length(content))
-    return files.join(held, "path", "left").select("path", F.when(cuts.isNull(), content).otherwise(F.concat(F.array_join(kept, ""), rest)).alias("skeleton"))
+    return met(files, held, "path", "left").select("path", F.when(cuts.isNull(), content).otherwise(F.concat(F.array_join(kept, ""), rest)).alias("skeleton"))
 
 
-def unflushed_writers(files: DataFrame) -> DataFrame:
+def unflushed_writers(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Rust's buffered writers that the function around neither flushes nor hands on (R07)."""
-    rows = in_blocks(signs(files)).where("lang = 'rust'")
+    rows = (marked(files) if rows is None else rows).where("lang = 'rust'")
     made = rows.where(F.startswith("sign", F.lit("BufWriter")) & ~F.endswith("before", F.lit("::"))).select("path", "at", F.col("row").alias("made_row"))
     functions = rows.where("kind = 'fn' AND end_at IS NOT NULL").select("path", F.col("at").alias("low"), F.col("end_at").alias("high"), F.col("head.first").alias("from"), "end")
     nearest = within(made, functions).groupBy("path", "at", "made_row").agg(F.max(F.struct("low", "from", "end")).alias("f"))
     text = F.substring(F.col("content"), F.col("f.from").cast("int"), (F.col("f.end") - F.col("f.from")).cast("int"))
     fine = has_any(text, FLUSH_SIGNS)
-    return _found(nearest.join(files.select("path", "content"), "path").where(~fine), "unflushed_writers", F.col("made_row"))
+    return _found(met(nearest, files.select("path", "content"), "path").where(~fine), "unflushed_writers", F.col("made_row"))
 
 
 def duplicate_arms(files: DataFrame) -> DataFrame:
@@ -228,9 +236,9 @@ def duplicate_arms(files: DataFrame) -> DataFrame:
     until = F.when(c("_block") & (end["sign"] == "}"), end["last"]).otherwise(end["first"])
     arms = told.select("path", c("in_at").alias("low"), "at", "first", "last", until.alias("until")).where("until IS NOT NULL")
     heads = rows.where("kind = 'match'").select("path", c("at").alias("low"), c("last").alias("begin"), c("head.row").alias("match_row"))
-    arms = arms.join(heads, ["path", "low"]).withColumn("from", F.coalesce(F.lag("until").over(Window.partitionBy("path", "low").orderBy("at")), c("begin")))
+    arms = met(arms, heads, ["path", "low"]).withColumn("from", F.coalesce(F.lag("until").over(Window.partitionBy("path", "low").orderBy("at")), c("begin")))
     cut = lambda a, b: F.substring(c("content"), a.cast("int"), (b - a).cast("int"))
-    texts = arms.join(rust.select("path", "content"), "path").select("path", "low", "match_row", F.regexp_replace(cut(c("from"), c("first")), r"^[,\s]+|\s+$", "").alias("pattern"), F.regexp_replace(cut(c("last"), c("until")), r"^\s+|\s+$", "").alias("body"))
+    texts = met(arms, rust.select("path", "content"), "path").select("path", "low", "match_row", F.regexp_replace(cut(c("from"), c("first")), r"^[,\s]+|\s+$", "").alias("pattern"), F.regexp_replace(cut(c("last"), c("until")), r"^\s+|\s+$", "").alias("body"))
     variants = F.when(F.startswith("pattern", F.lit("(")), F.regexp_extract_all("pattern", F.lit(VARIANT), F.lit(1))).otherwise(F.slice(F.regexp_extract_all("pattern", F.lit(VARIANT), F.lit(1)), 1, 1))
     same = texts.where("body NOT IN ('', '_')").groupBy("path", "low", "match_row", "body").agg(F.count("*").alias("n"), F.collect_list(variants).alias("variants"))
     slots = F.size(c("variants")[0])
@@ -238,18 +246,19 @@ def duplicate_arms(files: DataFrame) -> DataFrame:
     return _found(same.where((c("n") > 1) & ~parted), "duplicate_arms", c("match_row"))
 
 
-def unchecked_commands(files: DataFrame) -> DataFrame:
+def unchecked_commands(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Rust's commands made from a variable (X02): a shell by its name is high, any other program medium. Trusted names, constants of the file, functions that read a configuration, and matches over literals around it are left alone."""
-    c, rows = F.col, in_blocks(signs(files)).where("lang = 'rust'")
+    c, rows = F.col, (marked(files) if rows is None else rows).where("lang = 'rust'")
     made = rows.where(F.startswith("sign", F.lit("Command"))).select("path", "at", c("row").alias("made_row"), F.regexp_extract("sign", r"\(\s*(\w+)", 1).alias("name"))
     around = rows.where("kind IN ('fn', 'match') AND end_at IS NOT NULL").select("path", "kind", c("at").alias("low"), c("end_at").alias("high"), c("head.first").alias("from"), c("head.text").alias("head"), "end")
-    held = within(made, around).join(files.select("path", "content"), "path")
+    held = met(within(made, around), files.select("path", "content"), "path")
     text = F.substring(c("content"), c("from").cast("int"), (c("end") - c("from")).cast("int"))
     excused = F.when(c("kind") == "fn", has_any(F.regexp_extract("head", r"(\w+)$", 1), CONFIG_FUNCTIONS)).otherwise(F.contains(text, F.lit('"')))
     safe = held.groupBy("path", "at").agg(F.max(excused).alias("excused"))
     low = F.lower("name")
     trusted = low.rlike("(?:^|_)(?:" + "|".join(TRUSTED_COMMANDS) + ")$")
-    judged = made.join(safe, ["path", "at"], "left").where(~F.coalesce("excused", F.lit(False)) & ~trusted).join(files.select("path", "content"), "path")
+    judged = met(made, safe, ["path", "at"], "left").where(~F.coalesce("excused", F.lit(False)) & ~trusted)
+    judged = met(judged, files.select("path", "content"), "path")
     judged = judged.where(~F.contains("content", F.concat(F.lit("const "), "name")) & ~F.contains("content", F.concat(F.lit("static "), "name")))
     shell = F.lower("name").isin(*SHELLS)
     return _found(judged.where(shell), "shell_commands", c("made_row")).unionByName(_found(judged.where(~shell), "command_sources", c("made_row"), c("name")))
@@ -257,8 +266,9 @@ def unchecked_commands(files: DataFrame) -> DataFrame:
 
 def check(files: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame:
     """All findings of the rules on blocks."""
-    functions = measured(files)
-    parts = (cognitive(functions, config), loop_conversions(files), nested_loops(files), unflushed_writers(files), duplicate_arms(files), unchecked_commands(files))
+    rows = marked(files)
+    functions = measured(files, rows)
+    parts = (cognitive(functions, config), loop_conversions(files, rows), nested_loops(files), unflushed_writers(files, rows), duplicate_arms(files), unchecked_commands(files, rows))
     out = nesting(functions, config)
     for part in parts:
         out = out.unionByName(part)

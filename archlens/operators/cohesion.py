@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from archlens.config import RuleConfig
 from archlens.functions.tables import DATA_DERIVES, TYPE_MESSAGES
 from archlens.functions.text import one_decimal
+from archlens.operators.joins import met
 
 KEY = ["path", "scope"]
 
@@ -59,13 +60,13 @@ def sfout(methods: DataFrame) -> DataFrame:
 def ahf(scopes: DataFrame, fields: DataFrame) -> DataFrame:
     """Percent of fields that are private; 100 without fields."""
     counted = fields.groupBy(*KEY).agg(F.count("*").alias("n_fields"), F.count_if(~F.col("is_public")).alias("n_private"))
-    known = scopes.select(*KEY).join(counted, KEY, "left").fillna(0, ["n_fields", "n_private"])
+    known = met(scopes.select(*KEY), counted, KEY, "left").fillna(0, ["n_fields", "n_private"])
     return known.withColumn("ahf", F.when(F.col("n_fields") == 0, 100.0).otherwise(F.col("n_private") / F.col("n_fields") * 100))
 
 
 def inspected(scopes: DataFrame, fields: DataFrame, methods: DataFrame, rules: RuleConfig = RuleConfig()) -> DataFrame:
     """All metrics of each scope, one row each."""
-    out = scopes.join(ahf(scopes, fields), KEY).join(by_scope(methods), KEY, "left")
+    out = met(met(scopes, ahf(scopes, fields), KEY), by_scope(methods), KEY, "left")
     return out.fillna(0, ["lcom4", "n_methods", "cbo", "sfout", "complexity"]).fillna(False, ["has_behaviour", "uses_fields"])
 
 

@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from archlens.operators.joins import met
+
 DAMPING, ITERATIONS = 0.85, 20
 
 
@@ -51,7 +53,7 @@ def symbol_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     """defs(path, name), refs(path, name) -> src, dst, weight: how many symbols that dst defines src refers to. A reference's name is its last :: part."""
     defs = defs.select(F.col("path").alias("dst"), "name").distinct()
     refs = refs.select(F.col("path").alias("src"), F.substring_index("name", "::", -1).alias("name")).distinct()
-    return refs.join(defs, "name").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    return met(refs, defs, "name").where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
 def pagerank(edges: DataFrame, anchor: str | None = None) -> DataFrame:

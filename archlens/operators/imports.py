@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archlens.functions.tables import SCRIPT_EXTENSIONS
 from archlens.functions.text import components, extension, language, parent
+from archlens.operators.joins import dealt, met
 from archlens.sources.corpus import tsconfig_paths
 
 
@@ -43,7 +44,7 @@ def imports(files: DataFrame) -> DataFrame:
         F.when(lang == "rust", rust_modules(text)).when(lang == "python", python_modules(text)).when(lang.isin("javascript", "typescript"), script_specifiers(text))
         .when(lang == "cpp", includes(text)).when(lang == "go", go_imports(text))
     )
-    return files.select("path", F.explode(F.array_sort(F.array_distinct(found))).alias("import"))
+    return dealt(files.select("path", "content")).select("path", F.explode(F.array_sort(F.array_distinct(found))).alias("import"))
 
 
 def _joined(*parts: Column) -> Column:
@@ -101,13 +102,13 @@ def go_edges(found: DataFrame, files: DataFrame, module: str) -> DataFrame:
     wanted = of_go.withColumn("directory", F.regexp_replace(F.substring("import", F.lit(len(module) + 2), F.length("import")), "/$", ""))
     tests = files.select("path", (F.contains("content", F.lit("_test.go")) | F.col("content").rlike(r"(?m)^\s*package [^\n]*_test")).alias("tests"))
     known = files.where(extension(F.col("path")) == "go").select(F.col("path").alias("dst"), parent(F.col("path")).alias("directory"))
-    pairs = wanted.join(tests, "path").join(known, "directory").where("tests OR NOT dst LIKE '%\\_test.go'")
+    pairs = met(met(wanted, tests, "path"), known, "directory").where("tests OR NOT dst LIKE '%\\_test.go'")
     return pairs.select(F.col("path").alias("src"), "dst", "import")
 
 
 def resolved(found: DataFrame, files: DataFrame, tried: DataFrame | None = None) -> DataFrame:
     """src, dst, import: the likeliest candidate that is a known path; tried: candidates other than the usual ones."""
     known = files.select(F.col("path").alias("candidate")).distinct()
-    hit = (candidates(found) if tried is None else tried).join(known, "candidate")
+    hit = met(candidates(found) if tried is None else tried, known, "candidate")
     best = hit.groupBy("path", "import").agg(F.min_by("candidate", "priority").alias("dst"))
     return best.select(F.col("path").alias("src"), "dst", "import")

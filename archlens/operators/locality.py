@@ -13,6 +13,7 @@ from archlens.config import LocalityConfig
 from archlens.functions.tables import LOCALITY_SUGGESTIONS
 from archlens.functions.text import any_of, components, file_name, parent
 from archlens.operators.graph import checkpointed
+from archlens.operators.joins import met
 
 #: Entries of a text report's lists.
 LISTED = 10
@@ -92,7 +93,7 @@ def judged(edges: DataFrame, config: LocalityConfig = LocalityConfig(), nodes: D
         nodes = coupling(edges)
     target = nodes.select(F.col("path").alias("dst"), "ca", "ce")
     src, dst = F.col("src"), F.col("dst")
-    known = edges.join(target, "dst", "left").fillna(0, ["ca", "ce"])
+    known = met(edges, target, "dst", "left").fillna(0, ["ca", "ce"])
     known = known.withColumns({"_x": components(src), "_y": components(dst)})  # split once
     known = known.withColumns({"distance": F.size("_x") + F.size("_y") - 2 * _shared(F.col("_x"), F.col("_y")), "identity": identity(F.col("ca"), F.col("ce"), config)}).drop("_x", "_y")
     reason = (

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archlens.operators.joins import met
+
 GROWTH = 8
 #: Sizes up to GROWTH ** 10, which is beyond any text.
 SIZES = [GROWTH**k for k in range(1, 11)]
@@ -32,4 +34,4 @@ def within(points: DataFrame, ranges: DataFrame, key: str = "path", at: str = "a
     asked = points.withColumn("_size", F.explode(F.array(*[F.lit(s).cast("long") for s in SIZES]))).withColumn("_cell", cell(F.col(at), F.col("_size")))
     used = sized.select("_size").distinct()  # ten rows at most
     asked = asked.join(F.broadcast(used), "_size", "left_semi")
-    return asked.join(placed, [key, "_size", "_cell"]).where((F.col(low) < F.col(at)) & (F.col(at) < F.col(high))).drop("_size", "_cell")
+    return met(asked, placed, [key, "_size", "_cell"]).where((F.col(low) < F.col(at)) & (F.col(at) < F.col(high))).drop("_size", "_cell")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archlens.functions.tables import CONFIDENCE_RANK, GUIDANCE
 from archlens.operators.graph import checkpointed
+from archlens.operators.joins import met
 
 
 def totals(files: DataFrame, violations: DataFrame) -> DataFrame:
@@ -40,7 +41,7 @@ def snippets(violations: DataFrame, lines: DataFrame) -> DataFrame:
     """violations with the line before, at and after; lines(path, row, line)."""
     order = Window.partitionBy("path").orderBy("row")
     around = lines.withColumns({"before": F.lag("line").over(order), "after": F.lead("line").over(order)})
-    return violations.join(around, ["path", "row"], "left")
+    return met(violations, around, ["path", "row"], "left")
 
 
 def one_line(violations: DataFrame) -> DataFrame:
@@ -97,7 +98,7 @@ def append_log(events: DataFrame, folder: str) -> None:
 def file_reports(files: DataFrame, violations: DataFrame) -> DataFrame:
     """files(path, token_count) as JSON documents with their violations, each file's in order of rows."""
     grouped = violations.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("row", "law", "message", "confidence"))).alias("violations"))
-    joined = files.join(grouped, "path", "left").withColumn("violations", F.coalesce("violations", F.array().cast("array<struct<row:int,law:string,message:string,confidence:string>>")))
+    joined = met(files, grouped, "path", "left").withColumn("violations", F.coalesce("violations", F.array().cast("array<struct<row:int,law:string,message:string,confidence:string>>")))
     return joined.select("path", F.to_json(F.struct("path", "token_count", "violations")).alias("report"))
 
 

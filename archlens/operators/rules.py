@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from archlens.config import SYSTEMS_LIMITS, SYSTEMS_SCORE, RuleConfig
 from archlens.functions.tables import GLOBAL_CONTAINERS, PLACEHOLDERS, SECRET_NAME
 from archlens.functions.text import any_of, approx_tokens, file_name, has_any, has_concept, language, length_boundary, split_identifier
+from archlens.operators.joins import dealt
 from archlens.sources.corpus import file_kind, perf_exempt, systems_score
 
 
@@ -36,7 +37,7 @@ def in_context(files: DataFrame) -> DataFrame:
     """Lines of governed files: path, lang, row, line, the three lines before, whether a lock guard is held and of which kind, whether lookups stand in the file's loops and where the first is, and the file's flags."""
     path, text = F.col("path"), F.col("content")
     lang = language(path)
-    flags = governed(files).select(
+    flags = dealt(governed(files).select("path", "content")).select(
         "path", "content", lang.alias("lang"), has_concept(lang, "collection_guard", text).alias("guarded"),
         (~is_test_file(path) & ~perf_exempt(path) & has_concept(lang, "loop", text) & has_concept(lang, "lookup", text)).alias("looped"),
         F.lower(file_name(path)).rlike("test|spec").alias("tests"), has_any(text, ("chunks_exact(", "array_chunks(")).alias("chunked"),

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from archlens.functions.tables import CALL_LIKE_WORDS, DEFINITION_KINDS
 from archlens.functions.text import language
 from archlens.operators import cohesion, imports
-from archlens.operators.blocks import functions_of, in_blocks, measured, signs
+from archlens.operators.blocks import in_blocks, marked, measured, signs
 from archlens.operators.graph import symbol_edges
+from archlens.operators.joins import dealt, met
 from archlens.operators.ranges import within
 from archlens.operators.rules import governed, lines_of
 
@@ -37,13 +38,13 @@ def definitions(files: DataFrame) -> DataFrame:
     kinds = F.create_map(*[x for pair in DEFINITION_KINDS.items() for x in map(F.lit, pair)])
     plain = rows.where(word.isin(*DEFINITION_KINDS) & (word != "impl")).select("path", F.regexp_extract("sign", r"\s([A-Za-z_$][\w$]*)$", 1).alias("name"), F.element_at(kinds, word).alias("kind"), "row")
     impls = rows.where("kind = 'impl'").select("path", _impl_name(c("head.text")).alias("name"), F.element_at(kinds, F.lit("impl")).alias("kind"), c("head.row").alias("row"))
-    lines = lines_of(governed(files).select("path", "content"))
+    lines = lines_of(dealt(governed(files).select("path", "content")))
     found = r"^\s*(?:async\s+)?(def|class)\s+([A-Za-z_]\w*)"
     python = lines.where((language(c("path")) == "python") & c("line").rlike(found)).select(
         "path", F.regexp_extract("line", found, 2).alias("name"), F.element_at(kinds, F.regexp_extract("line", found, 1)).alias("kind"), c("row").cast("int").alias("row"), F.trim("line").alias("signature"),
     )
     named = plain.unionByName(impls).where("name <> ''")
-    told = named.join(lines.select("path", "row", "line"), ["path", "row"]).select("path", "name", "kind", "row", F.trim("line").alias("signature"))
+    told = met(named, lines.select("path", "row", "line"), ["path", "row"]).select("path", "name", "kind", "row", F.trim("line").alias("signature"))
     return told.unionByName(python)
 
 
@@ -57,13 +58,13 @@ def types(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """scopes, fields and methods of Rust files, as the operators on cohesion take them. A type that several blocks of a file tell of is one, in the row of its declaration if the file has it."""
     c = F.col
     rust = files.where(language(c("path")) == "rust").select("path", "content")
-    rows = in_blocks(signs(rust))
+    rows = marked(rust)
     blocks = rows.where("opens AND end_at IS NOT NULL").select("path", "kind", "depth", "head", F.col("at").alias("low"), F.col("end_at").alias("high"), "first", "end")
     declared = blocks.where("kind IN ('struct', 'enum')").withColumn("scope", F.regexp_extract("head.text", r"(\w+)$", 1))
     owners = blocks.where("kind = 'impl'").withColumn("scope", _impl_name(c("head.text"))).where("scope <> ''")
 
     # what stands before a declaration: attributes and comments directly above it
-    texts = declared.join(rust, "path")
+    texts = met(declared, rust, "path")
     above = F.regexp_extract(F.substring(c("content"), F.lit(1), (c("head.first") - 1).cast("int")), r"((?:(?:^|\n)\s*(?:#\[[^\n]*\]|//[^\n]*))*)\s*(?:pub(?:\([^)\n]*\))?\s+)?$", 1)
     derives = F.flatten(F.transform(F.regexp_extract_all(above, F.lit(r"#\[derive\(([^\n]*?)\)\]"), F.lit(1)), lambda x: F.split(x, ",")))
     derives = F.filter(F.transform(derives, lambda x: F.trim(x)), lambda x: x != "")
@@ -73,10 +74,9 @@ def types(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     held = texts.select("path", "scope", "kind", c("head.row").alias("row"), derives.alias("derives"), F.when(c("kind") == "struct", read).alias("fields"))
     fields = held.select("path", "scope", F.explode("fields").alias("f")).select("path", "scope", "f.name", (c("f.pub") != "").alias("is_public")).dropDuplicates(["path", "scope", "name"])
 
-    functions = functions_of(rows).select("path", "name", c("low").alias("at"), "first", "end")
-    starts = rows.where("kind = 'fn'").select("path", "at", c("head.first").alias("from"), c("depth").alias("own_depth"))
-    owned = within(functions.join(starts, ["path", "at"]), owners.select("path", "scope", "depth", "low", "high", c("head.row").alias("owner_row"))).where("own_depth = depth + 1")
-    cut = owned.join(rust, "path")
+    functions = rows.where("kind = 'fn' AND end_at IS NOT NULL").select("path", F.regexp_extract("head.text", r"([\w$]+)$", 1).alias("name"), "at", "first", "end", c("head.first").alias("from"), c("depth").alias("own_depth"))
+    owned = within(functions, owners.select("path", "scope", "depth", "low", "high", c("head.row").alias("owner_row"))).where("own_depth = depth + 1")
+    cut = met(owned, rust, "path")
     header = F.substring(c("content"), c("from").cast("int"), (c("first") - c("from")).cast("int"))
     inner = F.substring(c("content"), c("first").cast("int"), (c("end") - c("first")).cast("int"))
     receiver = F.regexp_extract(header, r"\(\s*((?:&\s*(?:'\w+\s+)?)?(?:mut\s+)?self)\b", 1)
@@ -86,8 +86,8 @@ def types(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "path", "scope", "name", "owner_row", "at", receiver.alias("receiver"), F.array_distinct(F.regexp_extract_all(inner, F.lit(r"\bself\.([A-Za-z_]\w*)"), F.lit(1))).alias("field_access"),
         F.transform(F.filter(calls, mine), lambda x: F.replace(x, F.lit("self."), F.lit(""))).alias("internal_calls"), F.filter(calls, lambda x: ~mine(x)).alias("external_calls"),
     ).where("receiver <> ''")
-    scores = measured(rust).select("path", c("low").alias("at"), "cognitive")
-    methods = methods.join(scores, ["path", "at"]).withColumn("is_mutable", F.contains("receiver", F.lit("mut")))
+    scores = measured(rust, rows).select("path", c("low").alias("at"), "cognitive")
+    methods = met(methods, scores, ["path", "at"]).withColumn("is_mutable", F.contains("receiver", F.lit("mut")))
 
     told = held.where("kind = 'enum' OR size(fields) > 0").select("path", "scope", "row", (c("kind") == "enum").alias("is_enum"), "derives", F.lit(0).alias("rank"))
     told = told.unionByName(owners.select("path", "scope", c("head.row").alias("row"), F.lit(False).alias("is_enum"), F.array().cast("array<string>").alias("derives"), F.lit(1).alias("rank")))
