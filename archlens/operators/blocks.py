@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from archlens.config import RuleConfig
 from archlens.functions.tables import BLOCK_LAWS, CONFIG_FUNCTIONS, FLUSH_SIGNS, SHELLS, SKELETON_LANGUAGES, TRUSTED_COMMANDS
 from archlens.functions.text import has_any, language
-from archlens.operators.graph import written
+from archlens.operators.graph import written_clean
 from archlens.operators.joins import dealt, met
 from archlens.operators.ranges import within
 from archlens.operators.report import maximal
@@ -115,7 +115,7 @@ def in_blocks(found: DataFrame) -> DataFrame:
 def marked(files: DataFrame) -> DataFrame:
     """in_blocks' rows of blocks, calls and operators, which are what most rules ask for. They ask several times, so the rows are written once."""
     rows = in_blocks(signs(files)).drop("last", "joins", "closes", "loops", "in_at")
-    return written(rows.where(F.col("kind").isNotNull() | F.col("before").isNotNull() | F.col("sign").isin("&&", "||", "=>")))
+    return written_clean(rows.where(F.col("kind").isNotNull() | F.col("before").isNotNull() | F.col("sign").isin("&&", "||", "=>")))
 
 
 def functions_of(rows: DataFrame) -> DataFrame:

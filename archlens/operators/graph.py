@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_clean(df: DataFrame) -> DataFrame:
+    """written, and its shuffles go at once; else they stay until the driver collects its garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, "false")
+    conf.set(name, "true")
+    try:
+        return written(df)
+    finally:
+        conf.set(name, before)
+
+
 def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
 
@@ -82,24 +94,49 @@ def ranked(ranks: DataFrame) -> DataFrame:
     return at.join(F.broadcast(shifts), "_part").select((F.col("_at") + F.col("_shift")).alias("place"), "path", "rank")
 
 
+def _dropped(*tables: DataFrame) -> None:
+    """The files of written tables go; what reads them must be done."""
+    for table in tables:
+        for file in table.inputFiles()[:1]:
+            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _numbers(names: DataFrame):
+    """names(path, id): what nodes go by, their ids (hashes), or their paths where two share an id."""
+    unlike = names.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+    return F.xxhash64 if unlike else F.col
+
+
 def layers(edges: DataFrame) -> DataFrame:
-    """path, layer: nodes whose dependencies all have lower layers, from 0 on; what depends on a cycle shares the last one. Loops to itself don't count."""
-    left = checkpointed(nodes_of(edges))
-    needs = checkpointed(edges.where("src <> dst").select("src", "dst").distinct())
-    done, layer = None, 0
-    while True:
-        ready = checkpointed(left.join(needs, left.path == needs.src, "left_anti"))
-        n_ready, n_left = ready.count(), left.count()
-        if not n_left:
-            return done if done is not None else left.withColumn("layer", F.lit(0))
+    """path, layer: nodes whose dependencies all have lower layers, from 0 on; what depends on a cycle shares the last one. Loops to itself don't count.
+
+    Rounds run on numbers; a round's tables go when the next ones are written.
+    """
+    names = written_clean(nodes_of(edges).withColumn("id", F.xxhash64("path")))
+    key = _numbers(names)
+    left = written_clean(names.select(key("path").alias("id")))
+    needs = written_clean(edges.where("src <> dst").select(key("src").alias("id"), key("dst").alias("on")).distinct())
+    done, layer, n_left = [], 0, left.count()
+    while n_left:
+        waiting = needs.select("id").distinct()
+        ready = written_clean(met(left, waiting, "id", "left_anti"))
+        n_ready = ready.count()
         if not n_ready:
-            rest = left.withColumn("layer", F.lit(layer + 1))
-            return rest if done is None else done.unionByName(rest)
-        told = ready.withColumn("layer", F.lit(layer))
-        done = told if done is None else done.unionByName(told)
-        left = checkpointed(left.join(ready, "path", "left_anti"))
-        needs = checkpointed(needs.join(ready.select(F.col("path").alias("dst")), "dst", "left_anti"))
-        layer += 1
+            done.append(left.withColumn("layer", F.lit(layer + 1)))
+            break
+        done.append(ready.withColumn("layer", F.lit(layer)))
+        n_left -= n_ready
+        if n_left:
+            old = left, needs
+            left = written_clean(met(left, ready, "id", "left_anti"))
+            needs = written_clean(met(needs, ready.withColumnRenamed("id", "on"), "on", "left_anti").select("id", "on"))
+            _dropped(*old)
+            layer += 1
+    if not done:
+        return names.select("path", F.lit(0).alias("layer"))
+    told = reduce(DataFrame.unionByName, done)
+    return met(names.select("path", key("path").alias("id")), told, "id").select("path", "layer")
 
 
 def cyclic_core(edges: DataFrame) -> DataFrame:

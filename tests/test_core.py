@@ -2,6 +2,7 @@
 
 import json
 import re
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -64,6 +65,18 @@ def test_layers(spark):
     assert (got["c"], got["b"], got["a"]) == (0, 1, 2) and got["x"] == got["y"] > 2
 
 
+def test_layers_leave_no_tables_of_past_rounds(spark, monkeypatch):
+    chain = edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(6)])
+    graph.checkpointed(chain)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    kept = lambda: {x for place in (folder, folder / "tables") if place.exists() for x in place.iterdir() if x.name != "tables"}
+    before = kept()
+    got = {r.path: r.layer for r in graph.layers(chain).collect()}
+    assert got == {f"n{k}": 6 - k for k in range(7)} and len(kept() - before) <= 7 + 3  # a table of each layer, names, and the last round's
+    monkeypatch.setattr(graph, "_numbers", lambda names: F.col)  # where two paths share a hash
+    assert {r.path: r.layer for r in graph.layers(chain).collect()} == got
+
+
 def test_pagerank(spark):
     rank = lambda pairs, anchor=None: {r.path: r["rank"] for r in graph.pagerank(edges(spark, pairs).withColumn("weight", F.lit(1)), anchor).collect()}
     two = rank([("a", "b")])
