@@ -13,3 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 def test_no_derived_table_is_broadcast(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and not re.findall(r"Broadcast\w+Join \[(?!_size|_part|law)[^\]]*\][^\n]*", plan)
+
+
+def test_locality_report_judges_edges_once(spark):
+    plan = entry.queries()["locality_report"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan
